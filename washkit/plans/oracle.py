@@ -201,3 +201,397 @@ SQL["coverage_growth"] = _with(ACCESS_CTE) + f"""
 SELECT country, zone, type, year, {_growth_cols(["municipal_coverage", "households", "popn_total"])}
 FROM g WINDOW w AS (PARTITION BY country, zone, type ORDER BY year)
 """
+
+
+# =========================================================================== service
+from washkit.operators import kpi as _K  # noqa: E402
+
+SERVICE_CTE = """
+svc AS (
+  SELECT r_name AS country, n_name AS city, l_returnflag AS zone, CAST(year(l_shipdate) AS INTEGER) AS year,
+         CAST(month(l_shipdate) AS INTEGER) AS month, count(*) AS households, sum(l_quantity) AS w_supplied,
+         sum(l_quantity * (1e0 - l_discount)) AS total_consumption,
+         sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS metered,
+         count(*) AS tests_conducted_chlorine, count(*) FILTER (WHERE l_tax <= 6e-2) AS test_passed_chlorine,
+         count(*) AS test_conducted_ecoli, count(*) FILTER (WHERE l_discount > 2e-2) AS tests_passed_ecoli,
+         count(*) FILTER (WHERE l_quantity > 25) AS complaints,
+         count(*) FILTER (WHERE l_quantity > 25 AND l_linestatus = 'F') AS resolved,
+         count(*) FILTER (WHERE l_linestatus = 'O') AS sewer_connections,
+         count(*) FILTER (WHERE l_linenumber = 1) AS public_toilets
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+       JOIN region ON n_regionkey = r_regionkey
+  GROUP BY 1, 2, 3, 4, 5),
+sp AS (
+  SELECT *, make_date(year, month, 1) AS date,
+    (CAST(test_passed_chlorine AS DOUBLE) / nullif(CAST(tests_conducted_chlorine AS DOUBLE), 0) * 1e2
+     + CAST(tests_passed_ecoli AS DOUBLE) / nullif(CAST(test_conducted_ecoli AS DOUBLE), 0) * 1e2) / 2e0 AS water_quality_rate,
+    CAST(resolved AS DOUBLE) / nullif(CAST(complaints AS DOUBLE), 0) * 1e2 AS complaint_resolution_rate,
+    (w_supplied - total_consumption) / nullif(w_supplied, 0) * 1e2 AS nrw_rate,
+    CAST(sewer_connections AS DOUBLE) / nullif(CAST(households AS DOUBLE), 0) * 1e2 AS sewer_coverage_rate
+  FROM svc)
+"""
+
+_RATES = ["water_quality_rate", "complaint_resolution_rate", "nrw_rate", "sewer_coverage_rate"]
+_SVC_INT = ["households", "tests_conducted_chlorine", "test_passed_chlorine", "test_conducted_ecoli",
+            "tests_passed_ecoli", "complaints", "resolved", "sewer_connections", "public_toilets"]
+_SVC_DBL = ["w_supplied", "total_consumption", "metered"]
+
+
+def _series(where: str = "") -> str:
+    rates = ", ".join(f"round(avg({r}), 6) AS {r}" for r in _RATES)
+    return f"""
+SELECT date, round(coalesce(sum(w_supplied), 0e0), 6) AS w_supplied,
+  round(coalesce(sum(total_consumption), 0e0), 6) AS total_consumption,
+  round(coalesce(sum(metered), 0e0), 6) AS metered, {rates},
+  CAST(coalesce(sum(public_toilets), 0) AS BIGINT) AS public_toilets
+FROM sp {where} GROUP BY date
+"""
+
+
+def _dbl(v: float) -> str:
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def _ratio_kpi_sql(src: str, by: list[str], kpis, digits: int = 6) -> str:
+    """Long-form KPI values (by..., kpi_id, value) from a registry list, for the oracle."""
+    sums = ", ".join(f"sum({k.num}) AS n{i}, sum({k.den}) AS d{i}" for i, k in enumerate(kpis))
+    keys = ", ".join(by)
+    parts = [
+        f"SELECT {keys}, '{k.id}' AS kpi_id, round(CAST(n{i} AS DOUBLE) / nullif(CAST(d{i} AS DOUBLE), 0) * "
+        f"{_dbl(k.scale)}, {digits}) AS value FROM g"
+        for i, k in enumerate(kpis)
+    ]
+    return f"g AS (SELECT {keys}, {sums} FROM {src} GROUP BY {keys})\n" + "\nUNION ALL\n".join(parts)
+
+
+SQL["service_time_series"] = _with(SERVICE_CTE) + _series()
+
+SQL["service_filtered"] = _with(SERVICE_CTE) + _series(
+    f"WHERE country = '{X.SERVICE_COUNTRY}' AND zone = '{X.SERVICE_ZONE}'")
+
+_last_cols = ", ".join(
+    (f"round(arg_max({c}, date) FILTER (WHERE {c} IS NOT NULL), 6) AS {c}" if c in _SVC_DBL + _RATES
+     else f"arg_max({c}, date) FILTER (WHERE {c} IS NOT NULL) AS {c}")
+    for c in ["year", "month"] + _SVC_INT + _SVC_DBL + _RATES)
+SQL["service_latest_by_zone"] = _with(SERVICE_CTE) + f"""
+SELECT country, city, zone, max(date) AS date, {_last_cols} FROM sp GROUP BY country, city, zone
+"""
+
+_targets = [("nrw_rate", 25.0, False), ("water_quality_rate", 95.0, True), ("sewer_coverage_rate", 80.0, True),
+            ("complaint_resolution_rate", 90.0, True)]
+SQL["service_kpis"] = _with(SERVICE_CTE) + """
+, lt AS (SELECT country, city, zone, """ + ", ".join(
+    f"arg_max({r}, date) FILTER (WHERE {r} IS NOT NULL) AS {r}" for r in _RATES) + """
+  FROM sp GROUP BY country, city, zone),
+ga AS (SELECT """ + ", ".join(f"avg({r}) AS {r}" for r in _RATES) + """ FROM lt)
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{k}' AS kpi, round({k}, 6) AS value, {t!r}e0 AS target, {str(up).lower()} AS higher_is_better, "
+    f"CASE WHEN {k} IS NULL THEN 'none' WHEN {k} {'>=' if up else '<='} {t!r}e0 THEN 'good' ELSE 'bad' END AS status FROM ga"
+    for k, t, up in _targets)
+
+SQL["kpi_service"] = _with(SERVICE_CTE) + ", " + _ratio_kpi_sql("sp", ["country", "city", "date"],
+                                                             _K.kpis_for("service", "service"))
+SQL["kpi_sanitation"] = _with(SERVICE_CTE) + ", " + _ratio_kpi_sql("sp", ["country", "city", "year"],
+                                                                _K.kpis_for("sanitation"))
+
+_chain = [
+    ("wastewater", "collected", 1, "collected", "NULL"),
+    ("wastewater", "treated", 2, "treated", "treated / nullif(collected, 0) * 1e2"),
+    ("wastewater", "reused", 3, "reused", "reused / nullif(collected, 0) * 1e2"),
+    ("faecal_sludge", "non_sewered", 1, "non_sewered", "NULL"),
+    ("faecal_sludge", "emptied", 2, "emptied", "emptied / nullif(non_sewered, 0) * 1e2"),
+    ("faecal_sludge", "treated", 3, "fs_treated", "NULL"),
+    ("faecal_sludge", "reused", 4, "fs_reused", "fs_reused / nullif(fs_treated, 0) * 1e2"),
+]
+SQL["sanitation_chain"] = _with(SERVICE_CTE) + """
+, ch AS (SELECT country, sum(w_supplied) AS collected, sum(total_consumption) AS treated, sum(metered) AS reused,
+    CAST(sum(households) AS DOUBLE) AS non_sewered, CAST(sum(sewer_connections) AS DOUBLE) AS emptied,
+    CAST(sum(tests_conducted_chlorine) AS DOUBLE) AS fs_treated, CAST(sum(test_passed_chlorine) AS DOUBLE) AS fs_reused
+  FROM sp GROUP BY country)
+""" + "\nUNION ALL\n".join(
+    f"SELECT country, '{s}' AS stream, '{g}' AS stage, {o} AS stage_order, round({v}, 6) AS volume, "
+    f"round(CAST({p} AS DOUBLE), 6) AS pct FROM ch" for s, g, o, v, p in _chain)
+
+SQL["data_quality"] = _with(SERVICE_CTE) + "\n" + "\nUNION ALL\n".join(
+    f"""SELECT country, '{k.id}' AS kpi_id, count(*) AS n_rows,
+  count(*) FILTER (WHERE ({k.num}) IS NOT NULL AND ({k.den}) IS NOT NULL) AS n_complete,
+  CASE WHEN count(*) FILTER (WHERE ({k.num}) IS NOT NULL AND ({k.den}) IS NOT NULL) = count(*) THEN 'complete'
+       WHEN count(*) FILTER (WHERE ({k.num}) IS NOT NULL AND ({k.den}) IS NOT NULL) > 0 THEN 'partial'
+       ELSE 'missing' END AS status
+FROM sp GROUP BY country""" for k in _K.kpis_for(table="service"))
+
+
+# =========================================================================== ledger / billing / production
+LEDGER_CTE = """
+le AS (SELECT l_orderkey, sum(l_extendedprice * (1e0 - l_discount)) AS exp FROM lineitem GROUP BY l_orderkey),
+lo AS (
+  SELECT c_mktsegment AS zone, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+         sum(o_totalprice) AS rev, sum(exp) AS exp,
+         sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN exp END) AS staff,
+         sum(CASE o_orderstatus WHEN 'F' THEN o_totalprice WHEN 'P' THEN o_totalprice * 5e-1 ELSE 0e0 END) AS paid
+  FROM orders LEFT JOIN le ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey
+  GROUP BY 1, 2, 3),
+ledger AS (
+  SELECT year, month, zone, rev AS total_operating_revenues, exp AS total_operating_expenditures,
+         1e2 * paid / nullif(rev, 0) AS collection_efficiency,
+         1e2 * coalesce(staff, 0e0) / nullif(exp, 0) AS personnel_expenditure_pct,
+         rev AS total_billing, paid AS total_collection, 1e2 * rev / nullif(exp, 0) AS om_cost_coverage
+  FROM lo)
+"""
+BILLING_CTE = """
+bills AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderdate AS DATE) AS date, o_totalprice AS billed,
+         CASE o_orderstatus WHEN 'F' THEN o_totalprice WHEN 'P' THEN o_totalprice * 5e-1 ELSE 0e0 END AS paid
+  FROM orders)
+"""
+PRODUCTION_CTE = """
+prod AS (
+  SELECT CAST(ts AS DATE) AS date, event_type AS source, sum(value) AS production_m3,
+         CAST(count(DISTINCT hour(ts)) AS DOUBLE) AS service_hours
+  FROM events GROUP BY 1, 2)
+"""
+
+SQL["revenue_by_year_zone"] = _with(LEDGER_CTE) + """
+SELECT year, zone, round(sum(total_operating_revenues), 2) AS revenue FROM ledger GROUP BY year, zone
+"""
+
+SQL["yearly_totals"] = _with(LEDGER_CTE) + """
+, yt AS (SELECT year, round(sum(total_operating_revenues), 2) AS revenue, round(sum(total_operating_expenditures), 2) AS expenditure
+        FROM ledger GROUP BY year)
+SELECT year, 'revenue' AS measure, revenue AS amount FROM yt
+UNION ALL SELECT year, 'expenditure' AS measure, expenditure AS amount FROM yt
+"""
+
+SQL["ledger_headline"] = _with(LEDGER_CTE) + """
+SELECT (SELECT max(year) FROM ledger) AS latest_year,
+  round((SELECT sum(total_operating_revenues) FROM ledger WHERE year = (SELECT max(year) FROM ledger)), 2) AS total_revenue,
+  round((SELECT sum(total_operating_expenditures) FROM ledger WHERE year = (SELECT max(year) FROM ledger)), 2) AS total_expenditure,
+  round((SELECT avg(collection_efficiency) FROM ledger WHERE year IS NOT NULL), 6) AS mean_collection_efficiency,
+  round((SELECT avg(personnel_expenditure_pct) FROM ledger WHERE year IS NOT NULL), 6) AS mean_personnel_pct
+"""
+
+SQL["zone_statistics"] = _with(LEDGER_CTE) + f"""
+SELECT zone, round(avg(total_operating_revenues), 2) AS mean_revenue, round(min(total_operating_revenues), 2) AS min_revenue,
+  round(max(total_operating_revenues), 2) AS max_revenue
+FROM ledger WHERE make_date(year, month, 1) BETWEEN DATE '{X.LEDGER_RANGE[0]}' AND DATE '{X.LEDGER_RANGE[1]}'
+GROUP BY zone
+"""
+
+SQL["efficiency_heatmap"] = _with(LEDGER_CTE) + "SELECT month, " + ", ".join(
+    f"round(avg(collection_efficiency) FILTER (WHERE year = {y}), 6) AS y{y}" for y in range(1995, 2002)
+) + " FROM ledger GROUP BY month"
+
+SQL["efficiency_histogram"] = _with(LEDGER_CTE) + f"""
+, b AS (SELECT min(collection_efficiency) AS lo, (max(collection_efficiency) - min(collection_efficiency)) / {X.HIST_BINS}e0 AS w
+       FROM ledger WHERE collection_efficiency IS NOT NULL),
+x AS (SELECT CASE WHEN w = 0 THEN 0
+                  ELSE least(CAST(floor((collection_efficiency - lo) / w) AS INTEGER), {X.HIST_BINS - 1}) END AS bin, lo, w
+      FROM ledger CROSS JOIN b WHERE collection_efficiency IS NOT NULL)
+SELECT bin, round(any_value(lo) + bin * any_value(w), 6) AS bin_lo, round(any_value(lo) + (bin + 1) * any_value(w), 6) AS bin_hi,
+  count(*) AS n
+FROM x GROUP BY bin
+"""
+
+SQL["revenue_expenditure_fit"] = _with(LEDGER_CTE) + """
+SELECT round(regr_slope(total_operating_expenditures, total_operating_revenues), 6) AS slope,
+  round(regr_intercept(total_operating_expenditures, total_operating_revenues), 2) AS intercept,
+  round(regr_r2(total_operating_expenditures, total_operating_revenues), 6) AS r2,
+  CAST(regr_count(total_operating_expenditures, total_operating_revenues) AS BIGINT) AS n
+FROM ledger
+"""
+
+SQL["share_of_total"] = _with(LEDGER_CTE) + """
+SELECT zone, round(sum(total_operating_expenditures), 2) AS amount,
+  round(sum(total_operating_expenditures) / nullif((SELECT sum(total_operating_expenditures) FROM ledger), 0) * 1e2, 6) AS share_pct
+FROM ledger GROUP BY zone
+"""
+
+SQL["billing_vs_collection_by_zone"] = _with(LEDGER_CTE) + """
+, z AS (SELECT zone, round(sum(total_billing), 2) AS billing, round(sum(total_collection), 2) AS collection,
+              round(sum(om_cost_coverage), 6) AS om_cost_coverage FROM ledger GROUP BY zone)
+SELECT zone, 'billing' AS measure, billing AS amount FROM z
+UNION ALL SELECT zone, 'collection', collection FROM z
+UNION ALL SELECT zone, 'om_cost_coverage', om_cost_coverage FROM z
+"""
+
+SQL["billing_collection"] = _with(BILLING_CTE) + """
+SELECT CAST(year(date) AS INTEGER) AS year, round(sum(billed), 2) AS billed, round(sum(paid), 2) AS collected,
+  round(sum(billed) - sum(paid), 2) AS outstanding,
+  round(sum(paid) / nullif(sum(billed), 0) * 1e2, 6) AS collection_pct,
+  round((sum(billed) - sum(paid)) / nullif(sum(billed), 0) * 1e2, 6) AS uncollected_pct
+FROM bills GROUP BY 1
+"""
+
+SQL["debt_aging"] = _with(BILLING_CTE) + f"""
+, ag AS (SELECT date_diff('day', date, DATE '{X.AS_OF}') AS age, billed - paid AS outstanding
+        FROM bills WHERE date <= DATE '{X.AS_OF}'),
+bk AS (SELECT CASE WHEN age BETWEEN 0 AND 30 THEN '0-30' WHEN age BETWEEN 31 AND 60 THEN '31-60'
+                   WHEN age BETWEEN 61 AND 90 THEN '61-90' WHEN age >= 91 THEN '90+' END AS bucket,
+              CASE WHEN age BETWEEN 0 AND 30 THEN 1 WHEN age BETWEEN 31 AND 60 THEN 2
+                   WHEN age BETWEEN 61 AND 90 THEN 3 WHEN age >= 91 THEN 4 END AS bucket_order, outstanding FROM ag)
+SELECT bucket, bucket_order, round(sum(outstanding), 2) AS outstanding,
+  round(sum(outstanding) / nullif((SELECT sum(outstanding) FROM ag), 0) * 1e2, 6) AS share_pct
+FROM bk GROUP BY bucket, bucket_order
+"""
+
+SQL["production_summary"] = _with(PRODUCTION_CTE) + """
+SELECT CAST(year(date) AS INTEGER) AS year, source, round(sum(production_m3), 6) AS total_m3,
+  round(avg(production_m3), 6) AS avg_daily_m3, round(avg(service_hours), 6) AS mean_service_hours, count(*) AS days
+FROM prod GROUP BY 1, 2
+"""
+
+SQL["kpi_finance"] = _with(BILLING_CTE, LEDGER_CTE, SERVICE_CTE) + """
+, bq AS (SELECT CAST(year(date) AS INTEGER) AS year, sum(paid) AS n, sum(billed) AS d FROM bills GROUP BY 1),
+ly AS (SELECT year, sum(total_operating_revenues) AS rev, sum(total_operating_expenditures) AS exp,
+              sum(total_billing) AS bil FROM ledger GROUP BY year),
+sy AS (SELECT year, sum(w_supplied - total_consumption) AS n, sum(w_supplied) AS d FROM sp GROUP BY year)
+SELECT year, 'F1' AS kpi_id, round(n / nullif(d, 0) * 1e2, 6) AS value FROM bq
+UNION ALL SELECT year, 'F2', round(rev / nullif(exp, 0) * 1e2, 6) FROM ly
+UNION ALL SELECT year, 'F4', round(exp / nullif(rev, 0) * 1e0, 6) FROM ly
+UNION ALL SELECT year, 'F12', round(exp / nullif(bil, 0) * 1e2, 6) FROM ly
+UNION ALL SELECT year, 'F3', round(n / nullif(d, 0) * 1e2, 6) FROM sy
+"""
+
+
+def _score_row(kid: str, src: str, num: str, den: str, scale: float) -> str:
+    k = _K.BY_ID[kid]
+    tgt = "CAST(NULL AS DOUBLE)" if k.target is None else f"{k.target!r}e0"
+    up = "true" if k.higher_is_better else "false"
+    val = f"round(CAST(sum({num}) AS DOUBLE) / nullif(CAST(sum({den}) AS DOUBLE), 0) * {_dbl(scale)}, 6)"
+    cmp = ">=" if k.higher_is_better else "<="
+    return f"""SELECT '{kid}' AS kpi_id, '{k.name}' AS name, year AS period, v AS value, {tgt} AS target,
+  {up} AS higher_is_better, round(v - {tgt}, 6) AS delta,
+  CASE WHEN v IS NULL OR {tgt} IS NULL THEN 'none' WHEN v {cmp} {tgt} THEN 'good' ELSE 'bad' END AS status
+FROM (SELECT max(year) AS year, {val} AS v FROM {src} WHERE year = (SELECT max(year) FROM {src}))"""
+
+
+SQL["executive_scorecard"] = _with(BILLING_CTE, LEDGER_CTE, SERVICE_CTE, PRODUCTION_CTE) + """
+, b2 AS (SELECT *, CAST(year(date) AS INTEGER) AS year FROM bills),
+p2 AS (SELECT *, CAST(year(date) AS INTEGER) AS year FROM prod)
+""" + "\nUNION ALL\n".join([
+    _score_row("F1", "b2", "paid", "billed", 100.0),
+    _score_row("F2", "ledger", "total_operating_revenues", "total_operating_expenditures", 100.0),
+    _score_row("F4", "ledger", "total_operating_expenditures", "total_operating_revenues", 1.0),
+    _score_row("F3", "sp", "w_supplied - total_consumption", "w_supplied", 100.0),
+    _score_row("C1", "sp", "test_passed_chlorine + tests_passed_ecoli", "tests_conducted_chlorine + test_conducted_ecoli", 100.0),
+    _score_row("C4", "sp", "resolved", "complaints", 100.0),
+    _score_row("S1", "sp", "total_consumption", "w_supplied", 100.0),
+    _score_row("C2", "p2", "service_hours", "1", 1.0),
+])
+
+
+# =========================================================================== catalogue / documents
+CATALOGUE_CTE = """
+cat AS (
+  SELECT p_partkey AS id, p_type AS domain, p_name AS indicator, p_name || ' of type ' || p_type AS description,
+         CASE p_size % 3 WHEN 0 THEN 'Annual' WHEN 1 THEN 'Quarterly' ELSE 'Monthly' END AS frequency,
+         CASE WHEN p_size % 2 = 0 THEN 'Zone' ELSE 'City' END AS granularity,
+         CASE WHEN p_retailprice >= 975 THEN 'Yes' WHEN p_retailprice >= 950 THEN 'Somewhat' ELSE 'No' END AS jmp,
+         CASE WHEN p_size <= 10 THEN 'Yes' WHEN p_size <= 25 THEN 'Somewhat' WHEN p_size <= 40 THEN 'No' END AS amcow,
+         CASE WHEN p_type = 'SMALL' THEN 'Somewhat' ELSE 'No' END AS iwa,
+         p_brand AS section, split_part(p_name, ' ', 1) AS subcategory
+  FROM part)
+"""
+
+
+def _in(vals) -> str:
+    return ", ".join(repr(v) for v in vals)
+
+
+SQL["catalogue_counts"] = _with(CATALOGUE_CTE) + "\nUNION ALL\n".join(
+    f"SELECT '{d}' AS dimension, {d} AS value, count(*) AS n FROM cat GROUP BY {d}"
+    for d in ("frequency", "domain", "section"))
+
+SQL["catalogue_totals"] = _with(CATALOGUE_CTE) + """
+SELECT count(*) AS total, count(*) FILTER (WHERE frequency = 'Monthly') AS monthly,
+  count(*) FILTER (WHERE frequency = 'Quarterly') AS quarterly, count(*) FILTER (WHERE frequency = 'Annual') AS annual
+FROM cat
+"""
+
+SQL["framework_alignment"] = _with(CATALOGUE_CTE) + "\nUNION ALL\n".join(
+    f"SELECT '{fw}' AS framework, coalesce({fw}, 'No') AS status, count(*) AS indicators FROM cat "
+    f"WHERE coalesce({fw}, 'No') IN ('Yes', 'Somewhat') GROUP BY 2" for fw in X.FRAMEWORKS)
+
+_search = " OR ".join(f"coalesce(regexp_matches(lower({c}), '{X.CATALOGUE_SEARCH}'), false)"
+                      for c in ("indicator", "description", "domain", "section"))
+_fw = " AND ".join(f"coalesce({fw} IN ('Yes', 'Somewhat'), false)" for fw in X.CATALOGUE_FRAMEWORKS)
+SQL["catalogue_filter"] = _with(CATALOGUE_CTE) + f"""
+SELECT * FROM cat WHERE ({_search}) AND domain IN ({_in(X.CATALOGUE_DOMAINS)})
+  AND frequency IN ({_in(X.CATALOGUE_FREQUENCIES)}) AND {_fw}
+"""
+
+SQL["section_subcategory_listing"] = _with(CATALOGUE_CTE) + """
+SELECT section, subcategory, count(*) AS indicators,
+  string_agg(DISTINCT frequency, ', ' ORDER BY frequency) AS cadences,
+  CAST(row_number() OVER (PARTITION BY section ORDER BY subcategory) AS INTEGER) AS ordinal
+FROM cat GROUP BY section, subcategory
+"""
+
+SQL["distinct_values"] = _with(CATALOGUE_CTE) + "\nUNION\n".join(
+    f"SELECT '{c}' AS field, {c} AS value FROM cat WHERE {c} IS NOT NULL"
+    for c in ("domain", "frequency", "granularity", "section"))
+
+_dsearch = " OR ".join(f"coalesce(regexp_matches(lower({c}), '{X.DOCUMENT_SEARCH}'), false)" for c in X.DOCUMENT_COLUMNS)
+SQL["catalogue_search"] = f"SELECT doc_id, source, lang, n_chars FROM documents WHERE {_dsearch}"
+
+
+# =========================================================================== geometry / json
+SHAPES_CTE = """
+sh AS (SELECT vec_id, n_name AS name, lower(r_name) AS country, embedding
+       FROM embeddings JOIN nation ON label = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+pts AS (SELECT name, country, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(generate_series(1, len(embedding))) AS i FROM sh),
+box AS (SELECT name, country, min(v) FILTER (WHERE i % 2 = 1) AS min_lon, min(v) FILTER (WHERE i % 2 = 0) AS min_lat,
+               max(v) FILTER (WHERE i % 2 = 1) AS max_lon, max(v) FILTER (WHERE i % 2 = 0) AS max_lat
+        FROM pts GROUP BY name, country),
+ext AS (SELECT *, ((SELECT min(min_lon) FROM box) + (SELECT max(max_lon) FROM box)) / 2e0 AS centre_lon,
+               ((SELECT min(min_lat) FROM box) + (SELECT max(max_lat) FROM box)) / 2e0 AS centre_lat FROM box)
+"""
+
+SQL["zone_extent"] = _with(SHAPES_CTE) + "SELECT * FROM ext"
+
+SQL["zone_enrichment"] = _with(SHAPES_CTE, ACCESS_CTE, _latest("water", "water"), _latest("sewer", "sewer")) + """
+, zs AS (
+  SELECT coalesce(water.country, sewer.country) AS country, coalesce(water.zone, sewer.zone) AS name,
+         water_safely_pct, sewer_safely_pct,
+         round(CASE WHEN water_safely_pct IS NULL THEN sewer_safely_pct WHEN sewer_safely_pct IS NULL THEN water_safely_pct
+                    ELSE (water_safely_pct + sewer_safely_pct) / 2e0 END, 6) AS safeAccess
+  FROM water FULL OUTER JOIN sewer ON water.country = sewer.country AND water.zone = sewer.zone)
+SELECT ext.*, zs.safeAccess, zs.water_safely_pct, zs.sewer_safely_pct, zs.name IS NOT NULL AS matched
+FROM ext LEFT JOIN zs ON lower(trim(ext.country)) = lower(trim(zs.country)) AND lower(trim(ext.name)) = lower(trim(zs.name))
+"""
+
+SQL["json_snapshot"] = """
+SELECT event_type, count(*) AS events, count(k) AS with_k, CAST(sum(coalesce(k, 0)) AS BIGINT) AS sum_k,
+  round(avg(k), 6) AS mean_k
+FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+GROUP BY event_type
+"""
+
+# =========================================================================== KPI registry keys
+SQL["kpi_access"] = _with(ACCESS_CTE) + ", " + _ratio_kpi_sql("access", ["country", "type", "year"], _K.kpis_for("access"))
+
+CITY_YEAR_CTE = """
+ps AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_extendedprice) AS wash_budget,
+              sum(l_extendedprice * l_discount) AS training_budget,
+              sum(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0e0 END) AS water_budget, count(*) AS lines
+       FROM lineitem GROUP BY 1, 2),
+a AS (SELECT n_name AS city, year, count(*) AS active_providers, count(*) FILTER (WHERE s_acctbal > 0) AS active_licensed,
+             sum(wash_budget) AS wash_budget, sum(training_budget) AS training_budget, sum(water_budget) AS water_budget,
+             sum(lines) AS total_staff
+      FROM ps JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
+b AS (SELECT n_name AS city, count(*) AS total_providers, count(*) FILTER (WHERE s_acctbal > 0) AS total_licensed
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
+cy AS (SELECT a.*, b.total_providers, b.total_licensed FROM a JOIN b ON a.city = b.city)
+"""
+
+SQL["kpi_governance"] = _with(CITY_YEAR_CTE) + """
+SELECT city, year, kpi_id, value, CAST(NULL AS DOUBLE) AS target, CAST(NULL AS BOOLEAN) AS compliant FROM (
+WITH """ + _ratio_kpi_sql("cy", ["city", "year"], [_K.BY_ID[i] for i in ("G1", "G2", "G4", "N1")]) + ")"
+
+SQL["kpi_sector"] = _with(CITY_YEAR_CTE) + """
+SELECT city, year, 'water' AS component, round(water_budget, 6) AS amount,
+  round(water_budget / nullif(wash_budget, 0) * 1e2, 6) AS share_pct FROM cy
+UNION ALL SELECT city, year, 'training', round(training_budget, 6), round(training_budget / nullif(wash_budget, 0) * 1e2, 6) FROM cy
+UNION ALL SELECT city, year, 'other', round(wash_budget - water_budget - training_budget, 6),
+  round((wash_budget - water_budget - training_budget) / nullif(wash_budget, 0) * 1e2, 6) FROM cy
+"""

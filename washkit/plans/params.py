@@ -28,5 +28,5 @@ CATALOGUE_DOMAINS = ["SMALL", "ECONOMY", "STANDARD"]
 CATALOGUE_FREQUENCIES = ["Monthly", "Quarterly"]
 CATALOGUE_FRAMEWORKS = ["jmp", "amcow"]
 FRAMEWORKS = ["jmp", "amcow", "iwa"]
-DOCUMENT_SEARCH = "water|river"
+DOCUMENT_SEARCH = "licen[cs]e|copyright"
 DOCUMENT_COLUMNS = ["text", "source", "lang"]

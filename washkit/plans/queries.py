@@ -113,3 +113,243 @@ def q_access_union(spark, sf_dir):
 @register("coverage_growth")
 def q_coverage_growth(spark, sf_dir):
     return A.coverage_growth(access_table(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- service
+from washkit.operators import catalogue as CG  # noqa: E402
+from washkit.operators import finance as FN  # noqa: E402
+from washkit.operators import geo as G  # noqa: E402
+from washkit.operators import kpi as K  # noqa: E402
+from washkit.operators import service as S  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def service_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly service rows with date and per-row rates (P12 + P17)."""
+    return S.prepare_service(V.service_month(V.Tables(spark, sf_dir)))
+
+
+@register("service_time_series")
+def q_service_time_series(spark, sf_dir):
+    return S.service_time_series(service_table(spark, sf_dir))
+
+
+@register("service_latest_by_zone")
+def q_service_latest_by_zone(spark, sf_dir):
+    return S.service_latest_by_zone(service_table(spark, sf_dir))
+
+
+@register("service_kpis")
+def q_service_kpis(spark, sf_dir):
+    return S.service_kpis(service_table(spark, sf_dir))
+
+
+@register("service_filtered")
+def q_service_filtered(spark, sf_dir):
+    return S.service_filtered(service_table(spark, sf_dir), X.SERVICE_COUNTRY, X.SERVICE_CITY, X.SERVICE_ZONE)
+
+
+@register("kpi_service")
+def q_kpi_service(spark, sf_dir):
+    return K.ratio_kpis(service_table(spark, sf_dir), ["country", "city", "date"], K.kpis_for("service", "service"))
+
+
+@register("kpi_sanitation")
+def q_kpi_sanitation(spark, sf_dir):
+    return K.ratio_kpis(service_table(spark, sf_dir), ["country", "city", "year"], K.kpis_for("sanitation"))
+
+
+@register("sanitation_chain")
+def q_sanitation_chain(spark, sf_dir):
+    return K.sanitation_chain(service_table(spark, sf_dir), ["country"])
+
+
+@register("data_quality")
+def q_data_quality(spark, sf_dir):
+    return K.data_quality(service_table(spark, sf_dir), ["country"], K.kpis_for(table="service"))
+
+
+# --------------------------------------------------------------------------- ledger
+def ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.ledger(V.Tables(spark, sf_dir))
+
+
+@register("revenue_by_year_zone")
+def q_revenue_by_year_zone(spark, sf_dir):
+    return FN.revenue_by_year_zone(ledger_table(spark, sf_dir))
+
+
+@register("yearly_totals")
+def q_yearly_totals(spark, sf_dir):
+    return FN.yearly_totals(ledger_table(spark, sf_dir))
+
+
+@register("ledger_headline")
+def q_ledger_headline(spark, sf_dir):
+    return FN.ledger_headline(ledger_table(spark, sf_dir))
+
+
+@register("zone_statistics")
+def q_zone_statistics(spark, sf_dir):
+    return FN.zone_statistics(ledger_table(spark, sf_dir), *X.LEDGER_RANGE)
+
+
+@register("efficiency_heatmap")
+def q_efficiency_heatmap(spark, sf_dir):
+    return FN.efficiency_heatmap(ledger_table(spark, sf_dir))
+
+
+@register("efficiency_histogram")
+def q_efficiency_histogram(spark, sf_dir):
+    return FN.efficiency_histogram(ledger_table(spark, sf_dir), X.HIST_BINS)
+
+
+@register("revenue_expenditure_fit")
+def q_revenue_expenditure_fit(spark, sf_dir):
+    return FN.revenue_expenditure_fit(ledger_table(spark, sf_dir))
+
+
+@register("share_of_total")
+def q_share_of_total(spark, sf_dir):
+    return FN.share_of_total(ledger_table(spark, sf_dir), "zone", FN.EXP)
+
+
+@register("billing_vs_collection_by_zone")
+def q_billing_vs_collection_by_zone(spark, sf_dir):
+    return FN.billing_vs_collection_by_zone(ledger_table(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- billing / production
+@register("billing_collection")
+def q_billing_collection(spark, sf_dir):
+    return FN.billing_collection(V.billing(V.Tables(spark, sf_dir)))
+
+
+@register("debt_aging")
+def q_debt_aging(spark, sf_dir):
+    return FN.debt_aging(V.billing(V.Tables(spark, sf_dir)), X.AS_OF)
+
+
+@register("production_summary")
+def q_production_summary(spark, sf_dir):
+    return FN.production_summary(V.production(V.Tables(spark, sf_dir)))
+
+
+@register("kpi_finance")
+def q_kpi_finance(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    bills = V.billing(t).withColumn("year", F.year("date"))
+    parts = [
+        K.ratio_kpis(bills, ["year"], [K.BY_ID["F1"]]),
+        K.ratio_kpis(V.ledger(t), ["year"], [K.BY_ID[i] for i in ("F2", "F4", "F12")]),
+        K.ratio_kpis(S.prepare_service(V.service_month(t)), ["year"], [K.BY_ID["F3"]]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("executive_scorecard")
+def q_executive_scorecard(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    ids = {"billing": ["F1"], "ledger": ["F2", "F4"], "service": ["F3", "C1", "C4", "S1"], "production": ["C2"]}
+    sources = {
+        "billing": V.billing(t).withColumn("year", F.year("date")),
+        "ledger": V.ledger(t),
+        "service": S.prepare_service(V.service_month(t)),
+        "production": V.production(t).withColumn("year", F.year("date")),
+    }
+    out = None
+    for src, kp in ids.items():
+        part = K.latest_period_kpis(sources[src], "year", [K.BY_ID[i] for i in kp])
+        out = part if out is None else out.unionByName(part)
+    return K.scorecard(out, [K.BY_ID[i] for kp in ids.values() for i in kp])
+
+
+# --------------------------------------------------------------------------- catalogue / documents
+def catalogue_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.catalogue(V.Tables(spark, sf_dir))
+
+
+@register("catalogue_counts")
+def q_catalogue_counts(spark, sf_dir):
+    return CG.catalogue_counts(catalogue_table(spark, sf_dir))
+
+
+@register("catalogue_totals")
+def q_catalogue_totals(spark, sf_dir):
+    return CG.cadence_totals(catalogue_table(spark, sf_dir))
+
+
+@register("framework_alignment")
+def q_framework_alignment(spark, sf_dir):
+    return CG.framework_alignment(catalogue_table(spark, sf_dir), X.FRAMEWORKS)
+
+
+@register("catalogue_filter")
+def q_catalogue_filter(spark, sf_dir):
+    cat = catalogue_table(spark, sf_dir)
+    return CG.apply_filters(cat, search=X.CATALOGUE_SEARCH, domains=X.CATALOGUE_DOMAINS,
+                            frequencies=X.CATALOGUE_FREQUENCIES, frameworks=X.CATALOGUE_FRAMEWORKS)
+
+
+@register("section_subcategory_listing")
+def q_section_subcategory_listing(spark, sf_dir):
+    return CG.section_subcategory_listing(catalogue_table(spark, sf_dir))
+
+
+@register("distinct_values")
+def q_distinct_values(spark, sf_dir):
+    return CG.distinct_values(catalogue_table(spark, sf_dir), ["domain", "frequency", "granularity", "section"])
+
+
+@register("catalogue_search")
+def q_catalogue_search(spark, sf_dir):
+    docs = V.Tables(spark, sf_dir).documents
+    hits = CG.apply_filters(docs, search=X.DOCUMENT_SEARCH, search_columns=X.DOCUMENT_COLUMNS)
+    return hits.select("doc_id", "source", "lang", "n_chars")
+
+
+# --------------------------------------------------------------------------- geometry / json
+@register("zone_extent")
+def q_zone_extent(spark, sf_dir):
+    return G.zone_extent(V.zone_shapes(V.Tables(spark, sf_dir)))
+
+
+@register("zone_enrichment")
+def q_zone_enrichment(spark, sf_dir):
+    shapes = G.zone_extent(V.zone_shapes(V.Tables(spark, sf_dir)))
+    metrics = A.zone_summary(access_table(spark, sf_dir))
+    return G.enrich_zones(metrics, shapes, ["safeAccess", "water_safely_pct", "sewer_safely_pct"])
+
+
+@register("json_snapshot")
+def q_json_snapshot(spark, sf_dir):
+    ev = files.parse_json_column(V.Tables(spark, sf_dir).events, "props", "k BIGINT", prefix="props_")
+    return ev.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count("props_k").alias("with_k"),
+        F.sum(F.coalesce(F.col("props_k"), F.lit(0))).alias("sum_k"),
+        F.round(F.avg("props_k"), 6).alias("mean_k"),
+    )
+
+
+# --------------------------------------------------------------------------- KPI registry keys
+@register("kpi_access")
+def q_kpi_access(spark, sf_dir):
+    return K.ratio_kpis(access_table(spark, sf_dir), ["country", "type", "year"], K.kpis_for("access"))
+
+
+def city_year_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.city_year(V.Tables(spark, sf_dir))
+
+
+@register("kpi_governance")
+def q_kpi_governance(spark, sf_dir):
+    return K.governance_kpis(city_year_table(spark, sf_dir))
+
+
+@register("kpi_sector")
+def q_kpi_sector(spark, sf_dir):
+    return K.sector_budget_shares(city_year_table(spark, sf_dir))

@@ -268,7 +268,7 @@ def catalogue(t: Tables) -> DataFrame:
 def zone_shapes(t: Tables) -> DataFrame:
     """Zone outlines: each embedding row is one ring of 32 (lon, lat) pairs; zone = nation of the label."""
     e = t.embeddings
-    nat = _geo(t).select(F.col("n_nationkey"), F.col("n_name").alias("name"), F.initcap("r_name").alias("country"))
+    nat = _geo(t).select(F.col("n_nationkey"), F.col("n_name").alias("name"), F.lower("r_name").alias("country"))
     return e.join(nat, F.col("label") == F.col("n_nationkey")).select(
         "vec_id", "name", "country", F.col("embedding").cast("array<double>").alias("ring")
     )

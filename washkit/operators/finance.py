@@ -3,7 +3,7 @@
 Ledger columns: ``year, month, zone, total_operating_revenues,
 total_operating_expenditures, collection_efficiency, personnel_expenditure_pct,
 total_billing, total_collection, om_cost_coverage``. Money sums are rounded to
-cents and ratios to ``digits`` places by default.
+four places and ratios to ``digits`` places by default.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ def _r(c: Column, digits: int | None) -> Column:
 
 
 def _money(c: Column) -> Column:
-    return F.round(c, 2)
+    # 4 places: exact money values here lie on a 1e-3 (half cents) or 1e-4 grid, so rounding
+    # at 4 places snaps float noise back to the exact value instead of hitting a .xx5 tie.
+    return F.round(c, 4)
 
 
 def with_date(ledger: DataFrame) -> DataFrame:

@@ -352,11 +352,11 @@ prod AS (
 """
 
 SQL["revenue_by_year_zone"] = _with(LEDGER_CTE) + """
-SELECT year, zone, round(sum(total_operating_revenues), 2) AS revenue FROM ledger GROUP BY year, zone
+SELECT year, zone, round(sum(total_operating_revenues), 4) AS revenue FROM ledger GROUP BY year, zone
 """
 
 SQL["yearly_totals"] = _with(LEDGER_CTE) + """
-, yt AS (SELECT year, round(sum(total_operating_revenues), 2) AS revenue, round(sum(total_operating_expenditures), 2) AS expenditure
+, yt AS (SELECT year, round(sum(total_operating_revenues), 4) AS revenue, round(sum(total_operating_expenditures), 4) AS expenditure
         FROM ledger GROUP BY year)
 SELECT year, 'revenue' AS measure, revenue AS amount FROM yt
 UNION ALL SELECT year, 'expenditure' AS measure, expenditure AS amount FROM yt
@@ -364,15 +364,15 @@ UNION ALL SELECT year, 'expenditure' AS measure, expenditure AS amount FROM yt
 
 SQL["ledger_headline"] = _with(LEDGER_CTE) + """
 SELECT (SELECT max(year) FROM ledger) AS latest_year,
-  round((SELECT sum(total_operating_revenues) FROM ledger WHERE year = (SELECT max(year) FROM ledger)), 2) AS total_revenue,
-  round((SELECT sum(total_operating_expenditures) FROM ledger WHERE year = (SELECT max(year) FROM ledger)), 2) AS total_expenditure,
+  round((SELECT sum(total_operating_revenues) FROM ledger WHERE year = (SELECT max(year) FROM ledger)), 4) AS total_revenue,
+  round((SELECT sum(total_operating_expenditures) FROM ledger WHERE year = (SELECT max(year) FROM ledger)), 4) AS total_expenditure,
   round((SELECT avg(collection_efficiency) FROM ledger WHERE year IS NOT NULL), 6) AS mean_collection_efficiency,
   round((SELECT avg(personnel_expenditure_pct) FROM ledger WHERE year IS NOT NULL), 6) AS mean_personnel_pct
 """
 
 SQL["zone_statistics"] = _with(LEDGER_CTE) + f"""
-SELECT zone, round(avg(total_operating_revenues), 2) AS mean_revenue, round(min(total_operating_revenues), 2) AS min_revenue,
-  round(max(total_operating_revenues), 2) AS max_revenue
+SELECT zone, round(avg(total_operating_revenues), 4) AS mean_revenue, round(min(total_operating_revenues), 4) AS min_revenue,
+  round(max(total_operating_revenues), 4) AS max_revenue
 FROM ledger WHERE make_date(year, month, 1) BETWEEN DATE '{X.LEDGER_RANGE[0]}' AND DATE '{X.LEDGER_RANGE[1]}'
 GROUP BY zone
 """
@@ -401,13 +401,13 @@ FROM ledger
 """
 
 SQL["share_of_total"] = _with(LEDGER_CTE) + """
-SELECT zone, round(sum(total_operating_expenditures), 2) AS amount,
+SELECT zone, round(sum(total_operating_expenditures), 4) AS amount,
   round(sum(total_operating_expenditures) / nullif((SELECT sum(total_operating_expenditures) FROM ledger), 0) * 1e2, 6) AS share_pct
 FROM ledger GROUP BY zone
 """
 
 SQL["billing_vs_collection_by_zone"] = _with(LEDGER_CTE) + """
-, z AS (SELECT zone, round(sum(total_billing), 2) AS billing, round(sum(total_collection), 2) AS collection,
+, z AS (SELECT zone, round(sum(total_billing), 4) AS billing, round(sum(total_collection), 4) AS collection,
               round(sum(om_cost_coverage), 6) AS om_cost_coverage FROM ledger GROUP BY zone)
 SELECT zone, 'billing' AS measure, billing AS amount FROM z
 UNION ALL SELECT zone, 'collection', collection FROM z
@@ -415,8 +415,8 @@ UNION ALL SELECT zone, 'om_cost_coverage', om_cost_coverage FROM z
 """
 
 SQL["billing_collection"] = _with(BILLING_CTE) + """
-SELECT CAST(year(date) AS INTEGER) AS year, round(sum(billed), 2) AS billed, round(sum(paid), 2) AS collected,
-  round(sum(billed) - sum(paid), 2) AS outstanding,
+SELECT CAST(year(date) AS INTEGER) AS year, round(sum(billed), 4) AS billed, round(sum(paid), 4) AS collected,
+  round(sum(billed) - sum(paid), 4) AS outstanding,
   round(sum(paid) / nullif(sum(billed), 0) * 1e2, 6) AS collection_pct,
   round((sum(billed) - sum(paid)) / nullif(sum(billed), 0) * 1e2, 6) AS uncollected_pct
 FROM bills GROUP BY 1
@@ -429,7 +429,7 @@ bk AS (SELECT CASE WHEN age BETWEEN 0 AND 30 THEN '0-30' WHEN age BETWEEN 31 AND
                    WHEN age BETWEEN 61 AND 90 THEN '61-90' WHEN age >= 91 THEN '90+' END AS bucket,
               CASE WHEN age BETWEEN 0 AND 30 THEN 1 WHEN age BETWEEN 31 AND 60 THEN 2
                    WHEN age BETWEEN 61 AND 90 THEN 3 WHEN age >= 91 THEN 4 END AS bucket_order, outstanding FROM ag)
-SELECT bucket, bucket_order, round(sum(outstanding), 2) AS outstanding,
+SELECT bucket, bucket_order, round(sum(outstanding), 4) AS outstanding,
   round(sum(outstanding) / nullif((SELECT sum(outstanding) FROM ag), 0) * 1e2, 6) AS share_pct
 FROM bk GROUP BY bucket, bucket_order
 """

@@ -106,3 +106,15 @@ def test_reference_geojson_extent(spark):
     assert miss == ["Limbadzi"]
     pts = files.read_geojson_points(spark, f"{REF_DATA}/zone_points_approx.geojson")
     assert pts.count() == 18 and pts.where("lon IS NULL OR lat IS NULL").count() == 0
+
+
+def test_ledger_csv_loader(spark, tmp_path):
+    p = tmp_path / "ledger.csv"
+    p.write_text("Year,Month,Zone,Total Operating Revenues,Total Operating Expenditures,Collection Efficiency,"
+                 "Personnel Expenditure as Percentage of O&M Costs,Total Water & Sewerage Billing,Total Collection,"
+                 "Operation & Maintenance Cost Coverage\n"
+                 "2023,1, Zone A ,100,50,90,10,100,90,200\n2023,2,Zone B,bad,100,80,20,200,160,200\n")
+    df = files.read_ledger_csv(spark, str(p))
+    r = {x["zone"]: x for x in df.collect()}
+    assert r["Zone A"]["total_operating_revenues"] == 100.0 and r["Zone A"]["year"] == 2023
+    assert r["Zone B"]["total_operating_revenues"] is None

@@ -23,7 +23,7 @@ class Kpi:
     name: str
     table: str          # stand-in / input table the formula reads
     num: str            # SQL expression summed as numerator
-    den: str            # SQL expression summed as denominator
+    den: str | None     # SQL expression summed as denominator; None = a plain sum (counts, losses)
     scale: float = 100.0
     higher_is_better: bool | None = True
     target: float | None = None
@@ -76,6 +76,35 @@ REGISTRY: list[Kpi] = [
     Kpi("G2", "Active licensed providers", "city_year", "active_licensed", "total_licensed", section="governance"),
     Kpi("G4", "Human-capital investment", "city_year", "training_budget", "wash_budget", section="governance"),
     Kpi("N1", "Budget to water", "city_year", "water_budget", "wash_budget", section="sector"),
+    # cross-table (J3): provider budget per m3 consumed, city_year joined to service at (city, year)
+    Kpi("N5", "Water use efficiency (value per m3)", "city_year+service", "wash_budget", "total_consumption",
+        scale=1.0, section="cross"),
+    # Spec-only indicators: same formula shape, inputs named after the documented tables
+    # (city_month, national_accounts, service extensions). Tested on fixtures.
+    Kpi("C3", "24x7 supply", "service_ext", "connections_24x7", "active_connections", section="spec"),
+    Kpi("C5", "Complaint turnaround (days)", "complaints", "days_to_resolve", "1", scale=1.0,
+        higher_is_better=False, section="spec"),
+    Kpi("C6_km", "Sewer blockages per 100 km", "city_month", "blocks", "sewer_length", higher_is_better=False,
+        section="spec"),
+    Kpi("F5", "Staff per 1000 connections", "city_month", "w_staff + san_staff", "active_connections", scale=1000.0,
+        higher_is_better=False, section="spec"),
+    Kpi("F6", "Staff cost share of opex", "national_accounts+city_month", "staff_cost", "opex",
+        higher_is_better=False, section="spec"),
+    Kpi("F8", "WTP utilisation", "service_ext", "wtp_used", "wtp_capacity", section="spec"),
+    Kpi("F9", "STP utilisation", "service_ext", "ww_treated", "ww_capacity", section="spec"),
+    Kpi("F10", "FSTP utilisation", "service_ext", "fs_treated", "fstp_capacity", section="spec"),
+    Kpi("F11", "Pro-poor financing", "city_month", "propoor_popn", "served_popn", section="spec"),
+    Kpi("N2", "Budget to sanitation", "national_accounts", "san_allocation", "budget_allocated", section="spec"),
+    Kpi("N3", "Budget disbursed", "national_accounts", "budget_disbursed", "budget_allocated", section="spec"),
+    Kpi("N4", "Water stress", "national_accounts", "water_withdrawals", "water_resources", higher_is_better=False,
+        section="spec"),
+    Kpi("N6", "Disaster loss", "national_accounts", "disaster_loss", None, scale=1.0, higher_is_better=False,
+        section="spec"),
+    Kpi("G3", "WTPs inspected", "national_accounts", "inspected_wtps", None, scale=1.0, section="spec"),
+    Kpi("G5", "Staff trained", "national_accounts", "trained_staff", None, scale=1.0, section="spec"),
+    Kpi("G6", "Staff", "city_year", "total_staff", None, scale=1.0, higher_is_better=None, section="spec"),
+    Kpi("AH", "Asset health", "national_accounts", "asset_health", "1", scale=1.0, section="spec"),
+    Kpi("WD", "Women in decision-making", "service_ext", "f_workforce", "workforce", section="spec"),
 ]
 BY_ID = {k.id: k for k in REGISTRY}
 
@@ -110,11 +139,17 @@ def ratio_kpis(df: DataFrame, by: Sequence[str], kpis: Sequence[Kpi], *, digits:
     ``(by..., kpi_id, value)``. All sums go into one aggregate (map-side partial sums)."""
     aggs = []
     for i, k in enumerate(kpis):
-        aggs += [F.sum(F.expr(k.num)).alias(f"__n{i}"), F.sum(F.expr(k.den)).alias(f"__d{i}")]
+        aggs.append(F.sum(F.expr(k.num)).alias(f"__n{i}"))
+        if k.den is not None:
+            aggs.append(F.sum(F.expr(k.den)).alias(f"__d{i}"))
     g = df.groupBy(*by).agg(*aggs)
-    vals = g.select(*by, *[
-        _r(C.safe_ratio(F.col(f"__n{i}"), F.col(f"__d{i}"), k.scale), digits).alias(k.id) for i, k in enumerate(kpis)
-    ])
+
+    def value(i: int, k: Kpi) -> Column:
+        if k.den is None:
+            return F.col(f"__n{i}").cast("double") * F.lit(float(k.scale))
+        return C.safe_ratio(F.col(f"__n{i}"), F.col(f"__d{i}"), k.scale)
+
+    vals = g.select(*by, *[_r(value(i, k), digits).alias(k.id) for i, k in enumerate(kpis)])
     return vals.unpivot(list(by), [k.id for k in kpis], "kpi_id", "value")
 
 
@@ -123,7 +158,8 @@ def data_quality(df: DataFrame, by: Sequence[str], kpis: Sequence[Kpi]) -> DataF
     all -> 'complete', some -> 'partial', none -> 'missing'."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, k in enumerate(kpis):
-        aggs.append(F.count_if(F.expr(k.num).isNotNull() & F.expr(k.den).isNotNull()).alias(f"__c{i}"))
+        present = F.expr(k.num).isNotNull() & (F.expr(k.den).isNotNull() if k.den is not None else F.lit(True))
+        aggs.append(F.count_if(present).alias(f"__c{i}"))
     g = df.groupBy(*by).agg(*aggs)
     items = [F.struct(F.lit(k.id).alias("kpi_id"), F.col("__rows").alias("n_rows"), F.col(f"__c{i}").alias("n_complete"))
              for i, k in enumerate(kpis)]
@@ -133,6 +169,19 @@ def data_quality(df: DataFrame, by: Sequence[str], kpis: Sequence[Kpi]) -> DataF
     return long.withColumn("status", status)
 
 
+def combine_inputs(left: DataFrame, right: DataFrame, keys: Sequence[str], left_cols: Sequence[str],
+                   right_cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """KPI inputs from two tables at one grain (e.g. city, year).
+
+    Each side is first summed to ``keys`` -- a partial aggregate, so hot keys collapse
+    map-side -- and the join then moves one row per key and side, never raw rows. Both sides
+    come out of their aggregates hash-partitioned on the keys, so the join adds no shuffle.
+    """
+    lsum = left.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in left_cols])
+    rsum = right.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in right_cols])
+    return lsum.join(rsum, list(keys), how)
+
+
 # --------------------------------------------------------------------------- A31
 def sanitation_chain(svc: DataFrame, by: Sequence[str] = ("country",), *, digits: int | None = 6) -> DataFrame:
     """Sanitation and reuse chain in long form (stream, stage, order, volume, pct).

@@ -595,3 +595,10 @@ UNION ALL SELECT city, year, 'training', round(training_budget, 6), round(traini
 UNION ALL SELECT city, year, 'other', round(wash_budget - water_budget - training_budget, 6),
   round((wash_budget - water_budget - training_budget) / nullif(wash_budget, 0) * 1e2, 6) FROM cy
 """
+
+SQL["kpi_cross_table"] = _with(CITY_YEAR_CTE, SERVICE_CTE) + """
+, l AS (SELECT city, year, sum(wash_budget) AS wash_budget FROM cy GROUP BY city, year),
+r AS (SELECT city, year, sum(total_consumption) AS total_consumption FROM svc GROUP BY city, year)
+SELECT l.city, l.year, 'N5' AS kpi_id, round(wash_budget / nullif(total_consumption, 0) * 1e0, 6) AS value
+FROM l JOIN r ON l.city = r.city AND l.year = r.year
+"""

@@ -353,3 +353,12 @@ def q_kpi_governance(spark, sf_dir):
 @register("kpi_sector")
 def q_kpi_sector(spark, sf_dir):
     return K.sector_budget_shares(city_year_table(spark, sf_dir))
+
+
+@register("kpi_cross_table")
+def q_kpi_cross_table(spark, sf_dir):
+    """Provider budget (city_year) per m3 consumed (service) at (city, year)."""
+    t = V.Tables(spark, sf_dir)
+    both = K.combine_inputs(V.city_year(t), V.service_month(t), ["city", "year"], ["wash_budget"],
+                            ["total_consumption"])
+    return K.ratio_kpis(both, ["city", "year"], [K.BY_ID["N5"]])

@@ -136,3 +136,21 @@ def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
     types = dict(f.split(" ") for f in S.LEDGER.split(", "))
     return df.select([C.lenient_number(c, t.lower()).alias(c) if t != "STRING" else F.trim(c).alias(c)
                       for c, t in types.items()])
+
+
+def read_catalogue(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Indicator catalogue table (CSV with display headers, or parquet with snake-case names).
+
+    Framework cells of '', '—' or NULL all mean "not aligned" and become NULL (counted as No).
+    """
+    if fmt == "csv":
+        headers = ["Domain", "Indicator", "Description", "Frequency", "Granularity", *S.FRAMEWORK_RENAME,
+                   "Section", "Subcategory"]
+        src = ", ".join(f"`{h}` STRING" for h in headers)
+        df = read_csv(spark, path, src)
+        df = df.toDF(*[S.FRAMEWORK_RENAME.get(h, h.lower()) for h in headers])
+    else:
+        df = spark.read.schema(S.CATALOGUE).parquet(path)
+    fws = list(S.FRAMEWORK_RENAME.values())
+    clean = {c: F.when(F.trim(F.col(c)).isin("", "\u2014"), F.lit(None)).otherwise(F.trim(F.col(c))) for c in fws}
+    return df.withColumns(clean)

@@ -51,8 +51,10 @@ PRODUCTION = "date DATE, source STRING, production_m3 DOUBLE, service_hours DOUB
 
 CATALOGUE = (
     "domain STRING, indicator STRING, description STRING, frequency STRING, granularity STRING, "
-    "section STRING, subcategory STRING"
+    "jmp STRING, amcow STRING, iwa STRING, cwis_cities STRING, ib_net STRING, section STRING, subcategory STRING"
 )
+# Display headers of the catalogue's framework columns and their snake-case names.
+FRAMEWORK_RENAME = {"JMP": "jmp", "AMCOW": "amcow", "IWA": "iwa", "CWIS Cities": "cwis_cities", "IB Net": "ib_net"}
 
 GEO_POLYGONS = (
     "type STRING, features ARRAY<STRUCT<type: STRING, properties: MAP<STRING, STRING>, "

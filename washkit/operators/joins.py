@@ -1,4 +1,9 @@
-"""Join helpers with an explicit, checked broadcast decision."""
+"""Join helpers with an explicit, checked broadcast decision.
+
+Base parquet tables do not need these: the planner sizes them from file statistics and AQE
+from run-time shuffle sizes. Use :func:`dimension_join` when the dimension is a derived
+DataFrame whose size the planner cannot estimate, so it would never broadcast on its own.
+"""
 
 from __future__ import annotations
 

@@ -27,10 +27,22 @@ def register(key: str):
     return deco
 
 
+# Stand-in inputs defined once per (session, directory): a lazy plan, like a session temp view,
+# so every query does not re-analyse the same view definition. No data is cached.
+_VIEWS: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    key = (id(spark._jsparkSession), sf_dir, name)
+    if key not in _VIEWS:
+        _VIEWS[key] = build()
+    return _VIEWS[key]
+
+
 def access_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tidy access table (U1 + P1-P4) over the water/sewer stand-ins."""
-    water, sewer = V.access_sources(V.Tables(spark, sf_dir))
-    return files.tidy_access(water, sewer)
+    return _view(spark, sf_dir, "access",
+                 lambda: files.tidy_access(*V.access_sources(V.Tables(spark, sf_dir))))
 
 
 # --------------------------------------------------------------------------- access
@@ -124,9 +136,13 @@ from washkit.operators import service as S  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 
+def service_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "service_month", lambda: V.service_month(V.Tables(spark, sf_dir)))
+
+
 def service_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly service rows with date and per-row rates (P12 + P17)."""
-    return S.prepare_service(V.service_month(V.Tables(spark, sf_dir)))
+    return _view(spark, sf_dir, "service", lambda: S.prepare_service(service_rows(spark, sf_dir)))
 
 
 @register("service_time_series")
@@ -171,7 +187,15 @@ def q_data_quality(spark, sf_dir):
 
 # --------------------------------------------------------------------------- ledger
 def ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.ledger(V.Tables(spark, sf_dir))
+    return _view(spark, sf_dir, "ledger", lambda: V.ledger(V.Tables(spark, sf_dir)))
+
+
+def billing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "billing", lambda: V.billing(V.Tables(spark, sf_dir)))
+
+
+def production_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "production", lambda: V.production(V.Tables(spark, sf_dir)))
 
 
 @register("revenue_by_year_zone")
@@ -222,27 +246,26 @@ def q_billing_vs_collection_by_zone(spark, sf_dir):
 # --------------------------------------------------------------------------- billing / production
 @register("billing_collection")
 def q_billing_collection(spark, sf_dir):
-    return FN.billing_collection(V.billing(V.Tables(spark, sf_dir)))
+    return FN.billing_collection(billing_table(spark, sf_dir))
 
 
 @register("debt_aging")
 def q_debt_aging(spark, sf_dir):
-    return FN.debt_aging(V.billing(V.Tables(spark, sf_dir)), X.AS_OF)
+    return FN.debt_aging(billing_table(spark, sf_dir), X.AS_OF)
 
 
 @register("production_summary")
 def q_production_summary(spark, sf_dir):
-    return FN.production_summary(V.production(V.Tables(spark, sf_dir)))
+    return FN.production_summary(production_table(spark, sf_dir))
 
 
 @register("kpi_finance")
 def q_kpi_finance(spark, sf_dir):
-    t = V.Tables(spark, sf_dir)
-    bills = V.billing(t).withColumn("year", F.year("date"))
+    bills = billing_table(spark, sf_dir).withColumn("year", F.year("date"))
     parts = [
         K.ratio_kpis(bills, ["year"], [K.BY_ID["F1"]]),
-        K.ratio_kpis(V.ledger(t), ["year"], [K.BY_ID[i] for i in ("F2", "F4", "F12")]),
-        K.ratio_kpis(S.prepare_service(V.service_month(t)), ["year"], [K.BY_ID["F3"]]),
+        K.ratio_kpis(ledger_table(spark, sf_dir), ["year"], [K.BY_ID[i] for i in ("F2", "F4", "F12")]),
+        K.ratio_kpis(service_table(spark, sf_dir), ["year"], [K.BY_ID["F3"]]),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -252,13 +275,12 @@ def q_kpi_finance(spark, sf_dir):
 
 @register("executive_scorecard")
 def q_executive_scorecard(spark, sf_dir):
-    t = V.Tables(spark, sf_dir)
     ids = {"billing": ["F1"], "ledger": ["F2", "F4"], "service": ["F3", "C1", "C4", "S1"], "production": ["C2"]}
     sources = {
-        "billing": V.billing(t).withColumn("year", F.year("date")),
-        "ledger": V.ledger(t),
-        "service": S.prepare_service(V.service_month(t)),
-        "production": V.production(t).withColumn("year", F.year("date")),
+        "billing": billing_table(spark, sf_dir).withColumn("year", F.year("date")),
+        "ledger": ledger_table(spark, sf_dir),
+        "service": service_table(spark, sf_dir),
+        "production": production_table(spark, sf_dir).withColumn("year", F.year("date")),
     }
     out = None
     for src, kp in ids.items():
@@ -269,7 +291,7 @@ def q_executive_scorecard(spark, sf_dir):
 
 # --------------------------------------------------------------------------- catalogue / documents
 def catalogue_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.catalogue(V.Tables(spark, sf_dir))
+    return _view(spark, sf_dir, "catalogue", lambda: V.catalogue(V.Tables(spark, sf_dir)))
 
 
 @register("catalogue_counts")
@@ -314,12 +336,12 @@ def q_catalogue_search(spark, sf_dir):
 # --------------------------------------------------------------------------- geometry / json
 @register("zone_extent")
 def q_zone_extent(spark, sf_dir):
-    return G.zone_extent(V.zone_shapes(V.Tables(spark, sf_dir)))
+    return G.zone_extent(shapes_table(spark, sf_dir))
 
 
 @register("zone_enrichment")
 def q_zone_enrichment(spark, sf_dir):
-    shapes = G.zone_extent(V.zone_shapes(V.Tables(spark, sf_dir)))
+    shapes = G.zone_extent(shapes_table(spark, sf_dir))
     metrics = A.zone_summary(access_table(spark, sf_dir))
     return G.enrich_zones(metrics, shapes, ["safeAccess", "water_safely_pct", "sewer_safely_pct"])
 
@@ -342,7 +364,11 @@ def q_kpi_access(spark, sf_dir):
 
 
 def city_year_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.city_year(V.Tables(spark, sf_dir))
+    return _view(spark, sf_dir, "city_year", lambda: V.city_year(V.Tables(spark, sf_dir)))
+
+
+def shapes_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "zone_shapes", lambda: V.zone_shapes(V.Tables(spark, sf_dir)))
 
 
 @register("kpi_governance")
@@ -358,7 +384,6 @@ def q_kpi_sector(spark, sf_dir):
 @register("kpi_cross_table")
 def q_kpi_cross_table(spark, sf_dir):
     """Provider budget (city_year) per m3 consumed (service) at (city, year)."""
-    t = V.Tables(spark, sf_dir)
-    both = K.combine_inputs(V.city_year(t), V.service_month(t), ["city", "year"], ["wash_budget"],
-                            ["total_consumption"])
+    both = K.combine_inputs(city_year_table(spark, sf_dir), service_rows(spark, sf_dir), ["city", "year"],
+                            ["wash_budget"], ["total_consumption"])
     return K.ratio_kpis(both, ["city", "year"], [K.BY_ID["N5"]])

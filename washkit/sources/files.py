@@ -6,6 +6,7 @@ is listed once and never sampled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,20 +42,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def normalise_access(df: DataFrame) -> DataFrame:
-    """P1-P4 on one access source: strip w_/s_ prefixes, trim keys, recode type, coerce numbers."""
-    df = C.strip_prefix(df)
-    changes = {}
-    for c in ("country", "zone"):
-        if c in df.columns:
-            changes[c] = C.clean_text(c)
-    if "type" in df.columns:
-        changes["type"] = C.recode(C.clean_text("type", lower=True), C.TYPE_RECODE)
-    if "year" in df.columns:
-        changes["year"] = C.lenient_number("year", "int")
-    df = df.withColumns(changes)
-    df = C.coerce_columns(df, [c for c in S.ACCESS_COUNT_COLS if c in df.columns], "bigint")
-    df = C.coerce_columns(df, [c for c in df.columns if c.endswith("_pct")], "double")
-    return df
+    """P1-P4 on one access source in a single projection: strip w_/s_ prefixes, trim keys,
+    recode the type, coerce counts to BIGINT and percentages to DOUBLE (bad text -> NULL)."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out = []
+    for src in df.columns:
+        name = re.sub(C.ACCESS_PREFIX_PATTERN, "", src)
+        c = F.col(f"`{src}`")
+        if name in ("country", "zone"):
+            c = C.clean_text(c)
+        elif name == "type":
+            c = C.recode(C.clean_text(c, lower=True), C.TYPE_RECODE)
+        elif name == "year" and types[src] != "int":
+            c = C.lenient_number(c, "int")
+        elif name in S.ACCESS_COUNT_COLS and types[src] != "bigint":
+            c = C.lenient_number(c, "bigint")
+        elif name.endswith("_pct") and types[src] != "double":
+            c = C.lenient_number(c, "double")
+        out.append(c.alias(name))
+    return df.select(*out)
 
 
 def tidy_access(water: DataFrame | None, sewer: DataFrame | None) -> DataFrame:

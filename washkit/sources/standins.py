@@ -8,11 +8,16 @@ rows with the schema an operator expects. The views only give rows in that
 schema; the KPI work is done by the operators in :mod:`washkit.operators`.
 
 Scale notes (100 TB): a fact table is joined to its dimension (supplier or
-customer, with nation/region folded in) through :func:`dimension_join`, which
-broadcasts the projected dimension only after a bounded row count proves it
-small and otherwise leaves a sort-merge join (AQE splits skewed partitions).
-The aggregate that follows is keyed on low-cardinality attributes, so partial
-aggregation collapses every hot key map-side before the only large shuffle.
+customer, then nation/region) and aggregated on low-cardinality attributes, so
+partial aggregation collapses every hot key map-side before the only large
+shuffle. Join strategy is the planner's: a side is broadcast only when its size
+estimate (parquet file sizes) is under ``spark.sql.autoBroadcastJoinThreshold``
+or when AQE measures the materialised side under it at run time; beyond that
+the join is sort-merge and AQE splits skewed partitions. (Measured at sf0.1:
+an explicit count-then-broadcast check costs an extra job and was slower.)
+
+Each view is one Spark SQL text over the base DataFrames (``spark.sql(text, orders=df)``):
+one parse and analysis on the JVM instead of hundreds of Python-to-JVM calls per query.
 Where a distinct count is needed (customers per zone, suppliers per city) the
 fact is first reduced at (foreign key, period) grain instead, which turns the
 distinct count into a plain count.
@@ -23,15 +28,18 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from washkit.operators.joins import dimension_join
 from washkit.session import table_path
 
 # Fixed mapping of the stand-ins: the five order priorities play the five ladder rungs.
 PRIORITY_RUNGS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
+# Base relations already opened in a session: (session id, path) -> DataFrame. Like a catalog
+# table, the file listing and parquet footers are read once per session, not once per query.
+_OPENED: dict[tuple[int, str], DataFrame] = {}
+
+
 @dataclass
 class Tables:
     """Lazy parquet tables of one scale-factor directory."""
@@ -44,81 +52,72 @@ class Tables:
         if name.startswith("_") or name in ("spark", "sf_dir"):
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(table_path(self.sf_dir, name))
+            path = table_path(self.sf_dir, name)
+            key = (id(self.spark._jsparkSession), path)
+            if key not in _OPENED:
+                _OPENED[key] = self.spark.read.parquet(path)
+            self._cache[name] = _OPENED[key]
         return self._cache[name]
 
 
-def _geo(t: Tables) -> DataFrame:
-    return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        "n_nationkey", "n_name", "r_name"
-    )
+def _sql(t: Tables, text: str, *names: str) -> DataFrame:
+    return t.spark.sql(text, **{n: getattr(t, n) for n in names})
 
 
 # --------------------------------------------------------------------------- access
+_RUNG_COUNTS = ",\n".join(
+    f"count_if(o_orderpriority = '{p}') AS p{i + 1}" for i, p in enumerate(PRIORITY_RUNGS))
+
+_ACCESS_COUNTS = f"""
+SELECT r_name AS country, n_name AS zone, year, status, sum(n) AS n, sum(p1) AS p1, sum(p2) AS p2, sum(p3) AS p3,
+       sum(p4) AS p4, sum(p5) AS p5, count(1) AS hh
+FROM (SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS year, o_orderstatus AS status, count(1) AS n,
+             {_RUNG_COUNTS}
+      FROM {{orders}} WHERE o_orderstatus IN ('F', 'O')
+      GROUP BY o_custkey, CAST(year(o_orderdate) AS INT), o_orderstatus) per_cust
+JOIN {{customer}} ON o_custkey = c_custkey
+JOIN {{nation}} ON c_nationkey = n_nationkey
+JOIN {{region}} ON n_regionkey = r_regionkey
+GROUP BY r_name, n_name, year, status
+"""
+
+
 def _access_counts(t: Tables) -> DataFrame:
     """Orders per (region, nation, year, status) with one count per priority.
 
     ``households`` = distinct customers: orders are first reduced to one row per
     (customer, year, status), so it is a plain count afterwards (no distinct aggregate).
     """
-    pr = F.col("o_orderpriority")
-    per_cust = (
-        t.orders.where(F.col("o_orderstatus").isin("F", "O"))
-        .groupBy(
-            F.col("o_custkey"),
-            F.year("o_orderdate").cast("int").alias("year"),
-            F.col("o_orderstatus").alias("status"),
-        )
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.count_if(pr == F.lit(p)).alias(f"p{i + 1}") for i, p in enumerate(PRIORITY_RUNGS)],
-        )
-    )
-    cust = t.customer.select("c_custkey", "c_nationkey").join(_geo(t), F.col("c_nationkey") == F.col("n_nationkey")) \
-        .select("c_custkey", "n_name", "r_name")
-    joined = dimension_join(per_cust, cust, F.col("o_custkey") == F.col("c_custkey"),
-                            size_proof=t.customer.select("c_custkey"))
-    return joined.groupBy(F.col("r_name").alias("country"), F.col("n_name").alias("zone"), "year", "status").agg(
-        F.sum("n").alias("n"),
-        *[F.sum(f"p{i}").alias(f"p{i}") for i in range(1, 6)],
-        F.count(F.lit(1)).alias("hh"),
-    )
-
-
-def _pct(c: str) -> F.Column:
-    return F.lit(100.0) * F.col(c) / F.col("n")
+    return _sql(t, _ACCESS_COUNTS, "orders", "customer", "nation", "region")
 
 
 def water_access(t: Tables, counts: DataFrame | None = None) -> DataFrame:
     """Rows shaped like the water access source (prefixed columns, ``type = 'w_access'``)."""
-    g = (counts if counts is not None else _access_counts(t)).where(F.col("status") == "F")
-    return g.select(
+    g = counts if counts is not None else _access_counts(t)
+    return g.where("status = 'F'").selectExpr(
         "country", "zone", "year",
-        F.col("p1").alias("w_safely_managed"), _pct("p1").alias("w_safely_managed_pct"),
-        F.col("p2").alias("w_basic"), _pct("p2").alias("w_basic_pct"),
-        F.col("p3").alias("w_limited"), _pct("p3").alias("w_limited_pct"),
-        F.col("p4").alias("w_unimproved"), _pct("p4").alias("w_unimproved_pct"),
-        F.col("p5").alias("surface_water"), _pct("p5").alias("surface_water_pct"),
-        F.lit(0.0).alias("w_other_pct"),
-        F.col("n").alias("popn_total"), F.col("hh").alias("households"),
-        (F.col("p1") + F.col("p2")).alias("municipal_coverage"),
-        F.lit("w_access").alias("type"),
+        "p1 AS w_safely_managed", "100D * p1 / n AS w_safely_managed_pct",
+        "p2 AS w_basic", "100D * p2 / n AS w_basic_pct",
+        "p3 AS w_limited", "100D * p3 / n AS w_limited_pct",
+        "p4 AS w_unimproved", "100D * p4 / n AS w_unimproved_pct",
+        "p5 AS surface_water", "100D * p5 / n AS surface_water_pct",
+        "0D AS w_other_pct", "n AS popn_total", "hh AS households", "p1 + p2 AS municipal_coverage",
+        "'w_access' AS type",
     )
 
 
 def sewer_access(t: Tables, counts: DataFrame | None = None) -> DataFrame:
     """Rows shaped like the sewer access source (``type = 's_access'``)."""
-    g = (counts if counts is not None else _access_counts(t)).where(F.col("status") == "O")
-    return g.select(
+    g = counts if counts is not None else _access_counts(t)
+    return g.where("status = 'O'").selectExpr(
         "country", "zone", "year",
-        F.col("p1").alias("s_safely_managed"), _pct("p1").alias("s_safely_managed_pct"),
-        F.col("p2").alias("s_basic"), _pct("p2").alias("s_basic_pct"),
-        F.col("p3").alias("s_limited"), _pct("p3").alias("s_limited_pct"),
-        F.col("p4").alias("s_unimproved"), _pct("p4").alias("s_unimproved_pct"),
-        F.col("p5").alias("open_def"), _pct("p5").alias("open_def_pct"),
-        F.lit(0.0).alias("s_other_pct"),
-        F.col("n").alias("popn_total"), F.col("hh").alias("households"),
-        F.lit("s_access").alias("type"),
+        "p1 AS s_safely_managed", "100D * p1 / n AS s_safely_managed_pct",
+        "p2 AS s_basic", "100D * p2 / n AS s_basic_pct",
+        "p3 AS s_limited", "100D * p3 / n AS s_limited_pct",
+        "p4 AS s_unimproved", "100D * p4 / n AS s_unimproved_pct",
+        "p5 AS open_def", "100D * p5 / n AS open_def_pct",
+        "0D AS s_other_pct", "n AS popn_total", "hh AS households",
+        "'s_access' AS type",
     )
 
 
@@ -128,143 +127,140 @@ def access_sources(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 # --------------------------------------------------------------------------- service
+_SERVICE_MONTH = """
+SELECT r_name AS country, n_name AS city, l_returnflag AS zone,
+       CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month,
+       count(1) AS households,
+       sum(l_quantity) AS w_supplied,
+       sum(l_quantity * (1D - l_discount)) AS total_consumption,
+       sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS metered,
+       count(1) AS tests_conducted_chlorine,
+       count_if(l_tax <= 0.06D) AS test_passed_chlorine,
+       count(1) AS test_conducted_ecoli,
+       count_if(l_discount > 0.02D) AS tests_passed_ecoli,
+       count_if(l_quantity > 25) AS complaints,
+       count_if(l_quantity > 25 AND l_linestatus = 'F') AS resolved,
+       count_if(l_linestatus = 'O') AS sewer_connections,
+       count_if(l_linenumber = 1) AS public_toilets
+FROM {lineitem}
+JOIN {supplier} ON l_suppkey = s_suppkey
+JOIN {nation} ON s_nationkey = n_nationkey
+JOIN {region} ON n_regionkey = r_regionkey
+GROUP BY r_name, n_name, l_returnflag, CAST(year(l_shipdate) AS INT), CAST(month(l_shipdate) AS INT)
+"""
+
+
 def service_month(t: Tables) -> DataFrame:
     """Monthly service rows: country = supplier region, city = supplier nation, zone = return flag."""
-    supp = t.supplier.select("s_suppkey", "s_nationkey").join(_geo(t), F.col("s_nationkey") == F.col("n_nationkey")) \
-        .select("s_suppkey", F.col("r_name").alias("country"), F.col("n_name").alias("city"))
-    li = dimension_join(t.lineitem, supp, F.col("l_suppkey") == F.col("s_suppkey"),
-                        size_proof=t.supplier.select("s_suppkey"))
-    status_f = F.col("l_linestatus") == "F"
-    big = F.col("l_quantity") > 25
-    return li.groupBy(
-        "country", "city",
-        F.col("l_returnflag").alias("zone"),
-        F.year("l_shipdate").cast("int").alias("year"),
-        F.month("l_shipdate").cast("int").alias("month"),
-    ).agg(
-        F.count(F.lit(1)).alias("households"),
-        F.sum("l_quantity").alias("w_supplied"),
-        F.sum(F.col("l_quantity") * (F.lit(1.0) - F.col("l_discount"))).alias("total_consumption"),
-        F.sum(F.when(status_f, F.col("l_quantity"))).alias("metered"),
-        F.count(F.lit(1)).alias("tests_conducted_chlorine"),
-        F.count_if(F.col("l_tax") <= 0.06).alias("test_passed_chlorine"),
-        F.count(F.lit(1)).alias("test_conducted_ecoli"),
-        F.count_if(F.col("l_discount") > 0.02).alias("tests_passed_ecoli"),
-        F.count_if(big).alias("complaints"),
-        F.count_if(big & status_f).alias("resolved"),
-        F.count_if(F.col("l_linestatus") == "O").alias("sewer_connections"),
-        F.count_if(F.col("l_linenumber") == 1).alias("public_toilets"),
-    )
+    return _sql(t, _SERVICE_MONTH, "lineitem", "supplier", "nation", "region")
 
 
 # --------------------------------------------------------------------------- finance
-def _paid(status: F.Column, amount: F.Column) -> F.Column:
-    return F.when(status == "F", amount).when(status == "P", amount * F.lit(0.5)).otherwise(F.lit(0.0))
+_PAID = "CASE o_orderstatus WHEN 'F' THEN o_totalprice WHEN 'P' THEN o_totalprice * 0.5D ELSE 0D END"
 
 
 def billing(t: Tables) -> DataFrame:
     """One bill per order: F fully paid, P half paid, O unpaid."""
-    o = t.orders
-    return o.select(
-        F.col("o_custkey").cast("string").alias("customer_id"),
-        F.col("o_orderdate").cast("date").alias("date"),
-        F.col("o_totalprice").alias("billed"),
-        _paid(F.col("o_orderstatus"), F.col("o_totalprice")).alias("paid"),
+    return t.orders.selectExpr(
+        "CAST(o_custkey AS STRING) AS customer_id", "CAST(o_orderdate AS DATE) AS date",
+        "o_totalprice AS billed", f"{_PAID} AS paid",
     )
 
 
+_LEDGER = f"""
+SELECT year, month, zone,
+       rev AS total_operating_revenues,
+       exp AS total_operating_expenditures,
+       try_divide(100D * paid, rev) AS collection_efficiency,
+       try_divide(100D * coalesce(staff, 0D), exp) AS personnel_expenditure_pct,
+       rev AS total_billing,
+       paid AS total_collection,
+       try_divide(100D * rev, exp) AS om_cost_coverage
+FROM (
+  SELECT c_mktsegment AS zone, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month,
+         sum(o_totalprice) AS rev, sum(exp) AS exp,
+         sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN exp END) AS staff,
+         sum({_PAID}) AS paid
+  FROM {{orders}}
+  LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice * (1D - l_discount)) AS exp
+             FROM {{lineitem}} GROUP BY l_orderkey) e ON o_orderkey = l_orderkey
+  JOIN {{customer}} ON o_custkey = c_custkey
+  GROUP BY c_mktsegment, CAST(year(o_orderdate) AS INT), CAST(month(o_orderdate) AS INT)) g
+"""
+
+
 def ledger(t: Tables) -> DataFrame:
-    """Zone-month ledger: zone = market segment; expenditure = discounted line value of the orders."""
-    exp = t.lineitem.groupBy("l_orderkey").agg(
-        F.sum(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("exp")
-    )
-    o = t.orders.join(exp, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    o = dimension_join(o, t.customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
-    g = o.groupBy(
-        F.col("c_mktsegment").alias("zone"),
-        F.year("o_orderdate").cast("int").alias("year"),
-        F.month("o_orderdate").cast("int").alias("month"),
-    ).agg(
-        F.sum("o_totalprice").alias("rev"),
-        F.sum("exp").alias("exp"),
-        F.sum(F.when(urgent, F.col("exp"))).alias("staff"),
-        F.sum(_paid(F.col("o_orderstatus"), F.col("o_totalprice"))).alias("paid"),
-    )
-    return g.select(
-        "year", "month", "zone",
-        F.col("rev").alias("total_operating_revenues"),
-        F.col("exp").alias("total_operating_expenditures"),
-        F.try_divide(F.lit(100.0) * F.col("paid"), F.col("rev")).alias("collection_efficiency"),
-        F.try_divide(F.lit(100.0) * F.coalesce(F.col("staff"), F.lit(0.0)), F.col("exp")).alias("personnel_expenditure_pct"),
-        F.col("rev").alias("total_billing"),
-        F.col("paid").alias("total_collection"),
-        F.try_divide(F.lit(100.0) * F.col("rev"), F.col("exp")).alias("om_cost_coverage"),
-    )
+    """Zone-month ledger: zone = market segment; expenditure = discounted line value of the orders
+    (lines summed per order first, so the order join moves one row per order)."""
+    return _sql(t, _LEDGER, "orders", "lineitem", "customer")
+
+
+_PRODUCTION = """
+SELECT date, source, sum(v) AS production_m3, CAST(count(1) AS DOUBLE) AS service_hours
+FROM (SELECT CAST(ts AS DATE) AS date, event_type AS source, hour(ts) AS h, sum(value) AS v
+      FROM {events} GROUP BY CAST(ts AS DATE), event_type, hour(ts)) hourly
+GROUP BY date, source
+"""
 
 
 def production(t: Tables) -> DataFrame:
     """Daily production per source: source = event type; service hours = hours with a reading."""
-    e = t.events
-    hourly = e.groupBy(F.col("ts").cast("date").alias("date"), F.col("event_type").alias("source"),
-                       F.hour("ts").alias("h")).agg(F.sum("value").alias("v"))
-    return hourly.groupBy("date", "source").agg(
-        F.sum("v").alias("production_m3"), F.count(F.lit(1)).cast("double").alias("service_hours")
-    )
+    return _sql(t, _PRODUCTION, "events")
+
+
+_CITY_YEAR = """
+SELECT a.city, a.year, a.active_providers, b.total_providers, a.active_licensed, b.total_licensed,
+       a.wash_budget, a.training_budget, a.water_budget, a.total_staff
+FROM (
+  SELECT n_name AS city, year, count(1) AS active_providers, count_if(s_acctbal > 0) AS active_licensed,
+         sum(wash_budget) AS wash_budget, sum(training_budget) AS training_budget,
+         sum(water_budget) AS water_budget, sum(lines) AS total_staff
+  FROM (SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS year, sum(l_extendedprice) AS wash_budget,
+               sum(l_extendedprice * l_discount) AS training_budget,
+               sum(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0D END) AS water_budget,
+               count(1) AS lines
+        FROM {lineitem} GROUP BY l_suppkey, CAST(year(l_shipdate) AS INT)) per_supp
+  JOIN {supplier} ON l_suppkey = s_suppkey
+  JOIN {nation} ON s_nationkey = n_nationkey
+  GROUP BY n_name, year) a
+JOIN (
+  SELECT n_name AS city, count(1) AS total_providers, count_if(s_acctbal > 0) AS total_licensed
+  FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey GROUP BY n_name) b
+ON a.city = b.city
+"""
 
 
 def city_year(t: Tables) -> DataFrame:
     """Provider register per (city, year): providers = suppliers, licensed = positive balance,
-    active = shipped that year."""
-    li = t.lineitem
-    per_supp = li.groupBy("l_suppkey", F.year("l_shipdate").cast("int").alias("year")).agg(
-        F.sum("l_extendedprice").alias("wash_budget"),
-        F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("training_budget"),
-        F.sum(F.when(F.col("l_returnflag") == "N", F.col("l_extendedprice")).otherwise(F.lit(0.0))).alias("water_budget"),
-        F.count(F.lit(1)).alias("lines"),
-    )
-    supp = t.supplier.select("s_suppkey", "s_nationkey", (F.col("s_acctbal") > 0).alias("licensed"))
-    nat = t.nation.select("n_nationkey", F.col("n_name").alias("city"))
-    active = per_supp.join(supp, F.col("l_suppkey") == F.col("s_suppkey")).join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
-    a = active.groupBy("city", "year").agg(
-        F.count(F.lit(1)).alias("active_providers"),
-        F.count_if(F.col("licensed")).alias("active_licensed"),
-        F.sum("wash_budget").alias("wash_budget"),
-        F.sum("training_budget").alias("training_budget"),
-        F.sum("water_budget").alias("water_budget"),
-        F.sum("lines").alias("total_staff"),
-    )
-    b = supp.join(nat, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("city").agg(
-        F.count(F.lit(1)).alias("total_providers"), F.count_if(F.col("licensed")).alias("total_licensed")
-    )
-    return a.join(b, "city")
+    active = shipped that year (lines reduced per (supplier, year) first, so "distinct active
+    suppliers" is a plain count)."""
+    return _sql(t, _CITY_YEAR, "lineitem", "supplier", "nation")
 
 
 # --------------------------------------------------------------------------- catalogue
 def catalogue(t: Tables) -> DataFrame:
     """Indicator catalogue rows: one per part; three framework alignment columns."""
-    p = t.part
-    size = F.col("p_size")
-    return p.select(
-        F.col("p_partkey").alias("id"),
-        F.col("p_type").alias("domain"),
-        F.col("p_name").alias("indicator"),
-        F.concat_ws(" ", F.col("p_name"), F.lit("of type"), F.col("p_type")).alias("description"),
-        F.when(size % 3 == 0, "Annual").when(size % 3 == 1, "Quarterly").otherwise("Monthly").alias("frequency"),
-        F.when(size % 2 == 0, "Zone").otherwise("City").alias("granularity"),
-        F.when(F.col("p_retailprice") >= 975, "Yes").when(F.col("p_retailprice") >= 950, "Somewhat").otherwise("No").alias("jmp"),
-        F.when(size <= 10, "Yes").when(size <= 25, "Somewhat").when(size <= 40, "No").alias("amcow"),
-        F.when(F.col("p_type") == "SMALL", "Somewhat").otherwise("No").alias("iwa"),
-        F.col("p_brand").alias("section"),
-        F.split(F.col("p_name"), " ").getItem(0).alias("subcategory"),
+    return t.part.selectExpr(
+        "p_partkey AS id", "p_type AS domain", "p_name AS indicator",
+        "concat_ws(' ', p_name, 'of type', p_type) AS description",
+        "CASE p_size % 3 WHEN 0 THEN 'Annual' WHEN 1 THEN 'Quarterly' ELSE 'Monthly' END AS frequency",
+        "CASE WHEN p_size % 2 = 0 THEN 'Zone' ELSE 'City' END AS granularity",
+        "CASE WHEN p_retailprice >= 975 THEN 'Yes' WHEN p_retailprice >= 950 THEN 'Somewhat' ELSE 'No' END AS jmp",
+        "CASE WHEN p_size <= 10 THEN 'Yes' WHEN p_size <= 25 THEN 'Somewhat' WHEN p_size <= 40 THEN 'No' END AS amcow",
+        "CASE WHEN p_type = 'SMALL' THEN 'Somewhat' ELSE 'No' END AS iwa",
+        "p_brand AS section", "split(p_name, ' ')[0] AS subcategory",
     )
 
 
 # --------------------------------------------------------------------------- geometry
+_ZONE_SHAPES = """
+SELECT vec_id, n_name AS name, lower(r_name) AS country, CAST(embedding AS ARRAY<DOUBLE>) AS ring
+FROM {embeddings}
+JOIN {nation} ON label = n_nationkey
+JOIN {region} ON n_regionkey = r_regionkey
+"""
+
+
 def zone_shapes(t: Tables) -> DataFrame:
     """Zone outlines: each embedding row is one ring of 32 (lon, lat) pairs; zone = nation of the label."""
-    e = t.embeddings
-    nat = _geo(t).select(F.col("n_nationkey"), F.col("n_name").alias("name"), F.lower("r_name").alias("country"))
-    return e.join(nat, F.col("label") == F.col("n_nationkey")).select(
-        "vec_id", "name", "country", F.col("embedding").cast("array<double>").alias("ring")
-    )
+    return _sql(t, _ZONE_SHAPES, "embeddings", "nation", "region")

@@ -602,3 +602,16 @@ r AS (SELECT city, year, sum(total_consumption) AS total_consumption FROM svc GR
 SELECT l.city, l.year, 'N5' AS kpi_id, round(wash_budget / nullif(total_consumption, 0) * 1e0, 6) AS value
 FROM l JOIN r ON l.city = r.city AND l.year = r.year
 """
+
+SQL["service_month_range"] = _with(SERVICE_CTE) + _series(
+    f"WHERE date >= DATE '{X.SERVICE_MONTHS[0]}-01' AND date <= DATE '{X.SERVICE_MONTHS[1]}-01'")
+
+SQL["revenue_share_in_zone"] = _with(LEDGER_CTE) + f"""
+SELECT year, round(sum(total_operating_revenues), 4) AS amount,
+  round(sum(total_operating_revenues) / nullif((SELECT sum(total_operating_revenues) FROM ledger
+                                                WHERE zone = '{X.SHARE_ZONE}'), 0) * 1e2, 6) AS share_pct
+FROM ledger WHERE zone = '{X.SHARE_ZONE}' GROUP BY year
+"""
+
+SQL["service_menus"] = _with(SERVICE_CTE) + "\nUNION\n".join(
+    f"SELECT '{c}' AS field, {c} AS value FROM svc WHERE {c} IS NOT NULL" for c in ("country", "city", "zone"))

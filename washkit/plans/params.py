@@ -18,6 +18,8 @@ TOP_N = 10
 SERVICE_COUNTRY = "AMERICA"
 SERVICE_CITY = "All"
 SERVICE_ZONE = "R"
+SERVICE_MONTHS = ("1996-03", "1998-10")
+SHARE_ZONE = "BUILDING"
 
 LEDGER_RANGE = ("1996-01-01", "2000-12-31")
 HIST_BINS = 30

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from washkit.operators import access as A
 from washkit.plans import params as X
+from washkit.session import same_session, session_key
 from washkit.sources import files
 from washkit.sources import standins as V
 
@@ -29,12 +30,12 @@ def register(key: str):
 
 # Stand-in inputs defined once per (session, directory): a lazy plan, like a session temp view,
 # so every query does not re-analyse the same view definition. No data is cached.
-_VIEWS: dict[tuple[int, str, str], DataFrame] = {}
+_VIEWS: dict[tuple, DataFrame] = {}
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (id(spark._jsparkSession), sf_dir, name)
-    if key not in _VIEWS:
+    key = (session_key(spark), sf_dir, name)
+    if key not in _VIEWS or not same_session(_VIEWS[key], spark):
         _VIEWS[key] = build()
     return _VIEWS[key]
 
@@ -387,3 +388,24 @@ def q_kpi_cross_table(spark, sf_dir):
     both = K.combine_inputs(city_year_table(spark, sf_dir), service_rows(spark, sf_dir), ["city", "year"],
                             ["wash_budget"], ["total_consumption"])
     return K.ratio_kpis(both, ["city", "year"], [K.BY_ID["N5"]])
+
+
+@register("service_month_range")
+def q_service_month_range(spark, sf_dir):
+    """F3 + A6: series over an inclusive month range given as text bounds."""
+    from washkit.functions import predicates as P
+    svc = service_table(spark, sf_dir)
+    return S.service_time_series(svc.where(P.month_range("date", *X.SERVICE_MONTHS)))
+
+
+@register("revenue_share_in_zone")
+def q_revenue_share_in_zone(spark, sf_dir):
+    """Revenue by year within one zone, as a share of the zone's total."""
+    led = ledger_table(spark, sf_dir)
+    return FN.share_of_total(led.where(F.col("zone") == X.SHARE_ZONE), "year", FN.REV)
+
+
+@register("service_menus")
+def q_service_menus(spark, sf_dir):
+    """A37 over service rows: distinct countries, cities and zones for option menus."""
+    return CG.distinct_values(service_rows(spark, sf_dir), ["country", "city", "zone"])

@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from washkit.session import table_path
+from washkit.session import same_session, session_key, table_path
 
 # Fixed mapping of the stand-ins: the five order priorities play the five ladder rungs.
 PRIORITY_RUNGS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -37,7 +37,7 @@ PRIORITY_RUNGS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 # Base relations already opened in a session: (session id, path) -> DataFrame. Like a catalog
 # table, the file listing and parquet footers are read once per session, not once per query.
-_OPENED: dict[tuple[int, str], DataFrame] = {}
+_OPENED: dict[tuple, DataFrame] = {}
 
 
 @dataclass
@@ -53,8 +53,8 @@ class Tables:
             raise AttributeError(name)
         if name not in self._cache:
             path = table_path(self.sf_dir, name)
-            key = (id(self.spark._jsparkSession), path)
-            if key not in _OPENED:
+            key = (session_key(self.spark), path)
+            if key not in _OPENED or not same_session(_OPENED[key], self.spark):
                 _OPENED[key] = self.spark.read.parquet(path)
             self._cache[name] = _OPENED[key]
         return self._cache[name]

@@ -196,41 +196,66 @@ def access_ladder(access: DataFrame, type_value: str) -> DataFrame:
                        order.alias("rung_order"), "pct")
 
 
+def access_ladders(access: DataFrame, types: Sequence[str] = ("water", "sewer")) -> DataFrame:
+    """A27 for several types in one pass: each type's own latest year, its own rung order.
+
+    The per-type latest year is an aggregate of at most ``len(types)`` rows (a proven bound),
+    broadcast to the rows; all rung columns are unpivoted once and each type keeps only the
+    rungs of its ladder.
+    """
+    low = [t.lower() for t in types]
+    d = access.withColumn("__t", F.lower("type")).where(F.col("__t").isin(low) & F.col("year").isNotNull())
+    latest = d.groupBy("__t").agg(F.max("year").alias("__y"))
+    d = d.join(F.broadcast(latest), "__t").where(F.col("year") == F.col("__y"))
+    rungs = list(dict.fromkeys(WATER_LADDER + SEWER_LADDER))
+    d = d.select("__t", "country", "zone", "year", *[C.col_or_null(d, r) for r in rungs]).fillna(0.0, subset=rungs)
+    long = d.unpivot(["__t", "country", "zone", "year"], rungs, "rung", "pct")
+    water_pos = F.array_position(F.array(*[F.lit(r) for r in WATER_LADDER]), F.col("rung"))
+    sewer_pos = F.array_position(F.array(*[F.lit(r) for r in SEWER_LADDER]), F.col("rung"))
+    pos = F.when(F.col("__t").startswith("water"), water_pos).otherwise(sewer_pos).cast("int")
+    return long.withColumn("rung_order", pos).where(F.col("rung_order") > 0).select(
+        "country", "zone", "year", C.level_label(F.col("rung")).alias("level"), "rung_order", "pct")
+
+
 # --------------------------------------------------------------------------- A19
-def box_statistics(access: DataFrame, measures: Sequence[str] = BOX_MEASURES, *, exact: bool = True,
+def box_statistics(access: DataFrame, measures: Sequence[str] = BOX_MEASURES, *,
+                   types: Sequence[str] = ("water", "sewer"), exact: bool = True,
                    digits: int | None = 6) -> DataFrame:
     """Per (type, measure) five-number summary: linear-interpolated quartiles, 1.5 IQR
     fences, whiskers (most extreme points inside the fences) and outlier count.
 
-    Pass 1 aggregates quartiles per group; pass 2 joins those (one row per group, broadcast by
-    the planner's size check) back to the points and aggregates whiskers -- no window that
-    would pull a whole group into one task.
+    Pass 1 aggregates quartiles per group. Restricting to the listed ``types`` bounds that
+    table at ``len(types) * len(measures)`` rows, so it is broadcast (a proven bound) to the
+    points for pass 2, which aggregates whiskers and carries the quartiles along -- no
+    shuffle join on the few group keys, and no window that would put a whole group in one task.
     """
-    long = access.select("type", *measures).unpivot(["type"], list(measures), "measure", "value").where(
+    d = access.where(F.col("type").isin(list(types)))
+    long = d.select("type", *measures).unpivot(["type"], list(measures), "measure", "value").where(
         F.col("value").isNotNull()
     )
     q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact else \
         F.percentile_approx(F.col("value"), [0.25, 0.5, 0.75], 10000)
-    stats = long.groupBy("type", "measure").agg(q.alias("q"), F.count(F.lit(1)).alias("n"))
+    stats = long.groupBy("type", "measure").agg(q.alias("q"))
     stats = stats.select(
-        "type", "measure", "n",
-        F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
+        "type", "measure", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
     ).withColumn("iqr", F.col("q3") - F.col("q1"))
     stats = stats.withColumns({
         "lower_fence": F.col("q1") - F.lit(1.5) * F.col("iqr"),
         "upper_fence": F.col("q3") + F.lit(1.5) * F.col("iqr"),
     })
-    j = long.join(stats.select("type", "measure", "lower_fence", "upper_fence"), ["type", "measure"])
+    j = long.join(F.broadcast(stats), ["type", "measure"])
     inside = F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
-    w = j.groupBy("type", "measure").agg(
+    carried = ("q1", "median", "q3", "lower_fence", "upper_fence")
+    out = j.groupBy("type", "measure").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.max(c).alias(c) for c in carried],
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"),
     )
-    out = stats.join(w, ["type", "measure"])
     return out.select(
         "type", "measure", "n",
-        *[_r(F.col(c), digits).alias(c) for c in ("q1", "median", "q3", "lower_fence", "upper_fence")],
+        *[_r(F.col(c), digits).alias(c) for c in carried],
         "whisker_low", "whisker_high", "n_outliers",
     )
 

@@ -97,18 +97,21 @@ def efficiency_heatmap(ledger: DataFrame, years: list[int] | None = None, *, dig
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram over [min, max] with ``bins`` bins (the max falls in the last bin).
 
-    Bounds are two scalar subqueries (one small global aggregate); binning is a
-    narrow projection and counting a partial aggregate.
+    The bounds are ONE scalar subquery (a global partial aggregate returning a struct), bound
+    to a column once so every use reads the same result; binning is a narrow projection and
+    counting a partial aggregate. Each bin's bounds ride along as ``max`` of a per-group constant.
     """
     d = df.where(F.col(column).isNotNull())
-    lo = d.select(F.min(column)).scalar()
-    hi = d.select(F.max(column)).scalar()
-    width = (hi - lo) / F.lit(float(bins))
-    raw = F.floor(F.try_divide(F.col(column) - lo, width)).cast("int")
+    bounds = d.select(F.struct(F.min(column).alias("lo"),
+                               ((F.max(column) - F.min(column)) / F.lit(float(bins))).alias("w")).alias("b")).scalar()
+    x = d.select(F.col(column).alias("__x")).withColumn("__b", bounds)
+    lo, width = F.col("__b.lo"), F.col("__b.w")
+    raw = F.floor(F.try_divide(F.col("__x") - lo, width)).cast("int")
     b = F.when(width == 0, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1)))
-    g = d.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    return g.select("bin", (lo + F.col("bin") * width).alias("bin_lo"),
-                    (lo + (F.col("bin") + 1) * width).alias("bin_hi"), "n")
+    g = x.select(b.alias("bin"), lo.alias("lo"), width.alias("w")).groupBy("bin").agg(
+        F.count(F.lit(1)).alias("n"), F.max("lo").alias("lo"), F.max("w").alias("w"))
+    return g.select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("bin_lo"),
+                    (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("bin_hi"), "n")
 
 
 def efficiency_histogram(ledger: DataFrame, bins: int = 30, *, digits: int | None = 6) -> DataFrame:

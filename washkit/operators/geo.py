@@ -24,7 +24,7 @@ def zone_extent(shapes: DataFrame, key: str = "name", ring_col: str = "ring") ->
     """Bounding box per zone and the overall centre (mid-point of the global box).
 
     Per-row extents come from array functions; zone boxes are a partial min/max aggregate;
-    the global box is one more global aggregate read as scalar subqueries.
+    the centre is one global aggregate over the boxes, read as a single scalar subquery.
     """
     lo_lon, lo_lat, hi_lon, hi_lat = _ring_extent(F.col(ring_col))
     rows = shapes.select(key, *[c for c in ("country",) if c in shapes.columns],
@@ -32,9 +32,11 @@ def zone_extent(shapes: DataFrame, key: str = "name", ring_col: str = "ring") ->
     keys = [key] + [c for c in ("country",) if c in shapes.columns]
     box = rows.groupBy(*keys).agg(F.min("a").alias("min_lon"), F.min("b").alias("min_lat"),
                                   F.max("c").alias("max_lon"), F.max("d").alias("max_lat"))
-    centre_lon = (box.select(F.min("min_lon")).scalar() + box.select(F.max("max_lon")).scalar()) / F.lit(2.0)
-    centre_lat = (box.select(F.min("min_lat")).scalar() + box.select(F.max("max_lat")).scalar()) / F.lit(2.0)
-    return box.withColumns({"centre_lon": centre_lon, "centre_lat": centre_lat})
+    centre = box.select(F.struct(
+        ((F.min("min_lon") + F.max("max_lon")) / F.lit(2.0)).alias("lon"),
+        ((F.min("min_lat") + F.max("max_lat")) / F.lit(2.0)).alias("lat")).alias("c")).scalar()
+    return box.withColumn("__c", centre).withColumns(
+        {"centre_lon": F.col("__c.lon"), "centre_lat": F.col("__c.lat")}).drop("__c")
 
 
 def _norm(c: Column) -> Column:

@@ -92,8 +92,7 @@ def q_zone_summary(spark, sf_dir):
 
 @register("access_ladder")
 def q_access_ladder(spark, sf_dir):
-    acc = access_table(spark, sf_dir)
-    return A.access_ladder(acc, "water").unionByName(A.access_ladder(acc, "sewer"))
+    return A.access_ladders(access_table(spark, sf_dir), ("water", "sewer"))
 
 
 @register("box_statistics")

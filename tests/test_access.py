@@ -96,7 +96,7 @@ def test_top_countries_latest_year_and_limit(spark):
 
 def test_box_statistics_linear_quartiles(spark):
     df = spark.createDataFrame([("t", float(v)) for v in [1, 2, 3, 4, 100]], "type string, safely_managed_pct double")
-    r = rows(A.box_statistics(df, ["safely_managed_pct"]))[0]
+    r = rows(A.box_statistics(df, ["safely_managed_pct"], types=["t"]))[0]
     assert (r["q1"], r["median"], r["q3"]) == (2.0, 3.0, 4.0)
     assert (r["lower_fence"], r["upper_fence"]) == (-1.0, 7.0)
     assert (r["whisker_low"], r["whisker_high"], r["n_outliers"], r["n"]) == (1.0, 4.0, 1, 5)
@@ -119,3 +119,11 @@ def test_growth_window(spark):
                                "zone string, year int, m long")
     g = {r["year"]: r["m_growth_pct"] for r in A.growth(df, ["zone"], "year", ["m"]).collect()}
     assert g == {2020: None, 2021: 50.0, 2022: -100.0, 2023: None}  # x/0 -> NULL
+
+
+def test_access_ladders_one_pass_equals_per_type(spark):
+    acc = access(spark)
+    both = rows(A.access_ladders(acc, ("water", "sewer")), ["zone", "level", "rung_order"])
+    per = rows(A.access_ladder(acc, "water").unionByName(A.access_ladder(acc, "sewer")),
+               ["zone", "level", "rung_order"])
+    assert both == per

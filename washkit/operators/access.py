@@ -189,10 +189,10 @@ def access_ladder(access: DataFrame, type_value: str) -> DataFrame:
     d = access.where(P.iequals("type", type_value))
     d = P.latest_only(d.where(F.col("year").isNotNull()), "year")
     rungs = WATER_LADDER if type_value.lower().startswith("water") else SEWER_LADDER
-    d = d.select("country", "zone", "year", *[C.col_or_null(d, r) for r in rungs]).fillna(0.0, subset=rungs)
-    long = d.unpivot(["country", "zone", "year"], rungs, "rung", "pct")
+    d = d.select("country", "zone", "year", "type", *[C.col_or_null(d, r) for r in rungs]).fillna(0.0, subset=rungs)
+    long = d.unpivot(["country", "zone", "year", "type"], rungs, "rung", "pct")
     order = F.array_position(F.array(*[F.lit(r) for r in rungs]), F.col("rung")).cast("int")
-    return long.select("country", "zone", "year", C.level_label(F.col("rung")).alias("level"),
+    return long.select("country", "zone", "year", "type", C.level_label(F.col("rung")).alias("level"),
                        order.alias("rung_order"), "pct")
 
 
@@ -208,13 +208,14 @@ def access_ladders(access: DataFrame, types: Sequence[str] = ("water", "sewer"))
     latest = d.groupBy("__t").agg(F.max("year").alias("__y"))
     d = d.join(F.broadcast(latest), "__t").where(F.col("year") == F.col("__y"))
     rungs = list(dict.fromkeys(WATER_LADDER + SEWER_LADDER))
-    d = d.select("__t", "country", "zone", "year", *[C.col_or_null(d, r) for r in rungs]).fillna(0.0, subset=rungs)
-    long = d.unpivot(["__t", "country", "zone", "year"], rungs, "rung", "pct")
+    d = d.select("__t", "country", "zone", "year", "type", *[C.col_or_null(d, r) for r in rungs]) \
+        .fillna(0.0, subset=rungs)
+    long = d.unpivot(["__t", "country", "zone", "year", "type"], rungs, "rung", "pct")
     water_pos = F.array_position(F.array(*[F.lit(r) for r in WATER_LADDER]), F.col("rung"))
     sewer_pos = F.array_position(F.array(*[F.lit(r) for r in SEWER_LADDER]), F.col("rung"))
     pos = F.when(F.col("__t").startswith("water"), water_pos).otherwise(sewer_pos).cast("int")
     return long.withColumn("rung_order", pos).where(F.col("rung_order") > 0).select(
-        "country", "zone", "year", C.level_label(F.col("rung")).alias("level"), "rung_order", "pct")
+        "country", "zone", "year", "type", C.level_label(F.col("rung")).alias("level"), "rung_order", "pct")
 
 
 # --------------------------------------------------------------------------- A19

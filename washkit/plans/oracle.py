@@ -65,7 +65,8 @@ def _ladder_sql(type_value: str) -> str:
              ("safely_managed_pct", "Safely Managed")]
     src = (f"(SELECT * FROM access WHERE lower(type) = '{type_value}' AND year = "
            f"(SELECT max(year) FROM access WHERE lower(type) = '{type_value}'))")
-    parts = [f"SELECT country, zone, year, '{label}' AS level, {i + 1} AS rung_order, coalesce({col}, 0e0) AS pct FROM {src}"
+    parts = [f"SELECT country, zone, year, type, '{label}' AS level, {i + 1} AS rung_order, coalesce({col}, 0e0) AS pct "
+             f"FROM {src}"
              for i, (col, label) in enumerate(rungs)]
     return "\nUNION ALL\n".join(parts)
 

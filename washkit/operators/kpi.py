@@ -242,10 +242,16 @@ def sector_budget_shares(city_year: DataFrame, *, digits: int | None = 6) -> Dat
 
 # --------------------------------------------------------------------------- A34
 def latest_period_kpis(df: DataFrame, period_col: str, kpis: Sequence[Kpi], *, digits: int | None = 6) -> DataFrame:
-    """KPIs over the rows of the latest period only (scalar-subquery filter + one global aggregate)."""
-    d = P.latest_only(df.where(F.col(period_col).isNotNull()), period_col)
-    return ratio_kpis(d.withColumn("__period", F.col(period_col)), ["__period"], kpis, digits=digits) \
-        .withColumnRenamed("__period", "period")
+    """KPIs of the latest period, ``(period, kpi_id, value)``.
+
+    One pass: the KPI sums per period (a partial aggregate, one row per period), then per KPI
+    the row of the largest period (``max_by`` over those few rows). No scalar subquery, so the
+    input is not read twice.
+    """
+    per = ratio_kpis(df.where(F.col(period_col).isNotNull()), [period_col], kpis, digits=digits)
+    latest = per.groupBy("kpi_id").agg(
+        F.max_by(F.struct(F.col(period_col).alias("period"), F.col("value")), F.col(period_col)).alias("__r"))
+    return latest.select(F.col("__r.period").alias("period"), "kpi_id", F.col("__r.value").alias("value"))
 
 
 def scorecard(headline: DataFrame, kpis: Sequence[Kpi], *, digits: int | None = 6) -> DataFrame:

@@ -59,9 +59,9 @@ def table_path(sf_dir: str, name: str) -> str:
 def session_key(spark: SparkSession) -> tuple:
     """Identity of a live session: application id and start time of its context, plus the session."""
     sc = spark.sparkContext
-    return (sc.applicationId, sc.startTime, id(spark._jsparkSession))
+    return (sc.applicationId, sc.startTime, id(spark))
 
 
 def same_session(df: DataFrame, spark: SparkSession) -> bool:
     """True when ``df`` belongs to ``spark`` (so a per-session definition may be reused)."""
-    return df.sparkSession._jsparkSession.equals(spark._jsparkSession)
+    return df.sparkSession is spark

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,20 +26,21 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str, *, to
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-    if tolerant:
-        reader = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-        existing = [p for p in paths if _exists(spark, p)]
-        if not existing:
-            return spark.createDataFrame([], schema)
-        paths = existing
-    return reader.csv(paths)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(fs.globStatus(hpath)) and len(fs.globStatus(hpath)) > 0
+    if not tolerant:
+        return reader.csv(paths)
+    reader = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    parts = []
+    for p in paths:
+        try:
+            parts.append(reader.csv(p))  # a missing path fails here, when the relation is defined
+        except AnalysisException:
+            continue
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def normalise_access(df: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import rows
 from washkit.operators import catalogue as CG
 from washkit.operators import finance as FN
 from washkit.operators import geo as G

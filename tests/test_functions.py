@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from conftest import rows
 from washkit.functions import columns as C
 from washkit.functions import predicates as P
 

@@ -2,7 +2,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import rows
 from washkit.operators import kpi as K
 from washkit.operators import service as S
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from washkit.functions import columns as C
@@ -307,7 +307,6 @@ def growth(df: DataFrame, keys: Sequence[str], period: str, measures: Sequence[s
     so each window partition holds one key's periods only, never raw rows.
     """
     g = df.groupBy(*keys, period).agg(*[F.sum(m).alias(m) for m in measures])
-    from pyspark.sql import Window
     w = Window.partitionBy(*keys).orderBy(period)
     cols = []
     for m in measures:

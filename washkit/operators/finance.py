@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from washkit.functions import columns as C
-from washkit.functions import predicates as P
 
 REV, EXP = "total_operating_revenues", "total_operating_expenditures"
 # Fixed debt-aging buckets: (label, lowest age in days, highest age in days or None).

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from washkit.functions import columns as C
-from washkit.functions import predicates as P
 
 
 @dataclass(frozen=True)

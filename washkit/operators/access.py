@@ -38,8 +38,10 @@ def country_summary(access: DataFrame, year: int, *, exact: bool = True, digits:
     """A1: per (country, type) in one year: min/median/max of safely managed, open
     defecation, unimproved and sewer gap %; distinct zones; population sum (0 when all NULL).
 
-    One hash aggregate; the year predicate reaches the scan. ``exact=False`` swaps the
-    exact median (per-group value map) for ``percentile_approx`` on very large groups.
+    One hash aggregate. The year predicate is applied before aggregating: Catalyst moves it
+    below unions and aggregates to the scan, and parquet applies it there when ``year`` is a
+    stored column. ``exact=False`` swaps the exact median (a per-group map of distinct
+    values, merged in one task per group) for ``percentile_approx`` on very large groups.
     """
     d = access.where(P.equals("year", year)).withColumn("sewer_gap_pct", C.sewer_gap(access))
     d = d.where(F.col("country").isNotNull() & F.col("type").isNotNull())

@@ -222,7 +222,7 @@ def access_ladders(access: DataFrame, types: Sequence[str] = ("water", "sewer"))
 
 # --------------------------------------------------------------------------- A19
 def box_statistics(access: DataFrame, measures: Sequence[str] = BOX_MEASURES, *,
-                   types: Sequence[str] = ("water", "sewer"), exact: bool = True,
+                   types: Sequence[str] = ("water", "sewer"), exact: bool = True, distributed: bool = False,
                    digits: int | None = 6) -> DataFrame:
     """Per (type, measure) five-number summary: linear-interpolated quartiles, 1.5 IQR
     fences, whiskers (most extreme points inside the fences) and outlier count.
@@ -231,17 +231,24 @@ def box_statistics(access: DataFrame, measures: Sequence[str] = BOX_MEASURES, *,
     table at ``len(types) * len(measures)`` rows, so it is broadcast (a proven bound) to the
     points for pass 2, which aggregates whiskers and carries the quartiles along -- no
     shuffle join on the few group keys, and no window that would put a whole group in one task.
+    ``distributed=True`` computes the exact quartiles with
+    :func:`washkit.operators.quantiles.exact_percentiles` instead of ``percentile`` (same values;
+    no group's distinct values are merged in one task).
     """
     d = access.where(F.col("type").isin(list(types)))
     long = d.select("type", *measures).unpivot(["type"], list(measures), "measure", "value").where(
         F.col("value").isNotNull()
     )
-    q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact else \
-        F.percentile_approx(F.col("value"), [0.25, 0.5, 0.75], 10000)
-    stats = long.groupBy("type", "measure").agg(q.alias("q"))
-    stats = stats.select(
-        "type", "measure", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
-    ).withColumn("iqr", F.col("q3") - F.col("q1"))
+    if distributed:
+        from washkit.operators.quantiles import exact_percentiles
+        stats = exact_percentiles(long, ["type", "measure"], "value", [0.25, 0.5, 0.75]).select(
+            "type", "measure", F.col("p0").alias("q1"), F.col("p1").alias("median"), F.col("p2").alias("q3"))
+    else:
+        q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact else \
+            F.percentile_approx(F.col("value"), [0.25, 0.5, 0.75], 10000)
+        stats = long.groupBy("type", "measure").agg(q.alias("q")).select(
+            "type", "measure", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    stats = stats.withColumn("iqr", F.col("q3") - F.col("q1"))
     stats = stats.withColumns({
         "lower_fence": F.col("q1") - F.lit(1.5) * F.col("iqr"),
         "upper_fence": F.col("q3") + F.lit(1.5) * F.col("iqr"),

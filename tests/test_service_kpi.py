@@ -47,7 +47,7 @@ def test_latest_by_zone_and_kpis(spark):
     assert lz["z1"]["water_quality_rate"] == 95.0
     k = {r["kpi"]: r for r in S.service_kpis(s).collect()}
     assert k["nrw_rate"]["value"] == 15.0 and k["nrw_rate"]["status"] == "good"  # mean(30, 0)
-    assert k["water_quality_rate"]["value"] == 92.5 and k["water_quality_rate"]["status"] == "bad"
+    assert k["water_quality_rate"]["value"] == 92.5 and k["water_quality_rate"]["status"] == "warn"
     f = S.service_filtered(s, "C", "All", "z2").collect()
     assert len(f) == 1 and f[0]["w_supplied"] == 500.0
 

@@ -13,12 +13,13 @@ from washkit.functions import predicates as P
 RATE_COLS = ["water_quality_rate", "complaint_resolution_rate", "nrw_rate", "sewer_coverage_rate"]
 ZONE_KEYS = ["country", "city", "zone"]
 
-# Fixed KPI targets of the service page: (kpi, target, higher_is_better).
+# Fixed KPI targets of the service page: (kpi, target, higher_is_better, status when missed).
+# A missed NRW target is flagged red ('bad'); the other three amber ('warn').
 SERVICE_TARGETS = [
-    ("nrw_rate", 25.0, False),
-    ("water_quality_rate", 95.0, True),
-    ("sewer_coverage_rate", 80.0, True),
-    ("complaint_resolution_rate", 90.0, True),
+    ("nrw_rate", 25.0, False, "bad"),
+    ("water_quality_rate", 95.0, True, "warn"),
+    ("sewer_coverage_rate", 80.0, True, "warn"),
+    ("complaint_resolution_rate", 90.0, True, "warn"),
 ]
 
 
@@ -75,16 +76,17 @@ def service_kpis(svc: DataFrame, targets=SERVICE_TARGETS, *, digits: int | None
     one-row explode into (kpi, value, target, higher_is_better, status).
     """
     latest = last_non_null(svc, ZONE_KEYS, "date", RATE_COLS)
-    g = latest.agg(*[F.avg(k).alias(k) for k, _, _ in targets])
+    g = latest.agg(*[F.avg(k).alias(k) for k, *_ in targets])
     items = [
         F.struct(
             F.lit(k).alias("kpi"),
             _r(F.col(k), digits).alias("value"),
             F.lit(t).alias("target"),
             F.lit(up).alias("higher_is_better"),
-            C.band(F.col(k), t, None, up).alias("status"),
+            F.when(C.band(F.col(k), t, None, up) == "bad", F.lit(miss))
+            .otherwise(C.band(F.col(k), t, None, up)).alias("status"),
         )
-        for k, t, up in targets
+        for k, t, up, miss in targets
     ]
     return g.select(F.inline(F.array(*items)))
 

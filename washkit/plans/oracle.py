@@ -278,8 +278,8 @@ SQL["service_latest_by_zone"] = _with(SERVICE_CTE) + f"""
 SELECT country, city, zone, max(date) AS date, {_last_cols} FROM sp GROUP BY country, city, zone
 """
 
-_targets = [("nrw_rate", 25.0, False), ("water_quality_rate", 95.0, True), ("sewer_coverage_rate", 80.0, True),
-            ("complaint_resolution_rate", 90.0, True)]
+_targets = [("nrw_rate", 25.0, False, "bad"), ("water_quality_rate", 95.0, True, "warn"),
+            ("sewer_coverage_rate", 80.0, True, "warn"), ("complaint_resolution_rate", 90.0, True, "warn")]
 SQL["service_kpis"] = _with(SERVICE_CTE) + """
 , lt AS (SELECT country, city, zone, """ + ", ".join(
     f"arg_max({r}, date) FILTER (WHERE {r} IS NOT NULL) AS {r}" for r in _RATES) + """
@@ -287,8 +287,8 @@ SQL["service_kpis"] = _with(SERVICE_CTE) + """
 ga AS (SELECT """ + ", ".join(f"avg({r}) AS {r}" for r in _RATES) + """ FROM lt)
 """ + "\nUNION ALL\n".join(
     f"SELECT '{k}' AS kpi, round({k}, 6) AS value, {t!r}e0 AS target, {str(up).lower()} AS higher_is_better, "
-    f"CASE WHEN {k} IS NULL THEN 'none' WHEN {k} {'>=' if up else '<='} {t!r}e0 THEN 'good' ELSE 'bad' END AS status FROM ga"
-    for k, t, up in _targets)
+    f"CASE WHEN {k} IS NULL THEN 'none' WHEN {k} {'>=' if up else '<='} {t!r}e0 THEN 'good' ELSE '{miss}' END AS status FROM ga"
+    for k, t, up, miss in _targets)
 
 SQL["kpi_service"] = _with(SERVICE_CTE) + ", " + _ratio_kpi_sql("sp", ["country", "city", "date"],
                                                              _K.kpis_for("service", "service"))

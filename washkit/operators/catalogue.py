@@ -36,12 +36,13 @@ SECTION_SUBCATEGORY_ORDER = {
 
 
 def catalogue_counts(cat: DataFrame, dimensions: Sequence[str] = COUNT_DIMENSIONS) -> DataFrame:
-    """Row counts per value of each dimension, long form (dimension, value, n).
+    """Row counts per value of each dimension, long form (dimension, value, n); missing
+    values are not counted (as a value count does).
 
     One scan: the dimensions are unpivoted (narrow) and counted in a single aggregate.
     """
     long = cat.select(*dimensions).unpivot([], list(dimensions), "dimension", "value")
-    return long.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long.where(F.col("value").isNotNull()).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cadence_totals(cat: DataFrame) -> DataFrame:

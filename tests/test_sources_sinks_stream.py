@@ -118,3 +118,39 @@ def test_ledger_csv_loader(spark, tmp_path):
     r = {x["zone"]: x for x in df.collect()}
     assert r["Zone A"]["total_operating_revenues"] == 100.0 and r["Zone A"]["year"] == 2023
     assert r["Zone B"]["total_operating_revenues"] is None
+
+
+@pytest.mark.skipif(not os.path.isdir(REF_DATA), reason="reference data files not present")
+def test_reference_access_files_more_values(spark):
+    acc = files.load_access_csv(spark, f"{REF_DATA}/Water Access Data.csv", f"{REF_DATA}/Sewer Access Data.csv")
+    sw = {r["country"]: r for r in A.surface_water_exposure(acc, 2024).collect()}
+    exp = {"Uganda": (2.1, 2.62, 3.76, 3475.96, 15262.56, 26068.72),
+           "cameroon": (1.09, 1.66, 2.08, 2697.15, 5475.58, 22437.23),
+           "lesotho": (1.29, 1.34, 4.7, 867.81, 2893.59, 4654.65),
+           "malawi": (2.31, 2.54, 2.78, 428.64, 7379.68, 16683.44)}
+    for c, e in exp.items():
+        r = sw[c]
+        got = (r["pct_min"], r["pct_med"], r["pct_max"], r["users_min"], r["users_med"], r["users_max"])
+        assert tuple(round(x, 2) for x in got) == e
+    top = {r["country"]: r["mean_safely_pct"] for r in A.top_countries(acc, "sewer").collect()}
+    assert top == {"cameroon": 37.854286, "Uganda": 34.9425, "lesotho": 31.013333, "malawi": 24.5325}
+    zs = {r["name"]: r["safeAccess"] for r in A.zone_summary(acc).collect()}
+    exp_zs = {"Central": 38.08, "Kawempe": 37.21, "Nakawa": 42.385, "Rubaga": 36.74, "Yaounde 1": 38.73,
+              "Yaounde 2": 43.44, "Yaounde 3": 41.16, "Yaounde 4": 40.57, "Yaounde 5": 40.14, "Yaounde 6": 40.615,
+              "Yaounde 7": 40.825, "Maseru Rural Council": 36.28, "Maseru Urban Council": 45.535,
+              "Rural Hinterland": 34.66, "Capital Hill": 20.055, "Kanengo": 15.295, "Lumbadzi": 17.02,
+              "Old Town": 20.33}
+    assert zs == exp_zs
+
+
+@pytest.mark.skipif(not os.path.isdir(REF_DATA), reason="reference data files not present")
+def test_reference_geojson_safe_access_golden(spark):
+    """The polygons store safeAccess per zone; ours, joined on normalised names (J2), agree."""
+    from washkit.operators import geo as G
+    acc = files.load_access_csv(spark, f"{REF_DATA}/Water Access Data.csv", f"{REF_DATA}/Sewer Access Data.csv")
+    poly = files.read_geojson_polygons(spark, f"{REF_DATA}/zones.geojson").withColumn(
+        "stored", F.col("properties").getItem("safeAccess").cast("double"))
+    en = G.enrich_zones(A.zone_summary(acc), poly.select("name", "country", "stored"), ["safeAccess"]).collect()
+    matched = [r for r in en if r["matched"]]
+    assert len(en) == 18 and len(matched) == 17
+    assert all(abs(r["stored"] - r["safeAccess"]) <= 0.006 for r in matched)

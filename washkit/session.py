@@ -8,14 +8,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(master: str | None = None, app: str = "washkit", shuffle_partitions: int | None = None) -> SparkSession:
+def get_spark(master: str | None = None, app: str = "washkit", shuffle_partitions: int | None = None,
+              driver_memory: str | None = None) -> SparkSession:
     """Create (or reuse) a session with AQE on, UTC time and the UI off.
 
-    On a cluster ``master`` is left to spark-submit; tests pass ``local[*]``.
+    On a cluster ``master`` is left to spark-submit; tests pass ``local[*]``. ``driver_memory``
+    only takes effect when this call starts the JVM (in local mode the driver is the executor).
     """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
     b = (
         b.config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -28,7 +28,8 @@ def main() -> None:
     from washkit.plans.queries import REGISTRY
     from washkit.session import get_spark
 
-    spark = get_spark(f"local[{cpus}]", app="washkit-bench", shuffle_partitions=int(cpus) * 2,
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2))
+    spark = get_spark(f"local[{cpus}]", app="washkit-bench", shuffle_partitions=parts,
                       driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
     keys = sys.argv[1:] or sorted(REGISTRY)
     times: dict[str, float] = {}

@@ -29,18 +29,18 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str, *, to
     if not tolerant:
         return reader.csv(paths)
     reader = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-    parts = []
-    for p in paths:
+    try:
+        return reader.csv(paths)  # one relation over all paths (a missing path fails here)
+    except AnalysisException:
+        pass
+    existing = []
+    for p in paths:  # probe paths one by one only after a failure
         try:
-            parts.append(reader.csv(p))  # a missing path fails here, when the relation is defined
+            reader.csv(p)
+            existing.append(p)
         except AnalysisException:
             continue
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for d in parts[1:]:
-        out = out.unionByName(d)
-    return out
+    return reader.csv(existing) if existing else spark.createDataFrame([], schema)
 
 
 def normalise_access(df: DataFrame) -> DataFrame:

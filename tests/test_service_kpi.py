@@ -70,7 +70,7 @@ def test_data_quality_status(spark):
     assert K.data_quality(df, [], [K.BY_ID["F7"]]).collect()[0]["status"] == "missing"
 
 
-def test_sanitation_chain_reference_check(spark):
+def test_sanitation_chain_worked_example(spark):
     df = spark.createDataFrame([("C", 68.0, 43.0, None, 48000, 16400, 120, 34)],
                                "country string, w_supplied double, total_consumption double, metered double, "
                                "households long, sewer_connections long, tests_conducted_chlorine long, "

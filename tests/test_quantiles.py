@@ -53,3 +53,13 @@ def test_box_statistics_distributed_equals_in_memory(spark):
     a = sorted(tuple(r) for r in A.box_statistics(acc).collect())
     b = sorted(tuple(r) for r in A.box_statistics(acc, distributed=True).collect())
     assert a == b
+
+
+def test_summaries_distributed_equal_in_memory(spark):
+    from washkit.operators import access as A
+    from washkit.plans.queries import access_table
+    acc = access_table(spark, "/root/testdata/sf0.001")
+    for fn in (A.country_summary, A.surface_water_exposure):
+        a = sorted((sorted(r.asDict().items()) for r in fn(acc, 2001).collect()), key=repr)
+        b = sorted((sorted(r.asDict().items()) for r in fn(acc, 2001, distributed=True).collect()), key=repr)
+        assert a == b

@@ -33,32 +33,46 @@ def _median(c: Column, exact: bool) -> Column:
     return F.median(c) if exact else F.percentile_approx(c, 0.5, 10000)
 
 
+def _distributed_medians(d: DataFrame, keys: list[str], cols: dict[str, Column], digits: int | None) -> DataFrame:
+    """Exact medians of several columns per group via distributed selection (one long table)."""
+    from washkit.operators.quantiles import exact_percentiles
+    long = d.select(*keys, *[c.alias(n) for n, c in cols.items()]).unpivot(keys, list(cols), "__m", "__x")
+    med = exact_percentiles(long, keys + ["__m"], "__x", [0.5])
+    wide = med.groupBy(*keys).pivot("__m", list(cols)).agg(F.max("p0"))
+    return wide.select(*keys, *[_r(F.col(n), digits).alias(n) for n in cols])
+
+
 # --------------------------------------------------------------------------- A1
-def country_summary(access: DataFrame, year: int, *, exact: bool = True, digits: int | None = 6) -> DataFrame:
+def country_summary(access: DataFrame, year: int, *, exact: bool = True, distributed: bool = False,
+                    digits: int | None = 6) -> DataFrame:
     """A1: per (country, type) in one year: min/median/max of safely managed, open
     defecation, unimproved and sewer gap %; distinct zones; population sum (0 when all NULL).
 
     One hash aggregate. The year predicate is applied before aggregating: Catalyst moves it
     below unions and aggregates to the scan, and parquet applies it there when ``year`` is a
     stored column. ``exact=False`` swaps the exact median (a per-group map of distinct
-    values, merged in one task per group) for ``percentile_approx`` on very large groups.
+    values, merged in one task per group) for ``percentile_approx`` on very large groups;
+    ``distributed=True`` keeps it exact via :mod:`washkit.operators.quantiles` instead.
     """
     d = access.where(P.equals("year", year)).withColumn("sewer_gap_pct", C.sewer_gap(access))
     d = d.where(F.col("country").isNotNull() & F.col("type").isNotNull())
-    aggs = []
+    aggs, meds = [], {}
     for name, src in (("safely", "safely_managed_pct"), ("open_def", "open_def_pct"),
                       ("unimproved", "unimproved_pct"), ("sewer_gap", "sewer_gap_pct")):
         c = C.col_or_null(d, src) if src != "sewer_gap_pct" else F.col(src)
-        aggs += [
-            F.min(c).alias(f"{name}_min"),
-            _r(_median(c, exact), digits).alias(f"{name}_med"),
-            F.max(c).alias(f"{name}_max"),
-        ]
+        aggs += [F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]
+        if distributed:
+            meds[f"{name}_med"] = c
+        else:
+            aggs.append(_r(_median(c, exact), digits).alias(f"{name}_med"))
     aggs += [
         F.count_distinct("zone").alias("zones"),
         F.coalesce(F.sum("popn_total"), F.lit(0)).cast("bigint").alias("popn_sum"),
     ]
-    return d.groupBy("country", "type").agg(*aggs)
+    out = d.groupBy("country", "type").agg(*aggs)
+    if distributed:
+        out = out.join(_distributed_medians(d, ["country", "type"], meds, digits), ["country", "type"], "left")
+    return out
 
 
 # --------------------------------------------------------------------------- A2
@@ -70,17 +84,21 @@ def surface_water_zones(access: DataFrame, year: int, *, digits: int | None = 6)
                     _r(C.surface_users(d), digits).alias("surface_users_est"))
 
 
-def surface_water_exposure(access: DataFrame, year: int, *, exact: bool = True, digits: int | None = 6) -> DataFrame:
-    """A2 (ranges): per country min/median/max of surface % and estimated users."""
+def surface_water_exposure(access: DataFrame, year: int, *, exact: bool = True, distributed: bool = False,
+                           digits: int | None = 6) -> DataFrame:
+    """A2 (ranges): per country min/median/max of surface % and estimated users
+    (``distributed=True``: exact medians without merging a country in one task)."""
     z = surface_water_zones(access, year, digits=None)
-    return z.groupBy("country").agg(
-        F.min("surface_water_pct").alias("pct_min"),
-        _r(_median(F.col("surface_water_pct"), exact), digits).alias("pct_med"),
-        F.max("surface_water_pct").alias("pct_max"),
-        _r(F.min("surface_users_est"), digits).alias("users_min"),
-        _r(_median(F.col("surface_users_est"), exact), digits).alias("users_med"),
-        _r(F.max("surface_users_est"), digits).alias("users_max"),
-    )
+    meds = {"pct_med": F.col("surface_water_pct"), "users_med": F.col("surface_users_est")}
+    aggs = [F.min("surface_water_pct").alias("pct_min"), F.max("surface_water_pct").alias("pct_max"),
+            _r(F.min("surface_users_est"), digits).alias("users_min"),
+            _r(F.max("surface_users_est"), digits).alias("users_max")]
+    if not distributed:
+        aggs += [_r(_median(c, exact), digits).alias(n) for n, c in meds.items()]
+    out = z.groupBy("country").agg(*aggs)
+    if distributed:
+        out = out.join(_distributed_medians(z, ["country"], meds, digits), ["country"], "left")
+    return out.select("country", "pct_min", "pct_med", "pct_max", "users_min", "users_med", "users_max")
 
 
 # --------------------------------------------------------------------------- A3

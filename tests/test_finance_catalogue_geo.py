@@ -92,6 +92,8 @@ def test_catalogue_counts_alignment_filter(spark):
     c = catalogue(spark)
     cnt = {(r["dimension"], r["value"]): r["n"] for r in CG.catalogue_counts(c).collect()}
     assert cnt[("frequency", "Annual")] == 2 and cnt[("domain", "Finance")] == 2
+    od = [(r["value"], r["n"]) for r in CG.catalogue_counts(c, ["frequency"], ordered=True).collect()]
+    assert od == [("Annual", 2), ("Monthly", 1), ("Quarterly", 1)]
     fw = {(r["dimension"], r["value"]): r["n"] for r in CG.catalogue_counts(c, ["jmp"]).collect()}
     assert fw == {("jmp", "Yes"): 1, ("jmp", "Somewhat"): 1, ("jmp", "No"): 1}  # the NULL is not a value
     al = {(r["framework"], r["status"]): r["indicators"] for r in CG.framework_alignment(c, ["jmp", "iwa"]).collect()}

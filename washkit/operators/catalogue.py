@@ -35,14 +35,16 @@ SECTION_SUBCATEGORY_ORDER = {
 }
 
 
-def catalogue_counts(cat: DataFrame, dimensions: Sequence[str] = COUNT_DIMENSIONS) -> DataFrame:
+def catalogue_counts(cat: DataFrame, dimensions: Sequence[str] = COUNT_DIMENSIONS, *, ordered: bool = False) -> DataFrame:
     """Row counts per value of each dimension, long form (dimension, value, n); missing
     values are not counted (as a value count does).
 
     One scan: the dimensions are unpivoted (narrow) and counted in a single aggregate.
+    ``ordered=True`` sorts each dimension's values by descending count, then value (T2).
     """
     long = cat.select(*dimensions).unpivot([], list(dimensions), "dimension", "value")
-    return long.where(F.col("value").isNotNull()).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+    out = long.where(F.col("value").isNotNull()).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+    return out.orderBy("dimension", F.desc("n"), "value") if ordered else out
 
 
 def cadence_totals(cat: DataFrame) -> DataFrame:

@@ -616,3 +616,10 @@ FROM ledger WHERE zone = '{X.SHARE_ZONE}' GROUP BY year
 
 SQL["service_menus"] = _with(SERVICE_CTE) + "\nUNION\n".join(
     f"SELECT '{c}' AS field, {c} AS value FROM svc WHERE {c} IS NOT NULL" for c in ("country", "city", "zone"))
+
+SQL["zone_unmatched"] = _with(SHAPES_CTE, ACCESS_CTE) + """
+SELECT vec_id, name, country FROM sh
+WHERE NOT EXISTS (SELECT 1 FROM access a
+                  WHERE lower(trim(a.country)) = lower(trim(sh.country)) AND lower(trim(a.zone)) = lower(trim(sh.name))
+                    AND a.year IS NOT NULL)
+"""

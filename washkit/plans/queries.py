@@ -406,3 +406,10 @@ def q_revenue_share_in_zone(spark, sf_dir):
 def q_service_menus(spark, sf_dir):
     """A37 over service rows: distinct countries, cities and zones for option menus."""
     return CG.distinct_values(service_rows(spark, sf_dir), ["country", "city", "zone"])
+
+
+@register("zone_unmatched")
+def q_zone_unmatched(spark, sf_dir):
+    """J2 report: zone shapes whose normalised (country, name) has no access metrics (left anti join)."""
+    return G.unmatched_zones(A.zone_summary(access_table(spark, sf_dir)), shapes_table(spark, sf_dir)) \
+        .select("vec_id", "name", "country")

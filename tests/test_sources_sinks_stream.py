@@ -182,3 +182,16 @@ def test_sample_geojson_safe_access_golden(spark):
     matched = [r for r in en if r["matched"]]
     assert len(en) == 18 and len(matched) == 17
     assert all(abs(r["stored"] - r["safeAccess"]) <= 0.006 for r in matched)
+
+
+def test_write_results_round_trip(spark, tmp_path):
+    from washkit.plans.export import write_results
+    from washkit.plans.queries import REGISTRY
+    keys = ["country_summary", "service_time_series", "debt_aging"]
+    paths = write_results(spark, SMALL, str(tmp_path / "results"), keys)
+    for k in keys:
+        back = spark.read.parquet(paths[k])
+        orig = REGISTRY[k](spark, SMALL)
+        assert back.count() == orig.count() and set(back.columns) == set(orig.columns)
+    with pytest.raises(KeyError):
+        write_results(spark, SMALL, str(tmp_path / "x"), ["no_such_key"])

@@ -195,3 +195,14 @@ def test_write_results_round_trip(spark, tmp_path):
         assert back.count() == orig.count() and set(back.columns) == set(orig.columns)
     with pytest.raises(KeyError):
         write_results(spark, SMALL, str(tmp_path / "x"), ["no_such_key"])
+
+
+def test_parallel_arrays_document(spark, tmp_path):
+    p = tmp_path / "quality.json"
+    p.write_text('{"city": "X", "series": {"months": ["2024-01", "2024-02", "2024-03"],\n'
+                 ' "dwq": [96.5, 94.0, 97.1], "hours": [22, 21]}}')
+    doc = files.read_json_document(
+        spark, str(p), "city STRING, series STRUCT<months: ARRAY<STRING>, dwq: ARRAY<DOUBLE>, hours: ARRAY<INT>>")
+    rows = files.parallel_arrays_to_rows(doc, ["series.months", "series.dwq", "series.hours"], ["city"]).collect()
+    assert [(r["city"], r["months"], r["dwq"], r["hours"]) for r in rows] == [
+        ("X", "2024-01", 96.5, 22), ("X", "2024-02", 94.0, 21), ("X", "2024-03", 97.1, None)]

@@ -162,3 +162,13 @@ def read_catalogue(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     fws = list(S.FRAMEWORK_RENAME.values())
     clean = {c: F.when(F.trim(F.col(c)).isin("", "\u2014"), F.lit(None)).otherwise(F.trim(F.col(c))) for c in fws}
     return df.withColumns(clean)
+
+
+def parallel_arrays_to_rows(df: DataFrame, arrays: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Documents holding parallel arrays (one element per period) -> one row per position.
+
+    ``arrays_zip`` pairs the i-th elements (shorter arrays pad with NULL) and ``inline`` emits a
+    row per position, per document, inside the task that read it -- no shuffle.
+    """
+    zipped = F.arrays_zip(*[F.col(a).alias(a.split(".")[-1]) for a in arrays])
+    return df.select(*keep, F.inline(zipped))

@@ -623,3 +623,20 @@ WHERE NOT EXISTS (SELECT 1 FROM access a
                   WHERE lower(trim(a.country)) = lower(trim(sh.country)) AND lower(trim(a.zone)) = lower(trim(sh.name))
                     AND a.year IS NOT NULL)
 """
+
+
+def _latest_rows(type_value: str, cols: str) -> str:
+    return f"""(SELECT country, zone, {cols} FROM (
+  SELECT *, row_number() OVER (PARTITION BY country, zone ORDER BY year DESC) AS rn
+  FROM access WHERE type = '{type_value}' AND year IS NOT NULL) WHERE rn = 1)"""
+
+
+SQL["snapshot_merge"] = _with(ACCESS_CTE) + f"""
+SELECT coalesce(w.country, s.country) AS country, coalesce(w.zone, s.zone) AS zone,
+  w.year, w.safely_managed_pct, w.unimproved_pct,
+  s.year AS year_dup, s.safely_managed_pct AS safely_managed_pct_dup, s.unimproved_pct AS unimproved_pct_dup,
+  s.open_def_pct
+FROM {_latest_rows("water", "year, safely_managed_pct, unimproved_pct")} w
+FULL OUTER JOIN {_latest_rows("sewer", "year, safely_managed_pct, unimproved_pct, open_def_pct")} s
+  ON w.country = s.country AND w.zone = s.zone
+"""

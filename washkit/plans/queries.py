@@ -413,3 +413,14 @@ def q_zone_unmatched(spark, sf_dir):
     """J2 report: zone shapes whose normalised (country, name) has no access metrics (left anti join)."""
     return G.unmatched_zones(A.zone_summary(access_table(spark, sf_dir)), shapes_table(spark, sf_dir)) \
         .select("vec_id", "name", "country")
+
+
+@register("snapshot_merge")
+def q_snapshot_merge(spark, sf_dir):
+    """A9 + J1: latest water and latest sewer snapshot per (country, zone), full outer join,
+    clashing right-side columns suffixed ``_dup``."""
+    acc = access_table(spark, sf_dir)
+    cols = ["year", "safely_managed_pct", "unimproved_pct"]
+    w = A.latest_snapshot(acc.where(F.col("type") == "water"), ["country", "zone"], "year", cols)
+    s = A.latest_snapshot(acc.where(F.col("type") == "sewer"), ["country", "zone"], "year", cols + ["open_def_pct"])
+    return A.outer_merge(w, s)

@@ -7,6 +7,8 @@ subqueries, whole-stage-codegen spans and any Python evaluation (there should be
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import re
 import sys
@@ -24,12 +26,15 @@ def main() -> None:
     print("|---|---|---|---|---|---|---|")
     for k in sorted(REGISTRY):
         df = REGISTRY[k](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()  # run once so AQE shows the final plan
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain("extended")
+        text = buf.getvalue()
+        plan = text[text.index("== Physical Plan =="):]
         shuffles = len(re.findall(r"Exchange hashpartitioning|Exchange SinglePartition|Exchange rangepartitioning", plan))
         bcast = plan.count("BroadcastExchange")
         joins = sorted(set(re.findall(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|BroadcastNestedLoopJoin|CartesianProduct)", plan)))
-        scans = re.findall(r"FileScan parquet [^\[]*\[[^\]]*\][^\n]*?PushedFilters: \[([^\]]*)\]", plan)
+        scans = re.findall(r"FileScan parquet [^\n]*?PushedFilters: \[(.*?)\], ReadSchema", plan)
         tables = re.findall(r"Location: InMemoryFileIndex[^\[]*\[file:[^\]]*/([a-z_]+)\.parquet\]", plan)
         pushed = sum(1 for s in scans if s.strip())
         subq = plan.count("Subquery") + plan.count("ReusedSubquery")

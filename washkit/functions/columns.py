@@ -59,9 +59,8 @@ def lenient_number(c: Column | str, dtype: str = "double") -> Column:
 
 def coerce_columns(df: DataFrame, cols: Iterable[str], dtype: str = "double") -> DataFrame:
     """Apply P4 to the listed columns that exist and are not already of ``dtype``."""
-    target = T._parse_datatype_string(dtype)
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    changes = {c: lenient_number(c, dtype) for c in cols if c in fields and fields[c] != target}
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    changes = {c: lenient_number(c, dtype) for c in cols if c in fields and fields[c] != dtype}
     return df.withColumns(changes) if changes else df
 
 

@@ -105,7 +105,7 @@ def parse_json_column(df: DataFrame, column: str, schema: str, defaults: Mapping
                       prefix: str = "") -> DataFrame:
     """S3 over a text column: ``from_json`` into typed fields, with defaults for missing keys."""
     parsed = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"})
-    st = T._parse_datatype_string(schema)
+    st = df.select(parsed.alias("__j")).schema["__j"].dataType  # the declared struct, as Spark parsed it
     fields = {prefix + f.name: parsed.getField(f.name) for f in st.fields}
     out = df.withColumns(fields)
     return apply_defaults(out, {prefix + k: v for k, v in (defaults or {}).items()})

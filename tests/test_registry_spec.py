@@ -63,3 +63,10 @@ def test_catalogue_loader_and_listing(spark, tmp_path):
 def test_reuse_estimate(spark):
     df = spark.createDataFrame([(48000, 28.3), (None, 10.0)], "h long, p double")
     assert [r[0] for r in df.select(C.reuse_estimate(F.col("h"), F.col("p"))).collect()] == [13584, None]
+
+
+def test_guarded_ratio_option(spark):
+    df = spark.createDataFrame([("X", 3, 0), ("Y", 3, 4)], "city string, active_providers long, total_providers long")
+    plain = {r["city"]: r["value"] for r in K.ratio_kpis(df, ["city"], [K.BY_ID["G1"]]).collect()}
+    guard = {r["city"]: r["value"] for r in K.ratio_kpis(df, ["city"], [K.BY_ID["G1"]], guarded=True).collect()}
+    assert plain == {"X": None, "Y": 75.0} and guard == {"X": 300.0, "Y": 75.0}

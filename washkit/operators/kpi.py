@@ -133,9 +133,11 @@ def registry_table(spark: SparkSession) -> DataFrame:
                                        "section string")
 
 
-def ratio_kpis(df: DataFrame, by: Sequence[str], kpis: Sequence[Kpi], *, digits: int | None = 6) -> DataFrame:
+def ratio_kpis(df: DataFrame, by: Sequence[str], kpis: Sequence[Kpi], *, digits: int | None = 6,
+               guarded: bool = False) -> DataFrame:
     """Generic KPI: ``try_divide(sum(num), sum(den)) * scale`` per group, long form
-    ``(by..., kpi_id, value)``. All sums go into one aggregate (map-side partial sums)."""
+    ``(by..., kpi_id, value)``. All sums go into one aggregate (map-side partial sums).
+    ``guarded=True`` floors the denominator at 1 instead (P18) -- the provider cards' rule."""
     aggs = []
     for i, k in enumerate(kpis):
         aggs.append(F.sum(F.expr(k.num)).alias(f"__n{i}"))
@@ -146,6 +148,8 @@ def ratio_kpis(df: DataFrame, by: Sequence[str], kpis: Sequence[Kpi], *, digits:
     def value(i: int, k: Kpi) -> Column:
         if k.den is None:
             return F.col(f"__n{i}").cast("double") * F.lit(float(k.scale))
+        if guarded:
+            return C.guarded_ratio(F.col(f"__n{i}"), F.col(f"__d{i}"), k.scale)
         return C.safe_ratio(F.col(f"__n{i}"), F.col(f"__d{i}"), k.scale)
 
     vals = g.select(*by, *[_r(value(i, k), digits).alias(k.id) for i, k in enumerate(kpis)])
@@ -217,15 +221,12 @@ def sanitation_chain(svc: DataFrame, by: Sequence[str] = ("country",), *, digits
 
 
 # --------------------------------------------------------------------------- A32 / A33
-def governance_kpis(city_year: DataFrame, *, digits: int | None = 6) -> DataFrame:
-    """Active % and active-licensed %, training share, budget to water, with counts and
-    a compliance flag (meets target when one is set; NULL otherwise)."""
-    kp = [BY_ID[i] for i in ("G1", "G2", "G4", "N1")]
-    long = ratio_kpis(city_year, ["city", "year"], kp, digits=digits)
-    tgt = lookup(F.col("kpi_id"), {k.id: k.target for k in kp}, "double")
-    return long.withColumns({"target": tgt}).withColumn(
-        "compliant", F.when(F.col("target").isNotNull(), F.col("value") >= F.col("target"))
-    )
+def governance_kpis(city_year: DataFrame, *, guarded: bool = False, digits: int | None = 6) -> DataFrame:
+    """Per (city, year) active-provider %, active-licensed %, human-capital investment %,
+    budget to water % and the staff headcount (G6), long form. Compliance flags (licence,
+    tariff, levy, reporting) are document booleans, read with ``files.read_json_document``."""
+    kp = [BY_ID[i] for i in ("G1", "G2", "G4", "N1", "G6")]
+    return ratio_kpis(city_year, ["city", "year"], kp, digits=digits, guarded=guarded)
 
 
 def sector_budget_shares(city_year: DataFrame, *, digits: int | None = 6) -> DataFrame:

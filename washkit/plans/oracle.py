@@ -255,11 +255,13 @@ def _dbl(v: float) -> str:
 
 def _ratio_kpi_sql(src: str, by: list[str], kpis, digits: int = 6) -> str:
     """Long-form KPI values (by..., kpi_id, value) from a registry list, for the oracle."""
-    sums = ", ".join(f"sum({k.num}) AS n{i}, sum({k.den}) AS d{i}" for i, k in enumerate(kpis))
+    sums = ", ".join(f"sum({k.num}) AS n{i}" + (f", sum({k.den}) AS d{i}" if k.den is not None else "")
+                     for i, k in enumerate(kpis))
     keys = ", ".join(by)
     parts = [
-        f"SELECT {keys}, '{k.id}' AS kpi_id, round(CAST(n{i} AS DOUBLE) / nullif(CAST(d{i} AS DOUBLE), 0) * "
-        f"{_dbl(k.scale)}, {digits}) AS value FROM g"
+        (f"SELECT {keys}, '{k.id}' AS kpi_id, round(CAST(n{i} AS DOUBLE) / nullif(CAST(d{i} AS DOUBLE), 0) * "
+         f"{_dbl(k.scale)}, {digits}) AS value FROM g") if k.den is not None else
+        (f"SELECT {keys}, '{k.id}' AS kpi_id, round(CAST(n{i} AS DOUBLE) * {_dbl(k.scale)}, {digits}) AS value FROM g")
         for i, k in enumerate(kpis)
     ]
     return f"g AS (SELECT {keys}, {sums} FROM {src} GROUP BY {keys})\n" + "\nUNION ALL\n".join(parts)
@@ -585,9 +587,8 @@ b AS (SELECT n_name AS city, count(*) AS total_providers, count(*) FILTER (WHERE
 cy AS (SELECT a.*, b.total_providers, b.total_licensed FROM a JOIN b ON a.city = b.city)
 """
 
-SQL["kpi_governance"] = _with(CITY_YEAR_CTE) + """
-SELECT city, year, kpi_id, value, CAST(NULL AS DOUBLE) AS target, CAST(NULL AS BOOLEAN) AS compliant FROM (
-WITH """ + _ratio_kpi_sql("cy", ["city", "year"], [_K.BY_ID[i] for i in ("G1", "G2", "G4", "N1")]) + ")"
+SQL["kpi_governance"] = _with(CITY_YEAR_CTE) + ", " + _ratio_kpi_sql(
+    "cy", ["city", "year"], [_K.BY_ID[i] for i in ("G1", "G2", "G4", "N1", "G6")])
 
 SQL["kpi_sector"] = _with(CITY_YEAR_CTE) + """
 SELECT city, year, 'water' AS component, round(water_budget, 6) AS amount,

@@ -206,3 +206,16 @@ def test_parallel_arrays_document(spark, tmp_path):
     rows = files.parallel_arrays_to_rows(doc, ["series.months", "series.dwq", "series.hours"], ["city"]).collect()
     assert [(r["city"], r["months"], r["dwq"], r["hours"]) for r in rows] == [
         ("X", "2024-01", 96.5, 22), ("X", "2024-02", 94.0, 21), ("X", "2024-03", 97.1, None)]
+
+
+def test_sector_document_struct_to_long(spark, tmp_path):
+    p = tmp_path / "sector.json"
+    p.write_text('{"year": 2030, "budget": {"water_pct": 2.5, "sanitation_pct": 1.5, "wash_disbursed_pct": 60},\n'
+                 ' "water_stress_pct": 40, "water_use_efficiency": {"agri": 2.0, "manufacturing": 9.5}}')
+    doc = files.read_json_document(spark, str(p), "year INT, budget STRUCT<water_pct: DOUBLE, sanitation_pct: DOUBLE, "
+                                   "wash_disbursed_pct: DOUBLE>, water_stress_pct DOUBLE, "
+                                   "water_use_efficiency STRUCT<agri: DOUBLE, manufacturing: DOUBLE>")
+    b = {r["metric"]: r["value"] for r in files.struct_to_long(doc, "budget", ["year"]).collect()}
+    assert b == {"water_pct": 2.5, "sanitation_pct": 1.5, "wash_disbursed_pct": 60.0}
+    e = files.struct_to_long(doc, "water_use_efficiency", ["year"], name="sector").collect()
+    assert {(r["year"], r["sector"], r["value"]) for r in e} == {(2030, "agri", 2.0), (2030, "manufacturing", 9.5)}

@@ -172,3 +172,14 @@ def parallel_arrays_to_rows(df: DataFrame, arrays: Sequence[str], keep: Sequence
     """
     zipped = F.arrays_zip(*[F.col(a).alias(a.split(".")[-1]) for a in arrays])
     return df.select(*keep, F.inline(zipped))
+
+
+def struct_to_long(df: DataFrame, struct_col: str, keep: Sequence[str] = (), *, name: str = "metric",
+                   value: str = "value", value_type: str = "double") -> DataFrame:
+    """Nested document struct -> long (keep..., metric, value): one row per struct field.
+
+    A narrow ``select`` of the struct's fields (cast to one type) and an ``unpivot``.
+    """
+    fields = df.select(f"{struct_col}.*").columns
+    flat = df.select(*keep, *[F.col(f"{struct_col}.{f}").cast(value_type).alias(f) for f in fields])
+    return flat.unpivot(list(keep), fields, name, value)

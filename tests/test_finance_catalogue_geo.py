@@ -62,8 +62,8 @@ def test_billing_and_debt_aging(spark):
     b = FN.billing_collection(bills).collect()[0]
     assert (b["billed"], b["collected"], b["outstanding"], b["collection_pct"]) == (400.0, 150.0, 250.0, 37.5)
     ag = {r["bucket"]: (r["outstanding"], r["share_pct"]) for r in FN.debt_aging(bills, "2001-08-01").collect()}
-    assert ag == {"0-30": (0.0, 0.0), "31-60": (50.0, round(50 / 150 * 100, 6)),
-                  "90+": (100.0, round(100 / 150 * 100, 6))}
+    assert ag == {"0-30 days": (0.0, 0.0), "31-60 days": (50.0, round(50 / 150 * 100, 6)),
+                  "90+ days": (100.0, round(100 / 150 * 100, 6))}
 
 
 def test_production_summary(spark):

@@ -15,7 +15,7 @@ from washkit.functions import columns as C
 
 REV, EXP = "total_operating_revenues", "total_operating_expenditures"
 # Fixed debt-aging buckets: (label, lowest age in days, highest age in days or None).
-AGING_BUCKETS = [("0-30", 0, 30), ("31-60", 31, 60), ("61-90", 61, 90), ("90+", 91, None)]
+AGING_BUCKETS = [("0-30 days", 0, 30), ("31-60 days", 31, 60), ("61-90 days", 61, 90), ("90+ days", 91, None)]
 
 
 def _r(c: Column, digits: int | None) -> Column:

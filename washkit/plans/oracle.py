@@ -428,8 +428,8 @@ FROM bills GROUP BY 1
 SQL["debt_aging"] = _with(BILLING_CTE) + f"""
 , ag AS (SELECT date_diff('day', date, DATE '{X.AS_OF}') AS age, billed - paid AS outstanding
         FROM bills WHERE date <= DATE '{X.AS_OF}'),
-bk AS (SELECT CASE WHEN age BETWEEN 0 AND 30 THEN '0-30' WHEN age BETWEEN 31 AND 60 THEN '31-60'
-                   WHEN age BETWEEN 61 AND 90 THEN '61-90' WHEN age >= 91 THEN '90+' END AS bucket,
+bk AS (SELECT CASE WHEN age BETWEEN 0 AND 30 THEN '0-30 days' WHEN age BETWEEN 31 AND 60 THEN '31-60 days'
+                   WHEN age BETWEEN 61 AND 90 THEN '61-90 days' WHEN age >= 91 THEN '90+ days' END AS bucket,
               CASE WHEN age BETWEEN 0 AND 30 THEN 1 WHEN age BETWEEN 31 AND 60 THEN 2
                    WHEN age BETWEEN 61 AND 90 THEN 3 WHEN age >= 91 THEN 4 END AS bucket_order, outstanding FROM ag)
 SELECT bucket, bucket_order, round(sum(outstanding), 4) AS outstanding,

@@ -29,9 +29,10 @@ class Kpi:
     section: str = ""
 
 
-# Targets from the reference's benchmarks (NRW <= 25 %, water quality >= 95 %,
-# supply >= 22 h/day, collection >= 95 %, O&M cost coverage >= 150 %, treatment >= 80 %,
-# complaint resolution >= 90 %).
+# Targets from the reference's benchmarks and headline cards (NRW <= 25 %,
+# water quality >= 95 %, supply >= 22 h/day, collection >= 95 %, O&M cost coverage >= 150 %,
+# treatment >= 80 %, complaint resolution >= 90 %, safely managed water >= 60 %, safely managed
+# sanitation >= 70 %, asset health >= 80).
 REGISTRY: list[Kpi] = [
     # access ladder shares (zone-year)
     Kpi("A_safely", "Safely managed share", "access", "safely_managed", "popn_total", section="access"),
@@ -41,6 +42,10 @@ REGISTRY: list[Kpi] = [
     Kpi("A_surface", "Surface water share", "access", "surface_water", "popn_total", higher_is_better=False, section="access"),
     Kpi("A_open_def", "Open defecation share", "access", "open_def", "popn_total", higher_is_better=False, section="access"),
     Kpi("B1", "Water coverage", "access", "municipal_coverage", "popn_total", section="access"),
+    Kpi("A_safely_water", "Safely managed water", "access", "CASE WHEN type = 'water' THEN safely_managed END",
+        "CASE WHEN type = 'water' THEN popn_total END", target=60.0, section="headline"),
+    Kpi("A_safely_sanitation", "Safely managed sanitation", "access", "CASE WHEN type = 'sewer' THEN safely_managed END",
+        "CASE WHEN type = 'sewer' THEN popn_total END", target=70.0, section="headline"),
     # service (zone/city-month)
     Kpi("B4", "Sewered connections", "service", "sewer_connections", "households", section="service"),
     Kpi("C1", "Water quality compliance", "service", "test_passed_chlorine + tests_passed_ecoli",
@@ -102,7 +107,7 @@ REGISTRY: list[Kpi] = [
     Kpi("G3", "WTPs inspected", "national_accounts", "inspected_wtps", None, scale=1.0, section="spec"),
     Kpi("G5", "Staff trained", "national_accounts", "trained_staff", None, scale=1.0, section="spec"),
     Kpi("G6", "Staff", "city_year", "total_staff", None, scale=1.0, higher_is_better=None, section="spec"),
-    Kpi("AH", "Asset health", "national_accounts", "asset_health", "1", scale=1.0, section="spec"),
+    Kpi("AH", "Asset health", "national_accounts", "asset_health", "1", scale=1.0, target=80.0, section="spec"),
     Kpi("WD", "Women in decision-making", "service_ext", "f_workforce", "workforce", section="spec"),
 ]
 BY_ID = {k.id: k for k in REGISTRY}

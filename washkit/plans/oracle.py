@@ -468,17 +468,18 @@ def _score_row(kid: str, src: str, num: str, den: str, scale: float) -> str:
 FROM (SELECT max(year) AS year, {val} AS v FROM {src} WHERE year = (SELECT max(year) FROM {src}))"""
 
 
-SQL["executive_scorecard"] = _with(BILLING_CTE, LEDGER_CTE, SERVICE_CTE, PRODUCTION_CTE) + """
+SQL["executive_scorecard"] = _with(ACCESS_CTE, BILLING_CTE, LEDGER_CTE, SERVICE_CTE, PRODUCTION_CTE) + """
 , b2 AS (SELECT *, CAST(year(date) AS INTEGER) AS year FROM bills),
 p2 AS (SELECT *, CAST(year(date) AS INTEGER) AS year FROM prod)
 """ + "\nUNION ALL\n".join([
+    _score_row("A_safely_water", "access", "CASE WHEN type = 'water' THEN safely_managed END",
+               "CASE WHEN type = 'water' THEN popn_total END", 100.0),
+    _score_row("A_safely_sanitation", "access", "CASE WHEN type = 'sewer' THEN safely_managed END",
+               "CASE WHEN type = 'sewer' THEN popn_total END", 100.0),
     _score_row("F1", "b2", "paid", "billed", 100.0),
     _score_row("F2", "ledger", "total_operating_revenues", "total_operating_expenditures", 100.0),
-    _score_row("F4", "ledger", "total_operating_expenditures", "total_operating_revenues", 1.0),
     _score_row("F3", "sp", "w_supplied - total_consumption", "w_supplied", 100.0),
     _score_row("C1", "sp", "test_passed_chlorine + tests_passed_ecoli", "tests_conducted_chlorine + test_conducted_ecoli", 100.0),
-    _score_row("C4", "sp", "resolved", "complaints", 100.0),
-    _score_row("S1", "sp", "total_consumption", "w_supplied", 100.0),
     _score_row("C2", "p2", "service_hours", "1", 1.0),
 ])
 

@@ -274,8 +274,11 @@ def q_kpi_finance(spark, sf_dir):
 
 @register("executive_scorecard")
 def q_executive_scorecard(spark, sf_dir):
-    ids = {"billing": ["F1"], "ledger": ["F2", "F4"], "service": ["F3", "C1", "C4", "S1"], "production": ["C2"]}
+    # the reference's headline cards that the driver tables can feed (asset health has no input here)
+    ids = {"access": ["A_safely_water", "A_safely_sanitation"], "billing": ["F1"], "ledger": ["F2"],
+           "service": ["F3", "C1"], "production": ["C2"]}
     sources = {
+        "access": access_table(spark, sf_dir),
         "billing": billing_table(spark, sf_dir).withColumn("year", F.year("date")),
         "ledger": ledger_table(spark, sf_dir),
         "service": service_table(spark, sf_dir),

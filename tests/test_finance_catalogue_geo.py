@@ -139,3 +139,14 @@ def test_geojson_extent_and_enrichment(spark, tmp_path):
     en = {r["name"]: r for r in G.enrich_zones(metrics, G.zone_extent(shapes), ["safeAccess"]).collect()}
     assert en["North"]["matched"] and en["North"]["safeAccess"] == 42.5 and not en["Limbo"]["matched"]
     assert [r["name"] for r in G.unmatched_zones(metrics, shapes).collect()] == ["Limbo"]
+
+
+def test_enrichment_band(spark, tmp_path):
+    poly = files.read_geojson_polygons(spark, _geojson(tmp_path))
+    shapes = poly.select("name", "country")
+    m = spark.createDataFrame([("Alba", "North", 85.0), ("Alba", "Limbo", 60.0)],
+                              "country string, name string, safeAccess double")
+    got = {r["name"]: r["band"] for r in G.enrich_zones(m, shapes, ["safeAccess"], band_col="safeAccess").collect()}
+    assert got == {"North": "good", "Limbo": "warn"}
+    none = G.enrich_zones(m.where("name = 'North'"), shapes, ["safeAccess"], band_col="safeAccess")
+    assert {r["name"]: r["band"] for r in none.collect()} == {"North": "good", "Limbo": "none"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from washkit.functions.columns import band
+
 
 def _ring_extent(ring: Column) -> list[Column]:
     """min/max lon and lat of one flat ring ``[lon0, lat0, lon1, lat1, ...]`` -- array
@@ -43,18 +45,26 @@ def _norm(c: Column) -> Column:
     return F.lower(F.trim(c))
 
 
-def enrich_zones(metrics: DataFrame, shapes: DataFrame, metric_cols: list[str]) -> DataFrame:
+# Fixed map band thresholds: >= 80 good, >= 60 warn, else bad; missing -> none.
+MAP_BAND_GOOD, MAP_BAND_WARN = 80.0, 60.0
+
+
+def enrich_zones(metrics: DataFrame, shapes: DataFrame, metric_cols: list[str],
+                 band_col: str | None = None) -> DataFrame:
     """Zone metrics joined to zone shapes on case/space-normalised (country, zone name).
 
     Left join from the shapes so every polygon keeps its row; ``matched`` says whether the
-    metrics side had the zone. Join strategy is left to the planner (broadcast when its size
+    metrics side had the zone; ``band_col`` adds the map colour band of that metric. Join strategy is left to the planner (broadcast when its size
     estimate is under the threshold, sort-merge otherwise).
     """
     m = metrics.select(_norm(F.col("country")).alias("__c"), _norm(F.col("name")).alias("__z"),
                        F.lit(True).alias("__hit"), *metric_cols)
     s = shapes.withColumns({"__c": _norm(F.col("country")), "__z": _norm(F.col("name"))})
     j = s.join(m, ["__c", "__z"], "left")
-    return j.withColumn("matched", F.coalesce(F.col("__hit"), F.lit(False))).drop("__c", "__z", "__hit")
+    out = j.withColumn("matched", F.coalesce(F.col("__hit"), F.lit(False))).drop("__c", "__z", "__hit")
+    if band_col is not None:  # P19 map colour band of one metric
+        out = out.withColumn("band", band(F.col(band_col), MAP_BAND_GOOD, MAP_BAND_WARN))
+    return out
 
 
 def unmatched_zones(metrics: DataFrame, shapes: DataFrame) -> DataFrame:

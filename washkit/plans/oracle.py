@@ -560,7 +560,9 @@ SQL["zone_enrichment"] = _with(SHAPES_CTE, ACCESS_CTE, _latest("water", "water")
          round(CASE WHEN water_safely_pct IS NULL THEN sewer_safely_pct WHEN sewer_safely_pct IS NULL THEN water_safely_pct
                     ELSE (water_safely_pct + sewer_safely_pct) / 2e0 END, 6) AS safeAccess
   FROM water FULL OUTER JOIN sewer ON water.country = sewer.country AND water.zone = sewer.zone)
-SELECT ext.*, zs.safeAccess, zs.water_safely_pct, zs.sewer_safely_pct, zs.name IS NOT NULL AS matched
+SELECT ext.*, zs.safeAccess, zs.water_safely_pct, zs.sewer_safely_pct, zs.name IS NOT NULL AS matched,
+  CASE WHEN zs.safeAccess IS NULL THEN 'none' WHEN zs.safeAccess >= 80 THEN 'good' WHEN zs.safeAccess >= 60 THEN 'warn'
+       ELSE 'bad' END AS band
 FROM ext LEFT JOIN zs ON lower(trim(ext.country)) = lower(trim(zs.country)) AND lower(trim(ext.name)) = lower(trim(zs.name))
 """
 

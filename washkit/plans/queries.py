@@ -345,7 +345,7 @@ def q_zone_extent(spark, sf_dir):
 def q_zone_enrichment(spark, sf_dir):
     shapes = G.zone_extent(shapes_table(spark, sf_dir))
     metrics = A.zone_summary(access_table(spark, sf_dir))
-    return G.enrich_zones(metrics, shapes, ["safeAccess", "water_safely_pct", "sewer_safely_pct"])
+    return G.enrich_zones(metrics, shapes, ["safeAccess", "water_safely_pct", "sewer_safely_pct"], band_col="safeAccess")
 
 
 @register("json_snapshot")

@@ -253,9 +253,20 @@ def latest_period_kpis(df: DataFrame, period_col: str, kpis: Sequence[Kpi], *, d
     the row of the largest period (``max_by`` over those few rows). No scalar subquery, so the
     input is not read twice.
     """
+    return latest_by_kpi(per_period_kpis(df, period_col, kpis, digits=digits))
+
+
+def per_period_kpis(df: DataFrame, period_col: str, kpis: Sequence[Kpi], *, digits: int | None = 6) -> DataFrame:
+    """``(period, kpi_id, value)`` for every period (one partial aggregate)."""
     per = ratio_kpis(df.where(F.col(period_col).isNotNull()), [period_col], kpis, digits=digits)
-    latest = per.groupBy("kpi_id").agg(
-        F.max_by(F.struct(F.col(period_col).alias("period"), F.col("value")), F.col(period_col)).alias("__r"))
+    return per.withColumnRenamed(period_col, "period")
+
+
+def latest_by_kpi(per_period: DataFrame) -> DataFrame:
+    """Row of the largest period per KPI (``max_by`` over one row per period and KPI). KPIs of
+    several sources can be unioned first, so one small aggregate serves them all."""
+    latest = per_period.groupBy("kpi_id").agg(
+        F.max_by(F.struct(F.col("period"), F.col("value")), F.col("period")).alias("__r"))
     return latest.select(F.col("__r.period").alias("period"), "kpi_id", F.col("__r.value").alias("value"))
 
 

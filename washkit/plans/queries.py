@@ -284,11 +284,11 @@ def q_executive_scorecard(spark, sf_dir):
         "service": service_table(spark, sf_dir),
         "production": production_table(spark, sf_dir).withColumn("year", F.year("date")),
     }
-    out = None
+    per = None
     for src, kp in ids.items():
-        part = K.latest_period_kpis(sources[src], "year", [K.BY_ID[i] for i in kp])
-        out = part if out is None else out.unionByName(part)
-    return K.scorecard(out, [K.BY_ID[i] for kp in ids.values() for i in kp])
+        part = K.per_period_kpis(sources[src], "year", [K.BY_ID[i] for i in kp])
+        per = part if per is None else per.unionByName(part)
+    return K.scorecard(K.latest_by_kpi(per), [K.BY_ID[i] for kp in ids.values() for i in kp])
 
 
 # --------------------------------------------------------------------------- catalogue / documents

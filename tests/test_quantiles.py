@@ -63,3 +63,11 @@ def test_summaries_distributed_equal_in_memory(spark):
         a = sorted((sorted(r.asDict().items()) for r in fn(acc, 2001).collect()), key=repr)
         b = sorted((sorted(r.asDict().items()) for r in fn(acc, 2001, distributed=True).collect()), key=repr)
         assert a == b
+
+
+def test_extreme_value_range_needs_many_passes(spark):
+    # values 2^0 .. 2^59 (and negatives), duplicated: equal-width buckets split poorly, so passes repeat
+    df = spark.range(6000).select(F.lit("g").alias("g"),
+                                  (F.pow(F.lit(2.0), F.col("id") % 60) * F.when(F.col("id") % 7 == 0, -1).otherwise(1))
+                                  .alias("x"))
+    _check(df, ["g"], "x", buckets=4, max_rows=3)

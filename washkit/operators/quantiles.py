@@ -18,7 +18,10 @@ distributed selection:
 Each pass joins the rows to the distinct open intervals (a table of at most
 ``2 * len(probs)`` rows per group, checkpointed, counted, and broadcast only when the count
 proves it small). The target table is checkpointed into ``spark.checkpoint.dir`` after every
-pass, so lineage stays one pass deep. Passes grow like ``log_buckets(n / max_rows)``.
+pass, so lineage stays one pass deep. Passes grow like ``log_buckets(n / max_rows)``; each pass
+also shrinks an interval's value span at least ``buckets``-fold, so even extreme value ranges
+close within ``max_passes`` in practice. If ``max_passes`` is reached first, the final pass
+ranks whatever rows are left in the remaining intervals (still exact, no longer bounded).
 """
 
 from __future__ import annotations

@@ -219,3 +219,25 @@ def test_sector_document_struct_to_long(spark, tmp_path):
     assert b == {"water_pct": 2.5, "sanitation_pct": 1.5, "wash_disbursed_pct": 60.0}
     e = files.struct_to_long(doc, "water_use_efficiency", ["year"], name="sector").collect()
     assert {(r["year"], r["sector"], r["value"]) for r in e} == {(2030, "agri", 2.0), (2030, "manufacturing", 9.5)}
+
+
+def test_typed_csv_loaders(spark, tmp_path):
+    b = tmp_path / "bills.csv"
+    b.write_text("customer_id,date,billed,paid\n c1 ,2024-01-31,100.5,100\nc2,not-a-date,x,0\n")
+    bills = files.read_billing_csv(spark, str(b))
+    assert dict((f.name, f.dataType.simpleString()) for f in bills.schema.fields) == \
+        {"customer_id": "string", "date": "date", "billed": "double", "paid": "double"}
+    r = {x["customer_id"]: x for x in bills.collect()}
+    assert str(r["c1"]["date"]) == "2024-01-31" and r["c1"]["billed"] == 100.5
+    assert r["c2"]["date"] is None and r["c2"]["billed"] is None
+    s = tmp_path / "service.csv"
+    s.write_text("country,city,zone,year,month,households,w_supplied,total_consumption,metered,"
+                 "tests_conducted_chlorine,test_passed_chlorine,test_conducted_ecoli,tests_passed_ecoli,complaints,"
+                 "resolved,sewer_connections,public_toilets\n"
+                 "A,B,Z,2024,1,100,1000,800,,10,9,10,10,4,2,50,3\n")
+    svc = files.read_service_csv(spark, str(s))
+    ts = S.service_time_series(S.prepare_service(svc)).collect()[0]
+    assert ts["nrw_rate"] == 20.0 and ts["metered"] == 0.0
+    p = tmp_path / "prod.csv"
+    p.write_text("date,source,production_m3,service_hours\n2024-01-01,well,10,20\n")
+    assert files.read_production_csv(spark, [str(p), str(tmp_path / "missing.csv")], tolerant=True).count() == 1

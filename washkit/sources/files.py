@@ -183,3 +183,30 @@ def struct_to_long(df: DataFrame, struct_col: str, keep: Sequence[str] = (), *,
     fields = df.select(f"{struct_col}.*").columns
     flat = df.select(*keep, *[F.col(f"{struct_col}.{f}").cast(value_type).alias(f) for f in fields])
     return flat.unpivot(list(keep), fields, name, value)
+
+
+def read_typed_csv(spark: SparkSession, path: str | Sequence[str], ddl: str, *, tolerant: bool = False) -> DataFrame:
+    """Header CSV read as text, then each column coerced to its declared type (P4: bad text ->
+    NULL, text keys trimmed). ``ddl`` is ``"name TYPE, ..."`` as in :mod:`washkit.sources.schemas`."""
+    cols = [tuple(part.strip().split(" ", 1)) for part in ddl.split(",")]
+    raw = read_csv(spark, path, ", ".join(f"`{n}` STRING" for n, _ in cols), tolerant=tolerant)
+    out = []
+    for n, t in cols:
+        t = t.strip().lower()
+        out.append((F.trim(F.col(n)) if t == "string" else C.lenient_number(F.trim(F.col(n)), t)).alias(n))
+    return raw.select(*out)
+
+
+def read_service_csv(spark: SparkSession, path: str | Sequence[str], **kw) -> DataFrame:
+    """Monthly service table (country, city, zone, year, month, volumes, tests, complaints, ...)."""
+    return read_typed_csv(spark, path, S.SERVICE_MONTH, **kw)
+
+
+def read_billing_csv(spark: SparkSession, path: str | Sequence[str], **kw) -> DataFrame:
+    """Customer bills (customer_id, date, billed, paid)."""
+    return read_typed_csv(spark, path, S.BILLING, **kw)
+
+
+def read_production_csv(spark: SparkSession, path: str | Sequence[str], **kw) -> DataFrame:
+    """Daily production per source (date, source, production_m3, service_hours)."""
+    return read_typed_csv(spark, path, S.PRODUCTION, **kw)

@@ -23,6 +23,11 @@ URBAN_CENTRES = ["yaounde", "douala", "kawempe", "kampala", "maseru", "lilongwe"
 # ---------------------------------------------------------------------------
 
 
+def rounded(c: Column, digits: int | None) -> Column:
+    """Round to ``digits`` places; ``None`` keeps the raw double."""
+    return F.round(c, digits) if digits is not None else c
+
+
 def col_or_null(df: DataFrame, name: str, dtype: T.DataType = T.DoubleType()) -> Column:
     """The column if it exists, else a typed NULL under that name."""
     if name in df.columns:

@@ -25,8 +25,7 @@ SEWER_LADDER = ["open_def_pct", "unimproved_pct", "limited_pct", "basic_pct", "s
 BOX_MEASURES = ["safely_managed_pct", "basic_pct", "limited_pct", "unimproved_pct"]
 
 
-def _r(c: Column, digits: int | None) -> Column:
-    return F.round(c, digits) if digits is not None else c
+_r = C.rounded
 
 
 def _median(c: Column, exact: bool) -> Column:

@@ -18,8 +18,7 @@ REV, EXP = "total_operating_revenues", "total_operating_expenditures"
 AGING_BUCKETS = [("0-30 days", 0, 30), ("31-60 days", 31, 60), ("61-90 days", 61, 90), ("90+ days", 91, None)]
 
 
-def _r(c: Column, digits: int | None) -> Column:
-    return F.round(c, digits) if digits is not None else c
+_r = C.rounded
 
 
 def _money(c: Column) -> Column:

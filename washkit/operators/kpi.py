@@ -113,8 +113,7 @@ REGISTRY: list[Kpi] = [
 BY_ID = {k.id: k for k in REGISTRY}
 
 
-def _r(c: Column, digits: int | None) -> Column:
-    return F.round(c, digits) if digits is not None else c
+_r = C.rounded
 
 
 def lookup(key: Column, mapping: dict, dtype: str) -> Column:

@@ -23,8 +23,7 @@ SERVICE_TARGETS = [
 ]
 
 
-def _r(c: Column, digits: int | None) -> Column:
-    return F.round(c, digits) if digits is not None else c
+_r = C.rounded
 
 
 def prepare_service(df: DataFrame) -> DataFrame:

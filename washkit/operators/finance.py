@@ -21,10 +21,20 @@ AGING_BUCKETS = [("0-30 days", 0, 30), ("31-60 days", 31, 60), ("61-90 days", 61
 _r = C.rounded
 
 
+# Money is summed exactly: each amount (at most 4 decimals: prices, half-paid bills, discounted
+# line values) is cast to DECIMAL(28,4) and Spark adds decimals without rounding, so totals do
+# not depend on summation order at any scale. Results are returned as doubles.
+MONEY = "decimal(28,4)"
+
+
+def msum(c: Column | str) -> Column:
+    """Exact sum of a money column (DECIMAL)."""
+    return F.sum((F.col(c) if isinstance(c, str) else c).cast(MONEY))
+
+
 def _money(c: Column) -> Column:
-    # 4 places: exact money values here lie on a 1e-3 (half cents) or 1e-4 grid, so rounding
-    # at 4 places snaps float noise back to the exact value instead of hitting a .xx5 tie.
-    return F.round(c, 4)
+    """A money result as a double rounded to 4 places (exact for decimal inputs)."""
+    return F.round(c, 4).cast("double")
 
 
 def with_date(ledger: DataFrame) -> DataFrame:
@@ -35,13 +45,13 @@ def with_date(ledger: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- A13
 def revenue_by_year_zone(ledger: DataFrame) -> DataFrame:
     """Revenue per (year, zone)."""
-    return ledger.groupBy("year", "zone").agg(_money(F.sum(REV)).alias("revenue"))
+    return ledger.groupBy("year", "zone").agg(_money(msum(REV)).alias("revenue"))
 
 
 # --------------------------------------------------------------------------- A14
 def yearly_totals(ledger: DataFrame) -> DataFrame:
     """Revenue and expenditure per year in long form (year, measure, amount)."""
-    g = ledger.groupBy("year").agg(_money(F.sum(REV)).alias("revenue"), _money(F.sum(EXP)).alias("expenditure"))
+    g = ledger.groupBy("year").agg(_money(msum(REV)).alias("revenue"), _money(msum(EXP)).alias("expenditure"))
     return g.unpivot(["year"], ["revenue", "expenditure"], "measure", "amount")
 
 
@@ -54,7 +64,7 @@ def ledger_headline(ledger: DataFrame, *, digits: int | None = 6) -> DataFrame:
     picks the latest year's totals with ``max_by`` and combines the mean parts.
     """
     per_year = ledger.where(F.col("year").isNotNull()).groupBy("year").agg(
-        F.sum(REV).alias("rev"), F.sum(EXP).alias("exp"),
+        msum(REV).alias("rev"), msum(EXP).alias("exp"),
         F.sum("collection_efficiency").alias("eff_sum"), F.count("collection_efficiency").alias("eff_n"),
         F.sum("personnel_expenditure_pct").alias("pers_sum"), F.count("personnel_expenditure_pct").alias("pers_n"),
     )
@@ -76,8 +86,9 @@ def zone_statistics(ledger: DataFrame, start: str | None = None, end: str | None
     if end is not None:
         d = d.where(F.col("date") <= F.to_date(F.lit(end)))
     return d.groupBy("zone").agg(
-        _money(F.avg(REV)).alias("mean_revenue"), _money(F.min(REV)).alias("min_revenue"),
-        _money(F.max(REV)).alias("max_revenue"),
+        _money(msum(REV).cast("double") / F.count(REV)).alias("mean_revenue"),
+        _money(F.min(F.col(REV).cast(MONEY))).alias("min_revenue"),
+        _money(F.max(F.col(REV).cast(MONEY))).alias("max_revenue"),
     )
 
 
@@ -136,8 +147,8 @@ def share_of_total(df: DataFrame, by: str, value: str, *, digits: int | None = 6
     The grand total is a scalar subquery (a global partial aggregate), not ``sum() OVER ()``,
     so no step moves all groups into one task however many groups there are.
     """
-    total = df.select(F.sum(value)).scalar()
-    g = df.groupBy(by).agg(F.sum(value).alias("amount"))
+    total = df.select(msum(value)).scalar()
+    g = df.groupBy(by).agg(msum(value).alias("amount"))
     return g.select(by, _money(F.col("amount")).alias("amount"),
                     _r(C.safe_ratio(F.col("amount"), total, 100.0), digits).alias("share_pct"))
 
@@ -146,8 +157,8 @@ def share_of_total(df: DataFrame, by: str, value: str, *, digits: int | None = 6
 def billing_vs_collection_by_zone(ledger: DataFrame, *, digits: int | None = 6) -> DataFrame:
     """Billing, collection and summed O&M coverage per zone, long form (zone, measure, amount)."""
     g = ledger.groupBy("zone").agg(
-        _money(F.sum("total_billing")).alias("billing"),
-        _money(F.sum("total_collection")).alias("collection"),
+        _money(msum("total_billing")).alias("billing"),
+        _money(msum("total_collection")).alias("collection"),
         _r(F.sum("om_cost_coverage"), digits).alias("om_cost_coverage"),
     )
     return g.unpivot(["zone"], ["billing", "collection", "om_cost_coverage"], "measure", "amount")
@@ -157,7 +168,7 @@ def billing_vs_collection_by_zone(ledger: DataFrame, *, digits: int | None = 6)
 def billing_collection(bills: DataFrame, by: str = "year", *, digits: int | None = 6) -> DataFrame:
     """Billed, collected, outstanding, collection % and uncollected % per period."""
     d = bills.withColumn("year", F.year("date"))
-    g = d.groupBy(by).agg(F.sum("billed").alias("billed"), F.sum("paid").alias("collected"))
+    g = d.groupBy(by).agg(msum("billed").alias("billed"), msum("paid").alias("collected"))
     return g.select(
         by, _money(F.col("billed")).alias("billed"), _money(F.col("collected")).alias("collected"),
         _money(F.col("billed") - F.col("collected")).alias("outstanding"),
@@ -180,8 +191,8 @@ def debt_aging(bills: DataFrame, as_of: str, *, digits: int | None = 6) -> DataF
         cond = (F.col("age") >= lo) & (F.col("age") <= hi) if hi is not None else F.col("age") >= lo
         bucket = F.when(cond, F.lit(label)) if bucket is None else bucket.when(cond, F.lit(label))
         order = F.when(cond, F.lit(i + 1)) if order is None else order.when(cond, F.lit(i + 1))
-    g = d.groupBy(bucket.alias("bucket"), order.alias("bucket_order")).agg(F.sum("outstanding").alias("outstanding"))
-    total = d.select(F.sum("outstanding")).scalar()
+    g = d.groupBy(bucket.alias("bucket"), order.alias("bucket_order")).agg(msum("outstanding").alias("outstanding"))
+    total = d.select(msum("outstanding")).scalar()
     return g.select("bucket", "bucket_order", _money(F.col("outstanding")).alias("outstanding"),
                     _r(C.safe_ratio(F.col("outstanding"), total, 100.0), digits).alias("share_pct"))
 

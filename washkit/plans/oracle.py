@@ -354,12 +354,22 @@ prod AS (
   FROM events GROUP BY 1, 2)
 """
 
-SQL["revenue_by_year_zone"] = _with(LEDGER_CTE) + """
-SELECT year, zone, round(sum(total_operating_revenues), 4) AS revenue FROM ledger GROUP BY year, zone
+def _msum(x: str) -> str:
+    """Exact money sum (DECIMAL(28,4)), as the operators do."""
+    return f"sum(CAST({x} AS DECIMAL(28,4)))"
+
+
+def _mdbl(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+SQL["revenue_by_year_zone"] = _with(LEDGER_CTE) + f"""
+SELECT year, zone, {_mdbl(_msum("total_operating_revenues"))} AS revenue FROM ledger GROUP BY year, zone
 """
 
 SQL["yearly_totals"] = _with(LEDGER_CTE) + """
-, yt AS (SELECT year, round(sum(total_operating_revenues), 4) AS revenue, round(sum(total_operating_expenditures), 4) AS expenditure
+, yt AS (SELECT year, CAST(sum(CAST(total_operating_revenues AS DECIMAL(28,4))) AS DOUBLE) AS revenue,
+               CAST(sum(CAST(total_operating_expenditures AS DECIMAL(28,4))) AS DOUBLE) AS expenditure
         FROM ledger GROUP BY year)
 SELECT year, 'revenue' AS measure, revenue AS amount FROM yt
 UNION ALL SELECT year, 'expenditure' AS measure, expenditure AS amount FROM yt
@@ -367,15 +377,19 @@ UNION ALL SELECT year, 'expenditure' AS measure, expenditure AS amount FROM yt
 
 SQL["ledger_headline"] = _with(LEDGER_CTE) + """
 SELECT (SELECT max(year) FROM ledger) AS latest_year,
-  round((SELECT sum(total_operating_revenues) FROM ledger WHERE year = (SELECT max(year) FROM ledger)), 4) AS total_revenue,
-  round((SELECT sum(total_operating_expenditures) FROM ledger WHERE year = (SELECT max(year) FROM ledger)), 4) AS total_expenditure,
+  (SELECT CAST(sum(CAST(total_operating_revenues AS DECIMAL(28,4))) AS DOUBLE) FROM ledger
+   WHERE year = (SELECT max(year) FROM ledger)) AS total_revenue,
+  (SELECT CAST(sum(CAST(total_operating_expenditures AS DECIMAL(28,4))) AS DOUBLE) FROM ledger
+   WHERE year = (SELECT max(year) FROM ledger)) AS total_expenditure,
   round((SELECT avg(collection_efficiency) FROM ledger WHERE year IS NOT NULL), 6) AS mean_collection_efficiency,
   round((SELECT avg(personnel_expenditure_pct) FROM ledger WHERE year IS NOT NULL), 6) AS mean_personnel_pct
 """
 
 SQL["zone_statistics"] = _with(LEDGER_CTE) + f"""
-SELECT zone, round(avg(total_operating_revenues), 4) AS mean_revenue, round(min(total_operating_revenues), 4) AS min_revenue,
-  round(max(total_operating_revenues), 4) AS max_revenue
+SELECT zone,
+  round(CAST(sum(CAST(total_operating_revenues AS DECIMAL(28,4))) AS DOUBLE) / count(total_operating_revenues), 4) AS mean_revenue,
+  CAST(min(CAST(total_operating_revenues AS DECIMAL(28,4))) AS DOUBLE) AS min_revenue,
+  CAST(max(CAST(total_operating_revenues AS DECIMAL(28,4))) AS DOUBLE) AS max_revenue
 FROM ledger WHERE make_date(year, month, 1) BETWEEN DATE '{X.LEDGER_RANGE[0]}' AND DATE '{X.LEDGER_RANGE[1]}'
 GROUP BY zone
 """
@@ -404,13 +418,16 @@ FROM ledger
 """
 
 SQL["share_of_total"] = _with(LEDGER_CTE) + """
-SELECT zone, round(sum(total_operating_expenditures), 4) AS amount,
-  round(sum(total_operating_expenditures) / nullif((SELECT sum(total_operating_expenditures) FROM ledger), 0) * 1e2, 6) AS share_pct
+SELECT zone, CAST(sum(CAST(total_operating_expenditures AS DECIMAL(28,4))) AS DOUBLE) AS amount,
+  round(CAST(sum(CAST(total_operating_expenditures AS DECIMAL(28,4))) AS DOUBLE)
+        / nullif(CAST((SELECT sum(CAST(total_operating_expenditures AS DECIMAL(28,4))) FROM ledger) AS DOUBLE), 0) * 1e2, 6)
+    AS share_pct
 FROM ledger GROUP BY zone
 """
 
 SQL["billing_vs_collection_by_zone"] = _with(LEDGER_CTE) + """
-, z AS (SELECT zone, round(sum(total_billing), 4) AS billing, round(sum(total_collection), 4) AS collection,
+, z AS (SELECT zone, CAST(sum(CAST(total_billing AS DECIMAL(28,4))) AS DOUBLE) AS billing,
+              CAST(sum(CAST(total_collection AS DECIMAL(28,4))) AS DOUBLE) AS collection,
               round(sum(om_cost_coverage), 6) AS om_cost_coverage FROM ledger GROUP BY zone)
 SELECT zone, 'billing' AS measure, billing AS amount FROM z
 UNION ALL SELECT zone, 'collection', collection FROM z
@@ -418,11 +435,11 @@ UNION ALL SELECT zone, 'om_cost_coverage', om_cost_coverage FROM z
 """
 
 SQL["billing_collection"] = _with(BILLING_CTE) + """
-SELECT CAST(year(date) AS INTEGER) AS year, round(sum(billed), 4) AS billed, round(sum(paid), 4) AS collected,
-  round(sum(billed) - sum(paid), 4) AS outstanding,
-  round(sum(paid) / nullif(sum(billed), 0) * 1e2, 6) AS collection_pct,
-  round((sum(billed) - sum(paid)) / nullif(sum(billed), 0) * 1e2, 6) AS uncollected_pct
-FROM bills GROUP BY 1
+SELECT year, CAST(b AS DOUBLE) AS billed, CAST(c AS DOUBLE) AS collected, CAST(b - c AS DOUBLE) AS outstanding,
+  round(CAST(c AS DOUBLE) / nullif(CAST(b AS DOUBLE), 0) * 1e2, 6) AS collection_pct,
+  round(CAST(b - c AS DOUBLE) / nullif(CAST(b AS DOUBLE), 0) * 1e2, 6) AS uncollected_pct
+FROM (SELECT CAST(year(date) AS INTEGER) AS year, sum(CAST(billed AS DECIMAL(28,4))) AS b,
+             sum(CAST(paid AS DECIMAL(28,4))) AS c FROM bills GROUP BY 1)
 """
 
 SQL["debt_aging"] = _with(BILLING_CTE) + f"""
@@ -432,8 +449,9 @@ bk AS (SELECT CASE WHEN age BETWEEN 0 AND 30 THEN '0-30 days' WHEN age BETWEEN 3
                    WHEN age BETWEEN 61 AND 90 THEN '61-90 days' WHEN age >= 91 THEN '90+ days' END AS bucket,
               CASE WHEN age BETWEEN 0 AND 30 THEN 1 WHEN age BETWEEN 31 AND 60 THEN 2
                    WHEN age BETWEEN 61 AND 90 THEN 3 WHEN age >= 91 THEN 4 END AS bucket_order, outstanding FROM ag)
-SELECT bucket, bucket_order, round(sum(outstanding), 4) AS outstanding,
-  round(sum(outstanding) / nullif((SELECT sum(outstanding) FROM ag), 0) * 1e2, 6) AS share_pct
+SELECT bucket, bucket_order, CAST(sum(CAST(outstanding AS DECIMAL(28,4))) AS DOUBLE) AS outstanding,
+  round(CAST(sum(CAST(outstanding AS DECIMAL(28,4))) AS DOUBLE)
+        / nullif(CAST((SELECT sum(CAST(outstanding AS DECIMAL(28,4))) FROM ag) AS DOUBLE), 0) * 1e2, 6) AS share_pct
 FROM bk GROUP BY bucket, bucket_order
 """
 
@@ -612,9 +630,10 @@ SQL["service_month_range"] = _with(SERVICE_CTE) + _series(
     f"WHERE date >= DATE '{X.SERVICE_MONTHS[0]}-01' AND date <= DATE '{X.SERVICE_MONTHS[1]}-01'")
 
 SQL["revenue_share_in_zone"] = _with(LEDGER_CTE) + f"""
-SELECT year, round(sum(total_operating_revenues), 4) AS amount,
-  round(sum(total_operating_revenues) / nullif((SELECT sum(total_operating_revenues) FROM ledger
-                                                WHERE zone = '{X.SHARE_ZONE}'), 0) * 1e2, 6) AS share_pct
+SELECT year, CAST(sum(CAST(total_operating_revenues AS DECIMAL(28,4))) AS DOUBLE) AS amount,
+  round(CAST(sum(CAST(total_operating_revenues AS DECIMAL(28,4))) AS DOUBLE)
+        / nullif(CAST((SELECT sum(CAST(total_operating_revenues AS DECIMAL(28,4))) FROM ledger
+                       WHERE zone = '{X.SHARE_ZONE}') AS DOUBLE), 0) * 1e2, 6) AS share_pct
 FROM ledger WHERE zone = '{X.SHARE_ZONE}' GROUP BY year
 """
 

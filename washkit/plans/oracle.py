@@ -211,7 +211,7 @@ SERVICE_CTE = """
 svc AS (
   SELECT r_name AS country, n_name AS city, l_returnflag AS zone, CAST(year(l_shipdate) AS INTEGER) AS year,
          CAST(month(l_shipdate) AS INTEGER) AS month, count(*) AS households, sum(l_quantity) AS w_supplied,
-         CAST(sum(CAST(l_quantity * (1e0 - l_discount) AS DECIMAL(28,4))) AS DOUBLE) AS total_consumption,
+         CAST(sum(CAST(floor((l_quantity * (1e0 - l_discount)) * 1e4 + 5e-1) AS BIGINT)) AS DOUBLE) / 1e4 AS total_consumption,
          sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS metered,
          count(*) AS tests_conducted_chlorine, count(*) FILTER (WHERE l_tax <= 6e-2) AS test_passed_chlorine,
          count(*) AS test_conducted_ecoli, count(*) FILTER (WHERE l_discount > 2e-2) AS tests_passed_ecoli,
@@ -326,14 +326,14 @@ FROM sp GROUP BY country""" for k in _K.kpis_for(table="service"))
 
 # =========================================================================== ledger / billing / production
 LEDGER_CTE = """
-le AS (SELECT l_orderkey, sum(CAST(l_extendedprice * (1e0 - l_discount) AS DECIMAL(28,4))) AS exp
+le AS (SELECT l_orderkey, sum(CAST(floor((l_extendedprice * (1e0 - l_discount)) * 1e4 + 5e-1) AS BIGINT)) AS exp
        FROM lineitem GROUP BY l_orderkey),
 lo AS (
   SELECT c_mktsegment AS zone, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
-         CAST(sum(CAST(o_totalprice AS DECIMAL(28,4))) AS DOUBLE) AS rev, CAST(sum(exp) AS DOUBLE) AS exp,
-         CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN exp END) AS DOUBLE) AS staff,
-         CAST(sum(CAST(CASE o_orderstatus WHEN 'F' THEN o_totalprice WHEN 'P' THEN o_totalprice * 5e-1 ELSE 0e0 END
-                       AS DECIMAL(28,4))) AS DOUBLE) AS paid
+         CAST(sum(CAST(floor((o_totalprice) * 1e4 + 5e-1) AS BIGINT)) AS DOUBLE) / 1e4 AS rev, CAST(sum(exp) AS DOUBLE) / 1e4 AS exp,
+         CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN exp END) AS DOUBLE) / 1e4 AS staff,
+         CAST(sum(CAST(floor((CASE o_orderstatus WHEN 'F' THEN o_totalprice WHEN 'P' THEN o_totalprice * 5e-1 ELSE 0e0 END) * 1e4 + 5e-1) AS BIGINT))
+              AS DOUBLE) / 1e4 AS paid
   FROM orders LEFT JOIN le ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey
   GROUP BY 1, 2, 3),
 ledger AS (
@@ -351,7 +351,7 @@ bills AS (
 """
 PRODUCTION_CTE = """
 prod AS (
-  SELECT CAST(ts AS DATE) AS date, event_type AS source, CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) AS production_m3,
+  SELECT CAST(ts AS DATE) AS date, event_type AS source, CAST(sum(CAST(floor((value) * 1e4 + 5e-1) AS BIGINT)) AS DOUBLE) / 1e4 AS production_m3,
          CAST(count(DISTINCT hour(ts)) AS DOUBLE) AS service_hours
   FROM events GROUP BY 1, 2)
 """
@@ -598,14 +598,14 @@ SQL["kpi_access"] = _with(ACCESS_CTE) + ", " + _ratio_kpi_sql("access", ["countr
 
 CITY_YEAR_CTE = """
 ps AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year,
-              sum(CAST(l_extendedprice AS DECIMAL(28,4))) AS wash_budget,
-              sum(CAST(l_extendedprice * l_discount AS DECIMAL(28,4))) AS training_budget,
-              sum(CAST(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0e0 END AS DECIMAL(28,4))) AS water_budget,
+              sum(CAST(floor((l_extendedprice) * 1e4 + 5e-1) AS BIGINT)) AS wash_budget,
+              sum(CAST(floor((l_extendedprice * l_discount) * 1e4 + 5e-1) AS BIGINT)) AS training_budget,
+              sum(CAST(floor((CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0e0 END) * 1e4 + 5e-1) AS BIGINT)) AS water_budget,
               count(*) AS lines
        FROM lineitem GROUP BY 1, 2),
 a AS (SELECT n_name AS city, year, count(*) AS active_providers, count(*) FILTER (WHERE s_acctbal > 0) AS active_licensed,
-             CAST(sum(wash_budget) AS DOUBLE) AS wash_budget, CAST(sum(training_budget) AS DOUBLE) AS training_budget,
-             CAST(sum(water_budget) AS DOUBLE) AS water_budget, sum(lines) AS total_staff
+             CAST(sum(wash_budget) AS DOUBLE) / 1e4 AS wash_budget, CAST(sum(training_budget) AS DOUBLE) / 1e4 AS training_budget,
+             CAST(sum(water_budget) AS DOUBLE) / 1e4 AS water_budget, sum(lines) AS total_staff
       FROM ps JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
 b AS (SELECT n_name AS city, count(*) AS total_providers, count(*) FILTER (WHERE s_acctbal > 0) AS total_licensed
       FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),

@@ -18,8 +18,9 @@ an explicit count-then-broadcast check costs an extra job and was slower.)
 
 Each view is one Spark SQL text over the base DataFrames (``spark.sql(text, orders=df)``):
 one parse and analysis on the JVM instead of hundreds of Python-to-JVM calls per query.
-Amounts with decimals are summed as DECIMAL(28,4) (exact) and returned as doubles, so a view's
-values do not depend on summation order.
+Amounts with decimals (at most 4 here) are summed as fixed-point integers (ten-thousandths,
+``floor(x * 10000 + 0.5)``) and divided back at the end, so a view's values do not depend on
+summation order; this is cheaper per row than a DECIMAL cast.
 Where a distinct count is needed (customers per zone, suppliers per city) the
 fact is first reduced at (foreign key, period) grain instead, which turns the
 distinct count into a plain count.
@@ -134,7 +135,7 @@ SELECT r_name AS country, n_name AS city, l_returnflag AS zone,
        CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month,
        count(1) AS households,
        sum(l_quantity) AS w_supplied,
-       CAST(sum(CAST(l_quantity * (1D - l_discount) AS DECIMAL(28,4))) AS DOUBLE) AS total_consumption,
+       sum(floor(l_quantity * (1D - l_discount) * 10000D + 0.5D)) / 10000D AS total_consumption,
        sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS metered,
        count(1) AS tests_conducted_chlorine,
        count_if(l_tax <= 0.06D) AS test_passed_chlorine,
@@ -180,11 +181,11 @@ SELECT year, month, zone,
        try_divide(100D * rev, exp) AS om_cost_coverage
 FROM (
   SELECT c_mktsegment AS zone, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month,
-         CAST(sum(CAST(o_totalprice AS DECIMAL(28,4))) AS DOUBLE) AS rev, CAST(sum(exp) AS DOUBLE) AS exp,
-         CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN exp END) AS DOUBLE) AS staff,
-         CAST(sum(CAST({_PAID} AS DECIMAL(28,4))) AS DOUBLE) AS paid
+         sum(floor(o_totalprice * 10000D + 0.5D)) / 10000D AS rev, sum(exp) / 10000D AS exp,
+         sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN exp END) / 10000D AS staff,
+         sum(floor(({_PAID}) * 10000D + 0.5D)) / 10000D AS paid
   FROM {{orders}}
-  LEFT JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice * (1D - l_discount) AS DECIMAL(28,4))) AS exp
+  LEFT JOIN (SELECT l_orderkey, sum(floor(l_extendedprice * (1D - l_discount) * 10000D + 0.5D)) AS exp
              FROM {{lineitem}} GROUP BY l_orderkey) e ON o_orderkey = l_orderkey
   JOIN {{customer}} ON o_custkey = c_custkey
   GROUP BY c_mktsegment, CAST(year(o_orderdate) AS INT), CAST(month(o_orderdate) AS INT)) g
@@ -198,8 +199,8 @@ def ledger(t: Tables) -> DataFrame:
 
 
 _PRODUCTION = """
-SELECT date, source, CAST(sum(v) AS DOUBLE) AS production_m3, CAST(count(1) AS DOUBLE) AS service_hours
-FROM (SELECT CAST(ts AS DATE) AS date, event_type AS source, hour(ts) AS h, sum(CAST(value AS DECIMAL(28,4))) AS v
+SELECT date, source, sum(v) / 10000D AS production_m3, CAST(count(1) AS DOUBLE) AS service_hours
+FROM (SELECT CAST(ts AS DATE) AS date, event_type AS source, hour(ts) AS h, sum(floor(value * 10000D + 0.5D)) AS v
       FROM {events} GROUP BY CAST(ts AS DATE), event_type, hour(ts)) hourly
 GROUP BY date, source
 """
@@ -215,12 +216,12 @@ SELECT a.city, a.year, a.active_providers, b.total_providers, a.active_licensed,
        a.wash_budget, a.training_budget, a.water_budget, a.total_staff
 FROM (
   SELECT n_name AS city, year, count(1) AS active_providers, count_if(s_acctbal > 0) AS active_licensed,
-         CAST(sum(wash_budget) AS DOUBLE) AS wash_budget, CAST(sum(training_budget) AS DOUBLE) AS training_budget,
-         CAST(sum(water_budget) AS DOUBLE) AS water_budget, sum(lines) AS total_staff
+         sum(wash_budget) / 10000D AS wash_budget, sum(training_budget) / 10000D AS training_budget,
+         sum(water_budget) / 10000D AS water_budget, sum(lines) AS total_staff
   FROM (SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS year,
-               sum(CAST(l_extendedprice AS DECIMAL(28,4))) AS wash_budget,
-               sum(CAST(l_extendedprice * l_discount AS DECIMAL(28,4))) AS training_budget,
-               sum(CAST(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0D END AS DECIMAL(28,4))) AS water_budget,
+               sum(floor(l_extendedprice * 10000D + 0.5D)) AS wash_budget,
+               sum(floor(l_extendedprice * l_discount * 10000D + 0.5D)) AS training_budget,
+               sum(floor(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0D END * 10000D + 0.5D)) AS water_budget,
                count(1) AS lines
         FROM {lineitem} GROUP BY l_suppkey, CAST(year(l_shipdate) AS INT)) per_supp
   JOIN {supplier} ON l_suppkey = s_suppkey

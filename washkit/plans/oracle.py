@@ -667,3 +667,5 @@ FROM {_latest_rows("water", "year, safely_managed_pct, unimproved_pct")} w
 FULL OUTER JOIN {_latest_rows("sewer", "year, safely_managed_pct, unimproved_pct, open_def_pct")} s
   ON w.country = s.country AND w.zone = s.zone
 """
+
+SQL["box_statistics_distributed"] = SQL["box_statistics"]

@@ -427,3 +427,9 @@ def q_snapshot_merge(spark, sf_dir):
     w = A.latest_snapshot(acc.where(F.col("type") == "water"), ["country", "zone"], "year", cols)
     s = A.latest_snapshot(acc.where(F.col("type") == "sewer"), ["country", "zone"], "year", cols + ["open_def_pct"])
     return A.outer_merge(w, s)
+
+
+@register("box_statistics_distributed")
+def q_box_statistics_distributed(spark, sf_dir):
+    """A19 with quartiles from the distributed exact-percentile operator (same results as box_statistics)."""
+    return A.box_statistics(access_table(spark, sf_dir), distributed=True)

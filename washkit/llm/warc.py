@@ -191,7 +191,8 @@ def read_warc(archives: DataFrame, split: int = SPLIT) -> DataFrame:
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long")))
     ranges = archives.where("bytes > 0").select("path", "bytes", starts.alias("start")) \
         .withColumn("end", F.least(F.col("start") + split, F.col("bytes")))
-    return ranges.repartition("path", "start").mapInArrow(_read, RECORD)
+    n = archives.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / split)), F.lit(0))).first()[0]
+    return ranges.repartition(max(1, int(n)), "path", "start").mapInArrow(_read, RECORD)  # a fixed number: ranges are few rows, but much to read
 
 
 def round_trip(pages: DataFrame, spark: SparkSession | None = None, split: int = SPLIT) -> DataFrame:

@@ -62,6 +62,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Ids that may be sent to every task (8 bytes each); more are joined by a shuffle.
+SENT_IDS = 1 << 20
+
+
+def few(ids: DataFrame, most: int = SENT_IDS) -> bool:
+    """Whether ``ids`` is counted to be small enough to be sent to every task."""
+    return ids.limit(most + 1).count() <= most
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (splitmix64 steps)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washkit.llm.common import Rolling, groups_of, stored, utf8
+from washkit.llm.common import SENT_IDS, Rolling, few, groups_of, stored, utf8
 
 MIN_BYTES, GRAM, PERIOD, BLOCK = 400, 32, 64, 8192
 
@@ -231,7 +231,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("at.k0", "at.k1", F.struct(F.xxhash64("anchor", F.pmod(F.xxhash64("hull"), parts)).alias("task"), "anchor", "hull", "n", "at.start", "at.rel", (parts > 1).alias("split")).alias("s"))
         .groupBy("k0", "k1").agg(F.collect_list("s").alias("wanted"))
     )
-    cut = base.select("k0", "k1", "text").join(wanted, ["k0", "k1"]).select("text", "wanted") \
+    wanted = stored(wanted, "wanted")
+    ids = wanted.select("k0", "k1")
+    holders = base.select("k0", "k1", "text")
+    if few(ids, SENT_IDS // 2):
+        holders = holders.join(F.broadcast(ids), ["k0", "k1"], "left_semi")
+    cut = holders.join(wanted, ["k0", "k1"]).select("text", "wanted") \
         .mapInArrow(_cut(min_bytes), "task long, anchor long, hull long, n int, rel int, split boolean, text binary")
     found = stored(cut.repartition("task").sortWithinPartitions("task").mapInArrow(
         _sorted_buckets(min_bytes), "anchor long, hull long, n int, runs array<int>, offsets array<int>, codes array<bigint>"), "sorted")
@@ -247,8 +252,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("k0", "k1", F.struct((F.col("start") + F.col("r.a")).cast("long").alias("first"), (F.col("start") + F.col("r.b") - 1 + min_bytes).cast("long").alias("last")).alias("f"))
         .groupBy("k0", "k1").agg(F.collect_list("f").alias("found"))
     )
-    return base.join(covered, ["k0", "k1"], "left").select("doc_id", "text", "found") \
-        .mapInArrow(_spans, "doc_id long, n_bytes long, spans array<struct<first:bigint,last:bigint>>, kept binary")
+    covered = stored(covered, "covered")
+    ids = covered.select("k0", "k1")
+    if few(ids, SENT_IDS // 2):  # only the texts that lose bytes are shuffled
+        whole = base.join(F.broadcast(ids), ["k0", "k1"], "left_anti").select("doc_id", "text", F.lit(None).cast(covered.schema["found"].dataType).alias("found"))
+        joined = base.join(F.broadcast(ids), ["k0", "k1"], "left_semi").join(covered, ["k0", "k1"]).select("doc_id", "text", "found").unionByName(whole)
+    else:
+        joined = base.join(covered, ["k0", "k1"], "left").select("doc_id", "text", "found")
+    return joined.mapInArrow(_spans, "doc_id long, n_bytes long, spans array<struct<first:bigint,last:bigint>>, kept binary")
 
 
 def report(found: DataFrame) -> DataFrame:

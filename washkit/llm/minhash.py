@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from washkit.llm.common import grams, groups_of, mix, stored, utf8, word_codes
+from washkit.llm.common import few, grams, groups_of, mix, stored, utf8, word_codes
 from washkit.llm.components import components
 
 #: Signature coordinates; the first TOKENS are posted.
@@ -27,7 +27,7 @@ COORDINATES, TOKENS = 128, 64
 #: Coordinates that must agree. A pair at Jaccard 0.85 misses either bound with a probability below 4e-6.
 MATCHES, ALL_MATCHES = 38, 88
 #: Documents of a block of a posting list.
-BLOCK = 64
+BLOCK = 256
 WORDS = 5
 
 _RNG = np.random.default_rng(77)
@@ -179,9 +179,9 @@ def block_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     posts = stored(posts, "postings")
     lists = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     listed = posts.join(lists, "token")
-    home = listed.groupBy("doc_id").agg(F.max(F.struct("n", "token")).alias("h"))
-    parts = F.ceil(F.col("h.n") / F.lit(BLOCK))
-    blocks = stored(home.select("doc_id", F.xxhash64("h.token", F.pmod(F.xxhash64("doc_id"), parts)).alias("blk")), "blocks")
+    home = listed.groupBy("doc_id").agg(F.max(F.struct("n", "token")).alias("h")).select("doc_id", F.col("h.token").alias("home"))
+    homes = home.groupBy("home").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
+    blocks = stored(home.join(homes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("blk")), "blocks")
     there = listed.select("doc_id", "token").join(blocks, "doc_id").select("token", "blk").distinct()
     pairs = (
         there.select("token", F.col("blk").alias("x"))
@@ -206,7 +206,8 @@ def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     )
     met = stored(met, "met")
     needed = met.select("task", F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc_id"))
-    texts = docs.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = stored(needed.select("doc_id").distinct(), "needed")
+    texts = docs.join(F.broadcast(ids) if few(ids) else ids, "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets, "doc_id long, found binary")
     none = F.lit(None)
     rows = needed.join(sets, "doc_id").select("task", "doc_id", "found", none.cast("array<bigint>").alias("a"), none.cast("array<bigint>").alias("b")) \

@@ -28,7 +28,7 @@ from washkit.llm.common import SENT_IDS, Rolling, few, groups_of, stored, utf8
 
 MIN_BYTES, GRAM, PERIOD, BLOCK = 400, 32, 64, 8192
 
-SEGMENT = "start int, n int, rel int, anchor long, hull long"
+SEGMENT = "starts array<int>, n int, rel int, anchor long, hull long"
 
 
 def segments(data: bytes, size: int) -> tuple[np.ndarray, ...] | None:
@@ -62,22 +62,32 @@ def segments(data: bytes, size: int) -> tuple[np.ndarray, ...] | None:
 
 
 def _segments(size: int):
+    """One row for each different segment of a text, with all its starts."""
+
     def run(batches):
         import pyarrow as pa
 
-        names = ["k0", "k1", "start", "n", "rel", "anchor", "hull"]
         for b in batches:
-            k0, k1, cols = [], [], [[] for _ in range(5)]
+            k0, k1, times, cols = [], [], [], [[] for _ in range(5)]
             for x, y, t in zip(b.column("k0").to_numpy(), b.column("k1").to_numpy(), b.column("text"), strict=True):
                 found = segments(t.as_py(), size)
-                if found is not None:
-                    k0.append(np.full(len(found[0]), x))
-                    k1.append(np.full(len(found[0]), y))
-                    for c, v in zip(cols, found, strict=True):
-                        c.append(v)
+                if found is None:
+                    continue
+                start, n, rel, anchor, hull = found
+                order = np.lexsort((start, n, hull, anchor))
+                a, h, m = anchor[order], hull[order], n[order]
+                first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (h[1:] != h[:-1]) | (m[1:] != m[:-1])])
+                k0.append(np.full(len(first), x))
+                k1.append(np.full(len(first), y))
+                times.append(np.diff(np.r_[first, len(order)]))
+                for c, v in zip(cols, (start[order], m[first], rel[order][first], a[first], h[first]), strict=True):
+                    c.append(v)
             if k0:
                 start, n, rel, anchor, hull = (np.concatenate(c) for c in cols)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(k0), np.concatenate(k1), start.astype(np.int32), n.astype(np.int32), rel.astype(np.int32), anchor.view(np.int64), hull.view(np.int64))], names=names)
+                starts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(times))].astype(np.int32)), pa.array(start.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(k0)), pa.array(np.concatenate(k1)), starts, pa.array(n.astype(np.int32)), pa.array(rel.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(hull.view(np.int64))],
+                    names=["k0", "k1", "starts", "n", "rel", "anchor", "hull"])
 
     return run
 
@@ -223,7 +233,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")) \
         .select(F.coalesce("doc_id", F.lit(0)).alias("k0"), F.xxhash64("text", F.col("doc_id").isNull()).alias("k1"), "doc_id", "text")
     segs = stored(base.select("k0", "k1", "text").mapInArrow(_segments(min_bytes), f"k0 long, k1 long, {SEGMENT}"), "segments")
-    hulls = stored(segs.groupBy("anchor", "hull", "n").agg(F.count("*").alias("c"), F.min(F.struct("k0", "k1", "start", "rel")).alias("at")), "hulls")
+    hulls = stored(segs.groupBy("anchor", "hull", "n").agg(F.sum(F.size("starts")).alias("c"), F.min(F.struct("k0", "k1", F.get("starts", F.lit(0)).alias("start"), "rel")).alias("at")), "hulls")
     buckets = hulls.groupBy("anchor").agg(F.count("*").alias("h"), F.min("c").alias("least")).where("h > 1 AND least = 1").drop("least")
     parts = F.ceil(F.col("h") / F.lit(block))
     wanted = (
@@ -245,12 +255,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     across = met.where("offsets >= 0").join(shared, ["anchor", "codes"]).select("anchor", "hull", "n", F.array("offsets", F.col("offsets") + 1).alias("runs"))
     once = found.where(F.size("runs") > 0).select("anchor", "hull", "n", "runs").unionByName(across)
     twice = hulls.where("c > 1").select("anchor", "hull", "n", F.array(F.lit(0), F.col("n")).alias("runs"))
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1), lambda i: F.struct(F.get("runs", i * 2).alias("a"), F.get("runs", i * 2 + 1).alias("b")))
+    runs = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1), lambda i: F.struct(F.get("runs", i * 2).alias("a"), F.get("runs", i * 2 + 1).alias("b")))
+    spans = F.flatten(F.transform("starts", lambda s: F.transform(runs, lambda r: F.struct((s + r["a"]).cast("long").alias("first"), (s + r["b"] - 1 + min_bytes).cast("long").alias("last")))))
     covered = (
-        segs.select("k0", "k1", "start", "n", "anchor", "hull").join(once.unionByName(twice), ["anchor", "hull", "n"])
-        .select("k0", "k1", "start", F.explode(pairs).alias("r"))
-        .select("k0", "k1", F.struct((F.col("start") + F.col("r.a")).cast("long").alias("first"), (F.col("start") + F.col("r.b") - 1 + min_bytes).cast("long").alias("last")).alias("f"))
-        .groupBy("k0", "k1").agg(F.collect_list("f").alias("found"))
+        segs.select("k0", "k1", "starts", "n", "anchor", "hull").join(once.unionByName(twice), ["anchor", "hull", "n"])
+        .select("k0", "k1", spans.alias("f"))
+        .groupBy("k0", "k1").agg(F.flatten(F.collect_list("f")).alias("found"))
     )
     covered = stored(covered, "covered")
     ids = covered.select("k0", "k1")

@@ -180,6 +180,10 @@ def block_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     listed = posts.join(lists, "token")
     home = listed.groupBy("doc_id").agg(F.max(F.struct("n", "token")).alias("h")).select("doc_id", F.col("h.token").alias("home"))
+    homes = home.groupBy("home").agg(F.count("*").alias("n"))
+    # documents move to the largest home that a document of one of their lists has, so few blocks are small
+    best = listed.select("doc_id", "token").join(home.join(homes, "home"), "doc_id").groupBy("token").agg(F.max(F.struct("n", "home")).alias("h"))
+    home = stored(listed.select("doc_id", "token").join(best, "token").groupBy("doc_id").agg(F.max("h").alias("h")).select("doc_id", F.col("h.home").alias("home")), "homes")
     homes = home.groupBy("home").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
     blocks = stored(home.join(homes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("blk")), "blocks")
     there = listed.select("doc_id", "token").join(blocks, "doc_id").select("token", "blk").distinct()

@@ -23,7 +23,7 @@ WITH cut AS (
   FROM named
 ), d AS (SELECT suffix, domain, sum(n) AS n, sum(x) AS x FROM h GROUP BY suffix, domain),
 s AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM d GROUP BY suffix),
-t AS (SELECT (coalesce(sum(x), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS top FROM s),
+t AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(x) + 0.5) / (sum(n) + 1) ELSE 0.0 END AS top FROM s),
 lv AS (SELECT 'h' AS lv, n, x FROM h WHERE n > 0 UNION ALL SELECT 'd', n, x FROM d WHERE n > 0 UNION ALL SELECT 's', n, x FROM s WHERE n > 0),
 m AS (SELECT lv, count(*) AS m, sum(n) AS n, sum(x) AS x, sum(x * x / n) AS xx, sum(n * n) AS nn FROM lv GROUP BY lv),
 f AS (SELECT *, x / n * (1 - x / n) AS v, n - nn / n - (m - 1) AS w FROM m),

@@ -67,7 +67,7 @@ def host_bounds(outcomes: DataFrame, deviations: float = DEVIATIONS) -> DataFram
     hosts = outcomes.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "x")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    overall = suffixes.agg(((F.coalesce(F.sum("x"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("top"))
+    overall = suffixes.agg(F.when(F.sum("n") > 0, (F.sum("x") + 0.5) / (F.sum("n") + 1)).otherwise(F.lit(0.0)).alias("top"))
 
     def shrunk(level: DataFrame, prior: str, rate: str) -> DataFrame:
         alpha = F.col("k") * F.col(prior) + F.col("x")

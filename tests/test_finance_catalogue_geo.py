@@ -150,3 +150,10 @@ def test_enrichment_band(spark, tmp_path):
     assert got == {"North": "good", "Limbo": "warn"}
     none = G.enrich_zones(m.where("name = 'North'"), shapes, ["safeAccess"], band_col="safeAccess")
     assert {r["name"]: r["band"] for r in none.collect()} == {"North": "good", "Limbo": "none"}
+
+
+def test_unpaid_bills_count_in_full(spark):
+    bills = spark.createDataFrame([("z", "2024-01-01", 100.0, None), ("z", "2024-01-01", 50.0, 20.0)], "zone string, date string, billed double, paid double") \
+        .selectExpr("zone", "CAST(date AS DATE) AS date", "billed", "paid")
+    rows = FN.debt_aging(bills, "2024-02-01").collect()
+    assert sum(float(r["outstanding"]) for r in rows) == 130.0

@@ -241,3 +241,40 @@ def test_typed_csv_loaders(spark, tmp_path):
     p = tmp_path / "prod.csv"
     p.write_text("date,source,production_m3,service_hours\n2024-01-01,well,10,20\n")
     assert files.read_production_csv(spark, [str(p), str(tmp_path / "missing.csv")], tolerant=True).count() == 1
+
+
+def test_csv_columns_are_taken_by_header_name(spark, tmp_path):
+    a, b = tmp_path / "a.csv", tmp_path / "b.csv"
+    a.write_text("date,extra,customer_id,paid,billed\n2024-01-01,x,c1,100.0,10.0\n")
+    b.write_text("billed,customer_id\nabc,c2\n5,c3\n")
+    got = files.read_csv(spark, [str(a), str(b)], "customer_id STRING, date DATE, billed DOUBLE, paid DOUBLE").collect()
+    assert sorted((r.customer_id, str(r.date), r.billed, r.paid) for r in got) == [
+        ("c1", "2024-01-01", 10.0, 100.0), ("c2", "None", None, None), ("c3", "None", 5.0, None)]
+    with pytest.raises(ValueError):
+        files.read_csv(spark, str(a), "other STRING")
+
+
+def test_absent_json_document_gives_defaults(spark, tmp_path):
+    schema = "nrw DOUBLE, budget STRUCT<water: DOUBLE, other: DOUBLE>"
+    defaults = {"nrw": 45.0, "budget": {"water": 60.0}}
+    assert files.read_json_document(spark, str(tmp_path / "none.json"), schema, defaults).collect()[0].asDict(True) == {"nrw": 45.0, "budget": {"water": 60.0, "other": None}}
+    (tmp_path / "d.json").write_text('{"budget": {"other": 1.5}}')
+    assert files.read_json_document(spark, str(tmp_path / "d.json"), schema, defaults).collect()[0].asDict(True) == {"nrw": 45.0, "budget": {"water": 60.0, "other": 1.5}}
+
+
+def test_geojson_points(spark, tmp_path):
+    (tmp_path / "p.geojson").write_text('{"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"country": "A", "zone": "z"}, "geometry": {"type": "Point", "coordinates": [1.5, -2.0]}}]}')
+    assert [tuple(r) for r in files.read_geojson_points(spark, str(tmp_path / "p.geojson")).select("country", "zone", "lon", "lat").collect()] == [("A", "z", 1.5, -2.0)]
+
+
+def test_every_order_reaches_the_access_table_and_new_files_are_read(spark, tmp_path):
+    from washkit.plans.queries import REGISTRY, access_table
+
+    total = access_table(spark, SMALL).agg(F.sum("popn_total")).first()[0]
+    assert total == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    assert "access_union" in REGISTRY
+    one = spark.range(5).select(F.col("id").alias("x"))
+    one.write.parquet(str(tmp_path / "t.parquet"))
+    assert V.Tables(spark, str(tmp_path)).t.count() == 5
+    one.write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    assert V.Tables(spark, str(tmp_path)).t.count() == 10

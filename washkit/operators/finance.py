@@ -179,11 +179,11 @@ def billing_collection(bills: DataFrame, by: str = "year", *, digits: int | None
 
 # --------------------------------------------------------------------------- A23
 def debt_aging(bills: DataFrame, as_of: str, *, digits: int | None = 6) -> DataFrame:
-    """Outstanding (billed - paid) of bills dated on or before ``as_of`` by age bucket,
-    with each bucket's share of all outstanding debt (grand total as a scalar subquery)."""
+    """Outstanding (billed - paid, a missing amount counting 0) of bills dated on or before
+    ``as_of`` by age bucket, with each bucket's share of all outstanding debt (grand total as a scalar subquery)."""
     d = bills.where(F.col("date") <= F.to_date(F.lit(as_of))).select(
         F.datediff(F.to_date(F.lit(as_of)), F.col("date")).alias("age"),
-        (F.col("billed") - F.col("paid")).alias("outstanding"),
+        (F.coalesce("billed", F.lit(0)) - F.coalesce("paid", F.lit(0))).alias("outstanding"),
     )
     bucket = None
     order = None
@@ -192,7 +192,7 @@ def debt_aging(bills: DataFrame, as_of: str, *, digits: int | None = 6) -> DataF
         bucket = F.when(cond, F.lit(label)) if bucket is None else bucket.when(cond, F.lit(label))
         order = F.when(cond, F.lit(i + 1)) if order is None else order.when(cond, F.lit(i + 1))
     g = d.groupBy(bucket.alias("bucket"), order.alias("bucket_order")).agg(msum("outstanding").alias("outstanding"))
-    total = d.select(msum("outstanding")).scalar()
+    total = g.select(F.sum("outstanding")).scalar()
     return g.select("bucket", "bucket_order", _money(F.col("outstanding")).alias("outstanding"),
                     _r(C.safe_ratio(F.col("outstanding"), total, 100.0), digits).alias("share_pct"))
 

@@ -1,13 +1,12 @@
 """Join helpers with an explicit, checked broadcast decision.
 
 Base parquet tables do not need these: the planner sizes them from file statistics and AQE
-from run-time shuffle sizes. Use :func:`dimension_join` when the dimension is a derived
-DataFrame whose size the planner cannot estimate, so it would never broadcast on its own.
+from run-time shuffle sizes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A dimension is broadcast only when it has at most this many rows (after its own
@@ -27,15 +26,3 @@ def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` when the bounded count proves it small, else ``df`` unchanged."""
     return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def dimension_join(fact: DataFrame, dim: DataFrame, on: Column | str | list, how: str = "inner",
-                   max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, size_proof: DataFrame | None = None) -> DataFrame:
-    """Join a fact table to a dimension, broadcasting the dimension only behind the size check.
-
-    ``size_proof`` may name a cheaper relation with at least as many rows as ``dim`` -- e.g.
-    the dimension's base table when ``dim`` is that table joined N:1 to smaller lookups --
-    so the check does not have to run those joins.
-    """
-    small = is_small((size_proof if size_proof is not None else dim), max_rows)
-    return fact.join(F.broadcast(dim) if small else dim, on, how)

@@ -14,13 +14,13 @@ from washkit.plans import params as X
 # --------------------------------------------------------------------------- stand-in views
 ACCESS_CTE = """
 pc AS (
-  SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS status, count(*) AS n,
+  SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, if(coalesce(o_orderstatus, '') = 'O', 'O', 'F') AS status, count(*) AS n,
          count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS p1,
          count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS p2,
          count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM') AS p3,
          count(*) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED') AS p4,
          count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS p5
-  FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2, 3),
+  FROM orders GROUP BY 1, 2, 3),
 cnt AS (
   SELECT r_name AS country, n_name AS zone, year, status, sum(n) AS n, sum(p1) AS p1, sum(p2) AS p2,
          sum(p3) AS p3, sum(p4) AS p4, sum(p5) AS p5, count(*) AS hh

@@ -20,7 +20,6 @@ from washkit.operators import geo as G
 from washkit.operators import kpi as K
 from washkit.operators import service as S
 from washkit.plans import params as X
-from washkit.session import same_session, session_key
 from washkit.sources import files
 from washkit.sources import standins as V
 
@@ -35,16 +34,9 @@ def register(key: str):
     return deco
 
 
-# Stand-in inputs defined once per (session, directory): a lazy plan, like a session temp view,
-# so every query does not re-analyse the same view definition. No data is cached.
-_VIEWS: dict[tuple, DataFrame] = {}
-
-
 def _view(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (session_key(spark), sf_dir, name)
-    if key not in _VIEWS or not same_session(_VIEWS[key], spark):
-        _VIEWS[key] = build()
-    return _VIEWS[key]
+    """A stand-in input, defined anew for each query so that files added meanwhile are read."""
+    return build()
 
 
 def access_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,6 @@ def get_spark(master: str | None = None, app: str = "washkit", shuffle_partition
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -61,14 +60,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
-
-
-def session_key(spark: SparkSession) -> tuple:
-    """Identity of a live session: application id and start time of its context, plus the session."""
-    sc = spark.sparkContext
-    return (sc.applicationId, sc.startTime, id(spark))
-
-
-def same_session(df: DataFrame, spark: SparkSession) -> bool:
-    """True when ``df`` belongs to ``spark`` (so a per-session definition may be reused)."""
-    return df.sparkSession is spark

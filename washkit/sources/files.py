@@ -21,26 +21,31 @@ from washkit.sources import schemas as S
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str, *, tolerant: bool = False) -> DataFrame:
     """Header CSV with a declared schema.
 
-    ``tolerant=True`` skips missing or unreadable files (S2); a missing path then
-    yields an empty, typed frame instead of an error.
+    Columns are taken by header name, path by path (the files of one path share a header):
+    order does not matter, further columns are ignored, absent ones are NULL, text that does not
+    parse is NULL. A path with none of the declared columns is an error. ``tolerant=True``
+    skips missing or unreadable files (S2); a missing path then yields an empty, typed frame
+    instead of an error.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-    if not tolerant:
-        return reader.csv(paths)
-    reader = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-    try:
-        return reader.csv(paths)  # one relation over all paths (a missing path fails here)
-    except AnalysisException:
-        pass
-    existing = []
-    for p in paths:  # probe paths one by one only after a failure
+    fields = T.StructType.fromDDL(schema).fields
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    if tolerant:
+        reader = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    out = None
+    for path in paths:
         try:
-            reader.csv(p)
-            existing.append(p)
+            raw = reader.csv(path)
         except AnalysisException:
+            if not tolerant:
+                raise
             continue
-    return reader.csv(existing) if existing else spark.createDataFrame([], schema)
+        names = {c.strip().lstrip("\ufeff"): c for c in raw.columns}
+        if raw.columns and not any(f.name in names for f in fields):
+            raise ValueError(f"{path}: none of the columns {[f.name for f in fields]} in the header {raw.columns}")
+        part = raw.select([(F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in fields])
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def normalise_access(df: DataFrame) -> DataFrame:
@@ -90,14 +95,27 @@ def load_access_csv(spark: SparkSession, water_path: str | None, sewer_path: str
 def read_json_document(
     spark: SparkSession, path: str, schema: str | T.StructType, defaults: Mapping[str, object] | None = None
 ) -> DataFrame:
-    """S3: multi-line JSON documents with a declared schema; absent fields take defaults."""
-    df = spark.read.schema(schema).option("multiLine", True).option("ignoreMissingFiles", True).json(path)
+    """S3: multi-line JSON documents with a declared schema; absent fields take defaults. An absent
+    document gives one typed row of defaults."""
+    try:
+        df = spark.read.schema(schema).option("multiLine", True).option("ignoreMissingFiles", True).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        df = spark.createDataFrame([(None,) * len(kind.fields)], T.StructType([T.StructField(f.name, f.dataType, True) for f in kind.fields]))
     return apply_defaults(df, defaults or {})
 
 
 def apply_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
-    """Fill NULL top-level fields from literal defaults (``coalesce(col, lit(default))``)."""
-    changes = {k: F.coalesce(F.col(k), F.lit(v)) for k, v in defaults.items() if k in df.columns}
+    """Fill NULL fields from literal defaults; a mapping is the defaults of a struct's fields."""
+    def filled(c, kind, v):
+        if isinstance(v, Mapping) and isinstance(kind, T.StructType):
+            return F.struct(*[(filled(c[f.name], f.dataType, v[f.name]) if f.name in v else c[f.name]).alias(f.name) for f in kind.fields])
+        return F.coalesce(c, F.lit(v).cast(kind))
+
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    changes = {k: filled(F.col(k), kinds[k], v) for k, v in defaults.items() if k in kinds}
     return df.withColumns(changes) if changes else df
 
 

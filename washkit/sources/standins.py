@@ -32,17 +32,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from washkit.session import same_session, session_key, table_path
+from washkit.session import table_path
 
 # Fixed mapping of the stand-ins: the five order priorities play the five ladder rungs.
 PRIORITY_RUNGS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-# Base relations already opened in a session: (session id, path) -> DataFrame. Like a catalog
-# table, the file listing and parquet footers are read once per session, not once per query.
-_OPENED: dict[tuple, DataFrame] = {}
-
-
 @dataclass
 class Tables:
     """Lazy parquet tables of one scale-factor directory."""
@@ -55,11 +50,7 @@ class Tables:
         if name.startswith("_") or name in ("spark", "sf_dir"):
             raise AttributeError(name)
         if name not in self._cache:
-            path = table_path(self.sf_dir, name)
-            key = (session_key(self.spark), path)
-            if key not in _OPENED or not same_session(_OPENED[key], self.spark):
-                _OPENED[key] = self.spark.read.parquet(path)
-            self._cache[name] = _OPENED[key]
+            self._cache[name] = self.spark.read.parquet(table_path(self.sf_dir, name))
         return self._cache[name]
 
 
@@ -74,10 +65,10 @@ _RUNG_COUNTS = ",\n".join(
 _ACCESS_COUNTS = f"""
 SELECT r_name AS country, n_name AS zone, year, status, sum(n) AS n, sum(p1) AS p1, sum(p2) AS p2, sum(p3) AS p3,
        sum(p4) AS p4, sum(p5) AS p5, count(1) AS hh
-FROM (SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS year, o_orderstatus AS status, count(1) AS n,
-             {_RUNG_COUNTS}
-      FROM {{orders}} WHERE o_orderstatus IN ('F', 'O')
-      GROUP BY o_custkey, CAST(year(o_orderdate) AS INT), o_orderstatus) per_cust
+FROM (SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS year, CASE WHEN o_orderstatus = 'O' THEN 'O' ELSE 'F' END AS status,
+             count(1) AS n, {_RUNG_COUNTS}
+      FROM {{orders}}
+      GROUP BY o_custkey, CAST(year(o_orderdate) AS INT), CASE WHEN o_orderstatus = 'O' THEN 'O' ELSE 'F' END) per_cust
 JOIN {{customer}} ON o_custkey = c_custkey
 JOIN {{nation}} ON c_nationkey = n_nationkey
 JOIN {{region}} ON n_regionkey = r_regionkey
@@ -86,7 +77,8 @@ GROUP BY r_name, n_name, year, status
 
 
 def _access_counts(t: Tables) -> DataFrame:
-    """Orders per (region, nation, year, status) with one count per priority.
+    """Orders per (region, nation, year, status) with one count per priority. Every order counts
+    once: status ``O`` is the sewer side, any other status the water side.
 
     ``households`` = distinct customers: orders are first reduced to one row per
     (customer, year, status), so it is a plain count afterwards (no distinct aggregate).

@@ -14,7 +14,7 @@ def corpus(spark, tmp_path_factory):
     texts[1] = texts[2]
     texts[3] = texts[4] + " end"
     texts[5] = prose(1, 30) + " " + PASSAGE + " " + prose(2, 30)
-    texts[6] = PASSAGE + " " + prose(3, 60)
+    texts[6] = PASSAGE + " " + prose(903, 60)
     texts[8] = prose(8, 30) + " " + ITEM + " " + prose(9, 30)
     rows = [(i, t, "en", f"s{i % 9}", len(t)) for i, t in texts.items()]
     rows += [(301, texts[10] + " x", "en", None, 1), (302, texts[11], None, "s", None), (302, texts[11], None, "s", None), (303, None, "en", "s", 0), (None, prose(77, 60), "en", "s", 0)]
@@ -38,7 +38,7 @@ def test_stages(spark, corpus):
     ids = [r.doc_id for r in near]
     assert {r.doc_id for r in quality} - set(ids) == {2, 4, 301, 302} - {i for i in (2, 4) if i % 7 == 0} and len(ids) == len(set(ids))
     left = {r.doc_id: r.text for r in passages}
-    assert PASSAGE not in left[5] and PASSAGE not in left[6] and left[5].startswith(prose(1, 30)) and left[6].endswith(prose(3, 60)[5:]) and left[9] == texts[9]
+    assert PASSAGE not in left[5] and PASSAGE not in left[6] and left[5].startswith(prose(1, 30)) and left[6].endswith(prose(903, 60)[5:]) and left[9] == texts[9]
     assert set(left) - {r.doc_id for r in leaks} == {8}
     total = {}
     for r in packed:

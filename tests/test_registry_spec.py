@@ -11,7 +11,7 @@ from washkit.sources import files
 def test_registry_ids_unique_and_spec_rows_present():
     ids = [k.id for k in K.REGISTRY]
     assert len(ids) == len(set(ids))
-    for must in ("C3", "C5", "F5", "F6", "F8", "F9", "F10", "F11", "N2", "N3", "N4", "N6", "G3", "G5", "AH", "WD"):
+    for must in ("C3", "C5", "F5", "F6", "F8", "F9", "F10", "F11", "N2", "N3", "N4", "N6", "S5", "G3", "G5", "AH", "WD"):
         assert must in K.BY_ID
 
 
@@ -31,6 +31,19 @@ def test_national_accounts_fixture(spark):
     assert got[("Y", "N6")] is None  # all-NULL sum
 
 
+def test_percent_and_proportion_inputs_are_weighted(spark):
+    df = spark.createDataFrame([("X", 0.2, 100, 30.0, 300.0), ("X", 0.4, 300, 10.0, 100.0)],
+                               "city string, propoor_popn double, popn_total long, san_allocation double, budget_allocated double")
+    got = {r["kpi_id"]: r["value"] for r in K.ratio_kpis(df, ["city"], [K.BY_ID["F11"], K.BY_ID["N2"]]).collect()}
+    assert got == {"F11": 35.0, "N2": 25.0}
+
+
+def test_oracle_takes_no_formula_from_the_library():
+    from washkit.plans import oracle
+
+    assert "washkit.operators" not in open(oracle.__file__).read()
+
+
 def test_cross_table_staff_cost_share(spark):
     na = spark.createDataFrame([("X", 2024, 30.0), ("X", 2024, 10.0), ("Y", 2024, 5.0)],
                                "city string, year int, staff_cost double")

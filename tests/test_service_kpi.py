@@ -8,14 +8,14 @@ from washkit.operators import service as S
 SVC_COLS = ("country string, city string, zone string, year int, month int, households long, w_supplied double, "
             "total_consumption double, metered double, tests_conducted_chlorine long, test_passed_chlorine long, "
             "test_conducted_ecoli long, tests_passed_ecoli long, complaints long, resolved long, "
-            "sewer_connections long, public_toilets long")
+            "sewer_connections long, public_toilets long, popn_total long, metered_connections long, active_connections long")
 
 
 def svc(spark):
     data = [
-        ("C", "X", "z1", 2024, 1, 100, 1000.0, 800.0, 500.0, 10, 9, 10, 10, 4, 2, 50, 3),
-        ("C", "X", "z1", 2024, 2, 100, 1000.0, 700.0, None, 10, 10, 0, 0, 0, 0, 60, 3),
-        ("C", "X", "z2", 2024, 1, 50, 500.0, 500.0, 100.0, 5, 5, 5, 4, 2, 2, 10, 1),
+        ("C", "X", "z1", 2024, 1, 100, 1000.0, 800.0, 500.0, 10, 9, 10, 10, 4, 2, 50, 3, 400, 70, 90),
+        ("C", "X", "z1", 2024, 2, 100, 1000.0, 700.0, None, 10, 10, 0, 0, 0, 0, 60, 3, 400, None, 90),
+        ("C", "X", "z2", 2024, 1, 50, 500.0, 500.0, 100.0, 5, 5, 5, 4, 2, 2, 10, 1, 200, 20, 40),
     ]
     return S.prepare_service(spark.createDataFrame(data, SVC_COLS))
 
@@ -58,7 +58,7 @@ def test_ratio_kpis_ratio_of_sums(spark):
            K.ratio_kpis(s, ["zone"], [K.BY_ID["F3"], K.BY_ID["C4"], K.BY_ID["C7"]]).collect()}
     assert got[("z1", "F3")] == 25.0  # (2000-1500)/2000
     assert got[("z1", "C4")] == 50.0
-    assert abs(got[("z2", "C7")] - 10 * 1000 / 30) < 1e-6
+    assert abs(got[("z2", "C7")] - 2.5 * 1000 / 30) < 1e-6
 
 
 def test_data_quality_status(spark):
@@ -66,19 +66,32 @@ def test_data_quality_status(spark):
     got = {(r["zone"], r["kpi_id"]): r["status"] for r in
            K.data_quality(s, ["zone"], [K.BY_ID["F7"], K.BY_ID["C4"]]).collect()}
     assert got[("z1", "F7")] == "partial" and got[("z2", "F7")] == "complete"
-    df = spark.createDataFrame([(None, 1.0)], "metered double, total_consumption double")
+    df = spark.createDataFrame([(None, 1)], "metered_connections long, active_connections long")
     assert K.data_quality(df, [], [K.BY_ID["F7"]]).collect()[0]["status"] == "missing"
 
 
 def test_sanitation_chain_worked_example(spark):
-    df = spark.createDataFrame([("C", 68.0, 43.0, None, 48000, 16400, 120, 34)],
-                               "country string, w_supplied double, total_consumption double, metered double, "
-                               "households long, sewer_connections long, tests_conducted_chlorine long, "
-                               "test_passed_chlorine long")
+    df = spark.createDataFrame([("C", 150.0, 68.0, 43.0, 12.0, 60000, 12000, 16400, 120.0, 34.0)],
+                               "country string, w_supplied double, ww_collected double, ww_treated double, ww_reused double, "
+                               "households long, sewer_connections long, hh_emptied long, fs_treated double, fs_reused double")
     got = {(r["stream"], r["stage"]): r["pct"] for r in K.sanitation_chain(df, ["country"]).collect()}
     assert round(got[("wastewater", "treated")], 1) == 63.2
-    assert round(got[("faecal_sludge", "emptied")], 1) == 34.2
+    assert got[("wastewater", "reused")] == 8.0  # of the water supplied
+    assert round(got[("faecal_sludge", "emptied")], 1) == 34.2  # of 48000 non-sewered households
     assert round(got[("faecal_sludge", "reused")], 1) == 28.3
+    kpis = {r["kpi_id"]: r["value"] for r in
+            K.ratio_kpis(df, ["country"], [K.BY_ID[i] for i in ("S1", "S2", "S3", "S4", "S5")]).collect()}
+    assert [round(kpis[i], 1) for i in ("S1", "S2", "S3", "S4", "S5")] == [63.2, 8.0, 34.2, 28.3, 27.9]
+
+
+def test_documented_inputs_of_service_and_budget_kpis(spark):
+    df = spark.createDataFrame([("x", 6, 200, 40.0, 900.0, 3000, 30, 40, 18, 24, 80.0, 100.0)],
+                               "zone string, blocks long, sewer_connections long, sewer_length double, total_consumption double, "
+                               "popn_total long, metered_connections long, active_connections long, public_toilets long, "
+                               "public_spaces long, actual_expenditure double, wash_budget double")
+    ids = ("C6", "C6_km", "C7", "F7", "S6", "F12", "F12_pct")
+    got = {r["kpi_id"]: r["value"] for r in K.ratio_kpis(df, ["zone"], [K.BY_ID[i] for i in ids]).collect()}
+    assert got == {"C6": 30.0, "C6_km": 15.0, "C7": 10.0, "F7": 75.0, "S6": 75.0, "F12": 20.0, "F12_pct": 80.0}
 
 
 def test_scorecard_direction(spark):

@@ -51,28 +51,32 @@ REGISTRY: list[Kpi] = [
     Kpi("C1", "Water quality compliance", "service", "test_passed_chlorine + tests_passed_ecoli",
         "tests_conducted_chlorine + test_conducted_ecoli", target=95.0, section="service"),
     Kpi("C4", "Complaint resolution", "service", "resolved", "complaints", target=90.0, section="service"),
-    Kpi("C6", "Sewer blockages per 1000 connections", "service", "complaints", "sewer_connections", scale=1000.0,
+    Kpi("C6", "Sewer blockages per 1000 connections", "service", "blocks", "sewer_connections", scale=1000.0,
         higher_is_better=False, section="service"),
-    Kpi("C7", "Consumption l/c/d", "service", "total_consumption", "households", scale=1000.0 / 30.0,
+    Kpi("C6_km", "Sewer blockages per 100 km", "service", "blocks", "sewer_length", higher_is_better=False,
+        section="service"),
+    Kpi("C7", "Consumption l/c/d", "service", "total_consumption", "popn_total", scale=1000.0 / 30.0,
         higher_is_better=None, section="service"),
     Kpi("F3", "Non-revenue water", "service", "w_supplied - total_consumption", "w_supplied", higher_is_better=False,
         target=25.0, section="service"),
-    Kpi("F7", "Metered share", "service", "metered", "total_consumption", section="service"),
+    Kpi("F7", "Metered connections", "service", "metered_connections", "active_connections", section="service"),
     # sanitation chain (city-month)
-    Kpi("S1", "Wastewater treated", "service", "total_consumption", "w_supplied", target=80.0, section="sanitation"),
-    Kpi("S2", "Water reused", "service", "metered", "w_supplied", section="sanitation"),
-    Kpi("S3", "Faecal sludge emptied", "service", "sewer_connections", "households", section="sanitation"),
-    Kpi("S4", "Treated faecal sludge reused", "service", "test_passed_chlorine", "tests_conducted_chlorine",
-        section="sanitation"),
-    Kpi("S6", "Public toilets functional", "service", "public_toilets", "households", section="sanitation"),
+    Kpi("S1", "Wastewater treated", "service", "ww_treated", "ww_collected", target=80.0, section="sanitation"),
+    Kpi("S2", "Water reused", "service", "ww_reused", "w_supplied", section="sanitation"),
+    Kpi("S3", "Faecal sludge emptied", "service", "hh_emptied", "households - sewer_connections", section="sanitation"),
+    Kpi("S4", "Treated faecal sludge reused", "service", "fs_reused", "fs_treated", section="sanitation"),
+    Kpi("S5", "Treated wastewater reused", "service", "ww_reused", "ww_treated", section="sanitation"),
+    Kpi("S6", "Public toilets functional", "service", "public_toilets", "public_spaces", section="sanitation"),
     # finance
     Kpi("F1", "Collection efficiency", "billing", "paid", "billed", target=95.0, section="finance"),
     Kpi("F2", "Operating cost coverage", "ledger", "total_operating_revenues", "total_operating_expenditures",
         target=150.0, section="finance"),
     Kpi("F4", "Working ratio", "ledger", "total_operating_expenditures", "total_operating_revenues", scale=1.0,
         higher_is_better=False, section="finance"),
-    Kpi("F12", "Budget execution", "ledger", "total_operating_expenditures", "total_billing", higher_is_better=None,
-        section="finance"),
+    Kpi("F12", "Budget variance (allocated - actual)", "city_year", "wash_budget - actual_expenditure", None, scale=1.0,
+        higher_is_better=None, section="finance"),
+    Kpi("F12_pct", "Budget execution (actual / allocated)", "city_year", "actual_expenditure", "wash_budget",
+        higher_is_better=None, section="finance"),
     # production
     Kpi("C2", "Continuity (hours/day)", "production", "service_hours", "1", scale=1.0, target=22.0, section="service"),
     # governance / sector (city-year)
@@ -80,16 +84,15 @@ REGISTRY: list[Kpi] = [
     Kpi("G2", "Active licensed providers", "city_year", "active_licensed", "total_licensed", section="governance"),
     Kpi("G4", "Human-capital investment", "city_year", "training_budget", "wash_budget", section="governance"),
     Kpi("N1", "Budget to water", "city_year", "water_budget", "wash_budget", section="sector"),
-    # cross-table (J3): provider budget per m3 consumed, city_year joined to service at (city, year)
-    Kpi("N5", "Water use efficiency (value per m3)", "city_year+service", "wash_budget", "total_consumption",
+    # cross-table (J3): output value per m3 of water used, city_year joined to service at (city, year);
+    # for one economic sector give it that sector's rows
+    Kpi("N5", "Water use efficiency (value per m3)", "city_year+service", "output_value", "water_used",
         scale=1.0, section="cross"),
     # Spec-only indicators: same formula shape, inputs named after the documented tables
     # (city_month, national_accounts, service extensions). Tested on fixtures.
     Kpi("C3", "24x7 supply", "service_ext", "connections_24x7", "active_connections", section="spec"),
     Kpi("C5", "Complaint turnaround (days)", "complaints", "days_to_resolve", "1", scale=1.0,
         higher_is_better=False, section="spec"),
-    Kpi("C6_km", "Sewer blockages per 100 km", "city_month", "blocks", "sewer_length", higher_is_better=False,
-        section="spec"),
     Kpi("F5", "Staff per 1000 connections", "city_month", "w_staff + san_staff", "active_connections", scale=1000.0,
         higher_is_better=False, section="spec"),
     Kpi("F6", "Staff cost share of opex", "national_accounts+city_month", "staff_cost", "opex",
@@ -97,8 +100,11 @@ REGISTRY: list[Kpi] = [
     Kpi("F8", "WTP utilisation", "service_ext", "wtp_used", "wtp_capacity", section="spec"),
     Kpi("F9", "STP utilisation", "service_ext", "ww_treated", "ww_capacity", section="spec"),
     Kpi("F10", "FSTP utilisation", "service_ext", "fs_treated", "fstp_capacity", section="spec"),
-    Kpi("F11", "Pro-poor financing", "city_month", "propoor_popn", "served_popn", section="spec"),
-    Kpi("N2", "Budget to sanitation", "national_accounts", "san_allocation", "budget_allocated", section="spec"),
+    # propoor_popn is documented as a proportion of the population, san_allocation as a percent of the budget:
+    # both are weighted means, so groups of several rows add up
+    Kpi("F11", "Pro-poor financing", "city_month", "propoor_popn * popn_total", "popn_total", section="spec"),
+    Kpi("N2", "Budget to sanitation", "national_accounts", "san_allocation * budget_allocated", "budget_allocated",
+        scale=1.0, section="spec"),
     Kpi("N3", "Budget disbursed", "national_accounts", "budget_disbursed", "budget_allocated", section="spec"),
     Kpi("N4", "Water stress", "national_accounts", "water_withdrawals", "water_resources", higher_is_better=False,
         section="spec"),
@@ -195,16 +201,15 @@ def sanitation_chain(svc: DataFrame, by: Sequence[str] = ("country",), *, digits
 
     wastewater: collected -> treated (% of collected) -> reused (% of water supplied);
     faecal sludge: non-sewered households -> emptied (% of non-sewered) -> treated -> reused (% of treated).
-    Mapping of service columns: collected = supplied = ``w_supplied``, treated = ``total_consumption``,
-    reused = ``metered``, non-sewered = ``households``, emptied = ``sewer_connections``, FS treated /
-    reused = ``tests_conducted_chlorine`` / ``test_passed_chlorine``.
+    Columns: ``ww_collected``, ``ww_treated``, ``ww_reused``, ``w_supplied``; ``households`` less
+    ``sewer_connections`` (null counts as none) are non-sewered; ``hh_emptied``, ``fs_treated``, ``fs_reused``.
     """
+    non_sewered = F.col("households") - F.coalesce("sewer_connections", F.lit(0))
     g = svc.groupBy(*by).agg(
-        F.sum("w_supplied").alias("collected"), F.sum("total_consumption").alias("treated"),
-        F.sum("metered").alias("reused"), F.sum("households").cast("double").alias("non_sewered"),
-        F.sum("sewer_connections").cast("double").alias("emptied"),
-        F.sum("tests_conducted_chlorine").cast("double").alias("fs_treated"),
-        F.sum("test_passed_chlorine").cast("double").alias("fs_reused"),
+        F.sum("ww_collected").alias("collected"), F.sum("ww_treated").alias("treated"),
+        F.sum("ww_reused").alias("reused"), F.sum("w_supplied").alias("supplied"),
+        F.sum(non_sewered).cast("double").alias("non_sewered"), F.sum("hh_emptied").cast("double").alias("emptied"),
+        F.sum("fs_treated").cast("double").alias("fs_treated"), F.sum("fs_reused").cast("double").alias("fs_reused"),
     )
     none = F.lit(None).cast("double")
 
@@ -215,7 +220,7 @@ def sanitation_chain(svc: DataFrame, by: Sequence[str] = ("country",), *, digits
     items = [
         item("wastewater", "collected", 1, "collected", none),
         item("wastewater", "treated", 2, "treated", C.safe_ratio(F.col("treated"), F.col("collected"), 100.0)),
-        item("wastewater", "reused", 3, "reused", C.safe_ratio(F.col("reused"), F.col("collected"), 100.0)),
+        item("wastewater", "reused", 3, "reused", C.safe_ratio(F.col("reused"), F.col("supplied"), 100.0)),
         item("faecal_sludge", "non_sewered", 1, "non_sewered", none),
         item("faecal_sludge", "emptied", 2, "emptied", C.safe_ratio(F.col("emptied"), F.col("non_sewered"), 100.0)),
         item("faecal_sludge", "treated", 3, "fs_treated", none),

@@ -205,20 +205,32 @@ FROM g WINDOW w AS (PARTITION BY country, zone, type ORDER BY year)
 
 
 # =========================================================================== service
-from washkit.operators import kpi as _K  # noqa: E402
-
 SERVICE_CTE = """
 svc AS (
   SELECT r_name AS country, n_name AS city, l_returnflag AS zone, CAST(year(l_shipdate) AS INTEGER) AS year,
-         CAST(month(l_shipdate) AS INTEGER) AS month, count(*) AS households, sum(l_quantity) AS w_supplied,
+         CAST(month(l_shipdate) AS INTEGER) AS month, count(*) AS households, sum(l_linenumber)::BIGINT AS popn_total,
+         sum(l_quantity) AS w_supplied,
          CAST(sum(CAST(floor((l_quantity * (1e0 - l_discount)) * 1e4 + 5e-1) AS BIGINT)) AS DOUBLE) / 1e4 AS total_consumption,
          sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS metered,
-         count(*) AS tests_conducted_chlorine, count(*) FILTER (WHERE l_tax <= 6e-2) AS test_passed_chlorine,
-         count(*) AS test_conducted_ecoli, count(*) FILTER (WHERE l_discount > 2e-2) AS tests_passed_ecoli,
+         count(*) FILTER (WHERE l_linenumber <= 5) AS active_connections,
+         count(*) FILTER (WHERE l_linenumber <= 5 AND l_tax > 2e-2) AS metered_connections,
+         count(*) FILTER (WHERE l_linenumber <= 4) AS tests_conducted_chlorine,
+         count(*) FILTER (WHERE l_linenumber <= 4 AND l_tax <= 6e-2) AS test_passed_chlorine,
+         count(*) FILTER (WHERE l_linenumber >= 2) AS test_conducted_ecoli,
+         count(*) FILTER (WHERE l_linenumber >= 2 AND l_discount > 2e-2) AS tests_passed_ecoli,
          count(*) FILTER (WHERE l_quantity > 25) AS complaints,
          count(*) FILTER (WHERE l_quantity > 25 AND l_linestatus = 'F') AS resolved,
+         count(*) FILTER (WHERE l_quantity > 45) AS blocks,
+         sum(l_quantity) FILTER (WHERE l_linestatus = 'O') AS sewer_length,
          count(*) FILTER (WHERE l_linestatus = 'O') AS sewer_connections,
-         count(*) FILTER (WHERE l_linenumber = 1) AS public_toilets
+         CAST(sum(CAST(floor(l_quantity * (1e0 - l_tax) * 1e4 + 5e-1) AS BIGINT)) AS DOUBLE) / 1e4 AS ww_collected,
+         CAST(sum(CAST(floor(l_quantity * (1e0 - l_tax) * (1e0 - l_discount) * 1e4 + 5e-1) AS BIGINT)) AS DOUBLE) / 1e4 AS ww_treated,
+         CAST(sum(CAST(floor(l_quantity * l_discount * 1e4 + 5e-1) AS BIGINT)) FILTER (WHERE l_linestatus = 'F') AS DOUBLE) / 1e4 AS ww_reused,
+         count(*) FILTER (WHERE l_linestatus = 'F' AND l_discount >= 5e-2) AS hh_emptied,
+         sum(l_quantity) FILTER (WHERE l_linenumber >= 3) AS fs_treated,
+         sum(l_quantity) FILTER (WHERE l_linenumber >= 5) AS fs_reused,
+         count(*) FILTER (WHERE l_linenumber = 1) AS public_toilets,
+         count(*) FILTER (WHERE l_linenumber <= 2) AS public_spaces
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
        JOIN region ON n_regionkey = r_regionkey
   GROUP BY 1, 2, 3, 4, 5),
@@ -233,9 +245,11 @@ sp AS (
 """
 
 _RATES = ["water_quality_rate", "complaint_resolution_rate", "nrw_rate", "sewer_coverage_rate"]
-_SVC_INT = ["households", "tests_conducted_chlorine", "test_passed_chlorine", "test_conducted_ecoli",
+_SVC_INT = ["households", "popn_total", "active_connections", "metered_connections", "blocks", "hh_emptied", "public_spaces",
+            "tests_conducted_chlorine", "test_passed_chlorine", "test_conducted_ecoli",
             "tests_passed_ecoli", "complaints", "resolved", "sewer_connections", "public_toilets"]
-_SVC_DBL = ["w_supplied", "total_consumption", "metered"]
+_SVC_DBL = ["w_supplied", "total_consumption", "metered", "sewer_length", "ww_collected", "ww_treated", "ww_reused",
+            "fs_treated", "fs_reused"]
 
 
 def _series(where: str = "") -> str:
@@ -253,20 +267,52 @@ def _dbl(v: float) -> str:
     return f"CAST({float(v)!r} AS DOUBLE)"
 
 
-def _ratio_kpi_sql(src: str, by: list[str], kpis, digits: int = 6) -> str:
-    """Long-form KPI values (by..., kpi_id, value) from a registry list, for the oracle."""
-    sums = ", ".join(f"sum({k.num}) AS n{i}" + (f", sum({k.den}) AS d{i}" if k.den is not None else "")
-                     for i, k in enumerate(kpis))
+def _ratio_kpi_sql(src: str, by: list[str], formulas, digits: int = 6) -> str:
+    """Long-form KPI values (by..., kpi_id, value) of (id, numerator, denominator or None, scale)."""
+    sums = ", ".join(f"sum({num}) AS n{i}" + (f", sum({den}) AS d{i}" if den is not None else "")
+                     for i, (_, num, den, _) in enumerate(formulas))
     keys = ", ".join(by)
     parts = [
-        (f"SELECT {keys}, '{k.id}' AS kpi_id, round(CAST(n{i} AS DOUBLE) / nullif(CAST(d{i} AS DOUBLE), 0) * "
-         f"{_dbl(k.scale)}, {digits}) AS value FROM g") if k.den is not None else
-        (f"SELECT {keys}, '{k.id}' AS kpi_id, round(CAST(n{i} AS DOUBLE) * {_dbl(k.scale)}, {digits}) AS value FROM g")
-        for i, k in enumerate(kpis)
+        (f"SELECT {keys}, '{k}' AS kpi_id, round(CAST(n{i} AS DOUBLE) / nullif(CAST(d{i} AS DOUBLE), 0) * "
+         f"{_dbl(scale)}, {digits}) AS value FROM g") if den is not None else
+        (f"SELECT {keys}, '{k}' AS kpi_id, round(CAST(n{i} AS DOUBLE) * {_dbl(scale)}, {digits}) AS value FROM g")
+        for i, (k, _, den, scale) in enumerate(formulas)
     ]
     return f"g AS (SELECT {keys}, {sums} FROM {src} GROUP BY {keys})\n" + "\nUNION ALL\n".join(parts)
 
 
+# Formulas written out here, not taken from the library: (id, numerator, denominator, scale).
+_SERVICE_KPIS = [
+    ("B4", "sewer_connections", "households", 100),
+    ("C1", "test_passed_chlorine + tests_passed_ecoli", "tests_conducted_chlorine + test_conducted_ecoli", 100),
+    ("C4", "resolved", "complaints", 100),
+    ("C6", "blocks", "sewer_connections", 1000),
+    ("C6_km", "blocks", "sewer_length", 100),
+    ("C7", "total_consumption", "popn_total", 1000 / 30),
+    ("F3", "w_supplied - total_consumption", "w_supplied", 100),
+    ("F7", "metered_connections", "active_connections", 100),
+]
+_SANITATION_KPIS = [
+    ("S1", "ww_treated", "ww_collected", 100),
+    ("S2", "ww_reused", "w_supplied", 100),
+    ("S3", "hh_emptied", "households - sewer_connections", 100),
+    ("S4", "fs_reused", "fs_treated", 100),
+    ("S5", "ww_reused", "ww_treated", 100),
+    ("S6", "public_toilets", "public_spaces", 100),
+]
+_ACCESS_KPIS = [
+    ("A_safely", "safely_managed", "popn_total", 100), ("A_basic", "basic", "popn_total", 100),
+    ("A_limited", "limited", "popn_total", 100), ("A_unimproved", "unimproved", "popn_total", 100),
+    ("A_surface", "surface_water", "popn_total", 100), ("A_open_def", "open_def", "popn_total", 100),
+    ("B1", "municipal_coverage", "popn_total", 100),
+]
+_GOVERNANCE_KPIS = [
+    ("G1", "active_providers", "total_providers", 100), ("G2", "active_licensed", "total_licensed", 100),
+    ("G4", "training_budget", "wash_budget", 100), ("N1", "water_budget", "wash_budget", 100),
+    ("G6", "total_staff", None, 1),
+]
+
+
 SQL["service_time_series"] = _with(SERVICE_CTE) + _series()
 
 SQL["service_filtered"] = _with(SERVICE_CTE) + _series(
@@ -292,36 +338,34 @@ ga AS (SELECT """ + ", ".join(f"avg({r}) AS {r}" for r in _RATES) + """ FROM lt)
     f"CASE WHEN {k} IS NULL THEN 'none' WHEN {k} {'>=' if up else '<='} {t!r}e0 THEN 'good' ELSE '{miss}' END AS status FROM ga"
     for k, t, up, miss in _targets)
 
-SQL["kpi_service"] = _with(SERVICE_CTE) + ", " + _ratio_kpi_sql("sp", ["country", "city", "date"],
-                                                             _K.kpis_for("service", "service"))
-SQL["kpi_sanitation"] = _with(SERVICE_CTE) + ", " + _ratio_kpi_sql("sp", ["country", "city", "year"],
-                                                                _K.kpis_for("sanitation"))
+SQL["kpi_service"] = _with(SERVICE_CTE) + ", " + _ratio_kpi_sql("sp", ["country", "city", "date"], _SERVICE_KPIS)
+SQL["kpi_sanitation"] = _with(SERVICE_CTE) + ", " + _ratio_kpi_sql("sp", ["country", "city", "year"], _SANITATION_KPIS)
 
 _chain = [
     ("wastewater", "collected", 1, "collected", "NULL"),
     ("wastewater", "treated", 2, "treated", "treated / nullif(collected, 0) * 1e2"),
-    ("wastewater", "reused", 3, "reused", "reused / nullif(collected, 0) * 1e2"),
+    ("wastewater", "reused", 3, "reused", "reused / nullif(supplied, 0) * 1e2"),
     ("faecal_sludge", "non_sewered", 1, "non_sewered", "NULL"),
     ("faecal_sludge", "emptied", 2, "emptied", "emptied / nullif(non_sewered, 0) * 1e2"),
     ("faecal_sludge", "treated", 3, "fs_treated", "NULL"),
     ("faecal_sludge", "reused", 4, "fs_reused", "fs_reused / nullif(fs_treated, 0) * 1e2"),
 ]
 SQL["sanitation_chain"] = _with(SERVICE_CTE) + """
-, ch AS (SELECT country, sum(w_supplied) AS collected, sum(total_consumption) AS treated, sum(metered) AS reused,
-    CAST(sum(households) AS DOUBLE) AS non_sewered, CAST(sum(sewer_connections) AS DOUBLE) AS emptied,
-    CAST(sum(tests_conducted_chlorine) AS DOUBLE) AS fs_treated, CAST(sum(test_passed_chlorine) AS DOUBLE) AS fs_reused
+, ch AS (SELECT country, sum(ww_collected) AS collected, sum(ww_treated) AS treated, sum(ww_reused) AS reused,
+    sum(w_supplied) AS supplied, CAST(sum(households - sewer_connections) AS DOUBLE) AS non_sewered,
+    CAST(sum(hh_emptied) AS DOUBLE) AS emptied, sum(fs_treated) AS fs_treated, sum(fs_reused) AS fs_reused
   FROM sp GROUP BY country)
 """ + "\nUNION ALL\n".join(
     f"SELECT country, '{s}' AS stream, '{g}' AS stage, {o} AS stage_order, round({v}, 6) AS volume, "
     f"round(CAST({p} AS DOUBLE), 6) AS pct FROM ch" for s, g, o, v, p in _chain)
 
 SQL["data_quality"] = _with(SERVICE_CTE) + "\n" + "\nUNION ALL\n".join(
-    f"""SELECT country, '{k.id}' AS kpi_id, count(*) AS n_rows,
-  count(*) FILTER (WHERE ({k.num}) IS NOT NULL AND ({k.den}) IS NOT NULL) AS n_complete,
-  CASE WHEN count(*) FILTER (WHERE ({k.num}) IS NOT NULL AND ({k.den}) IS NOT NULL) = count(*) THEN 'complete'
-       WHEN count(*) FILTER (WHERE ({k.num}) IS NOT NULL AND ({k.den}) IS NOT NULL) > 0 THEN 'partial'
+    f"""SELECT country, '{k}' AS kpi_id, count(*) AS n_rows,
+  count(*) FILTER (WHERE ({num}) IS NOT NULL AND ({den}) IS NOT NULL) AS n_complete,
+  CASE WHEN count(*) FILTER (WHERE ({num}) IS NOT NULL AND ({den}) IS NOT NULL) = count(*) THEN 'complete'
+       WHEN count(*) FILTER (WHERE ({num}) IS NOT NULL AND ({den}) IS NOT NULL) > 0 THEN 'partial'
        ELSE 'missing' END AS status
-FROM sp GROUP BY country""" for k in _K.kpis_for(table="service"))
+FROM sp GROUP BY country""" for k, num, den, _ in _SERVICE_KPIS + _SANITATION_KPIS)
 
 
 # =========================================================================== ledger / billing / production
@@ -397,7 +441,7 @@ GROUP BY zone
 """
 
 SQL["efficiency_heatmap"] = _with(LEDGER_CTE) + "SELECT month, " + ", ".join(
-    f"round(avg(collection_efficiency) FILTER (WHERE year = {y}), 6) AS y{y}" for y in range(1995, 2002)
+    f"round(avg(collection_efficiency) FILTER (WHERE year = {y}), 6) AS y{y}" for y in X.LEDGER_YEARS
 ) + " FROM ledger GROUP BY month"
 
 SQL["efficiency_histogram"] = _with(LEDGER_CTE) + f"""
@@ -463,28 +507,44 @@ SELECT CAST(year(date) AS INTEGER) AS year, source, round(sum(production_m3), 6)
 FROM prod GROUP BY 1, 2
 """
 
-SQL["kpi_finance"] = _with(BILLING_CTE, LEDGER_CTE, SERVICE_CTE) + """
+CITY_YEAR_CTE = """
+ps AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year,
+              sum(CAST(floor((l_extendedprice) * 1e4 + 5e-1) AS BIGINT)) AS wash_budget,
+              sum(CAST(floor((l_extendedprice * l_discount) * 1e4 + 5e-1) AS BIGINT)) AS training_budget,
+              sum(CAST(floor((CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0e0 END) * 1e4 + 5e-1) AS BIGINT)) AS water_budget,
+              sum(CAST(floor((l_extendedprice * (1e0 - l_discount)) * 1e4 + 5e-1) AS BIGINT)) AS actual_expenditure,
+              sum(CAST(floor((l_extendedprice * (1e0 + l_tax)) * 1e4 + 5e-1) AS BIGINT)) AS output_value,
+              count(*) AS lines
+       FROM lineitem GROUP BY 1, 2),
+a AS (SELECT n_name AS city, year, count(*) AS active_providers, count(*) FILTER (WHERE s_acctbal > 0) AS active_licensed,
+             CAST(sum(wash_budget) AS DOUBLE) / 1e4 AS wash_budget, CAST(sum(training_budget) AS DOUBLE) / 1e4 AS training_budget,
+             CAST(sum(water_budget) AS DOUBLE) / 1e4 AS water_budget,
+             CAST(sum(actual_expenditure) AS DOUBLE) / 1e4 AS actual_expenditure, CAST(sum(output_value) AS DOUBLE) / 1e4 AS output_value, sum(lines) AS total_staff
+      FROM ps JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
+b AS (SELECT n_name AS city, count(*) AS total_providers, count(*) FILTER (WHERE s_acctbal > 0) AS total_licensed
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
+cy AS (SELECT a.*, b.total_providers, b.total_licensed FROM a JOIN b ON a.city = b.city)
+"""
+
+SQL["kpi_finance"] = _with(BILLING_CTE, LEDGER_CTE, SERVICE_CTE, CITY_YEAR_CTE) + """
 , bq AS (SELECT CAST(year(date) AS INTEGER) AS year, sum(paid) AS n, sum(billed) AS d FROM bills GROUP BY 1),
-ly AS (SELECT year, sum(total_operating_revenues) AS rev, sum(total_operating_expenditures) AS exp,
-              sum(total_billing) AS bil FROM ledger GROUP BY year),
-sy AS (SELECT year, sum(w_supplied - total_consumption) AS n, sum(w_supplied) AS d FROM sp GROUP BY year)
+ly AS (SELECT year, sum(total_operating_revenues) AS rev, sum(total_operating_expenditures) AS exp FROM ledger GROUP BY year),
+sy AS (SELECT year, sum(w_supplied - total_consumption) AS n, sum(w_supplied) AS d FROM sp GROUP BY year),
+by_year AS (SELECT year, sum(wash_budget - actual_expenditure) AS v, sum(actual_expenditure) AS e, sum(wash_budget) AS b FROM cy GROUP BY year)
 SELECT year, 'F1' AS kpi_id, round(n / nullif(d, 0) * 1e2, 6) AS value FROM bq
 UNION ALL SELECT year, 'F2', round(rev / nullif(exp, 0) * 1e2, 6) FROM ly
 UNION ALL SELECT year, 'F4', round(exp / nullif(rev, 0) * 1e0, 6) FROM ly
-UNION ALL SELECT year, 'F12', round(exp / nullif(bil, 0) * 1e2, 6) FROM ly
+UNION ALL SELECT year, 'F12', round(v, 6) FROM by_year
+UNION ALL SELECT year, 'F12_pct', round(e / nullif(b, 0) * 1e2, 6) FROM by_year
 UNION ALL SELECT year, 'F3', round(n / nullif(d, 0) * 1e2, 6) FROM sy
 """
 
 
-def _score_row(kid: str, src: str, num: str, den: str, scale: float) -> str:
-    k = _K.BY_ID[kid]
-    tgt = "CAST(NULL AS DOUBLE)" if k.target is None else f"{k.target!r}e0"
-    up = "true" if k.higher_is_better else "false"
+def _score_row(kid: str, name: str, target: str, up: bool, src: str, num: str, den: str, scale: float) -> str:
     val = f"round(CAST(sum({num}) AS DOUBLE) / nullif(CAST(sum({den}) AS DOUBLE), 0) * {_dbl(scale)}, 6)"
-    cmp = ">=" if k.higher_is_better else "<="
-    return f"""SELECT '{kid}' AS kpi_id, '{k.name}' AS name, year AS period, v AS value, {tgt} AS target,
-  {up} AS higher_is_better, round(v - {tgt}, 6) AS delta,
-  CASE WHEN v IS NULL OR {tgt} IS NULL THEN 'none' WHEN v {cmp} {tgt} THEN 'good' ELSE 'bad' END AS status
+    return f"""SELECT '{kid}' AS kpi_id, '{name}' AS name, year AS period, v AS value, {target} AS target,
+  {str(up).lower()} AS higher_is_better, round(v - {target}, 6) AS delta,
+  CASE WHEN v IS NULL THEN 'none' WHEN v {'>=' if up else '<='} {target} THEN 'good' ELSE 'bad' END AS status
 FROM (SELECT max(year) AS year, {val} AS v FROM {src} WHERE year = (SELECT max(year) FROM {src}))"""
 
 
@@ -492,15 +552,15 @@ SQL["executive_scorecard"] = _with(ACCESS_CTE, BILLING_CTE, LEDGER_CTE, SERVICE_
 , b2 AS (SELECT *, CAST(year(date) AS INTEGER) AS year FROM bills),
 p2 AS (SELECT *, CAST(year(date) AS INTEGER) AS year FROM prod)
 """ + "\nUNION ALL\n".join([
-    _score_row("A_safely_water", "access", "CASE WHEN type = 'water' THEN safely_managed END",
+    _score_row("A_safely_water", "Safely managed water", "60e0", True, "access", "CASE WHEN type = 'water' THEN safely_managed END",
                "CASE WHEN type = 'water' THEN popn_total END", 100.0),
-    _score_row("A_safely_sanitation", "access", "CASE WHEN type = 'sewer' THEN safely_managed END",
+    _score_row("A_safely_sanitation", "Safely managed sanitation", "70e0", True, "access", "CASE WHEN type = 'sewer' THEN safely_managed END",
                "CASE WHEN type = 'sewer' THEN popn_total END", 100.0),
-    _score_row("F1", "b2", "paid", "billed", 100.0),
-    _score_row("F2", "ledger", "total_operating_revenues", "total_operating_expenditures", 100.0),
-    _score_row("F3", "sp", "w_supplied - total_consumption", "w_supplied", 100.0),
-    _score_row("C1", "sp", "test_passed_chlorine + tests_passed_ecoli", "tests_conducted_chlorine + test_conducted_ecoli", 100.0),
-    _score_row("C2", "p2", "service_hours", "1", 1.0),
+    _score_row("F1", "Collection efficiency", "95e0", True, "b2", "paid", "billed", 100.0),
+    _score_row("F2", "Operating cost coverage", "150e0", True, "ledger", "total_operating_revenues", "total_operating_expenditures", 100.0),
+    _score_row("F3", "Non-revenue water", "25e0", False, "sp", "w_supplied - total_consumption", "w_supplied", 100.0),
+    _score_row("C1", "Water quality compliance", "95e0", True, "sp", "test_passed_chlorine + tests_passed_ecoli", "tests_conducted_chlorine + test_conducted_ecoli", 100.0),
+    _score_row("C2", "Continuity (hours/day)", "22e0", True, "p2", "service_hours", "1", 1.0),
 ])
 
 
@@ -594,26 +654,10 @@ GROUP BY event_type
 """
 
 # =========================================================================== KPI registry keys
-SQL["kpi_access"] = _with(ACCESS_CTE) + ", " + _ratio_kpi_sql("access", ["country", "type", "year"], _K.kpis_for("access"))
-
-CITY_YEAR_CTE = """
-ps AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year,
-              sum(CAST(floor((l_extendedprice) * 1e4 + 5e-1) AS BIGINT)) AS wash_budget,
-              sum(CAST(floor((l_extendedprice * l_discount) * 1e4 + 5e-1) AS BIGINT)) AS training_budget,
-              sum(CAST(floor((CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0e0 END) * 1e4 + 5e-1) AS BIGINT)) AS water_budget,
-              count(*) AS lines
-       FROM lineitem GROUP BY 1, 2),
-a AS (SELECT n_name AS city, year, count(*) AS active_providers, count(*) FILTER (WHERE s_acctbal > 0) AS active_licensed,
-             CAST(sum(wash_budget) AS DOUBLE) / 1e4 AS wash_budget, CAST(sum(training_budget) AS DOUBLE) / 1e4 AS training_budget,
-             CAST(sum(water_budget) AS DOUBLE) / 1e4 AS water_budget, sum(lines) AS total_staff
-      FROM ps JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
-b AS (SELECT n_name AS city, count(*) AS total_providers, count(*) FILTER (WHERE s_acctbal > 0) AS total_licensed
-      FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
-cy AS (SELECT a.*, b.total_providers, b.total_licensed FROM a JOIN b ON a.city = b.city)
-"""
+SQL["kpi_access"] = _with(ACCESS_CTE) + ", " + _ratio_kpi_sql("access", ["country", "type", "year"], _ACCESS_KPIS)
 
 SQL["kpi_governance"] = _with(CITY_YEAR_CTE) + ", " + _ratio_kpi_sql(
-    "cy", ["city", "year"], [_K.BY_ID[i] for i in ("G1", "G2", "G4", "N1", "G6")])
+    "cy", ["city", "year"], _GOVERNANCE_KPIS)
 
 SQL["kpi_sector"] = _with(CITY_YEAR_CTE) + """
 SELECT city, year, 'water' AS component, round(water_budget, 6) AS amount,
@@ -624,9 +668,9 @@ UNION ALL SELECT city, year, 'other', round(wash_budget - water_budget - trainin
 """
 
 SQL["kpi_cross_table"] = _with(CITY_YEAR_CTE, SERVICE_CTE) + """
-, l AS (SELECT city, year, sum(wash_budget) AS wash_budget FROM cy GROUP BY city, year),
-r AS (SELECT city, year, sum(total_consumption) AS total_consumption FROM svc GROUP BY city, year)
-SELECT l.city, l.year, 'N5' AS kpi_id, round(wash_budget / nullif(total_consumption, 0) * 1e0, 6) AS value
+, l AS (SELECT city, year, sum(output_value) AS output_value FROM cy GROUP BY city, year),
+r AS (SELECT city, year, sum(total_consumption) AS water_used FROM svc GROUP BY city, year)
+SELECT l.city, l.year, 'N5' AS kpi_id, round(output_value / nullif(water_used, 0) * 1e0, 6) AS value
 FROM l JOIN r ON l.city = r.city AND l.year = r.year
 """
 

@@ -13,7 +13,7 @@ COMPARE_COUNTRIES = ["ASIA", "AFRICA"]
 PRIORITY_COUNTRIES = ["ASIA"]
 PRIORITY_ZONE_PATTERNS = ["nation_1"]
 PRIORITY_PAIRS = [("EUROPE", "nation_2")]
-TOP_N = 10
+TOP_N = 3
 
 SERVICE_COUNTRY = "AMERICA"
 SERVICE_CITY = "All"
@@ -22,6 +22,7 @@ SERVICE_MONTHS = ("1996-03", "1998-10")
 SHARE_ZONE = "BUILDING"
 
 LEDGER_RANGE = ("1996-01-01", "2000-12-31")
+LEDGER_YEARS = list(range(1995, 2002))
 HIST_BINS = 30
 AS_OF = "2001-08-01"
 

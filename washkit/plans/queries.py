@@ -211,7 +211,7 @@ def q_zone_statistics(spark, sf_dir):
 
 @register("efficiency_heatmap")
 def q_efficiency_heatmap(spark, sf_dir):
-    return FN.efficiency_heatmap(ledger_table(spark, sf_dir))
+    return FN.efficiency_heatmap(ledger_table(spark, sf_dir), X.LEDGER_YEARS)
 
 
 @register("efficiency_histogram")
@@ -255,7 +255,8 @@ def q_kpi_finance(spark, sf_dir):
     bills = billing_table(spark, sf_dir).withColumn("year", F.year("date"))
     parts = [
         K.ratio_kpis(bills, ["year"], [K.BY_ID["F1"]]),
-        K.ratio_kpis(ledger_table(spark, sf_dir), ["year"], [K.BY_ID[i] for i in ("F2", "F4", "F12")]),
+        K.ratio_kpis(ledger_table(spark, sf_dir), ["year"], [K.BY_ID[i] for i in ("F2", "F4")]),
+        K.ratio_kpis(city_year_table(spark, sf_dir), ["year"], [K.BY_ID[i] for i in ("F12", "F12_pct")]),
         K.ratio_kpis(service_table(spark, sf_dir), ["year"], [K.BY_ID["F3"]]),
     ]
     out = parts[0]
@@ -377,9 +378,9 @@ def q_kpi_sector(spark, sf_dir):
 
 @register("kpi_cross_table")
 def q_kpi_cross_table(spark, sf_dir):
-    """Provider budget (city_year) per m3 consumed (service) at (city, year)."""
-    both = K.combine_inputs(city_year_table(spark, sf_dir), service_rows(spark, sf_dir), ["city", "year"],
-                            ["wash_budget"], ["total_consumption"])
+    """J3 + N5: output value (city_year) per m3 consumed (service) at (city, year)."""
+    used = service_rows(spark, sf_dir).withColumnRenamed("total_consumption", "water_used")
+    both = K.combine_inputs(city_year_table(spark, sf_dir), used, ["city", "year"], ["output_value"], ["water_used"])
     return K.ratio_kpis(both, ["city", "year"], [K.BY_ID["N5"]])
 
 

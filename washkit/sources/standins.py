@@ -126,17 +126,29 @@ _SERVICE_MONTH = """
 SELECT r_name AS country, n_name AS city, l_returnflag AS zone,
        CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month,
        count(1) AS households,
+       sum(l_linenumber) AS popn_total,
        sum(l_quantity) AS w_supplied,
        sum(floor(l_quantity * (1D - l_discount) * 10000D + 0.5D)) / 10000D AS total_consumption,
        sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS metered,
-       count(1) AS tests_conducted_chlorine,
-       count_if(l_tax <= 0.06D) AS test_passed_chlorine,
-       count(1) AS test_conducted_ecoli,
-       count_if(l_discount > 0.02D) AS tests_passed_ecoli,
+       count_if(l_linenumber <= 5) AS active_connections,
+       count_if(l_linenumber <= 5 AND l_tax > 0.02D) AS metered_connections,
+       count_if(l_linenumber <= 4) AS tests_conducted_chlorine,
+       count_if(l_linenumber <= 4 AND l_tax <= 0.06D) AS test_passed_chlorine,
+       count_if(l_linenumber >= 2) AS test_conducted_ecoli,
+       count_if(l_linenumber >= 2 AND l_discount > 0.02D) AS tests_passed_ecoli,
        count_if(l_quantity > 25) AS complaints,
        count_if(l_quantity > 25 AND l_linestatus = 'F') AS resolved,
+       count_if(l_quantity > 45) AS blocks,
+       sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END) AS sewer_length,
        count_if(l_linestatus = 'O') AS sewer_connections,
-       count_if(l_linenumber = 1) AS public_toilets
+       sum(floor(l_quantity * (1D - l_tax) * 10000D + 0.5D)) / 10000D AS ww_collected,
+       sum(floor(l_quantity * (1D - l_tax) * (1D - l_discount) * 10000D + 0.5D)) / 10000D AS ww_treated,
+       sum(CASE WHEN l_linestatus = 'F' THEN floor(l_quantity * l_discount * 10000D + 0.5D) END) / 10000D AS ww_reused,
+       count_if(l_linestatus = 'F' AND l_discount >= 0.05D) AS hh_emptied,
+       sum(CASE WHEN l_linenumber >= 3 THEN l_quantity END) AS fs_treated,
+       sum(CASE WHEN l_linenumber >= 5 THEN l_quantity END) AS fs_reused,
+       count_if(l_linenumber = 1) AS public_toilets,
+       count_if(l_linenumber <= 2) AS public_spaces
 FROM {lineitem}
 JOIN {supplier} ON l_suppkey = s_suppkey
 JOIN {nation} ON s_nationkey = n_nationkey
@@ -146,7 +158,8 @@ GROUP BY r_name, n_name, l_returnflag, CAST(year(l_shipdate) AS INT), CAST(month
 
 
 def service_month(t: Tables) -> DataFrame:
-    """Monthly service rows: country = supplier region, city = supplier nation, zone = return flag."""
+    """Monthly service rows: country = supplier region, city = supplier nation, zone = return flag.
+    Every input of the service and sanitation KPIs has its own expression under its documented name."""
     return _sql(t, _SERVICE_MONTH, "lineitem", "supplier", "nation", "region")
 
 
@@ -205,15 +218,19 @@ def production(t: Tables) -> DataFrame:
 
 _CITY_YEAR = """
 SELECT a.city, a.year, a.active_providers, b.total_providers, a.active_licensed, b.total_licensed,
-       a.wash_budget, a.training_budget, a.water_budget, a.total_staff
+       a.wash_budget, a.training_budget, a.water_budget, a.actual_expenditure, a.output_value, a.total_staff
 FROM (
   SELECT n_name AS city, year, count(1) AS active_providers, count_if(s_acctbal > 0) AS active_licensed,
-         sum(wash_budget) / 10000D AS wash_budget, sum(training_budget) / 10000D AS training_budget,
-         sum(water_budget) / 10000D AS water_budget, sum(lines) AS total_staff
+         CAST(sum(CAST(wash_budget AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS wash_budget, CAST(sum(CAST(training_budget AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS training_budget,
+         CAST(sum(CAST(water_budget AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS water_budget,
+         CAST(sum(CAST(actual_expenditure AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS actual_expenditure,
+         CAST(sum(CAST(output_value AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS output_value, sum(lines) AS total_staff
   FROM (SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS year,
                sum(floor(l_extendedprice * 10000D + 0.5D)) AS wash_budget,
                sum(floor(l_extendedprice * l_discount * 10000D + 0.5D)) AS training_budget,
                sum(floor(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0D END * 10000D + 0.5D)) AS water_budget,
+               sum(floor(l_extendedprice * (1D - l_discount) * 10000D + 0.5D)) AS actual_expenditure,
+               sum(floor(l_extendedprice * (1D + l_tax) * 10000D + 0.5D)) AS output_value,
                count(1) AS lines
         FROM {lineitem} GROUP BY l_suppkey, CAST(year(l_shipdate) AS INT)) per_supp
   JOIN {supplier} ON l_suppkey = s_suppkey
@@ -229,7 +246,7 @@ ON a.city = b.city
 def city_year(t: Tables) -> DataFrame:
     """Provider register per (city, year): providers = suppliers, licensed = positive balance,
     active = shipped that year (lines reduced per (supplier, year) first, so "distinct active
-    suppliers" is a plain count)."""
+    suppliers" is a plain count). Outer sums are DECIMAL, so no city's total overflows."""
     return _sql(t, _CITY_YEAR, "lineitem", "supplier", "nation")
 
 

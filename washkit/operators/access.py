@@ -239,22 +239,20 @@ def access_ladders(access: DataFrame, types: Sequence[str] = ("water", "sewer"))
 
 # --------------------------------------------------------------------------- A19
 def box_statistics(access: DataFrame, measures: Sequence[str] = BOX_MEASURES, *,
-                   types: Sequence[str] = ("water", "sewer"), exact: bool = True, distributed: bool = False,
+                   types: Sequence[str] | None = None, exact: bool = True, distributed: bool = False,
                    digits: int | None = 6) -> DataFrame:
     """Per (type, measure) five-number summary: linear-interpolated quartiles, 1.5 IQR
     fences, whiskers (most extreme points inside the fences) and outlier count.
 
-    Pass 1 aggregates quartiles per group. Restricting to the listed ``types`` bounds that
-    table at ``len(types) * len(measures)`` rows, so it is broadcast (a proven bound) to the
-    points for pass 2, which aggregates whiskers and carries the quartiles along -- no
-    shuffle join on the few group keys, and no window that would put a whole group in one task.
-    ``distributed=True`` computes the exact quartiles with
-    :func:`washkit.operators.quantiles.exact_percentiles` instead of ``percentile`` (same values;
-    no group's distinct values are merged in one task).
+    Pass 1 aggregates quartiles per group (one row each), which pass 2 joins to the points to aggregate
+    whiskers; the planner sends the small side only when it has measured it. All types present take
+    part, or the listed ``types``. NaN counts as missing. ``distributed=True`` computes the exact
+    quartiles with :func:`washkit.operators.quantiles.exact_percentiles` instead of ``percentile``
+    (same values; no group's distinct values are merged in one task).
     """
-    d = access.where(F.col("type").isin(list(types)))
+    d = access if types is None else access.where(F.col("type").isin(list(types)))
     long = d.select("type", *measures).unpivot(["type"], list(measures), "measure", "value").where(
-        F.col("value").isNotNull()
+        F.col("type").isNotNull() & F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))
     )
     if distributed:
         from washkit.operators.quantiles import exact_percentiles
@@ -270,7 +268,7 @@ def box_statistics(access: DataFrame, measures: Sequence[str] = BOX_MEASURES, *,
         "lower_fence": F.col("q1") - F.lit(1.5) * F.col("iqr"),
         "upper_fence": F.col("q3") + F.lit(1.5) * F.col("iqr"),
     })
-    j = long.join(F.broadcast(stats), ["type", "measure"])
+    j = long.join(stats, ["type", "measure"])
     inside = F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
     carried = ("q1", "median", "q3", "lower_fence", "upper_fence")
     out = j.groupBy("type", "measure").agg(

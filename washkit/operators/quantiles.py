@@ -4,96 +4,88 @@
 merge it in one task per group -- fine for zone-year tables, not for a group holding a third of
 100 TB. :func:`exact_percentiles` returns the same numbers (linear interpolation between the
 ranks ``floor`` and ``ceil`` of ``p * (n - 1)``, with Spark's own interpolation arithmetic) by
-distributed selection:
-
-1. one aggregate per group: ``n``, ``min``, ``max``; each wanted rank becomes a *target* with a
-   value interval ``[lo, hi]`` (initially the whole range) and ``below`` = rows under ``lo``;
-2. each pass splits every open interval into ``buckets`` equal-width buckets and counts rows per
-   (interval, bucket) with their min/max -- a partial aggregate, at most ``buckets`` rows per
-   interval -- then each target keeps the bucket holding its rank (a running sum over those few
-   rows) and the bucket's actual ``[min, max]`` becomes its new interval;
-3. a target is closed when its interval is a single value (that value is the answer) or holds at
-   most ``max_rows`` rows; a last pass ranks only those rows (a window over <= ``max_rows`` rows).
-
-Each pass joins the rows to the distinct open intervals (a table of at most
-``2 * len(probs)`` rows per group, checkpointed, counted, and broadcast only when the count
-proves it small). The target table is checkpointed into ``spark.checkpoint.dir`` after every
-pass, so lineage stays one pass deep. Passes grow like ``log_buckets(n / max_rows)``; each pass
-also shrinks an interval's value span at least ``buckets``-fold, so even extreme value ranges
-close within ``max_passes`` in practice. If ``max_passes`` is reached first, the final pass
-ranks whatever rows are left in the remaining intervals (still exact, no longer bounded).
+selection on an order-preserving integer of the value:
+
+1. one partial aggregate to (group, integer, count): repeated values collapse map-side;
+2. four levels of 16 bits each: the counts of a prefix's at most 65,536 next digits are summed, a
+   running sum over those rows tells in which digit each wanted rank lies, and only that prefix goes
+   to the next level. After the fourth the integer, so the value, is known.
+
+The number of levels is fixed, whatever the values are. Nothing runs while the query is defined, and
+no row count, sample or checkpoint decides anything; every level reads the one exchange of step 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from washkit.operators.joins import broadcast_if_small
-from washkit.session import cut_lineage
+#: Bits of an integer that are still open after each level.
+LEVELS = (48, 32, 16, 0)
+
+_TINY, _NORMAL, _ONE = 2.0**-1074, 2.0**-1022, 2**52
+
+
+def ordered_long(x: Column) -> Column:
+    """An integer that orders doubles as their values do (equal for 0.0 and -0.0); NaN is not allowed.
 
+    It is ``sign * (exponent field * 2**52 + mantissa)``. The exponent guessed from a logarithm is
+    put right by comparison, and scaling by a power of two is exact.
+    """
+    a = F.abs(x)
+    guess = F.floor(F.log2(a))
+    low = F.pow(F.lit(2.0), guess)
+    e = F.greatest(F.least(F.when(a < low, guess - 1).when(a / 2 >= low, guess + 1).otherwise(guess), F.lit(1023)), F.lit(-1022))
+    normal = (e + 1023) * F.lit(_ONE) + ((a / F.pow(F.lit(2.0), e) - 1) * F.lit(float(_ONE))).cast("long")
+    size = F.when(a == float("inf"), F.lit(2047 * _ONE)).when(a >= _NORMAL, normal).otherwise((a / F.lit(_TINY)).cast("long"))
+    return F.when(x < 0, -size).otherwise(size)
 
-def _targets(stats: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """One row per (group, probability, side) with its rank."""
-    items = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("__n") - 1).cast("double")
-        for side, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            items.append(F.struct(F.lit(i).alias("__q"), F.lit(side).alias("__side"), r.cast("long").alias("__rank")))
-    return stats.select(*keys, F.col("__min").alias("__lo"), F.col("__max").alias("__hi"),
-                        F.lit(0).cast("long").alias("__below"), F.col("__n").alias("__cnt"), F.inline(F.array(*items)))
 
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact percentiles per group: ``keys`` + ``n`` + one column ``p<i>`` per probability.
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *,
-                      buckets: int = 1024, max_rows: int = 200_000, max_passes: int = 32) -> DataFrame:
-    """Exact percentiles per group: ``keys`` + ``n`` + one column ``p<i>`` per probability."""
+    Null and NaN values are missing; a group without values gives no row. A null key is a group.
+    """
     keys = list(keys)
-    v = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    stats = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"),
-                                 F.max("__v").alias("__max"))
-    tgt = cut_lineage(_targets(stats, keys, probs))
-    tkeys = keys + ["__q", "__side"]
-    is_open = (F.col("__lo") < F.col("__hi")) & (F.col("__cnt") > max_rows)
-
-    def rows_in(intervals: DataFrame) -> DataFrame:
-        iv = broadcast_if_small(intervals)
-        j = v.join(iv, keys)
-        return j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-
-    for _ in range(max_passes):
-        open_t = tgt.where(is_open)
-        if open_t.limit(1).count() == 0:
-            break
-        intervals = cut_lineage(open_t.select(*keys, "__lo", "__hi").distinct())
-        width = (F.col("__hi") - F.col("__lo")) / F.lit(float(buckets))
-        b = F.least(F.floor((F.col("__v") - F.col("__lo")) / width).cast("long"), F.lit(buckets - 1))
-        hist = rows_in(intervals).withColumn("__b", b).groupBy(*keys, "__lo", "__hi", "__b").agg(
-            F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__bmin"), F.max("__v").alias("__bmax"))
-        w = Window.partitionBy(*keys, "__lo", "__hi").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("__cum", F.sum("__c").over(w))
-        j = open_t.join(hist, keys + ["__lo", "__hi"])
-        before = F.col("__below") + F.col("__cum") - F.col("__c")
-        refined = j.where((before <= F.col("__rank")) & (F.col("__rank") < before + F.col("__c"))).select(
-            *tkeys, "__rank", F.col("__bmin").alias("__lo"), F.col("__bmax").alias("__hi"),
-            before.alias("__below"), F.col("__c").alias("__cnt"))
-        tgt = cut_lineage(refined.unionByName(tgt.where(~is_open).select(*refined.columns)))
-
-    single = tgt.where(F.col("__lo") == F.col("__hi")).select(*tkeys, F.col("__lo").alias("__v"))
-    few = tgt.where(F.col("__lo") < F.col("__hi"))
-    ranked = rows_in(few.select(*keys, "__lo", "__hi").distinct()).join(
-        few.select(*keys, "__lo", "__hi", "__q", "__side", "__rank", "__below"), keys + ["__lo", "__hi"])
-    ranked = ranked.withColumn(
-        "__i", F.row_number().over(Window.partitionBy(*tkeys).orderBy("__v")) - 1 + F.col("__below"))
-    at = ranked.where(F.col("__i") == F.col("__rank")).select(*tkeys, "__v").unionByName(single)
-    wide = at.groupBy(*keys, "__q").agg(F.max(F.when(F.col("__side") == "lo", F.col("__v"))).alias("__vl"),
-                                        F.max(F.when(F.col("__side") == "hi", F.col("__v"))).alias("__vh"))
-    out = wide.join(stats.select(*keys, "__n"), keys)
-    pos = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), (F.col("__q") + 1).cast("int")) \
-        * (F.col("__n") - 1).cast("double")
-    lower, higher = F.floor(pos), F.ceil(pos)
-    # Spark's percentile arithmetic: (higher - pos) * lowValue + (pos - lower) * highValue
-    val = F.when(lower == higher, F.col("__vl")).otherwise((higher - pos) * F.col("__vl") + (pos - lower) * F.col("__vh"))
-    res = out.groupBy(*keys, F.col("__n").alias("n")).pivot("__q", list(range(len(probs)))).agg(F.max(val))
-    return res.select(*keys, "n", *[F.col(str(i)).alias(f"p{i}") for i in range(len(probs))])
+    v = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
+    counts = v.groupBy(*keys, ordered_long(F.col("__v")).alias("__k")).agg(F.count("*").alias("__c"), F.min("__v").alias("__v"))
+
+    def narrowed(hist: DataFrame, group: list[str], targets: Column) -> DataFrame:
+        """Digits that hold a target, with the ranks counted from the digit's first row."""
+        w = Window.partitionBy(*group).orderBy("__d").rowsBetween(Window.unboundedPreceding, 0)
+        before = F.col("__cum") - F.col("__c")
+        kept = F.transform(F.filter("__t", lambda t: (t["rank"] >= before) & (t["rank"] < F.col("__cum"))),
+                           lambda t: F.struct(t["q"].alias("q"), t["high"].alias("high"), (t["rank"] - before).alias("rank")))
+        return hist.withColumn("__cum", F.sum("__c").over(w)).withColumn("__t", targets).withColumn("__t", kept) \
+            .where(F.size("__t") > 0).select(*keys, "__n", F.col("__d").alias("__p"), "__t", "__v")
+
+    def rank(p: float, high: bool) -> Column:
+        at = F.lit(float(p)) * (F.col("__n") - 1).cast("double")
+        return (F.ceil(at) if high else F.floor(at)).cast("long")
+
+    wanted = F.array(*[F.struct(F.lit(i).alias("q"), F.lit(high).alias("high"), rank(p, high).alias("rank"))
+                       for i, p in enumerate(probs) for high in (False, True)])
+    first = counts.groupBy(*keys, F.shiftright("__k", LEVELS[0]).alias("__d")).agg(F.sum("__c").alias("__c"), F.min("__v").alias("__v"))
+    found = narrowed(first.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys))), keys, wanted)
+    for above, below in zip(LEVELS, LEVELS[1:]):
+        same = [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys] + [F.shiftright("c.__k", above) == F.col("f.__p")]
+        inside = counts.alias("c").join(found.alias("f"), same).select(
+            *[F.col(f"c.{k}").alias(k) for k in keys], "c.__k", "c.__c", "c.__v", "f.__n", "f.__p", "f.__t")
+        hist = inside.groupBy(*keys, "__p", F.shiftright("__k", below).alias("__d")).agg(
+            F.sum("__c").alias("__c"), F.min("__v").alias("__v"), F.first("__n").alias("__n"), F.first("__t").alias("__t"))
+        found = narrowed(hist, [*keys, "__p"], F.col("__t"))
+    ends = found.select(*keys, "__n", "__v", F.inline("__t"))
+    sides = [F.max(F.when((F.col("q") == i) & (F.col("high") == F.lit(high)), F.col("__v"))).alias(f"__{i}{high}")
+             for i in range(len(probs)) for high in (False, True)]
+    wide = ends.groupBy(*keys, F.col("__n").alias("n")).agg(*sides)
+
+    def interpolated(i: int, p: float) -> Column:
+        """Spark's percentile arithmetic: (higher - at) * low value + (at - lower) * high value."""
+        at = F.lit(float(p)) * (F.col("n") - 1).cast("double")
+        lower, higher = F.floor(at), F.ceil(at)
+        return F.when(lower == higher, F.col(f"__{i}False")).otherwise(
+            (higher - at) * F.col(f"__{i}False") + (at - lower) * F.col(f"__{i}True"))
+
+    return wide.select(*keys, "n", *[interpolated(i, p).alias(f"p{i}") for i, p in enumerate(probs)])

@@ -127,3 +127,25 @@ def test_access_ladders_one_pass_equals_per_type(spark):
     per = rows(A.access_ladder(acc, "water").unionByName(A.access_ladder(acc, "sewer")),
                ["zone", "level", "rung_order"])
     assert both == per
+
+
+def test_latest_snapshot_ties_and_tables_without_a_year(spark):
+    rows = [("z", 2020, 1.0, 1), ("z", 2021, 2.0, 1), ("z", 2021, 3.0, 0), ("y", None, 9.0, 5)]
+    df = spark.createDataFrame(rows, "zone string, year int, pct double, loaded int")
+    for parts in (1, 4):
+        d = df.repartition(parts)
+        assert [r.pct for r in A.latest_snapshot(d, ["zone"], "year", ["pct"]).collect()] == [3.0]
+        assert [r.pct for r in A.latest_snapshot(d, ["zone"], "year", ["pct"], tie_breaker=["loaded"]).collect()] == [2.0]
+        got = {r.zone: r.pct for r in A.latest_snapshot(d.drop("year"), ["zone"], None, ["pct"], tie_breaker=["loaded"]).collect()}
+        assert got == {"z": 2.0, "y": 9.0}
+
+
+def test_registered_inputs_reach_every_branch(spark):
+    from washkit.plans.queries import REGISTRY
+
+    sf = "/root/testdata/sf0.001"
+    assert REGISTRY["zone_unmatched"](spark, sf).count() > 0
+    merged = REGISTRY["snapshot_merge"](spark, sf)
+    assert merged.where("year IS NULL").count() > 0 and merged.where("year_dup IS NULL").count() > 0
+    assert {r[0] for r in REGISTRY["urban_rural_compare"](spark, sf).select("ur_tag").distinct().collect()} == {"rural", "urban", "other"}
+    assert REGISTRY["access_union"](spark, sf).agg({"popn_total": "sum"}).first()[0] == spark.read.parquet(f"{sf}/orders.parquet").count()

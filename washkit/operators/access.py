@@ -142,19 +142,25 @@ def top_countries(access: DataFrame, type_value: str | None, n: int = 10, *, dig
 
 
 # --------------------------------------------------------------------------- A9 / W2
-def latest_snapshot(df: DataFrame, keys: Sequence[str], order_col: str = "year", columns: Sequence[str] | None = None,
+def latest_snapshot(df: DataFrame, keys: Sequence[str], order_col: str | None = "year", columns: Sequence[str] | None = None,
                     tie_breaker: Sequence[str] = ()) -> DataFrame:
-    """The row with the largest ``order_col`` per key (ties broken by ``tie_breaker``, largest wins).
+    """The row with the largest ``order_col`` per key. Ties go to the largest ``tie_breaker`` columns,
+    or else the largest row, so one row of each key wins whatever order rows arrive in.
+
+    ``order_col=None`` (a table without a year) keeps one row of each key by ``tie_breaker`` alone, such
+    as a load time: a distributed table has no file order that could say which row is the last.
 
     Implemented as ``max_by(struct(...), struct(order, tie...))`` -- a partial aggregate, so a key
     holding a third of all rows is reduced map-side instead of being sorted in one task.
     """
     cols = list(columns) if columns is not None else [c for c in df.columns if c not in keys]
-    if order_col not in cols:
+    if order_col is not None and order_col not in cols:
         cols = [order_col] + cols
     payload = F.struct(*[F.col(c) for c in cols])
-    ordering = F.struct(F.col(order_col), *[F.col(c) for c in tie_breaker]) if tie_breaker else F.col(order_col)
-    g = df.where(F.col(order_col).isNotNull()).groupBy(*keys).agg(F.max_by(payload, ordering).alias("__row"))
+    first = [] if order_col is None else [order_col]
+    ordering = F.struct(*first, *tie_breaker, payload.alias("row"))
+    rows = df if order_col is None else df.where(F.col(order_col).isNotNull())
+    g = rows.groupBy(*keys).agg(F.max_by(payload, ordering).alias("__row"))
     return g.select(*keys, *[F.col("__row")[c].alias(c) for c in cols])
 
 
@@ -181,10 +187,11 @@ def zone_summary(access: DataFrame, *, digits: int | None = 6) -> DataFrame:
     snapshots come out of ONE aggregate on (country, zone): a conditional ``max_by`` per type
     ignores rows of the other type (NULL ordering), and a zone present in only one type gets
     NULLs for the other -- the same rows as the outer merge, with one shuffle and no join.
+    Repeated rows of a zone's latest year give the largest value.
     """
     def latest(type_value: str, c: str) -> Column:
         is_t = F.col("type") == type_value
-        return F.max_by(F.when(is_t, F.col(c)), F.when(is_t & F.col("year").isNotNull(), F.col("year")))
+        return F.max_by(F.when(is_t, F.col(c)), F.when(is_t & F.col("year").isNotNull(), F.struct("year", c)))
 
     g = access.where(F.col("year").isNotNull()).groupBy("country", "zone").agg(
         F.max(F.when(F.col("type") == "water", F.col("year"))).alias("water_year"),
@@ -215,17 +222,19 @@ def access_ladder(access: DataFrame, type_value: str) -> DataFrame:
                        order.alias("rung_order"), "pct")
 
 
-def access_ladders(access: DataFrame, types: Sequence[str] = ("water", "sewer")) -> DataFrame:
-    """A27 for several types in one pass: each type's own latest year, its own rung order.
+def access_ladders(access: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
+    """A27 for every type present (or the listed ``types``) in one pass: each type's own latest year,
+    its own rung order (types that do not start with ``water`` take the sewer ladder).
 
-    The per-type latest year is an aggregate of at most ``len(types)`` rows (a proven bound),
-    broadcast to the rows; all rung columns are unpivoted once and each type keeps only the
-    rungs of its ladder.
+    With listed types the per-type latest year has at most ``len(types)`` rows (a proven bound) and is
+    sent to the rows; otherwise the planner chooses by measured size. All rung columns are unpivoted
+    once and each type keeps only the rungs of its ladder.
     """
-    low = [t.lower() for t in types]
-    d = access.withColumn("__t", F.lower("type")).where(F.col("__t").isin(low) & F.col("year").isNotNull())
+    d = access.withColumn("__t", F.lower("type")).where(F.col("__t").isNotNull() & F.col("year").isNotNull())
+    if types is not None:
+        d = d.where(F.col("__t").isin([t.lower() for t in types]))
     latest = d.groupBy("__t").agg(F.max("year").alias("__y"))
-    d = d.join(F.broadcast(latest), "__t").where(F.col("year") == F.col("__y"))
+    d = d.join(latest if types is None else F.broadcast(latest), "__t").where(F.col("year") == F.col("__y"))
     rungs = list(dict.fromkeys(WATER_LADDER + SEWER_LADDER))
     d = d.select("__t", "country", "zone", "year", "type", *[C.col_or_null(d, r) for r in rungs]) \
         .fillna(0.0, subset=rungs)
@@ -245,8 +254,9 @@ def box_statistics(access: DataFrame, measures: Sequence[str] = BOX_MEASURES, *,
     fences, whiskers (most extreme points inside the fences) and outlier count.
 
     Pass 1 aggregates quartiles per group (one row each), which pass 2 joins to the points to aggregate
-    whiskers; the planner sends the small side only when it has measured it. All types present take
-    part, or the listed ``types``. NaN counts as missing. ``distributed=True`` computes the exact
+    whiskers. All types present take part, or the listed ``types``: that bounds the quartiles at
+    ``len(types) * len(measures)`` rows, which are then sent to the points; without it the planner
+    chooses by measured size. NaN counts as missing. ``distributed=True`` computes the exact
     quartiles with :func:`washkit.operators.quantiles.exact_percentiles` instead of ``percentile``
     (same values; no group's distinct values are merged in one task).
     """
@@ -256,7 +266,8 @@ def box_statistics(access: DataFrame, measures: Sequence[str] = BOX_MEASURES, *,
     )
     if distributed:
         from washkit.operators.quantiles import exact_percentiles
-        stats = exact_percentiles(long, ["type", "measure"], "value", [0.25, 0.5, 0.75]).select(
+        stats = exact_percentiles(long, ["type", "measure"], "value", [0.25, 0.5, 0.75],
+                                  groups=None if types is None else len(types) * len(measures)).select(
             "type", "measure", F.col("p0").alias("q1"), F.col("p1").alias("median"), F.col("p2").alias("q3"))
     else:
         q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact else \
@@ -268,7 +279,7 @@ def box_statistics(access: DataFrame, measures: Sequence[str] = BOX_MEASURES, *,
         "lower_fence": F.col("q1") - F.lit(1.5) * F.col("iqr"),
         "upper_fence": F.col("q3") + F.lit(1.5) * F.col("iqr"),
     })
-    j = long.join(stats, ["type", "measure"])
+    j = long.join(stats if types is None else F.broadcast(stats), ["type", "measure"])
     inside = F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
     carried = ("q1", "median", "q3", "lower_fence", "upper_fence")
     out = j.groupBy("type", "measure").agg(

@@ -43,10 +43,14 @@ def ordered_long(x: Column) -> Column:
     return F.when(x < 0, -size).otherwise(size)
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *,
+                      groups: int | None = None) -> DataFrame:
     """Exact percentiles per group: ``keys`` + ``n`` + one column ``p<i>`` per probability.
 
     Null and NaN values are missing; a group without values gives no row. A null key is a group.
+    ``groups`` is the caller's proof that there are at most so many groups: each level then has at most
+    ``2 * len(probs)`` prefixes a group, which are sent to every task where that is under 10,000 rows.
+    Otherwise the planner chooses by size.
     """
     keys = list(keys)
     v = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
@@ -69,7 +73,9 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
                        for i, p in enumerate(probs) for high in (False, True)])
     first = counts.groupBy(*keys, F.shiftright("__k", LEVELS[0]).alias("__d")).agg(F.sum("__c").alias("__c"), F.min("__v").alias("__v"))
     found = narrowed(first.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys))), keys, wanted)
+    sent = groups is not None and groups * 2 * len(probs) < 10_000
     for above, below in zip(LEVELS, LEVELS[1:]):
+        found = F.broadcast(found) if sent else found
         same = [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys] + [F.shiftright("c.__k", above) == F.col("f.__p")]
         inside = counts.alias("c").join(found.alias("f"), same).select(
             *[F.col(f"c.{k}").alias(k) for k in keys], "c.__k", "c.__c", "c.__v", "f.__n", "f.__p", "f.__t")

@@ -22,7 +22,10 @@ pc AS (
          count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS p5
   FROM orders GROUP BY 1, 2, 3),
 cnt AS (
-  SELECT r_name AS country, n_name AS zone, year, status, sum(n) AS n, sum(p1) AS p1, sum(p2) AS p2,
+  SELECT r_name AS country,
+         n_name || if(n_nationkey % 5 = 4 AND status = 'O', ' OLD TOWN',
+                      if(n_nationkey % 8 = 3, ' KAMPALA', if(n_nationkey % 4 = 1, ' RURAL', if(n_nationkey % 4 = 2, ' URBAN', '')))) AS zone,
+         year, status, sum(n) AS n, sum(p1) AS p1, sum(p2) AS p2,
          sum(p3) AS p3, sum(p4) AS p4, sum(p5) AS p5, count(*) AS hh
   FROM pc JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
        JOIN region ON n_regionkey = r_regionkey

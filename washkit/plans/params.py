@@ -7,6 +7,8 @@ stand-in names (zones are ``NATION_n``, countries are region names).
 
 LATEST_YEAR = 2001
 TREND_START, TREND_END = 1997, 2001
+# Every type that the tidy access table has (the two sources' recoded types).
+ACCESS_TYPES = ("water", "sewer")
 FOCUS_ZONE_PATTERN = "nation_1"
 FOCUS_COUNTRIES = ["ASIA"]
 COMPARE_COUNTRIES = ["ASIA", "AFRICA"]

@@ -91,12 +91,12 @@ def q_zone_summary(spark, sf_dir):
 
 @register("access_ladder")
 def q_access_ladder(spark, sf_dir):
-    return A.access_ladders(access_table(spark, sf_dir), ("water", "sewer"))
+    return A.access_ladders(access_table(spark, sf_dir), X.ACCESS_TYPES)
 
 
 @register("box_statistics")
 def q_box_statistics(spark, sf_dir):
-    return A.box_statistics(access_table(spark, sf_dir), distributed=True)
+    return A.box_statistics(access_table(spark, sf_dir), types=X.ACCESS_TYPES, distributed=True)
 
 
 @register("focus_zone_trend")
@@ -425,4 +425,4 @@ def q_snapshot_merge(spark, sf_dir):
 @register("box_statistics_distributed")
 def q_box_statistics_distributed(spark, sf_dir):
     """The same as box_statistics: the key stays for comparison with earlier rounds."""
-    return A.box_statistics(access_table(spark, sf_dir), distributed=True)
+    return A.box_statistics(access_table(spark, sf_dir), types=X.ACCESS_TYPES, distributed=True)

@@ -62,8 +62,15 @@ def _sql(t: Tables, text: str, *names: str) -> DataFrame:
 _RUNG_COUNTS = ",\n".join(
     f"count_if(o_orderpriority = '{p}') AS p{i + 1}" for i, p in enumerate(PRIORITY_RUNGS))
 
+# Zone names that reach every branch of the urban/rural tag (Kampala is one of its fixed centres), zones that
+# have rows of one type only, and zones that no outline is named after.
+_ZONE = """CASE WHEN n_nationkey % 5 = 4 AND status = 'O' THEN concat(n_name, ' OLD TOWN')
+            WHEN n_nationkey % 4 = 1 THEN concat(n_name, ' RURAL')
+            WHEN n_nationkey % 4 = 2 THEN concat(n_name, ' URBAN')
+            WHEN n_nationkey % 8 = 3 THEN concat(n_name, ' KAMPALA') ELSE n_name END"""
+
 _ACCESS_COUNTS = f"""
-SELECT r_name AS country, n_name AS zone, year, status, sum(n) AS n, sum(p1) AS p1, sum(p2) AS p2, sum(p3) AS p3,
+SELECT r_name AS country, {_ZONE} AS zone, year, status, sum(n) AS n, sum(p1) AS p1, sum(p2) AS p2, sum(p3) AS p3,
        sum(p4) AS p4, sum(p5) AS p5, count(1) AS hh
 FROM (SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS year, CASE WHEN o_orderstatus = 'O' THEN 'O' ELSE 'F' END AS status,
              count(1) AS n, {_RUNG_COUNTS}
@@ -72,7 +79,7 @@ FROM (SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS year, CASE WHEN o_orde
 JOIN {{customer}} ON o_custkey = c_custkey
 JOIN {{nation}} ON c_nationkey = n_nationkey
 JOIN {{region}} ON n_regionkey = r_regionkey
-GROUP BY r_name, n_name, year, status
+GROUP BY r_name, {_ZONE}, year, status
 """
 
 

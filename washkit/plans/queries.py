@@ -313,7 +313,7 @@ def q_catalogue_filter(spark, sf_dir):
 
 @register("section_subcategory_listing")
 def q_section_subcategory_listing(spark, sf_dir):
-    return CG.section_subcategory_listing(catalogue_table(spark, sf_dir))
+    return CG.section_subcategory_listing(catalogue_table(spark, sf_dir), X.SUBCATEGORY_ORDER)
 
 
 @register("distinct_values")

@@ -44,3 +44,34 @@ def test_stages(spark, corpus):
     for r in packed:
         total[r.doc_id] = total.get(r.doc_id, 0) + r.n_words
     assert total == {r.doc_id: len(words(r.text)) for r in leaks}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def written(spark, at, rows, labels=(), items=()):
+    spark.createDataFrame(list(labels), "doc_id long, quality int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+
+
+def test_rows_with_a_null_or_repeated_id_go_by_their_own_text(spark, tmp_path):
+    bad = " ".join(w + "$$$" for w in prose(70, 60).split())
+    good = {i: prose(500 + i, 60) for i in range(300)}
+    rows = [(i, t if i % 7 else " ".join(w + "$$$" for w in t.split())) for i, t in good.items()]
+    rows += [(None, prose(71, 60)), (None, prose(72, 60)), (None, bad), (1, bad)]
+    docs = written(spark, tmp_path, rows, [(i, int(i % 7 != 0)) for i in range(1, 280)], [(1, ITEM)])
+    got = {(r.doc_id, r.text) for r in cp.quality(spark, docs, str(tmp_path)).collect()}
+    assert {(None, prose(71, 60)), (None, prose(72, 60)), (1, good[1])} <= got and (None, bad) not in got and (1, bad) not in got
+
+    rows = [(1, prose(73, 60)), (1, prose(74, 60)), (1, prose(74, 60)), (2, prose(74, 60) + " end"), (3, prose(73, 60)), (4, ""), (4, ""), (5, ""), (None, prose(75, 60)), (None, prose(76, 60))]
+    got = cp.near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA), str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in {rows[0], rows[1], rows[5], rows[7], rows[8], rows[9]})
+
+    rows = [(None, PASSAGE + " a " + prose(80, 30)), (None, prose(81, 30) + " " + PASSAGE), (None, prose(82, 40)), (None, PASSAGE), (2, PASSAGE + " b " + prose(83, 30)), (2, prose(84, 40))]
+    got = {r.text.strip() for r in cp.repeated_passages(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA), str(tmp_path)).collect()}
+    assert got == {"a " + prose(80, 30), prose(81, 30), prose(82, 40), "b " + prose(83, 30), prose(84, 40)}
+
+    rows = [(None, prose(85, 30)), (None, prose(86, 30) + " " + ITEM), (3, ITEM + " " + prose(87, 30)), (3, prose(88, 30))]
+    got = {r.text for r in cp.benchmark_leaks(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA), str(tmp_path)).collect()}
+    assert got == {prose(85, 30), prose(88, 30)}

@@ -58,6 +58,11 @@ def utf8(col: Column | str) -> Column:
     return F.coalesce(F.encode(c.cast("string"), "UTF-8"), F.lit(b""))
 
 
+def digest(col: Column | str) -> Column:
+    """128 bits of the text's UTF-8 bytes; a null text counts as empty."""
+    return F.unhex(F.md5(utf8(col)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -59,7 +59,8 @@ def _featured(batches):
 
     for b in batches:
         x = features(b.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32()))], names=["doc_id", "x"])
+        own = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32()))], names=[*own, "x"])
 
 
 def _summed(batches):
@@ -149,7 +150,8 @@ def _scored(model, mean: np.ndarray, dev: np.ndarray):
         for b in batches:
             x = (b.column("x").flatten().to_numpy().reshape(-1, WIDTH) - mean) / dev
             s = np.full(len(x), 0.5) if w is None else sigmoid(np.tanh(np.clip(x, -6, 6) @ w[0] + w[1]) @ w[2] + w[3][0])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
+            own = [c for c in b.schema.names if c != "x"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(s)], names=[*own, "score"])
 
     return run
 
@@ -161,8 +163,8 @@ def held_out(id_col: Column | str) -> Column:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-                   sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``.
+                   sample: int = SAMPLE, threshold: float = 0.3, key_col: str | None = None) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of ``docs``, with the binary ``key_col`` as key where given.
 
     score: probability that the text is good; predicted: 1 from ``threshold`` up. Only the text is
     scored. Labels are used of rows that are not held out and say 1; ``sample`` bounds the rows the
@@ -170,11 +172,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     A null text is empty; it is scored like any other. Rows with a null id are scored and count
     as not held out. Without any trusted positive every score is 0.5. Other columns are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    found = stored(base.mapInArrow(_featured, "doc_id long, x array<float>"), "features")
+    key, kind = ([F.col(key_col).alias("key")], "key binary, ") if key_col else ([], "")
+    own = ["doc_id", "key"] if key_col else ["doc_id"]
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, utf8(text_col).alias("text"))
+    found = stored(base.mapInArrow(_featured, f"doc_id long, {kind}x array<float>"), "features")
     stats = found.mapInArrow(_summed, "k long, n double, s double, q double").groupBy("k").agg(F.sum("n"), F.sum("s"), F.sum("q")).orderBy("k").collect()
     if not stats:
-        return found.select("doc_id", held_out("doc_id").alias("held_out"), F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+        return found.select(*own, held_out("doc_id").alias("held_out"), F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
     n, s, q = (np.array([r[i] for r in stats]) for i in (1, 2, 3))
     mean = s / n
     dev = np.sqrt(np.maximum(q / n - mean * mean, 1e-6))
@@ -190,5 +194,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     pos = picked(stored(found.join(good, "doc_id", "left_semi"), "positives"), 1)
     unl = picked(found, 2)
     model = fit(pos, unl)[0] if len(pos) >= 2 and len(unl) >= 2 else None
-    out = found.mapInArrow(_scored(model, mean, dev), "doc_id long, score double")
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = found.mapInArrow(_scored(model, mean, dev), f"doc_id long, {kind}score double")
+    return out.select(*own, held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

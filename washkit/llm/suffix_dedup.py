@@ -213,14 +213,15 @@ def _spans(batches):
             edges = [0, *(x for s in out for x in s), len(t)]
             kept.append(b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if out else t)
             spans.append([{"first": x, "last": y} for x, y in out])
+        own = [c for c in b.schema.names if c == "key"]
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array([len(x) for x in b.column("text").to_pylist()], pa.int64()),
-             pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "spans", "kept"])
+             pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(kept, pa.binary()), *(b.column(c) for c in own)],
+            names=["doc_id", "n_bytes", "spans", "kept", *own])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) of every row of ``docs``.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, block: int = BLOCK, key_col: str | None = None) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept) of every row of ``docs``, with the binary ``key_col`` as key where given.
 
     spans: maximal runs [first, last) of bytes covered by a ``min_bytes`` string (128 or more) that
     also starts anywhere else in the table, in the same text included; kept: the remaining bytes.
@@ -230,8 +231,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if min_bytes < 128:
         raise ValueError("min_bytes must be 128 or more")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")) \
-        .select(F.coalesce("doc_id", F.lit(0)).alias("k0"), F.xxhash64("text", F.col("doc_id").isNull()).alias("k1"), "doc_id", "text")
+    own = ["key"] if key_col else []
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), *([F.col(key_col).alias("key")] if key_col else [])) \
+        .select(F.coalesce("doc_id", F.lit(0)).alias("k0"), F.xxhash64("text", F.col("doc_id").isNull()).alias("k1"), "doc_id", "text", *own)
     segs = stored(base.select("k0", "k1", "text").mapInArrow(_segments(min_bytes), f"k0 long, k1 long, {SEGMENT}"), "segments")
     hulls = stored(segs.groupBy("anchor", "hull", "n").agg(F.sum(F.size("starts")).alias("c"), F.min(F.struct("k0", "k1", F.get("starts", F.lit(0)).alias("start"), "rel")).alias("at")), "hulls")
     buckets = hulls.groupBy("anchor").agg(F.count("*").alias("h"), F.min("c").alias("least")).where("h > 1 AND least = 1").drop("least")
@@ -265,11 +267,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     covered = stored(covered, "covered")
     ids = covered.select("k0", "k1")
     if few(ids, SENT_IDS // 2):  # only the texts that lose bytes are shuffled
-        whole = base.join(F.broadcast(ids), ["k0", "k1"], "left_anti").select("doc_id", "text", F.lit(None).cast(covered.schema["found"].dataType).alias("found"))
-        joined = base.join(F.broadcast(ids), ["k0", "k1"], "left_semi").join(covered, ["k0", "k1"]).select("doc_id", "text", "found").unionByName(whole)
+        whole = base.join(F.broadcast(ids), ["k0", "k1"], "left_anti").select("doc_id", "text", F.lit(None).cast(covered.schema["found"].dataType).alias("found"), *own)
+        joined = base.join(F.broadcast(ids), ["k0", "k1"], "left_semi").join(covered, ["k0", "k1"]).select("doc_id", "text", "found", *own).unionByName(whole)
     else:
-        joined = base.join(covered, ["k0", "k1"], "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(_spans, "doc_id long, n_bytes long, spans array<struct<first:bigint,last:bigint>>, kept binary")
+        joined = base.join(covered, ["k0", "k1"], "left").select("doc_id", "text", "found", *own)
+    return joined.mapInArrow(_spans, "doc_id long, n_bytes long, spans array<struct<first:bigint,last:bigint>>, kept binary" + ", key binary" * len(own))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -133,9 +133,11 @@ def _sent(shipped):
                     n.append(int(offsets[i + 1] - offsets[i]))
                     spans.append([{"first": x, "last": y} for x, y in runs])
                     items.append(sorted(names))
+            own = [c for c in b.schema.names if c == "key"]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "spans", "items"])
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(items, pa.list_(pa.string())),
+                 *(b.column(c) for c in own)],
+                names=["doc_id", "n_words", "spans", "items", *own])
 
     return run
 
@@ -186,13 +188,16 @@ def _merged_spans(batches):
 
     for b in batches:
         spans = [[{"first": x, "last": y} for x, y in merged([(r["first"], r["last"]) for r in rows or ()])] for rows in b.column("spans").to_pylist()]
+        own = [c for c in b.schema.names if c == "key"]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                                          pa.array([sorted(x or ()) for x in b.column("items").to_pylist()], pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+                                          pa.array([sorted(x or ()) for x in b.column("items").to_pylist()], pa.list_(pa.string())), *(b.column(c) for c in own)],
+                                         names=["doc_id", "n_words", "spans", "items", *own])
 
 
 def _joined(base: DataFrame, items: DataFrame) -> DataFrame:
     """The same result by joins alone, for benchmarks of any size."""
-    base = stored(base.withColumn("key", F.xxhash64("doc_id", "text")), "documents")
+    own = [F.col("own").alias("key")] if "key" in base.columns else []
+    base = stored(base.withColumnRenamed("key", "own").withColumn("key", F.xxhash64("doc_id", "text")), "documents")
     printed = stored(base.select("key", "text").mapInArrow(_printed, "key long, n_words long, prints array<bigint>"), "prints")
     codes = stored(items.select(F.monotonically_increasing_id().alias("key"), "item_id", "text"), "items")
     of_items = stored(codes.mapInArrow(_printed, "key long, n_words long, prints array<bigint>"), "item-prints")
@@ -207,13 +212,13 @@ def _joined(base: DataFrame, items: DataFrame) -> DataFrame:
     found = both.select("key", "item_id", "text", "item").mapInArrow(_extended, "key long, item_id string, spans array<struct<first:bigint,last:bigint>>")
     found = stored(found, "hits").groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.collect_set("item_id").alias("items"))
     counts = printed.groupBy("key").agg(F.max("n_words").alias("n_words"))
-    return base.select("doc_id", "key").join(counts, "key").join(found, "key", "left").select("doc_id", "n_words", "spans", "items") \
-        .mapInArrow(_merged_spans, f"doc_id long, n_words long, {HITS}")
+    return base.drop("text").join(counts, "key").join(found, "key", "left").select("doc_id", "n_words", "spans", "items", *own) \
+        .mapInArrow(_merged_spans, f"doc_id long, n_words long, {HITS}" + ", key binary" * len(own))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, n_words, spans, items) of every document.
+                  item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, key_col: str | None = None) -> DataFrame:
+    """(doc_id, n_words, spans, items) of every document, with the binary ``key_col`` as key where given.
 
     spans: maximal runs [first, last) of words inside an occurrence of a window of an item; items:
     the ids of those items as sorted strings. Words are runs of a-z, 0-9 and non-ASCII characters
@@ -221,13 +226,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     items and items without an id hit nothing; repeated rows count as they stand. Whether the
     benchmark is sent to the tasks or joined depends on its measured size alone; the result does not.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), *([F.col(key_col).alias("key")] if key_col else []))
     given = items.select(F.col(item_col).cast("string").alias("item_id"), utf8(item_text).alias("text")).where("item_id IS NOT NULL").distinct()
     size = given.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()[0]
     if size > broadcast_bytes:
         return _joined(base, given)
     rows = [(r[0], bytes(r[1])) for r in given.collect()]  # at most broadcast_bytes
-    return base.mapInArrow(_sent(docs.sparkSession.sparkContext.broadcast(rows)), f"doc_id long, n_words long, {HITS}")
+    return base.mapInArrow(_sent(docs.sparkSession.sparkContext.broadcast(rows)), f"doc_id long, n_words long, {HITS}" + ", key binary" * bool(key_col))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from washkit.llm.common import digest, stored, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bytes of a repeated passage that the suffix-array stage removes: below the length of 50 short words.
 PASSAGE = 200
+#: Jaccard similarity of 5-word shingles, in percent, from which the near-duplicate stage links two documents.
+NEAR = 80
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     an id and a text one stays. Rows of one id with different texts are different documents. Rows
     with a null id stay."""
     docs = stored(_keyed(docs).withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
-    found = minhash.near_duplicates(docs, id_col="row", percent=85).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "row")
+    found = minhash.near_duplicates(docs, id_col="row", percent=NEAR).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "row")
     wordless = F.col("n_shingles") == 0
     first = (
         found.join(docs.select("row", "doc_id", "digest"), "row")

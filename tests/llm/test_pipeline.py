@@ -1,8 +1,11 @@
 """The pipeline's stages on a small corpus against plain Python."""
 
+from math import comb
+
 import corpus_pipeline as cp
 import pytest
 from tests.llm.test_operators import ITEM, PASSAGE, prose, words
+from washkit.llm import minhash
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +78,22 @@ def test_rows_with_a_null_or_repeated_id_go_by_their_own_text(spark, tmp_path):
     rows = [(None, prose(85, 30)), (None, prose(86, 30) + " " + ITEM), (3, ITEM + " " + prose(87, 30)), (3, prose(88, 30))]
     got = {r.text for r in cp.benchmark_leaks(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA), str(tmp_path)).collect()}
     assert got == {prose(85, 30), prose(88, 30)}
+
+
+def test_near_copies_from_a_similarity_of_four_fifths(spark, tmp_path):
+    rows = []
+    for i in range(40):  # 182 shingles each, 165 of them shared: J = 0.83
+        w = prose(2000 + i, 190).split()
+        rows += [(2 * i, " ".join(w[:186])), (2 * i + 1, " ".join([*w[:169], *(f"x{i}y{j}" for j in range(17))]))]
+    sets = [{tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    assert all(0.8 <= len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) < 0.85 for i in range(40))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in cp.near_duplicates(spark, docs, str(tmp_path)).collect()) == list(range(0, 80, 2))
+
+
+def test_a_pair_at_the_threshold_is_hardly_missed():
+    for percent in (80, 85, 90):
+        for n, k in zip((minhash.TOKENS, minhash.COORDINATES), minhash.must_agree(percent), strict=True):
+            p = percent / 100
+            assert sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k)) < 2e-6
+    assert minhash.must_agree(85) == (38, 88)

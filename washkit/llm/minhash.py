@@ -3,8 +3,8 @@
 Every document gets a MinHash signature of its 5-word shingles. Documents with equal shingle
 sets are one class from the start; only class representatives are joined. Each representative is
 posted under its (coordinate, value) tokens. Tokens are ordered by rising frequency, and only
-the rarest ``TOKENS - MATCHES + 1`` of a document are posted (prefix filter: two documents with
-at least MATCHES equal tokens meet in one of those); tokens that no other document has count but
+the rarest ``TOKENS - least + 1`` of a document are posted (prefix filter: two documents with
+at least ``least`` equal tokens meet in one of those); tokens that no other document has count but
 are not written. Lists are merged as pairs of bounded blocks of documents: equal coordinates are
 counted there, pairs below the match threshold are skipped, and what is left is confirmed on the
 full shingle sets, where pairs that are already connected are skipped. Each block pair returns a
@@ -14,6 +14,7 @@ spanning forest of its links, so the output stays linear in the documents of the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -24,8 +25,8 @@ from washkit.llm.components import components
 
 #: Signature coordinates; the first TOKENS are posted.
 COORDINATES, TOKENS = 128, 64
-#: Coordinates that must agree. A pair at Jaccard 0.85 misses either bound with a probability below 4e-6.
-MATCHES, ALL_MATCHES = 38, 88
+#: Greatest probabilities that a pair at the threshold agrees in fewer posted, or in fewer of all coordinates, than must agree.
+MISSED, ALL_MISSED = 2e-7, 1.1e-6
 #: Documents of a block of a posting list.
 BLOCK = 256
 WORDS = 5
@@ -38,6 +39,19 @@ _SPACES = bytes(32 if i == 32 or 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else
 SIGNATURES = "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"
 
 
+def must_agree(percent: int) -> tuple[int, int]:
+    """How many of the posted and of all coordinates must agree: the greatest numbers that a pair
+    at ``percent`` / 100 misses with at most MISSED and ALL_MISSED (binomial tails; 38 and 88 at 85)."""
+    p, out = percent / 100, []
+    for n, missed in ((TOKENS, MISSED), (COORDINATES, ALL_MISSED)):
+        k, tail = 0, (1 - p) ** n
+        while k < n and tail <= missed:
+            k += 1
+            tail += comb(n, k) * p**k * (1 - p) ** (n - k)
+        out.append(max(k, 1))
+    return out[0], out[1]
+
+
 def shingles(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
     """Sorted distinct codes of each text's word shingles: words parted by ASCII white space,
     A-Z lower-cased; fewer words than a shingle make one shingle, no words none."""
@@ -82,9 +96,9 @@ def _sets(batches):
             [b.column(0), pa.array([s.tobytes() for s in shingles(b.column(1).to_pylist())], pa.binary())], names=["doc_id", "found"])
 
 
-def _meet(share: float):
+def _meet(share: float, least: int):
     """Block pairs (task, side, doc_id, n_shingles, sig sorted by task) -> the pairs that agree
-    in enough coordinates, as one row for each task."""
+    in at least ``least`` coordinates, as one row for each task."""
 
     def run(batches):
         import pyarrow as pa
@@ -104,7 +118,7 @@ def _meet(share: float):
                     j = b[b > i] if b is a else b
                     near = (n[j] >= share * n[i]) & (share * n[j] <= n[i])
                     j = j[near]
-                    j = j[(sig[j] == sig[i]).sum(axis=1) >= ALL_MATCHES]
+                    j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
                     x.append(np.full(len(j), ids[i]))
                     y.append(ids[j])
                 x, y = np.concatenate(x) if x else [], np.concatenate(y) if y else []
@@ -161,9 +175,9 @@ def _confirm(percent: int):
     return run
 
 
-def block_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def block_pairs(reps: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(blocks, pairs) of representatives: (doc_id, blk) for all that are posted, and the distinct
-    (task, x, y) block pairs that meet in a posting list."""
+    (task, x, y) block pairs that meet in a posting list; pairs with ``least`` equal tokens do."""
     tokens = reps.select("doc_id", F.posexplode(F.slice("sig", 1, TOKENS)).alias("c", "v")).select(
         "doc_id", (F.col("c").cast("long") * F.lit(1 << 32) + F.col("v").cast("long") + F.lit(1 << 31)).alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
@@ -171,9 +185,9 @@ def block_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     posts = (
         tokens.join(often, "token")
         .withColumn("m", F.count("*").over(own))
-        .where(F.col("m") >= MATCHES)
+        .where(F.col("m") >= least)
         .withColumn("r", F.row_number().over(own.orderBy("f", "token")))
-        .where(F.col("r") <= F.col("m") - MATCHES + 1)
+        .where(F.col("r") <= F.col("m") - least + 1)
         .select("doc_id", "token")
     )
     posts = stored(posts, "postings")
@@ -200,13 +214,14 @@ def block_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(u, v): links between class representatives that connect all documents whose Jaccard
     similarity is at least ``percent`` / 100. ``docs``: (doc_id, text bytes)."""
-    blocks, pairs = block_pairs(reps)
+    least, of_all = must_agree(percent)
+    blocks, pairs = block_pairs(reps, least)
     sides = pairs.select("task", F.posexplode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("side", "blk"))
     members = blocks.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
     met = (
         sides.join(members, "blk").select("task", "side", "doc_id", "n_shingles", "sig")
         .repartition("task").sortWithinPartitions("task")
-        .mapInArrow(_meet(percent / 100), "task long, a array<bigint>, b array<bigint>")
+        .mapInArrow(_meet(percent / 100, of_all), "task long, a array<bigint>, b array<bigint>")
     )
     met = stored(met, "met")
     needed = met.select("task", F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc_id"))
@@ -224,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
     Documents are linked when ``100 * |A & B| >= percent * |A | B|`` on their distinct 5-word
-    shingles (``percent`` from 80 up: the match thresholds are set for that). component_id is the
+    shingles (``percent`` from 80 up; how many coordinates must agree follows it). component_id is the
     least id reachable over links, kept marks the row that has it. A null, empty or wordless text
     has an empty set and is linked with nothing. Rows with a null id keep a null component_id and
     are kept. Rows that repeat an id and a text share their result. Other columns are not read.

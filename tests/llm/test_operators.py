@@ -241,3 +241,18 @@ def test_empty_tables(spark):
                winnow.contamination(docs, docs.withColumnRenamed("doc_id", "item_id")), warc.round_trip(pages), site_style.main_text(pages), hash_forest.nearest(vectors, vectors),
                url_reputation.judge_urls(pages, spark.createDataFrame([], "page_id long, bad int"), RULES)):
         assert df.collect() == []
+
+
+def test_main_text_of_a_host_that_is_mostly_copies(spark):
+    def page(text, more=""):
+        return f"<body><div class=top>Same line here</div><article><div class=body><p>{text}</p></div><div class=tail>All rights kept</div>{more}</article></body>"
+
+    copy, own = prose(300, 20), {i: prose(301 + i, 20) for i in range(10)}
+    rows = [(i, "http://h.org/c", page(copy)) for i in range(190)] + [(200 + i, "http://h.org/a", page(own[i])) for i in range(10)]
+    rows += [(300 + i, "http://n.org/", f"<body><div class=body><p>{copy}</p></div><p>{i}</p></body>") for i in range(20)]  # copies but for a number
+    rows += [(400 + i, "http://m.org/", f"<body><div class=a><p>{'Mostly the same' if i < 190 else own[i - 190][:30]}</p></div><p>{prose(700 + i, 20)}</p></body>") for i in range(200)]
+    got = {r.page_id: r.text for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == copy for i in range(190)) and all(got[200 + i] == own[i] for i in range(10))
+    assert all(got[300 + i] == f"{copy}\n{i}" for i in range(20))
+    assert all(got[400 + i] == ("" if i < 190 else own[i - 190][:30].strip() + "\n") + prose(700 + i, 20) for i in range(200))

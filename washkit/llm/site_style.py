@@ -4,10 +4,11 @@ The pages of a host are merged into one tree: a node is an element reached by th
 tags and classes, and holds how often each presentation (sequence of child elements) and each
 content (text of the branch) occurs. A node's importance is one part the entropy of its
 presentations and nine parts how far its contents differ from page to page: a text that all
-occurrences share has entropy 1 and importance 0, a text of one page importance 1. The tree is
-kept as counts per (host, path, presentation or content), which Spark aggregates, so no host's
-pages meet in one task. A container branch of low importance is removed from each page, and so
-are elements whose tag, class, id or role names them as menus, headers, footers, sidebars,
+occurrences share has entropy 1 and importance 0, a text of one page importance 1. Copies of a
+page count once. The tree is kept as counts per (host, path, presentation or content), which Spark
+aggregates, so no host's pages meet in one task. A container branch of low importance is removed
+from the pages on which its content is one of the frequent ones there, unless it holds most of the
+page's article; and so are elements whose tag, class, id or role names them as menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments. What is left of the page's article
 (else its main element, else its body) is the text.
 """
@@ -16,17 +17,18 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from hashlib import blake2b
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washkit.llm.common import stored
+from washkit.llm.common import digest, stored
 from washkit.llm.url_reputation import host_and_path
 
 #: Occurrences from which a node's importance is trusted, and the importance below which a branch goes.
 MIN_SEEN, LOW = 8, 0.1
+#: Share of a node's occurrences (and MIN_SEEN of them) from which a content is a frequent one.
+FREQUENT = 0.01
 
 # Names of HTML elements and of the parts of a page that are not its article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -152,18 +154,23 @@ class Page:
                 bad = bad or value == "true"
         return classes, bad
 
-    def counted(self):
-        """(path, presentation, content) of every block element with text below it."""
+    def below(self) -> dict[int, list[str]]:
+        """The texts below every block element that has any."""
         below: dict[int, list[str]] = {}
         for t, n in self.blocks:
             while n > 0:
                 below.setdefault(n, []).append(t)
                 n = self.parent[n]
-        for n, texts in below.items():
+        return below
+
+    def counted(self):
+        """(path, presentation, content) of every block element with text below it."""
+        for n, texts in self.below().items():
             yield self.path[n], _code(*self.kids[n]), _code(*texts)
 
-    def main_text(self, low: frozenset[int] | set[int] = frozenset()) -> str:
-        """Blocks of the article outside noise and outside container branches with a path in ``low``."""
+    def main_text(self, low: frozenset[tuple[int, int]] | set[tuple[int, int]] = frozenset()) -> str:
+        """Blocks of the article outside noise and outside container branches with a (path, content)
+        in ``low``; a branch with more than half of the article's characters stays."""
         n = len(self.tag)
         inside: list[str] = [""] * n  # the kind of root that the element is in
         holds = [False] * n
@@ -177,8 +184,19 @@ class Page:
                     j = self.parent[j]
         root = next((r for r in ("article", "main") if r in inside), None)
         gone = list(self.noise)
+        paths = {p for p, _ in low}
+        known = [i for i in range(1, n) if self.path[i] in paths and not holds[i] and self.tag[i] in CONTAINERS]
+        if known:
+            size, below = [0] * n, self.below()
+            for t, i in self.blocks:
+                if not self.noise[i] and (root is None or inside[i] == root):
+                    while i >= 0:
+                        size[i] += len(t)
+                        i = self.parent[i]
+            for i in known:
+                gone[i] = gone[i] or (2 * size[i] <= size[0] and (self.path[i], _code(*below.get(i, ()))) in low)
         for i in range(1, n):
-            gone[i] = gone[i] or gone[self.parent[i]] or (self.path[i] in low and not holds[i] and self.tag[i] in CONTAINERS)
+            gone[i] = gone[i] or gone[self.parent[i]]
         return "\n".join(t for t, i in self.blocks if not gone[i] and (root is None or inside[i] == root))
 
 
@@ -186,26 +204,31 @@ def _counted(batches):
     import pyarrow as pa
 
     for b in batches:
-        seen: Counter = Counter()
         paths: dict = {}
-        for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-            for path, style, content in Page(html, paths).counted():
-                seen[host, path, 0, style] += 1
-                seen[host, path, 1, content] += 1
-        cols = zip(*seen, strict=True) if seen else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((*cols, list(seen.values())), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)],
-                                         names=["host", "path", "kind", "value", "c"])
-
-
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, seen, importance) of the merged element nodes of ``pages`` (host, html)."""
-    counts = pages.select("host", "html").mapInArrow(_counted, "host string, path long, kind int, value long, c long") \
-        .groupBy("host", "path", "kind", "value").agg(F.sum("c").alias("c"))
+        rows: dict = {}
+        for host, key, html in zip(*(b.column(c).to_pylist() for c in ("host", "key", "html")), strict=True):
+            if (host, key) not in rows:
+                rows[host, key] = list(zip(*Page(html, paths).counted(), strict=True)) or [(), (), ()]
+        hosts, keys = zip(*rows, strict=True) if rows else ((), ())
+        cols = zip(*rows.values(), strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in cols)],
+                                         names=["host", "key", "paths", "styles", "contents"])
+
+
+def style_tree(pages: DataFrame, min_seen: int = MIN_SEEN) -> DataFrame:
+    """(host, path, seen, importance, often) of the merged element nodes of ``pages`` (host, html).
+    Copies of a page on a host count once; often: (value, c) of the contents seen ``min_seen`` times."""
+    once = pages.select("host", digest("html").alias("key"), "html") \
+        .mapInArrow(_counted, "host string, key binary, paths array<bigint>, styles array<bigint>, contents array<bigint>").dropDuplicates(["host", "key"])
+    nodes = once.select("host", F.explode(F.arrays_zip("paths", "styles", "contents")).alias("x"))
+    counts = nodes.select("host", F.col("x.paths").alias("path"), F.posexplode(F.array("x.styles", "x.contents")).alias("kind", "value")) \
+        .groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
     sums = counts.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("seen"),
-        F.sum(F.when(F.col("kind") == 0, F.col("c") * F.log("c"))).alias("styles"), F.sum(F.when(F.col("kind") == 1, F.col("c") * F.log("c"))).alias("contents"))
+        F.sum(F.when(F.col("kind") == 0, F.col("c") * F.log("c"))).alias("styles"), F.sum(F.when(F.col("kind") == 1, F.col("c") * F.log("c"))).alias("contents"),
+        F.collect_list(F.when((F.col("kind") == 1) & (F.col("c") >= min_seen), F.struct("value", "c"))).alias("often"))
     same = lambda c: F.when(F.col("seen") > 1, F.col(c) / (F.col("seen") * F.log("seen"))).otherwise(F.lit(0.0))
-    return sums.select("host", "path", "seen", (0.1 * (1 - same("styles")) + 0.9 * (1 - same("contents"))).alias("importance"))
+    return sums.select("host", "path", "seen", (0.1 * (1 - same("styles")) + 0.9 * (1 - same("contents"))).alias("importance"), "often")
 
 
 def _extracted(batches):
@@ -213,7 +236,7 @@ def _extracted(batches):
 
     for b in batches:
         paths: dict = {}
-        texts = [Page(html, paths).main_text(frozenset(low or ())) for html, low in zip(b.column("html").to_pylist(), b.column("low").to_pylist(), strict=True)]
+        texts = [Page(html, paths).main_text(frozenset(zip(low[::2], low[1::2], strict=True)) if low else frozenset()) for html, low in zip(b.column("html").to_pylist(), b.column("low").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                          names=["page_id", "url", "text", "n_chars"])
 
@@ -228,6 +251,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_and_path(F.col(url_col))[0].alias("host"),
                         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    tree = style_tree(base)
-    branches = stored(tree.where((F.col("seen") >= min_seen) & (F.col("importance") < low)).groupBy("host").agg(F.collect_list("path").alias("low")), "branches")
+    tree = style_tree(base, min_seen).where((F.col("seen") >= min_seen) & (F.col("importance") < low))
+    frequent = tree.select("host", "path", F.explode(F.filter("often", lambda x: x["c"] >= F.col("seen") * FREQUENT)).alias("x"))
+    branches = stored(frequent.groupBy("host").agg(F.flatten(F.collect_list(F.array("path", "x.value"))).alias("low")), "branches")
     return base.join(branches, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

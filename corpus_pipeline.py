@@ -73,9 +73,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark window."""
+    """Documents that hold no benchmark window, of items without an id neither."""
     docs = _keyed(docs)
-    found = winnow.contamination(docs, table(spark, sf_dir, "benchmark"), key_col="digest")
+    found = winnow.contamination(docs, table(spark, sf_dir, "benchmark"), key_col="digest", null_items=True)
     bad = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("of_id"), "key").distinct()
     return _by_row(docs, bad, "left_anti").select(*COLUMNS)
 

@@ -256,3 +256,21 @@ def test_main_text_of_a_host_that_is_mostly_copies(spark):
     assert all(got[i] == copy for i in range(190)) and all(got[200 + i] == own[i] for i in range(10))
     assert all(got[300 + i] == f"{copy}\n{i}" for i in range(20))
     assert all(got[400 + i] == ("" if i < 190 else own[i - 190][:30].strip() + "\n") + prose(700 + i, 20) for i in range(200))
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_contamination_by_items_without_an_id(spark, docs, sent):
+    items = spark.createDataFrame([(None, PASSAGE), (None, "one two"), (1, ITEM), (None, ITEM)], "item_id long, text string")
+    got = {r.doc_id: r for r in winnow.report(winnow.contamination(docs, items, broadcast_bytes=sent, null_items=True)).collect()}
+    sha = {x: hashlib.sha256(x.encode()).hexdigest() for x in ("", "1")}
+    assert {i: (r.n_hit, r.n_items, r.items_sha256) for i, r in got.items() if r.contaminated} == {
+        9: (2, 1, sha[""]), 10: (2, 1, sha[""]), 11: (90, 1, sha[""]), 12: (90, 1, sha[""]), 16: (90, 1, sha[""]), 14: (14, 2, sha["1"]), 17: (14, 2, sha["1"])}
+
+
+def test_the_query_counts_items_without_an_id(spark, tmp_path):
+    from washkit.llm.queries import REGISTRY
+
+    spark.createDataFrame([(1, ITEM + " x"), (2, prose(12, 30))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = REGISTRY["op10_winnowing"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in got) == [(1, 14, 1, True), (2, 0, 0, False)]

@@ -97,3 +97,8 @@ def test_a_pair_at_the_threshold_is_hardly_missed():
             p = percent / 100
             assert sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k)) < 2e-6
     assert minhash.must_agree(85) == (38, 88)
+
+
+def test_a_leak_of_an_item_without_an_id_goes(spark, tmp_path):
+    docs = written(spark, tmp_path, [(1, prose(90, 30) + " " + ITEM), (2, prose(91, 40))], (), [(None, ITEM)])
+    assert [r.doc_id for r in cp.benchmark_leaks(spark, docs, str(tmp_path)).collect()] == [2]

@@ -65,8 +65,8 @@ def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark windows in every document."""
-    return winnow.report(winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    """Benchmark windows in every document, those of items without an id included."""
+    return winnow.report(winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), null_items=True))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,11 @@ class Index:
         return set((np.searchsorted(offsets, np.concatenate(at), side="right") - 1).tolist()) if at else set()
 
 
+def ordered(names) -> list[str | None]:
+    """Distinct item ids in order, the null one last."""
+    return sorted(names, key=lambda x: (x is None, x or ""))
+
+
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(runs):
@@ -132,7 +137,7 @@ def _sent(shipped):
                     runs, names = index.hits(codes[offsets[i] : offsets[i + 1]]) if i in found else ((), ())
                     n.append(int(offsets[i + 1] - offsets[i]))
                     spans.append([{"first": x, "last": y} for x, y in runs])
-                    items.append(sorted(names))
+                    items.append(ordered(names))
             own = [c for c in b.schema.names if c == "key"]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(items, pa.list_(pa.string())),
@@ -190,7 +195,7 @@ def _merged_spans(batches):
         spans = [[{"first": x, "last": y} for x, y in merged([(r["first"], r["last"]) for r in rows or ()])] for rows in b.column("spans").to_pylist()]
         own = [c for c in b.schema.names if c == "key"]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                                          pa.array([sorted(x or ()) for x in b.column("items").to_pylist()], pa.list_(pa.string())), *(b.column(c) for c in own)],
+                                          pa.array([ordered(x or ()) for x in b.column("items").to_pylist()], pa.list_(pa.string())), *(b.column(c) for c in own)],
                                          names=["doc_id", "n_words", "spans", "items", *own])
 
 
@@ -210,24 +215,27 @@ def _joined(base: DataFrame, items: DataFrame) -> DataFrame:
     both = pairs.join(codes.select(F.col("key").alias("item_key"), "item_id", F.col("text").alias("item")), "item_key") \
         .join(base.select("key", "text").distinct(), "key")
     found = both.select("key", "item_id", "text", "item").mapInArrow(_extended, "key long, item_id string, spans array<struct<first:bigint,last:bigint>>")
-    found = stored(found, "hits").groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.collect_set("item_id").alias("items"))
+    found = stored(found, "hits").groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.collect_set("item_id").alias("items"), F.bool_or(F.col("item_id").isNull()).alias("nameless")) \
+        .withColumn("items", F.when(F.col("nameless"), F.array_append("items", F.lit(None).cast("string"))).otherwise(F.col("items")))
     counts = printed.groupBy("key").agg(F.max("n_words").alias("n_words"))
     return base.drop("text").join(counts, "key").join(found, "key", "left").select("doc_id", "n_words", "spans", "items", *own) \
         .mapInArrow(_merged_spans, f"doc_id long, n_words long, {HITS}" + ", key binary" * len(own))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, key_col: str | None = None) -> DataFrame:
+                  item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, key_col: str | None = None, null_items: bool = False) -> DataFrame:
     """(doc_id, n_words, spans, items) of every document, with the binary ``key_col`` as key where given.
 
     spans: maximal runs [first, last) of words inside an occurrence of a window of an item; items:
     the ids of those items as sorted strings. Words are runs of a-z, 0-9 and non-ASCII characters
     after A-Z is lower-cased. A null or wordless text has no words and no hits; null or wordless
-    items and items without an id hit nothing; repeated rows count as they stand. Whether the
+    items hit nothing, nor do items without an id, unless ``null_items``: then their windows count like
+any other and items ends with one null for all of them. Repeated rows count as they stand. Whether the
     benchmark is sent to the tasks or joined depends on its measured size alone; the result does not.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), *([F.col(key_col).alias("key")] if key_col else []))
-    given = items.select(F.col(item_col).cast("string").alias("item_id"), utf8(item_text).alias("text")).where("item_id IS NOT NULL").distinct()
+    given = items.select(F.col(item_col).cast("string").alias("item_id"), utf8(item_text).alias("text")).distinct()
+    given = given if null_items else given.where("item_id IS NOT NULL")
     size = given.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()[0]
     if size > broadcast_bytes:
         return _joined(base, given)
@@ -236,7 +244,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def report(found: DataFrame) -> DataFrame:
-    """Counts and digests of :func:`contamination`'s spans and items."""
+    """Counts and digests of :func:`contamination`'s spans and items. All items without an id count
+    as one in n_items and have no part in the digest."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["last"] - s["first"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

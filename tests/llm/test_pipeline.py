@@ -102,3 +102,11 @@ def test_a_pair_at_the_threshold_is_hardly_missed():
 def test_a_leak_of_an_item_without_an_id_goes(spark, tmp_path):
     docs = written(spark, tmp_path, [(1, prose(90, 30) + " " + ITEM), (2, prose(91, 40))], (), [(None, ITEM)])
     assert [r.doc_id for r in cp.benchmark_leaks(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_only_characters_that_a_cut_broke_go(spark, tmp_path):
+    # © is C2 A9 and é is C3 A9: the repeated bytes begin inside the ©
+    rows = [(1, "one � a" + PASSAGE + "z � end"), (2, "two b" + PASSAGE + "y"), (3, "x©" + "é" * 150 + "q"), (4, "yé" + "é" * 150 + "w�"), (5, "plain �")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.repeated_passages(spark, spark.createDataFrame([(i, t, "en", "s", 9) for i, t in rows], SCHEMA), str(tmp_path)).collect()}
+    assert got[1] == ("one � az � end", 14) and got[2] == ("two by", 6) and got[5] == ("plain �", 9)
+    assert got[3] == ("xq", 2) and got[4] == ("yw�", 3)

@@ -274,3 +274,14 @@ def test_the_query_counts_items_without_an_id(spark, tmp_path):
     spark.createDataFrame([(None, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = REGISTRY["op10_winnowing"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in got) == [(1, 14, 1, True), (2, 0, 0, False)]
+
+
+def test_rows_that_share_an_id_are_sampled_one_by_one(spark, monkeypatch):
+    seen, fit = [], pu_quality.fit
+    monkeypatch.setattr(pu_quality, "fit", lambda pos, unl: (seen.append((len(pos), len(unl), unl)), fit(pos, unl))[1])
+    rows = [(None, "$$$ $$$ $$$ !!") for _ in range(1000)] + [(i, prose(i, 20)) for i in range(1000)] + [(77, prose(9, 12)) for _ in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pu_quality.quality_scores(docs, spark.createDataFrame([(i, 1) for i in range(1000)], "doc_id long, quality int"), sample=300).collect()
+    pos, unl, x = seen[0]
+    same = [int((x == row).all(axis=1).sum()) for row in np.unique(x, axis=0)]
+    assert 200 < pos < 400 and 200 < unl < 400 and 2 == sum(50 < n < 150 for n in same) and sum(n > 50 for n in same) == 2

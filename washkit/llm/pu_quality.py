@@ -17,9 +17,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from washkit.llm.common import stored, utf8, word_codes
+from washkit.llm.common import digest, stored, utf8, word_codes
 
-#: Expected rows of the positive and of the unlabelled sample that the fit sees (all, where fewer).
+#: Expected rows of the positive and of the unlabelled sample that the fit sees (all, where fewer); twice as many at most.
 SAMPLE = 12000
 HIDDEN, STEPS, BATCH = 32, 1500, 1000
 
@@ -168,14 +168,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     score: probability that the text is good; predicted: 1 from ``threshold`` up. Only the text is
     scored. Labels are used of rows that are not held out and say 1; ``sample`` bounds the rows the
-    fit sees (expected number of positives and of unlabelled rows, picked by a hash of the id).
+    fit sees (expected number of positives and of unlabelled rows, at most twice as many; each row
+    is drawn for itself by a hash of its id, text and place in the stored features).
     A null text is empty; it is scored like any other. Rows with a null id are scored and count
     as not held out. Without any trusted positive every score is 0.5. Other columns are not read.
     """
     key, kind = ([F.col(key_col).alias("key")], "key binary, ") if key_col else ([], "")
     own = ["doc_id", "key"] if key_col else ["doc_id"]
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, utf8(text_col).alias("text"))
-    found = stored(base.mapInArrow(_featured, f"doc_id long, {kind}x array<float>"), "features")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, F.xxhash64(F.col(id_col).cast("long"), digest(text_col)).alias("draw"), utf8(text_col).alias("text"))
+    drawn = base.mapInArrow(_featured, f"doc_id long, {kind}draw long, x array<float>")
+    found = stored(drawn.withColumn("draw", F.xxhash64("draw", F.monotonically_increasing_id())), "features")
     stats = found.mapInArrow(_summed, "k long, n double, s double, q double").groupBy("k").agg(F.sum("n"), F.sum("s"), F.sum("q")).orderBy("k").collect()
     if not stats:
         return found.select(*own, held_out("doc_id").alias("held_out"), F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
@@ -186,7 +188,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def picked(df: DataFrame, salt: int) -> np.ndarray:
         rows = df.count()
         part = min(1.0, sample / max(rows, 1))
-        got = df.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(part * (1 << 30))).select("x").collect()
+        draw = F.xxhash64("draw", F.lit(salt))
+        got = df.where(F.pmod(draw, F.lit(1 << 30)) < int(part * (1 << 30))).orderBy(draw).limit(2 * sample).select("x").collect()
         x = np.array([r[0] for r in got], np.float64).reshape(-1, WIDTH)
         return np.clip((x - mean) / dev, -6, 6)
 
@@ -194,5 +197,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     pos = picked(stored(found.join(good, "doc_id", "left_semi"), "positives"), 1)
     unl = picked(found, 2)
     model = fit(pos, unl)[0] if len(pos) >= 2 and len(unl) >= 2 else None
-    out = found.mapInArrow(_scored(model, mean, dev), f"doc_id long, {kind}score double")
+    out = found.drop("draw").mapInArrow(_scored(model, mean, dev), f"doc_id long, {kind}score double")
     return out.select(*own, held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -59,29 +59,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(first, "row", "left_semi").select(*COLUMNS).unionByName(docs.where("row IS NULL").select(*COLUMNS))
 
 
-def _left(batches):
-    """(of_id, key, spans, kept) -> (of_id, key, left): the text between the spans; of characters
-    that a cut broke nothing is left."""
-    import pyarrow as pa
-
-    for b in batches:
-        left = []
-        for kept, spans in zip(b.column("kept").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            parts, at, gone = [], 0, 0
-            for s in spans:
-                parts.append(kept[at : s["first"] - gone])
-                at = s["first"] - gone
-                gone += s["last"] - s["first"]
-            left.append("".join(p.decode("utf-8", "ignore") for p in (*parts, kept[at:])))
-        yield pa.RecordBatch.from_arrays([b.column("of_id"), b.column("key"), pa.array(left, pa.string())], names=["of_id", "key", "left"])
-
-
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat; those of which nothing is left go. A cut inside a
     character drops that character's rest; documents without repeated passages are unchanged."""
     docs = _keyed(docs)
-    found = suffix_dedup.repeated_spans(docs, min_bytes=PASSAGE, key_col="digest").where(F.size("spans") > 0)
-    cut = found.select(F.col("doc_id").alias("of_id"), "key", "spans", "kept").mapInArrow(_left, "of_id long, key binary, left string").dropDuplicates(["of_id", "key"])
+    found = suffix_dedup.repeated_spans(docs, min_bytes=PASSAGE, key_col="digest", whole_chars=True).where(F.size("spans") > 0)
+    cut = found.select(F.col("doc_id").alias("of_id"), "key", F.col("kept").cast("string").alias("left")).dropDuplicates(["of_id", "key"])
     joined = _by_row(docs, cut, "left")
     out = joined.withColumn("text", F.coalesce("left", "text")).withColumn("n_chars", F.when(F.col("left").isNotNull(), F.length("left").cast("long")).otherwise(F.col("n_chars")))
     return out.where("left IS NULL OR trim(left) <> ''").select(*COLUMNS)

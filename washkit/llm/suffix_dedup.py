@@ -197,36 +197,44 @@ def _sorted_buckets(size: int):
     return run
 
 
-def _spans(batches):
+def _spans(whole_chars: bool):
     """Covered intervals of each text, merged; the rest of the text."""
-    import pyarrow as pa
-
-    for b in batches:
-        spans, kept = [], []
-        for t, found in zip(b.column("text"), b.column("found").to_pylist(), strict=True):
-            t, out = t.as_py(), []
-            for x, y in sorted((f["first"], f["last"]) for f in found or ()):
-                if out and x <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], y)
-                else:
-                    out.append([x, y])
-            edges = [0, *(x for s in out for x in s), len(t)]
-            kept.append(b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if out else t)
-            spans.append([{"first": x, "last": y} for x, y in out])
-        own = [c for c in b.schema.names if c == "key"]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array([len(x) for x in b.column("text").to_pylist()], pa.int64()),
-             pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(kept, pa.binary()), *(b.column(c) for c in own)],
-            names=["doc_id", "n_bytes", "spans", "kept", *own])
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, block: int = BLOCK, key_col: str | None = None) -> DataFrame:
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            size, spans, kept = [], [], []
+            for t, found in zip(b.column("text"), b.column("found").to_pylist(), strict=True):
+                t, out = t.as_py(), []
+                for x, y in sorted((f["first"], f["last"]) for f in found or ()):
+                    if out and x <= out[-1][1]:
+                        out[-1][1] = max(out[-1][1], y)
+                    else:
+                        out.append([x, y])
+                edges = [0, *(x for s in out for x in s), len(t)]
+                rest = (t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                kept.append(b"".join(r.decode("utf-8", "ignore").encode() if whole_chars else r for r in rest) if out else t)
+                size.append(len(t))
+                spans.append([{"first": x, "last": y} for x, y in out])
+            own = [c for c in b.schema.names if c == "key"]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(size, pa.int64()),
+                 pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(kept, pa.binary()), *(b.column(c) for c in own)],
+                names=["doc_id", "n_bytes", "spans", "kept", *own])
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, block: int = BLOCK, key_col: str | None = None,
+                   whole_chars: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row of ``docs``, with the binary ``key_col`` as key where given.
 
     spans: maximal runs [first, last) of bytes covered by a ``min_bytes`` string (128 or more) that
     also starts anywhere else in the table, in the same text included; kept: the remaining bytes.
     All occurrences count, the first included. Strings never cross texts. A null text is empty; a
-    text shorter than ``min_bytes`` is kept whole. A repeated row repeats its text, so all copies
+    text shorter than ``min_bytes`` is kept whole. With ``whole_chars`` kept is without the rest of
+    characters that a span's edge broke. A repeated row repeats its text, so all copies
     lose it. Rows with a null id take part like any other. Other columns are not read.
     """
     if min_bytes < 128:
@@ -271,7 +279,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         joined = base.join(F.broadcast(ids), ["k0", "k1"], "left_semi").join(covered, ["k0", "k1"]).select("doc_id", "text", "found", *own).unionByName(whole)
     else:
         joined = base.join(covered, ["k0", "k1"], "left").select("doc_id", "text", "found", *own)
-    return joined.mapInArrow(_spans, "doc_id long, n_bytes long, spans array<struct<first:bigint,last:bigint>>, kept binary" + ", key binary" * len(own))
+    return joined.mapInArrow(_spans(whole_chars), "doc_id long, n_bytes long, spans array<struct<first:bigint,last:bigint>>, kept binary" + ", key binary" * len(own))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washkit.llm import hash_forest, minhash, packing, pu_quality, sharding, site_style, suffix_dedup, url_reputation, warc, winnow
+from washkit.llm import chat_format, hash_forest, minhash, packing, pu_quality, sharding, site_style, spelling, suffix_dedup, turn_repair, url_reputation, warc, winnow
 from washkit.llm.common import table
 from washkit.llm.sql import SQL
 
@@ -69,6 +69,24 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.report(winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), null_items=True))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that holds the template's own marks, formatted and read back."""
+    own = spark.sql(r"""SELECT * FROM VALUES (-7L, 0L, 'user', '\\### Assistant: </turn> ok'), (-7L, 1L, 'assistant', '\\### Assistant: </turn> ok') AS t(conv_id, turn, role, text)""")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_format.read_back(chat_format.format_conversations(rows), in_order=True)
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged, their faults counted and repaired at least cost."""
+    rows = turn_repair.damaged(table(spark, sf_dir, "conversations"))
+    return turn_repair.report(turn_repair.repair(rows, there_col="there"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variant_groups(spelling.word_counts(spelling.damaged_runs(table(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -78,6 +96,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sharding, op2_best_fit_packing, op3_url_reputation, op4_warc, op5_site_style_text, op6_suffix_dedup, op7_minhash_dedup,
-    op8_hash_prefix_forest, op9_pu_quality, op10_winnowing, pipeline)}
+    op8_hash_prefix_forest, op9_pu_quality, op10_winnowing, op11_chat_format, op12_turn_repair, op13_spelling_variants, pipeline)}
 
 __all__ = ["REGISTRY", "SQL"]

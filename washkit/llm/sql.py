@@ -98,3 +98,107 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+#: crc32 of a text's UTF-8 bytes, unsigned; ``crc.t`` is the table of the polynomial.
+_CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t)"""
+
+
+def _crc32(text: str) -> str:
+    hexed = f"hex(encode({text}))"
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr({hexed}, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295))"
+
+
+def _escaped(text: str, controls: str) -> str:
+    return rf"regexp_replace(regexp_replace({text}, '(\\*)({controls})', '\1\1\\\2', 'g'), '(\\+)\z', '\1\1')"
+
+
+_CONTROLS = r"### |</turn>|<\|endoftext\|>"
+
+SQL["op11_chat_format"] = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+), f AS (
+  SELECT *, '### ' || {_escaped('role', _CONTROLS + '|: ')} || ': ' || {_escaped('text', _CONTROLS)} || '</turn>' || chr(10) AS formatted FROM c
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, formatted)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, formatted)) AS loss_sha256,
+  CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+def _more(cost: str, edit: str, rest: str) -> str:
+    """Cost (nine digits) and edits of ``rest`` with one edit before them."""
+    return f"lpad(CAST(CAST(left({rest}, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || '{edit}' || substr({rest}, 10)"
+
+
+def _repairs() -> str:
+    """Cheapest edits to the end from the states start (a), after system (b), user (c), assistant (d), before one row more."""
+    extra = "CASE WHEN x.s >= 4 AND x.s < 8 THEN 5 ELSE 0 END"
+    far = "'999999999'"
+
+    def taken(state: str, kept: list[tuple[int, str]], fit: str) -> str:
+        keeps = "".join(f", CASE WHEN x.s < 8 AND x.s % 4 = {role} THEN {_more(extra, 'K', 'acc.' + to)} ELSE {far} END" for role, to in kept)
+        return f"least({_more('2', 'D', 'acc.' + state)}, CASE WHEN x.s < 8 THEN {_more('1 + ' + extra, 'R', 'acc.' + fit)} ELSE {far} END{keeps})"
+
+    rows = f"{{'s': x.s, 'a': {taken('a', [(0, 'b'), (1, 'c')], 'c')}, 'b': {taken('b', [(1, 'c')], 'c')}, 'c': {taken('c', [(2, 'd')], 'd')}, 'd': {taken('d', [(1, 'c')], 'c')}}}"
+    once = {q: _more("5", "I", "y." + to) for q, to in (("a", "c"), ("b", "c"), ("c", "d"), ("d", "c"))}
+    twice = _more("10", "II", "y.d")
+    filled = f"{{'s': y.s, 'a': least(y.a, {once['a']}, {twice}), 'b': least(y.b, {once['b']}, {twice}), 'c': least(y.c, {once['c']}), 'd': least(y.d, {once['d']})}}"
+    end = "{'s': 0, 'a': '000000000', 'b': '000000010II', 'c': '000000005I', 'd': '000000000'}"
+    return f"list_reduce(list_reverse(syms), lambda acc, x: list_transform([{rows}], lambda y: {filled})[1], {end}).a"
+
+
+SQL["op12_turn_repair"] = rf"""
+WITH {_CRC_TABLE}, k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations, crc
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS final FROM d
+), f AS (
+  SELECT *, CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    left(role, 1) AS kind, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM o
+), g AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || '-' || kind NOT IN ('s-u', 'u-a', 'a-u')) AS illegal,
+    list({{'s': CASE WHEN fault IN ('blank', 'duplicate') THEN 8 ELSE CASE kind WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END + CASE WHEN fault IS NULL THEN 0 ELSE 4 END END,
+      'a': '', 'b': '', 'c': '', 'd': ''}} ORDER BY pos) AS syms
+  FROM f GROUP BY conv_id
+), s AS (SELECT *, {_repairs()} AS found FROM g),
+a AS (SELECT *, CAST(left(found, 9) AS BIGINT) AS cost, substr(found, 10) AS audit FROM s),
+e AS (SELECT conv_id, i, substr(audit, i, 1) AS edit FROM a, unnest(range(1, length(audit) + 1)) AS t(i)),
+n AS (SELECT *, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER w AS pos, sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER w AS place FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+m AS (
+  SELECT n.conv_id, n.place, n.edit, f.role, f.text, max(CASE WHEN n.edit = 'K' AND n.place = 1 AND f.kind = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.conv_id) AS led
+  FROM n LEFT JOIN f ON n.edit <> 'I' AND f.conv_id IS NOT DISTINCT FROM n.conv_id AND f.pos = n.pos WHERE n.edit <> 'D'
+), r AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY place)) AS sha
+  FROM m GROUP BY conv_id
+), ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+SQL["op13_spelling_variants"] = rf"""
+WITH RECURSIVE {_CRC_TABLE}, x AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+l AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM x WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, c, {_crc32("id || ':' || run")} AS h FROM l, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n FROM h GROUP BY word HAVING length(word) >= 7 AND sum(c) >= 2),
+dels AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM w, unnest(range(length(word))) AS t(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM dels a JOIN dels b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT w.word, d.word, d.n FROM w JOIN dels d ON d.rest = w.word
+  UNION SELECT d.word, w.word, w.n FROM w JOIN dels d ON d.rest = w.word
+), best AS (SELECT word, count(*) AS n_near, max(n) AS top, arg_min(other, {{'m': -n, 'o': other}}) AS other FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN other END AS form, CASE WHEN top >= 10 * w.n THEN top END AS form_n FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.at FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NULL)
+SELECT f.word, form, ends.at AS root, f.n, n_near, form_n FROM f JOIN ends USING (word)
+"""

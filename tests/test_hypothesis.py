@@ -76,10 +76,6 @@ def test_growth_matches_brute_force(spark, rows):
     for z, y, m in rows:
         sums[(z, y)] = sums.get((z, y), 0) + m
     for (z, y), m in sums.items():
-        prev_years = sorted(yy for (zz, yy) in sums if zz == z and yy < y)
-        if not prev_years:
-            exp = None
-        else:
-            p = sums[(z, prev_years[-1])]
-            exp = None if p == 0 else round((m - p) / p * 100, 6)
+        p = sums.get((z, y - 1))  # a missing year gives no growth, not that of two years
+        exp = None if not p else round((m - p) / p * 100, 6)
         assert _close(got[(z, y)], exp)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from washkit.functions import columns as C
 from washkit.functions import predicates as P
+from washkit.operators.periods import growth
 
 # Fixed ladder rung orders (lowest rung first).
 WATER_LADDER = ["surface_water_pct", "unimproved_pct", "limited_pct", "basic_pct", "safely_managed_pct"]
@@ -28,10 +29,30 @@ BOX_MEASURES = ["safely_managed_pct", "basic_pct", "limited_pct", "unimproved_pc
 _r = C.rounded
 
 
+#: Size parameter of the quantile sketches: exact up to this many values of a group, beyond it the
+#: rank of the result is off by at most about 0.13 % of the group's values (KLL, single-sided, 99 %).
+SKETCH = 4096
+
+
 def _median(c: Column, exact: bool) -> Column:
     return F.median(c) if exact else F.percentile_approx(c, 0.5, 10000)
 
 
+def sketch_median(sketch: Column) -> Column:
+    """Median of a KLL sketch of doubles: the mean of the two middle values, which the ranks of one
+    half and just above it give; NULL without values."""
+    low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(rank)) for rank in (0.5, 0.5 + 1e-5))
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, (low + high) / F.lit(2.0))
+
+
+def _sketched(grouped, aggs: list[Column], meds: dict[str, Column], digits: int | None) -> DataFrame:
+    """``aggs`` and the medians of ``meds`` from mergeable sketches of bounded size: one aggregate,
+    reduced map-side, so no group's values meet in one task."""
+    sketches = [F.kll_sketch_agg_double(c.cast("double"), F.lit(SKETCH)).alias(f"__s_{n}") for n, c in meds.items()]
+    out = grouped.agg(*aggs, *sketches)
+    return out.withColumns({n: _r(sketch_median(F.col(f"__s_{n}")), digits) for n in meds}).drop(*[f"__s_{n}" for n in meds])
+
+
 def _distributed_medians(d: DataFrame, keys: list[str], cols: dict[str, Column], digits: int | None) -> DataFrame:
     """Exact medians of several columns per group via distributed selection (one long table)."""
     from washkit.operators.quantiles import exact_percentiles
@@ -42,7 +63,7 @@ def _distributed_medians(d: DataFrame, keys: list[str], cols: dict[str, Column],
 
 
 # --------------------------------------------------------------------------- A1
-def country_summary(access: DataFrame, year: int, *, exact: bool = True, distributed: bool = False,
+def country_summary(access: DataFrame, year: int, *, exact: bool = True, distributed: bool = False, sketched: bool = False,
                     digits: int | None = 6) -> DataFrame:
     """A1: per (country, type) in one year: min/median/max of safely managed, open
     defecation, unimproved and sewer gap %; distinct zones; population sum (0 when all NULL).
@@ -51,7 +72,8 @@ def country_summary(access: DataFrame, year: int, *, exact: bool = True, distrib
     below unions and aggregates to the scan, and parquet applies it there when ``year`` is a
     stored column. ``exact=False`` swaps the exact median (a per-group map of distinct
     values, merged in one task per group) for ``percentile_approx`` on very large groups;
-    ``distributed=True`` keeps it exact via :mod:`washkit.operators.quantiles` instead.
+    ``distributed=True`` keeps it exact via :mod:`washkit.operators.quantiles`; ``sketched=True``
+    merges sketches, exact for groups of up to ``SKETCH`` rows.
     """
     d = access.where(P.equals("year", year)).withColumn("sewer_gap_pct", C.sewer_gap(access))
     d = d.where(F.col("country").isNotNull() & F.col("type").isNotNull())
@@ -60,7 +82,7 @@ def country_summary(access: DataFrame, year: int, *, exact: bool = True, distrib
                       ("unimproved", "unimproved_pct"), ("sewer_gap", "sewer_gap_pct")):
         c = C.col_or_null(d, src) if src != "sewer_gap_pct" else F.col(src)
         aggs += [F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]
-        if distributed:
+        if distributed or sketched:
             meds[f"{name}_med"] = c
         else:
             aggs.append(_r(_median(c, exact), digits).alias(f"{name}_med"))
@@ -68,6 +90,8 @@ def country_summary(access: DataFrame, year: int, *, exact: bool = True, distrib
         F.count_distinct("zone").alias("zones"),
         F.coalesce(F.sum("popn_total"), F.lit(0)).cast("bigint").alias("popn_sum"),
     ]
+    if sketched:
+        return _sketched(d.groupBy("country", "type"), aggs, meds, digits)
     out = d.groupBy("country", "type").agg(*aggs)
     if distributed:
         out = out.join(_distributed_medians(d, ["country", "type"], meds, digits), ["country", "type"], "left")
@@ -83,18 +107,19 @@ def surface_water_zones(access: DataFrame, year: int, *, digits: int | None = 6)
                     _r(C.surface_users(d), digits).alias("surface_users_est"))
 
 
-def surface_water_exposure(access: DataFrame, year: int, *, exact: bool = True, distributed: bool = False,
+def surface_water_exposure(access: DataFrame, year: int, *, exact: bool = True, distributed: bool = False, sketched: bool = False,
                            digits: int | None = 6) -> DataFrame:
     """A2 (ranges): per country min/median/max of surface % and estimated users
-    (``distributed=True``: exact medians without merging a country in one task)."""
+    (``distributed=True``: exact medians without merging a country in one task; ``sketched=True``:
+    merged sketches, exact for countries of up to ``SKETCH`` rows)."""
     z = surface_water_zones(access, year, digits=None)
     meds = {"pct_med": F.col("surface_water_pct"), "users_med": F.col("surface_users_est")}
     aggs = [F.min("surface_water_pct").alias("pct_min"), F.max("surface_water_pct").alias("pct_max"),
             _r(F.min("surface_users_est"), digits).alias("users_min"),
             _r(F.max("surface_users_est"), digits).alias("users_max")]
-    if not distributed:
+    if not distributed and not sketched:
         aggs += [_r(_median(c, exact), digits).alias(n) for n, c in meds.items()]
-    out = z.groupBy("country").agg(*aggs)
+    out = _sketched(z.groupBy("country"), aggs, meds, digits) if sketched else z.groupBy("country").agg(*aggs)
     if distributed:
         out = out.join(_distributed_medians(z, ["country"], meds, digits), ["country"], "left")
     return out.select("country", "pct_min", "pct_med", "pct_max", "users_min", "users_med", "users_max")
@@ -334,23 +359,8 @@ def priority_zones(access: DataFrame, year: int, *, countries: Sequence[str] = (
 
 
 # --------------------------------------------------------------------------- W1
-def growth(df: DataFrame, keys: Sequence[str], period: str, measures: Sequence[str], *,
-           digits: int | None = 6) -> DataFrame:
-    """Period-over-period growth % per key: ``(x - previous) / previous * 100``.
-
-    Measures are first summed to one row per (key, period) -- partial aggregation, skew-safe --
-    so each window partition holds one key's periods only, never raw rows.
-    """
-    g = df.groupBy(*keys, period).agg(*[F.sum(m).alias(m) for m in measures])
-    w = Window.partitionBy(*keys).orderBy(period)
-    cols = []
-    for m in measures:
-        prev = F.lag(m).over(w)
-        cols += [F.col(m), _r(C.safe_ratio(F.col(m) - prev, prev, 100.0), digits).alias(f"{m}_growth_pct")]
-    return g.select(*keys, period, *cols)
-
-
 def coverage_growth(access: DataFrame, *, digits: int | None = 6) -> DataFrame:
-    """Growth of municipal coverage, connections (households) and population per zone and type."""
+    """Growth of municipal coverage, connections (households) and population per zone and
+    type against the year before; NULL where that year is missing."""
     return growth(access, ["country", "zone", "type"], "year", ["municipal_coverage", "households", "popn_total"],
                   digits=digits)

@@ -103,3 +103,26 @@ def distinct_values(cat: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct option values per column, long form (field, value), NULLs dropped."""
     long = cat.select(*columns).unpivot([], list(columns), "field", "value")
     return long.where(F.col("value").isNotNull()).distinct()
+
+
+def cascading_menu(df: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """The options of cascading menus, (level, ``levels``..., n): the number of rows under each
+    choice of the first ``level`` columns, deeper ones NULL; level 0 is "All".
+
+    One rollup: every level comes from one scan and one aggregate, whose rows are reduced map-side. A
+    NULL value is no option: its rows count in the levels above it only.
+    """
+    depth = F.lit(len(levels)) - F.bit_count(F.grouping_id())
+    menu = df.rollup(*levels).agg(depth.cast("int").alias("level"), F.count(F.lit(1)).alias("n"))
+    known = F.lit(True)
+    for i, c in enumerate(levels):
+        known = known & (F.col(c).isNotNull() | (F.col("level") <= i))
+    return menu.where(known).select("level", *levels, "n")
+
+
+def menu_options(menu: DataFrame, levels: Sequence[str], chosen: Sequence[str]) -> DataFrame:
+    """(option, n) of the menu after ``chosen`` values of the first levels, from :func:`cascading_menu`."""
+    at = menu.where(F.col("level") == len(chosen) + 1)
+    for c, v in zip(levels, chosen):
+        at = at.where(F.col(c) == F.lit(v))
+    return at.select(F.col(levels[len(chosen)]).alias("option"), "n")

@@ -37,6 +37,11 @@ def _money(c: Column) -> Column:
     return F.round(c, 4).cast("double")
 
 
+def money_sum(c: Column | str) -> Column:
+    """Exact sum of a money column as a double."""
+    return _money(msum(c))
+
+
 def with_date(ledger: DataFrame) -> DataFrame:
     """Month date of each ledger row."""
     return ledger.withColumn("date", C.month_date(F.col("year"), F.col("month")))
@@ -144,11 +149,12 @@ def revenue_expenditure_fit(ledger: DataFrame, *, digits: int | None = 6) -> Dat
 def share_of_total(df: DataFrame, by: str, value: str, *, digits: int | None = 6) -> DataFrame:
     """Per-group total and its percentage of the grand total.
 
-    The grand total is a scalar subquery (a global partial aggregate), not ``sum() OVER ()``,
-    so no step moves all groups into one task however many groups there are.
+    The grand total is a scalar subquery over the grouped rows (a global partial aggregate, whose
+    input exchange is reused), not ``sum() OVER ()``, so no step moves all groups into one task
+    however many groups there are, and the rows are read once.
     """
-    total = df.select(msum(value)).scalar()
     g = df.groupBy(by).agg(msum(value).alias("amount"))
+    total = g.select(F.sum("amount")).scalar()
     return g.select(by, _money(F.col("amount")).alias("amount"),
                     _r(C.safe_ratio(F.col("amount"), total, 100.0), digits).alias("share_pct"))
 

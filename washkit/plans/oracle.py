@@ -83,9 +83,8 @@ def _box_long() -> str:
 def _growth_cols(measures: list[str]) -> str:
     out = []
     for m in measures:
-        out.append(f"CAST({m} AS BIGINT) AS {m}")
-        out.append(f"round(CAST({m} - lag({m}) OVER w AS DOUBLE) / nullif(CAST(lag({m}) OVER w AS DOUBLE), 0) * 1e2, 6)"
-                   f" AS {m}_growth_pct")
+        out.append(f"CAST(g.{m} AS BIGINT) AS {m}")
+        out.append(f"round(CAST(g.{m} - p.{m} AS DOUBLE) / nullif(CAST(p.{m} AS DOUBLE), 0) * 1e2, 6) AS {m}_growth_pct")
     return ", ".join(out)
 
 
@@ -202,8 +201,8 @@ SQL["access_union"] = _with(ACCESS_CTE) + "SELECT * FROM access"
 SQL["coverage_growth"] = _with(ACCESS_CTE) + f"""
 , g AS (SELECT country, zone, type, year, sum(municipal_coverage) AS municipal_coverage, sum(households) AS households,
                sum(popn_total) AS popn_total FROM access GROUP BY country, zone, type, year)
-SELECT country, zone, type, year, {_growth_cols(["municipal_coverage", "households", "popn_total"])}
-FROM g WINDOW w AS (PARTITION BY country, zone, type ORDER BY year)
+SELECT g.country, g.zone, g.type, g.year, {_growth_cols(["municipal_coverage", "households", "popn_total"])}
+FROM g LEFT JOIN g p ON p.country = g.country AND p.zone = g.zone AND p.type = g.type AND p.year = g.year - 1
 """
 
 
@@ -720,3 +719,55 @@ FULL OUTER JOIN {_latest_rows("sewer", "year, safely_managed_pct, unimproved_pct
 """
 
 SQL["box_statistics_distributed"] = SQL["box_statistics"]
+
+# =========================================================================== periods, menus, matching, geometry
+SQL["billing_growth"] = """
+WITH b AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS customer_id, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum(CAST(o_totalprice AS DECIMAL(28,4))) AS DOUBLE) AS billed,
+    CAST(sum(CAST(CASE o_orderstatus WHEN 'F' THEN o_totalprice WHEN 'P' THEN o_totalprice * 0.5e0 ELSE 0e0 END AS DECIMAL(28,4))) AS DOUBLE) AS paid
+  FROM orders GROUP BY 1, 2),
+spine AS (SELECT customer_id, CAST(unnest(range(min(year), max(year) + 1)) AS INTEGER) AS year FROM b GROUP BY customer_id)
+SELECT s.customer_id, s.year, b.billed, round((b.billed - p.billed) / nullif(p.billed, 0) * 1e2, 6) AS billed_growth_pct,
+  b.paid, round((b.paid - p.paid) / nullif(p.paid, 0) * 1e2, 6) AS paid_growth_pct, b.year IS NOT NULL AS present
+FROM spine s LEFT JOIN b ON b.customer_id = s.customer_id AND b.year = s.year LEFT JOIN b p ON p.customer_id = s.customer_id AND p.year = s.year - 1
+"""
+
+SQL["kpi_month_against_year"] = _with(CITY_YEAR_CTE, SERVICE_CTE) + """
+, m AS (SELECT city, make_date(year, month, 1) AS date, sum(total_consumption) AS used FROM svc GROUP BY 1, 2),
+spine AS (SELECT city, CAST(unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS date FROM m GROUP BY city),
+j AS (
+  SELECT s.city, s.date, m.date IS NOT NULL AS present, m.used,
+    (SELECT max(year) FROM cy WHERE cy.city = s.city AND cy.year <= year(s.date)) AS account_year
+  FROM spine s LEFT JOIN m ON m.city = s.city AND m.date = s.date)
+SELECT j.city, date, present, round(used, 6) AS total_consumption, account_year, round(actual_expenditure / 12e0, 6) AS actual_expenditure_month, round(output_value / 12e0, 6) AS output_value_month,
+  round(actual_expenditure / 12e0 / nullif(used, 0), 6) AS actual_expenditure_per_unit, round(output_value / 12e0 / nullif(used, 0), 6) AS output_value_per_unit
+FROM j LEFT JOIN cy ON cy.city = j.city AND cy.year = j.account_year
+"""
+
+SQL["service_cascade"] = _with(SERVICE_CTE) + """
+SELECT 0 AS level, CAST(NULL AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS zone, count(*) AS n FROM svc
+UNION ALL SELECT 1, country, NULL, NULL, count(*) FROM svc GROUP BY country
+UNION ALL SELECT 2, country, city, NULL, count(*) FROM svc GROUP BY country, city
+UNION ALL SELECT 3, country, city, zone, count(*) FROM svc GROUP BY country, city, zone
+"""
+
+SQL["points_in_zones"] = """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+corner AS (SELECT vec_id, label, i, 10e0 * v[1] + 4.5e0 + 2e0 * v[2 * i + 1] AS x, 40e0 * v[2] + 12e0 + 2e0 * v[2 * i + 2] AS y FROM v, unnest(range(1, 32)) AS t(i)),
+edge AS (SELECT a.vec_id, a.label, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM corner a JOIN corner b ON a.vec_id = b.vec_id AND b.i = a.i % 31 + 1),
+box AS (SELECT vec_id, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM corner GROUP BY vec_id),
+p AS (SELECT c_custkey AS id, c_acctbal / 1000e0 AS lon, c_nationkey + (c_acctbal - floor(c_acctbal)) AS lat FROM customer),
+near AS (SELECT id, lon, lat, vec_id FROM p JOIN box ON lon >= a AND lon <= b AND lat >= c AND lat <= d),
+hit AS (
+  SELECT id, near.vec_id, label FROM near JOIN edge ON edge.vec_id = near.vec_id
+  GROUP BY id, near.vec_id, label HAVING count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1)
+SELECT id, vec_id, n_name AS name, lower(r_name) AS country FROM hit JOIN nation ON label = n_nationkey JOIN region ON n_regionkey = r_regionkey
+"""
+
+SQL["zone_name_matches"] = _with(SHAPES_CTE, ACCESS_CTE) + """
+, l AS (SELECT DISTINCT lower(trim(country)) AS country, lower(trim(name)) AS name FROM sh),
+r AS (SELECT DISTINCT lower(trim(country)) AS country, lower(trim(zone)) AS match FROM access WHERE year IS NOT NULL),
+d AS (SELECT l.country, name, match, levenshtein(name, match) AS distance FROM l JOIN r ON l.country = r.country WHERE levenshtein(name, match) <= 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY country, name ORDER BY distance, match) AS rn FROM d)
+SELECT l.country, l.name, b.match, CAST(b.distance AS INTEGER) AS distance FROM l LEFT JOIN b ON b.country = l.country AND b.name = l.name AND rn = 1
+"""

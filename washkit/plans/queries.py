@@ -18,6 +18,8 @@ from washkit.operators import catalogue as CG
 from washkit.operators import finance as FN
 from washkit.operators import geo as G
 from washkit.operators import kpi as K
+from washkit.operators import matching as M
+from washkit.operators import periods as PD
 from washkit.operators import service as S
 from washkit.plans import params as X
 from washkit.sources import files
@@ -48,12 +50,12 @@ def access_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- access
 @register("country_summary")
 def q_country_summary(spark, sf_dir):
-    return A.country_summary(access_table(spark, sf_dir), X.LATEST_YEAR)
+    return A.country_summary(access_table(spark, sf_dir), X.LATEST_YEAR, sketched=True)
 
 
 @register("surface_water_exposure")
 def q_surface_water_exposure(spark, sf_dir):
-    return A.surface_water_exposure(access_table(spark, sf_dir), X.LATEST_YEAR)
+    return A.surface_water_exposure(access_table(spark, sf_dir), X.LATEST_YEAR, sketched=True)
 
 
 @register("surface_water_zones")
@@ -422,6 +424,40 @@ def q_snapshot_merge(spark, sf_dir):
     return A.outer_merge(w, s)
 
 
+@register("billing_growth")
+def q_billing_growth(spark, sf_dir):
+    """W1 on a series with gaps: a customer's bills per year against the year before, years without bills as rows."""
+    bills = billing_table(spark, sf_dir).withColumn("year", F.year("date"))
+    per = bills.groupBy("customer_id", "year").agg(*[FN.money_sum(c).alias(c) for c in ("billed", "paid")])
+    return PD.growth(per, ["customer_id"], "year", ["billed", "paid"], fill=True)
+
+
+@register("kpi_month_against_year")
+def q_kpi_month_against_year(spark, sf_dir):
+    """J3 across grains: monthly consumption of a city against its yearly accounts."""
+    return PD.month_against_year(service_table(spark, sf_dir), city_year_table(spark, sf_dir), ["city"], "total_consumption", ["actual_expenditure", "output_value"])
+
+
+@register("service_cascade")
+def q_service_cascade(spark, sf_dir):
+    """Options of the country, city and zone menus, each level with its rows."""
+    return CG.cascading_menu(service_rows(spark, sf_dir), S.ZONE_KEYS)
+
+
+@register("points_in_zones")
+def q_points_in_zones(spark, sf_dir):
+    """J2 by geometry: every connection point with the outlines it lies in."""
+    t = V.Tables(spark, sf_dir)
+    return G.locate_points(V.connection_points(t), V.zone_outlines(t), ["vec_id", "name", "country"]).select("id", "vec_id", "name", "country")
+
+
+@register("zone_name_matches")
+def q_zone_name_matches(spark, sf_dir):
+    """J2 by near name: the metric zone nearest to each outline's name, within two edits, in its country."""
+    metrics = A.zone_summary(access_table(spark, sf_dir))
+    return M.match_names(shapes_table(spark, sf_dir), metrics, block=["country"])
+
+
 @register("box_statistics_distributed")
 def q_box_statistics_distributed(spark, sf_dir):
     """The same as box_statistics: the key stays for comparison with earlier rounds."""

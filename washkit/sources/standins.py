@@ -284,3 +284,22 @@ JOIN {region} ON n_regionkey = r_regionkey
 def zone_shapes(t: Tables) -> DataFrame:
     """Zone outlines: each embedding row is one ring of 32 (lon, lat) pairs; zone = nation of the label."""
     return _sql(t, _ZONE_SHAPES, "embeddings", "nation", "region")
+
+
+_ZONE_OUTLINES = """
+SELECT vec_id, n_name AS name, lower(r_name) AS country,
+       array(transform(sequence(1, 31), i -> array(10D * v[0] + 4.5D + 2D * v[2 * i], 40D * v[1] + 12D + 2D * v[2 * i + 1]))) AS rings
+FROM (SELECT vec_id, label, CAST(embedding AS ARRAY<DOUBLE>) AS v FROM {embeddings})
+JOIN {nation} ON label = n_nationkey
+JOIN {region} ON n_regionkey = r_regionkey
+"""
+
+
+def zone_outlines(t: Tables) -> DataFrame:
+    """Small zone outlines spread over a map: the first pair of an embedding places a ring of 31 corners."""
+    return _sql(t, _ZONE_OUTLINES, "embeddings", "nation", "region")
+
+
+def connection_points(t: Tables) -> DataFrame:
+    """A point for each customer: longitude from the balance, latitude from the nation and the balance's cents."""
+    return t.customer.selectExpr("c_custkey AS id", "c_acctbal / 1000D AS lon", "c_nationkey + (c_acctbal - floor(c_acctbal)) AS lat")

@@ -121,6 +121,30 @@ def pieces(data: bytes) -> Iterator[bytes]:
         at = end
 
 
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hashed(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit codes of the stretches of ``data`` from ``start`` to ``end``. Eight bytes at a time are
+    mixed into the code by a bijection, so stretches of up to eight bytes and one length never
+    collide, and longer ones have no algebraic collisions as a polynomial has."""
+    words = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # the eight bytes from each place on
+    left = end - start
+    with np.errstate(over="ignore"):
+        code = mix(left.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+        at, rows = start, None
+        while len(at):
+            v = words[at] & _KEPT[np.minimum(left, 8)]
+            if rows is None:
+                code = mix((code ^ v) * np.uint64(_MULT))
+            else:
+                code[rows] = mix((code[rows] ^ v) * np.uint64(_MULT))
+            more = np.flatnonzero(left > 8)
+            rows = more if rows is None else rows[more]
+            at, left = at[more] + 8, left[more] - 8
+    return code
+
+
 def _coded(spaced: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and 64-bit code of each space-separated word, in order."""
     starts, codes, at = [], [], 0
@@ -132,7 +156,7 @@ def _coded(spaced: bytes) -> tuple[np.ndarray, np.ndarray]:
         edge = np.flatnonzero(word[1:] != word[:-1])
         if len(edge):
             starts.append(edge[::2] + at)
-            codes.append(Rolling(a).of(edge[::2], edge[1::2]))
+            codes.append(hashed(piece, edge[::2], edge[1::2]))
         at += len(a)
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)

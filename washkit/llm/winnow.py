@@ -3,12 +3,14 @@
 The fingerprints of a text are the least 5-gram codes of its sliding windows; two texts that share
 a window of 10 words share that window's fingerprint, so joining the fingerprints of documents and
 benchmark items finds every shared window. Each hit is then extended word by word to both sides,
-and only runs of a whole window count. Items with fewer words than a window are one window of
-their own length and are looked up by the code of all their words.
+compared by the words' bytes, and only runs of a whole window count. Items with fewer words than a
+window are one window of their own length and are looked up by the code of all their words.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,20 +45,21 @@ class Index:
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, k: int = GRAM):
         self.window, self.k = window, k
         self.posted: dict[int, list[tuple[int, int]]] = {}  # fingerprint -> (item, word)
-        self.short: dict[int, dict[int, list[str]]] = {}  # words -> code -> items
-        self.items: list[tuple[str, np.ndarray]] = []
-        for (name, _), codes in zip(items, word_codes([t.translate(_WORDS) for _, t in items]), strict=True):
+        self.short: dict[int, dict[int, list[tuple[str, list[bytes]]]]] = {}  # words -> code -> items
+        self.items: list[tuple[str, np.ndarray, bytes]] = []
+        self.split = lru_cache(64)(lambda item: self.items[item][2].translate(_WORDS).split())
+        for (name, text), codes in zip(items, word_codes([t.translate(_WORDS) for _, t in items]), strict=True):
             n = len(codes)
             if not n:
                 continue
             if n < window:
-                self.short.setdefault(n, {}).setdefault(int(grams(codes, n)[0]), []).append(name)
+                self.short.setdefault(n, {}).setdefault(int(grams(codes, n)[0]), []).append((name, text.translate(_WORDS).split()))
                 continue
             low, g = set(fingerprints(codes, window, k).tolist()), grams(codes, k).tolist()
             for at, x in enumerate(g):
                 if x in low:
                     self.posted.setdefault(x, []).append((len(self.items), at))
-            self.items.append((name, codes))
+            self.items.append((name, codes, text))
         self.prints = np.sort(np.fromiter(self.posted, np.uint64, len(self.posted)))
         self.maybe = np.zeros(1 << 20, np.bool_)
         self.maybe[self.prints & np.uint64(len(self.maybe) - 1)] = True
@@ -69,9 +72,9 @@ class Index:
             return at
         return at[np.isin(low[at], self.prints)]
 
-    def hits(self, codes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+    def hits(self, codes: np.ndarray, text: bytes) -> tuple[list[tuple[int, int]], set[str]]:
         """Maximal runs [first, last) of hit words of one document, and the items that hit it."""
-        runs, names, n = [], set(), len(codes)
+        runs, names, n, own = [], set(), len(codes), None
         if n >= self.window and len(self.prints):
             wanted = set(fingerprints(codes, self.window, self.k)[self.known(fingerprints(codes, self.window, self.k))].tolist())
             g = grams(codes, self.k)
@@ -82,7 +85,7 @@ class Index:
                 for item, y in self.posted[int(g[at])]:
                     if done.get((item, at - y), -1) >= at + self.k:
                         continue
-                    name, words = self.items[item]
+                    name, words, _ = self.items[item]
                     left = min(at, y)
                     same = codes[at - left : at][::-1] == words[y - left : y][::-1]
                     left = left if same.all() else int(same.argmin())
@@ -91,13 +94,17 @@ class Index:
                     right = right if same.all() else int(same.argmin())
                     done[item, at - y] = at + right
                     if left + right >= self.window:
-                        runs.append((at - left, at + right))
-                        names.add(name)
+                        own = own or text.translate(_WORDS).split()
+                        real = equal_runs(own[at - left : at + right], self.split(item)[y - left : y + right], self.window)
+                        runs += [(at - left + a, at - left + b) for a, b in real]
+                        names.update([name] if real else ())
         for k, known in self.shorts.items():
             g = grams(codes, k)
             for at in np.flatnonzero(np.isin(g, known)).tolist():
-                runs.append((at, at + k))
-                names.update(self.short[k][int(g[at])])
+                own = own or text.translate(_WORDS).split()
+                real = [name for name, words in self.short[k][int(g[at])] if words == own[at : at + k]]
+                runs += [(at, at + k)] if real else []
+                names.update(real)
         return merged(runs), names
 
     def candidates(self, codes: np.ndarray, offsets: np.ndarray) -> set[int]:
@@ -107,6 +114,14 @@ class Index:
         return set((np.searchsorted(offsets, np.concatenate(at), side="right") - 1).tolist()) if at else set()
 
 
+def equal_runs(a: list[bytes], b: list[bytes], least: int) -> list[tuple[int, int]]:
+    """Maximal runs of at least ``least`` places where two lists of one length agree."""
+    if a == b:
+        return [(0, len(a))] if len(a) >= least else []
+    edge = [-1, *(i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a)]
+    return [(x + 1, y) for x, y in zip(edge, edge[1:], strict=False) if y - x - 1 >= least]
+
+
 def ordered(names) -> list[str | None]:
     """Distinct item ids in order, the null one last."""
     return sorted(names, key=lambda x: (x is None, x or ""))
@@ -131,10 +146,11 @@ def _sent(shipped):
         index = Index(shipped.value)
         for b in batches:
             n, spans, items = [], [], []
-            for _, codes, offsets in coded_runs([t.translate(_WORDS) for t in b.column("text").to_pylist()]):
+            texts = b.column("text").to_pylist()
+            for first, codes, offsets in coded_runs([t.translate(_WORDS) for t in texts]):
                 found = index.candidates(codes, offsets)
                 for i in range(len(offsets) - 1):
-                    runs, names = index.hits(codes[offsets[i] : offsets[i + 1]]) if i in found else ((), ())
+                    runs, names = index.hits(codes[offsets[i] : offsets[i + 1]], texts[first + i]) if i in found else ((), ())
                     n.append(int(offsets[i + 1] - offsets[i]))
                     spans.append([{"first": x, "last": y} for x, y in runs])
                     items.append(ordered(names))
@@ -179,7 +195,7 @@ def _extended(batches):
     for b in batches:
         keys, names, spans = [], [], []
         for key, name, text, item in zip(*(b.column(c).to_pylist() for c in ("key", "item_id", "text", "item")), strict=True):
-            runs, found = Index([(name, item)]).hits(next(word_codes([text.translate(_WORDS)])))
+            runs, found = Index([(name, item)]).hits(next(word_codes([text.translate(_WORDS)])), text)
             if found:
                 keys.append(key)
                 names.append(name)

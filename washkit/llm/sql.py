@@ -57,7 +57,7 @@ SELECT page_id, payload_bytes,
 FROM g
 """
 
-SQL["op6_suffix_dedup"] = """
+SQL["op6_suffix_dedup"] = r"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 d2 AS (SELECT doc_id, b, hex(b) AS h, octet_length(b) AS n FROM d),
 w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(n - 399)) AS i FROM d2 WHERE n >= 400)),
@@ -66,10 +66,12 @@ e AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY
 g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM e),
 s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, g),
 l AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id),
-k AS (SELECT doc_id, n, h, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, list_concat([0], z) AS starts, list_concat(a, [n]) AS ends FROM d2 LEFT JOIN l USING (doc_id))
-SELECT doc_id, n AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
-  sha256(unhex(CASE WHEN n_spans = 0 THEN h ELSE array_to_string(list_transform(range(1, n_spans + 2), lambda i: substr(h, 2 * starts[i] + 1, 2 * (ends[i] - starts[i]))), '') END)) AS kept_sha256
-FROM k
+k AS (SELECT doc_id, n, h, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, list_concat([0], z) AS starts, list_concat(a, [n]) AS ends FROM d2 LEFT JOIN l USING (doc_id)),
+p AS (SELECT *, CASE WHEN n_spans = 0 THEN [h] ELSE list_transform(range(1, n_spans + 2), lambda i: substr(h, 2 * starts[i] + 1, 2 * (ends[i] - starts[i]))) END AS pieces FROM k)
+SELECT doc_id, n AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(array_to_string(pieces, ''))) AS kept_sha256,
+  decode(unhex(array_to_string(list_transform(pieces, lambda x:
+    regexp_replace(regexp_replace(x, '^([89AB][0-9A-F])+', ''), '^((?:[0-9A-F]{2})*?)(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-9A-F](?:[89AB][0-9A-F]){0,2})$', '\1')), ''))) AS text
+FROM p
 """
 
 SQL["op7_minhash_dedup"] = """

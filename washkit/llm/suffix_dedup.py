@@ -4,7 +4,7 @@
    anchor (the rightmost of equals): equal windows have equal anchors at equal distances. Windows
    with one anchor position are consecutive, so a text is a list of segments (anchor, first start,
    number of starts), and a bucket holds the segments of one anchor value.
-2. Equal segments are counted; where one occurs twice, all its windows repeat. A bucket with one
+2. Equal segments (by anchor, length and a digest of all their bytes) are counted; where one occurs twice, all its windows repeat. A bucket with one
    distinct segment needs no sorting. One copy of each distinct segment of the others is cut out.
 3. *Blockwise sorting.* A task sorts one bucket at a time. Positions are numbered from the anchor, so
    only suffixes with equal numbers can share a window, and the difference cover need serve the
@@ -33,7 +33,7 @@ SEGMENT = "starts array<int>, n int, rel int, anchor long, hull long"
 
 def segments(data: bytes, size: int) -> tuple[np.ndarray, ...] | None:
     """(start, n, rel, anchor, hull) arrays of a text's segments: ``n`` window starts from ``start``
-    on share the anchor ``rel`` bytes after ``start``; hull is the code of all bytes they cover."""
+    on share the anchor ``rel`` bytes after ``start``; hull is a digest of all bytes they cover."""
     starts_n = len(data) - size + 1
     if starts_n <= 0:
         return None
@@ -58,7 +58,8 @@ def segments(data: bytes, size: int) -> tuple[np.ndarray, ...] | None:
         j = start[lost[s : s + 256]]
         inside = g[j[:, None] + np.arange(w - 1, -1, -1)]
         rel[lost[s : s + 256]] = w - 1 - inside.argmin(axis=1)
-    return start, end - start, rel, low[start], codes.of(start, end - 1 + size)
+    hull = [hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), (end - 1 + size).tolist(), strict=True)]
+    return start, end - start, rel, low[start], np.frombuffer(b"".join(hull), np.uint64)
 
 
 def _segments(size: int):
@@ -204,7 +205,7 @@ def _spans(whole_chars: bool):
         import pyarrow as pa
 
         for b in batches:
-            size, spans, kept = [], [], []
+            size, spans, kept, whole = [], [], [], []
             for t, found in zip(b.column("text"), b.column("found").to_pylist(), strict=True):
                 t, out = t.as_py(), []
                 for x, y in sorted((f["first"], f["last"]) for f in found or ()):
@@ -213,28 +214,30 @@ def _spans(whole_chars: bool):
                     else:
                         out.append([x, y])
                 edges = [0, *(x for s in out for x in s), len(t)]
-                rest = (t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-                kept.append(b"".join(r.decode("utf-8", "ignore").encode() if whole_chars else r for r in rest) if out else t)
+                rest = [t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)] if out else [t]
+                chars = [r.decode("utf-8", "ignore").encode() for r in rest] if out else rest
+                kept.append(b"".join(chars if whole_chars else rest))
+                whole.append(b"".join(chars).decode() if chars != rest else None)
                 size.append(len(t))
                 spans.append([{"first": x, "last": y} for x, y in out])
             own = [c for c in b.schema.names if c == "key"]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(size, pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(kept, pa.binary()), *(b.column(c) for c in own)],
-                names=["doc_id", "n_bytes", "spans", "kept", *own])
+                 pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(whole, pa.string()), *(b.column(c) for c in own)],
+                names=["doc_id", "n_bytes", "spans", "kept", "whole", *own])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, block: int = BLOCK, key_col: str | None = None,
                    whole_chars: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) of every row of ``docs``, with the binary ``key_col`` as key where given.
+    """(doc_id, n_bytes, spans, kept, whole) of every row of ``docs``, with the binary ``key_col`` as key where given.
 
     spans: maximal runs [first, last) of bytes covered by a ``min_bytes`` string (128 or more) that
     also starts anywhere else in the table, in the same text included; kept: the remaining bytes.
     All occurrences count, the first included. Strings never cross texts. A null text is empty; a
-    text shorter than ``min_bytes`` is kept whole. With ``whole_chars`` kept is without the rest of
-    characters that a span's edge broke. A repeated row repeats its text, so all copies
+    text shorter than ``min_bytes`` is kept whole. whole: kept without the rest of characters that a
+    span's edge broke, null where none is broken; with ``whole_chars`` kept is that too. A repeated row repeats its text, so all copies
     lose it. Rows with a null id take part like any other. Other columns are not read.
     """
     if min_bytes < 128:
@@ -279,10 +282,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         joined = base.join(F.broadcast(ids), ["k0", "k1"], "left_semi").join(covered, ["k0", "k1"]).select("doc_id", "text", "found", *own).unionByName(whole)
     else:
         joined = base.join(covered, ["k0", "k1"], "left").select("doc_id", "text", "found", *own)
-    return joined.mapInArrow(_spans(whole_chars), "doc_id long, n_bytes long, spans array<struct<first:bigint,last:bigint>>, kept binary" + ", key binary" * len(own))
+    return joined.mapInArrow(_spans(whole_chars), "doc_id long, n_bytes long, spans array<struct<first:bigint,last:bigint>>, kept binary, whole string" + ", key binary" * len(own))
 
 
 def report(found: DataFrame) -> DataFrame:
-    """Counts and digests of :func:`repeated_spans`'s rows."""
+    """Counts and digests of :func:`repeated_spans`'s rows, and ``text``: what is left of each text,
+    without the rest of characters that a span's edge broke."""
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                        F.sha2("kept", 256).alias("kept_sha256"))
+                        F.sha2("kept", 256).alias("kept_sha256"), F.coalesce("whole", F.col("kept").cast("string")).alias("text"))

@@ -3,9 +3,11 @@
 Every vector has, in each of several trees, a string of random-hyperplane bits; a tree is the
 sorted array of its strings. A query descends in every tree to its longest prefix match by binary
 search, then all trees ascend together, one prefix bit at a time, until enough candidates are
-met. The index is dealt over blocks of bounded size, each a forest of its own, and the query set,
-also in blocks, visits every one; a block returns each query's best, and the best of all blocks
-are the answer. Candidates are scored exactly, by cosine in double precision.
+met. The index is dealt over blocks of bounded size, each a forest that is built once, and the
+queries stream through every one; a block returns each query's best, and the best of all blocks
+are the answer. Candidates are scored exactly, by cosine in double precision. With ``share=1`` a
+query meets every vector of a block, so the answer is exact: the way for data without structure
+that a hash could find, or wherever the recall measured is too low.
 
 Vectors that are equal get equal strings in all trees; they are met together, and each is scored.
 """
@@ -19,10 +21,10 @@ from pyspark.sql import functions as F
 from washkit.llm.common import stored
 
 TREES, BITS = 48, 32
-#: Expected vectors of an index block and queries of a query block.
-BLOCK, QUERIES = 8192, 1024
+#: Expected vectors of an index block.
+BLOCK = 4096
 #: Candidates (distinct) that a query meets in a block before the trees stop ascending, as a share of the block.
-SHARE = 0.35
+SHARE = 0.6
 
 
 def planes(dims: int, trees: int = TREES, bits: int = BITS) -> np.ndarray:
@@ -76,25 +78,46 @@ def cosines(x: np.ndarray, norms: np.ndarray, q: np.ndarray, norm: float) -> np.
 
 
 def _searched(k: int, share: float):
-    def run(key, left, right):
-        import pandas as pd
-
-        ids, x = left["vec_id"].to_numpy(), np.array(left["embedding"].tolist(), np.float64)
-        qids, q = right["vec_id"].to_numpy(), np.array(right["embedding"].tolist(), np.float64)
-        out = []
-        if len(ids) and len(qids):
-            norms, forest = np.sqrt((x * x).sum(axis=1)), Forest(x)
-            wanted = max(16 * k, int(share * len(ids)))
+    """Rows (b, dims, asked, vec_id, embedding) in this order: a block's vectors, then the queries that
+    visit it -> (query_id, vec_id, score) of each query's best in the block. Only the block is held."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        block, ids, rows = None, [], []
+        forest = x = norms = known = None
+
+        def answered(qids: np.ndarray, q: np.ndarray):
+            out = []
             for s in range(0, len(q), 64):
                 first, last = forest.bounds(q[s : s + 64])
                 for i in range(len(first)):
                     j = s + i
-                    met = forest.candidates(first[i], last[i], wanted)
-                    met = met[ids[met] != qids[j]]
+                    met = forest.candidates(first[i], last[i], max(16 * k, int(share * len(known))))
+                    met = met[known[met] != qids[j]]
                     score = cosines(x[met], norms[met], q[j], float(np.sqrt((q[j] * q[j]).sum())))
-                    best = np.lexsort((ids[met], -score))[:k]
-                    out.append(pd.DataFrame({"query_id": qids[j], "vec_id": ids[met][best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+                    best = np.lexsort((known[met], -score))[:k]
+                    out.append((np.full(len(best), qids[j]), known[met][best], score[best]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            at, dims, asked = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("b", "dims", "asked"))
+            cut = np.r_[0, np.flatnonzero((np.diff(at) != 0) | (np.diff(dims) != 0) | (np.diff(asked) != 0)) + 1, len(at)]
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if s == e:
+                    continue
+                part = batch.slice(s, e - s)
+                values = part.column("embedding").flatten().to_numpy().reshape(e - s, int(dims[s]))
+                if block != (at[s], dims[s]):
+                    block, ids, rows, forest = (at[s], dims[s]), [], [], None
+                if not asked[s]:
+                    ids.append(part.column("vec_id").to_numpy())
+                    rows.append(values)
+                elif rows:
+                    if forest is None:
+                        known, x = np.concatenate(ids), np.concatenate(rows)
+                        norms, forest = np.sqrt((x * x).sum(axis=1)), Forest(x)
+                    yield answered(part.column("vec_id").to_numpy(), values)
 
     return run
 
@@ -108,22 +131,20 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK,
-            query_block: int = QUERIES, share: float = SHARE) -> DataFrame:
+            share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest of ``vectors`` but itself.
 
     ``queries`` has the columns of ``vectors``. Vectors and queries that are null, empty, zero, or
     hold null or non-finite components take no part, nor do those with a null id; vectors are met
     by queries of their own length only. Ties go to the smaller id; of rows that repeat an id and
-    a vector one is used. Fewer than ``k`` candidates are all returned. Other columns are not read.
+    a vector one is used. Fewer than ``k`` candidates are all returned. ``share=1`` is exact. Other
+    columns are not read. A vector is shuffled once, a query once for each block.
     """
     rows = stored(valid(vectors, id_col, vec_col).dropDuplicates(["vec_id", "embedding"]), "vectors")
     asked = stored(valid(queries, id_col, vec_col).dropDuplicates(["vec_id", "embedding"]), "queries")
-    n, m = rows.count(), asked.count()
-    blocks, parts = max(1, -(-n // block)), max(1, -(-m // query_block))
-    x = rows.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    x = x.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    q = asked.withColumn("p", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    q = q.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = x.groupBy("b", "p", "dims").cogroup(q.groupBy("b", "p", "dims")).applyInPandas(_searched(k, share), "query_id long, vec_id long, score double")
+    blocks = max(1, -(-rows.count() // block))
+    x = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long").alias("b"), "dims", F.lit(False).alias("asked"), "vec_id", "embedding")
+    q = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), "dims", F.lit(True).alias("asked"), "vec_id", "embedding")
+    found = x.unionByName(q).repartition("b", "dims").sortWithinPartitions("b", "dims", "asked").mapInArrow(_searched(k, share), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

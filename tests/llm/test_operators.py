@@ -11,6 +11,9 @@ import pytest
 
 from washkit.llm import hash_forest, minhash, packing, pu_quality, sharding, site_style, suffix_dedup, url_reputation, warc, winnow
 
+from washkit.llm.common import hashed, word_codes
+from washkit.llm.queries import op2_best_fit_packing
+
 WORDS = [f"w{i}" for i in range(400)]
 
 
@@ -72,7 +75,9 @@ def test_repeated_spans(docs, size, block):
             if seen[b[j:j + size]] > 1:
                 hit[j:j + size] = True
         kept = bytes(x for x, h in zip(b, hit, strict=True) if not h)
-        want.append((i, len(b), int(hit.sum()), int((np.diff(np.r_[0, hit.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        cut = np.flatnonzero(np.diff(np.r_[True, hit, True].astype(int)))
+        whole = "".join(b[x:y].decode("utf-8", "ignore") for x, y in zip(cut[::2], cut[1::2], strict=True))
+        want.append((i, len(b), int(hit.sum()), int((np.diff(np.r_[0, hit.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest(), whole))
     got = [tuple(r) for r in suffix_dedup.report(suffix_dedup.repeated_spans(docs, min_bytes=size, block=block)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
@@ -149,6 +154,38 @@ def test_packing(docs):
         assert len(set(sources)) == len(sources) and len(set(texts)) == len(texts)
 
 
+def test_packing_against_a_plain_search():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        sizes = sorted(rng.integers(1, 60, 60).tolist(), reverse=True)
+        sources, clusters = rng.integers(-1, 9, 60).tolist(), rng.integers(-1, 15, 60).tolist()
+        bins, want = [], []
+        for size, s, c in zip(sizes, sources, clusters, strict=True):
+            fits = [(left, b) for b, (left, used, seen, _) in enumerate(bins) if left >= size and s not in used and c not in seen]
+            b = min(fits)[1] if fits else len(bins)
+            if not fits:
+                bins.append((100, set(), set(), 0))
+            left, used, seen, n = bins[b]
+            bins[b] = (left - size, used | ({s} if s >= 0 else set()), seen | ({c} if c >= 0 else set()), n + 1)
+            want.append((b, n))
+        assert packing.pack_cell(sizes, sources, clusters, 100) == want
+
+
+def test_near_copies_share_no_sequence(spark, tmp_path):
+    rows = []
+    for i in range(30):
+        text = prose(700 + i, 120).split()
+        for j in range(4):  # near copies from different sources
+            rows.append((4 * i + j, " ".join([*text, "tail", str(j)] if j else text), f"src{j * 7 + i % 5}"))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op2_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    seen = {}
+    for r in got:
+        assert r.doc_id // 4 not in seen.setdefault(r.bin, set())
+        seen[r.bin].add(r.doc_id // 4)
+
+
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"))
 
 
@@ -193,13 +230,103 @@ def test_main_text(spark):
     assert all(text[100 + i] == prose(50 + i, 8) for i in range(12))
 
 
+def morse(n):
+    """Two words of 2 ** n letters in Thue-Morse order, which a polynomial modulo a power of two cannot tell apart."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2**n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_codes_tell_words_apart():
+    a, b = morse(12)
+    assert len({int(c[0]) for c in word_codes([a.encode(), b.encode()])}) == 2
+    rng = np.random.default_rng(9)
+    found = {bytes(rng.integers(97, 123, int(n), dtype=np.uint8)) for n in rng.integers(1, 40, 3000)} | {b"\xff" * n for n in range(1, 40)}
+    texts = sorted(found)
+    data = b" ".join(texts)
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    codes = hashed(data, ends - [len(t) for t in texts], ends)
+    assert len(set(codes.tolist())) == len(texts)
+    alone = [int(hashed(t, np.array([0]), np.array([len(t)]))[0]) for t in texts]
+    assert codes.tolist() == alone
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    a, b = morse(9)
+    nine = prose(91, 9)
+    docs = spark.createDataFrame([(1, f"{nine} {a}"), (2, f"{nine} {b}"), (3, f"{nine} {a}")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, percent=100).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    items = spark.createDataFrame([("x", f"{nine} {a}"), ("y", b), ("z", a)], "item_id string, text string")
+    for sent in (1 << 24, 0):
+        hit = {r.doc_id: (r.n_hit, r.n_items) for r in winnow.report(winnow.contamination(docs, items, broadcast_bytes=sent)).collect()}
+        assert hit == {1: (10, 2), 2: (1, 1), 3: (10, 2)}
+
+
+def test_hits_count_words_that_are_equal():
+    assert winnow.equal_runs([b"a"] * 12, [b"a"] * 12, 10) == [(0, 12)]
+    assert winnow.equal_runs([b"a", b"b", b"c", b"d"], [b"a", b"x", b"c", b"d"], 2) == [(2, 4)]
+
+
+ARTICLE = "<p>the story of it all</p><p>goes on for a while here</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body class='single has-sidebar'><article>{ARTICLE}</article></body>", f"<body><div id=content-with-sidebar><article>{ARTICLE}</article></div></body>",
+    f"<body><article class='post related'>{ARTICLE}</article></body>", f"<body><article><form>{ARTICLE}</form></article></body>",
+    f"<body><form id=aspnetForm><div><article>{ARTICLE}</article></div></form></body>", f"<body><article><div class='search-results'>{ARTICLE}</div></article></body>",
+    f"<body class=search><main>{ARTICLE}</main></body>", f"<html class=modal><body><div class='related'><article>{ARTICLE}</article></div></body></html>",
+    f"<body><div class='site-header'>x</div><article>{ARTICLE}<div class='ad-banner'>buy</div><form><p>mail</p></form></article><div class='related-posts'><article>teaser</article></div></body>",
+    f"<body><main><div id=comments-list><article>first!</article></div><article>{ARTICLE}<section class='comments'><p>so true</p></section></article><aside><article>else</article></aside></main></body>",
+    f"<body><article><span class=ad>buy<b>now</b></span>{ARTICLE}<div hidden>no</div><div aria-hidden=true>no</div></article></body>",
+])
+def test_names_of_noise(page):
+    assert site_style.Page(page).main_text() == "the story of it all\ngoes on for a while here"
+
+
+def test_a_deep_page_costs_no_more():
+    page = "<div>" * 5000 + "<p>deep down</p>" + "</div>" * 5000 + "".join(f"<p>line {i}</p>" for i in range(3000))
+    p = site_style.Page(page)
+    assert p.main_text().startswith("deep down\nline 0\n") and len(list(p.counted())) == 5000 + 1 + 3000
+
+
+def test_style_tree_counts(spark):
+    pages = [("h", f"<body><div class=m>same</div><div class=c><p>{i // 2}</p></div></body>") for i in range(20)] + [("h", "<body><div class=m>same</div><div class=c><p>0</p></div></body>"), ("g", "<p>x")]
+    nodes, contents = site_style.style_tree(spark.createDataFrame(pages, "host string, html string"), min_seen=1)
+    count = {}
+    for host, html in set(pages):
+        for path, style, content in site_style.Page(html).counted():
+            count.setdefault((host, path), []).append((style, content))
+    entropy = lambda xs: 0.0 if len(xs) < 2 else sum(xs.count(x) * np.log(xs.count(x)) for x in set(xs)) / (len(xs) * np.log(len(xs)))
+    got = {(r.host, r.path): (r.seen, r.importance) for r in nodes.collect()}
+    assert set(got) == set(count)
+    for k, found in count.items():
+        styles, texts = ([f[i] for f in found] for i in (0, 1))
+        assert got[k][0] == len(found) and abs(got[k][1] - (0.1 * (1 - entropy(styles)) + 0.9 * (1 - entropy(texts)))) < 1e-9
+    assert {(r.host, r.path, r.value, r.c) for r in contents.collect()} == {(*k, v, [f[1] for f in found].count(v)) for k, found in count.items() for v in {f[1] for f in found}}
+
+
+def test_search_is_exact_with_the_whole_share(spark):
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((900, 24))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(5000 + i, x[i][:3].tolist()) for i in range(4)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hash_forest.nearest(v, v.where("vec_id % 9 = 0 OR vec_id >= 5000"), block=200, share=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    u = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    for q in range(0, 900, 9):
+        s = u @ u[q]
+        s[q] = -9
+        assert [i for _, i in sorted(got[q])] == np.lexsort((np.arange(900), -s))[:5].tolist()
+    assert all(len(got[5000 + i]) == 3 for i in range(4))
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 16)).astype(np.float32).astype(float)
     x[7] = x[6]
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(9001, None, 0), (9002, [0.0] * 16, 0), (9003, [float("nan")] * 16, 0), (9004, [None] * 16, 0), (None, x[3].tolist(), 0), (3, x[3].tolist(), 0)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
-    got = hash_forest.nearest(v, v.where("vec_id % 50 = 6 OR vec_id > 9000"), k=5, block=1000, query_block=20).collect()
+    got = hash_forest.nearest(v, v.where("vec_id % 50 = 6 OR vec_id > 9000"), k=5, block=1000).collect()
     u = x / np.sqrt((x * x).sum(axis=1))[:, None]
     hits = 0
     for q in range(6, 3000, 50):

@@ -62,13 +62,13 @@ def _packed(capacity: int):
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None,
-         capacity: int = CAPACITY, cell: int = CELL) -> DataFrame:
+         capacity: int = CAPACITY, cell: int = CELL, clusters: DataFrame | None = None) -> DataFrame:
     """(doc_id, part, first_word, n_words, bin, slot) of every piece of every row of ``docs``.
 
     Words are parted by ASCII white space. A document of more than ``capacity`` words is cut into
     parts of that many and a rest. No bin holds more than ``capacity`` words, two documents of one
-    source, or two of one duplicate cluster (``cluster_col``; without it, equal texts but for
-    letter case). A null source or cluster conflicts with nothing. A null or wordless text is one
+    source, or two of one duplicate cluster: ``cluster_col``, else the cluster that ``clusters`` (id,
+    cluster) gives the row's id, else equal texts but for letter case. A null source or cluster conflicts with nothing. A null or wordless text is one
     part of no words with a null bin and slot. Null and repeated ids are rows like any other.
     Other columns are not read.
     """
@@ -77,6 +77,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows = stored(docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("words"),
         F.col(source_col).cast("string").alias("source"), cluster.cast("string").alias("cluster")), "lengths")
+    if clusters is not None and cluster_col is None:
+        given = clusters.where("id IS NOT NULL AND cluster IS NOT NULL").groupBy(F.col("id").alias("doc_id")).agg(F.concat(F.lit("c"), F.min("cluster").cast("string")).alias("given"))
+        rows = rows.join(given, "doc_id", "left").withColumn("cluster", F.coalesce("given", "cluster")).drop("given")
     parts = F.greatest(F.ceil(F.col("words") / capacity), F.lit(1))
     pieces = rows.select("row", "doc_id", "words", "source", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
     pieces = pieces.select("row", "doc_id", "source", "cluster", "part", (F.col("part") * capacity).alias("first_word"),

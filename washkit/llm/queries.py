@@ -21,8 +21,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences of 1,024 words, no two of one source or of equal text in a sequence."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """All documents in sequences of 1,024 words, no two of one source or of one near-duplicate cluster in a sequence."""
+    docs = table(spark, sf_dir, "documents")
+    near = minhash.near_duplicates(docs, percent=80)
+    return packing.pack(docs, clusters=near.select(F.col("doc_id").alias("id"), F.col("component_id").alias("cluster")))
 
 
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,30 @@ def test_ordered_long_orders_every_kind_of_double(spark):
     assert all(a < b for a, b in zip(keys, keys[1:]))
     want = np.array([abs(x) for x in xs]).view(np.int64)
     assert [abs(k) for k in keys] == want.tolist()
+
+
+def test_bracketed_percentiles_equal_selection(spark):
+    from washkit.operators.quantiles import bracketed_percentiles
+    big = spark.range(200000, numPartitions=5).select((F.col("id") % 2).cast("string").alias("g"), F.pow((F.col("id") * 7919 % 100003).cast("double"), F.lit(1.5)).alias("x"))
+    odd = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", -0.0), ("b", 0.0), ("b", float("inf")), ("b", float("-inf")), ("c", None), ("d", float("nan")), (None, 5.0), (None, 6.0), (None, 6.0), ("e", 3.0)], "g string, x double")
+    few = spark.range(30000, numPartitions=3).select(F.lit("f").alias("g"), (F.col("id") % 3).cast("double").alias("x"))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    for df in (big, odd, few):
+        a = sorted((tuple(r) for r in exact_percentiles(df, ["g"], "x", probs).collect()), key=repr)
+        for groups in (None, 10):
+            assert sorted((tuple(r) for r in bracketed_percentiles(df, ["g"], "x", probs, groups=groups).collect()), key=repr) == a
+
+
+def test_box_statistics_reads_its_input_three_times(spark):
+    from washkit.operators import access as A
+    from washkit.plans.queries import access_table
+    plan = A.box_statistics(access_table(spark, "/root/testdata/sf0.001"), types=("water", "sewer"), distributed=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("o_orderpriority") and plan.count("FileScan parquet [o_custkey") <= 3
+
+
+def test_one_projection_gives_the_union(spark):
+    from washkit.plans.queries import REGISTRY, access_table
+    small = "/root/testdata/sf0.001"
+    one, union = access_table(spark, small), REGISTRY["access_union"](spark, small)
+    assert one.dtypes == union.dtypes
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, union.collect()), key=repr)

@@ -17,11 +17,11 @@ def test_registry_ids_unique_and_spec_rows_present():
 
 def test_national_accounts_fixture(spark):
     na = spark.createDataFrame([
-        ("X", 2024, 100.0, 20.0, 80.0, 5.0, 3, 50.0, 60.0, 1000.0),
-        ("X", 2024, 100.0, 30.0, 70.0, 0.0, 2, 70.0, 20.0, 1000.0),
-        ("Y", 2024, 0.0, 0.0, 0.0, None, 0, None, 10.0, 0.0),
+        ("X", 2024, 100.0, 20.0, 80.0, 5.0, 3, 5, 10, 60.0, 1000.0),
+        ("X", 2024, 100.0, 30.0, 70.0, 0.0, 2, 13, 20, 20.0, 1000.0),
+        ("Y", 2024, 0.0, 0.0, 0.0, None, 0, None, 4, 10.0, 0.0),
     ], "city string, year int, budget_allocated double, san_allocation double, budget_disbursed double, "
-       "disaster_loss double, inspected_wtps long, asset_health double, water_withdrawals double, "
+       "disaster_loss double, inspected_wtps long, assets_good long, assets_total long, water_withdrawals double, "
        "water_resources double")
     got = {(r["city"], r["kpi_id"]): r["value"] for r in
            K.ratio_kpis(na, ["city"], [K.BY_ID[i] for i in ("N2", "N3", "N4", "N6", "G3", "AH")]).collect()}

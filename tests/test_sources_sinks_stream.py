@@ -278,3 +278,59 @@ def test_every_order_reaches_the_access_table_and_new_files_are_read(spark, tmp_
     assert V.Tables(spark, str(tmp_path)).t.count() == 5
     one.write.mode("append").parquet(str(tmp_path / "t.parquet"))
     assert V.Tables(spark, str(tmp_path)).t.count() == 10
+
+
+def test_leaves_of_documents_of_unknown_nesting(spark):
+    docs = [(1, '{"a":{"b":[1,{"c":"x","d":null}],"e":{}},"f":true,"g":[],"h":"{}"}'), (2, "no json"), (3, None), (4, "7"), (5, "null"), (6, '{"a":{"a":{"a":{"a":1}}}}'), (7, "[]"), (8, '[[1.5],["t"]]')]
+    df = spark.createDataFrame(docs, "id int, doc string")
+    got = {(r.id, r.path): r.value for r in files.document_leaves(df, "doc", ["id"]).collect()}
+    assert got == {(1, "a.b[0]"): "1", (1, "a.b[1].c"): "x", (1, "f"): "true", (1, "h"): "{}", (4, ""): "7", (6, "a.a.a.a"): "1", (8, "[0][0]"): "1.5", (8, "[1][0]"): "t"}
+    cut = {(r.id, r.path): r.value for r in files.document_leaves(df.where("id = 6"), "doc", ["id"], depth=2).collect()}
+    assert cut == {(6, "a.a"): '{"a":{"a":1}}'}
+
+
+def test_sector_documents(spark):
+    from washkit.operators import kpi as K
+    docs = [("A", '{"resources":{"renewable":200,"withdrawals":50},"use":[{"sector":"farms","output":9,"used":3},{"sector":"towns","output":5,"used":0},{"sector":"new"}],"disaster":{"loss":[1,2.5]}}'),
+            ("B", '{"resources":{"renewable":0,"withdrawals":5},"disaster":{"loss":4}}'), ("C", "{"), ("D", '{"use":[],"resources":{}}'), ("E", '{"use":[{"sector":"x","output":"n/a","used":2}]}')]
+    df = spark.createDataFrame(docs, "city string, document string")
+    got = {(r.city, r.kpi, r.sector): r.value for r in K.sector_document_kpis(df, "document", ["city"]).collect()}
+    assert got == {("A", "stress", None): 25.0, ("A", "loss", None): 3.5, ("A", "use_efficiency", "farms"): 3.0, ("A", "use_efficiency", "towns"): None, ("A", "use_efficiency", "new"): None,
+                   ("B", "stress", None): None, ("B", "loss", None): 4.0, ("E", "stress", None): None, ("E", "loss", None): None, ("E", "use_efficiency", "x"): None}
+
+
+def _files(path):
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_incremental_results(spark, tmp_path):
+    rows = spark.createDataFrame(V.service_month(V.Tables(spark, SMALL)).where("year < 1997").collect(), V.service_month(V.Tables(spark, SMALL)).schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run():
+        SS.start_incremental_results(spark, src, schema, out).awaitTermination()
+
+    def batch(df):
+        return {tuple(sorted(r.asDict().items())) for r in S.service_time_series(S.prepare_service(df)).collect()}
+
+    def result():
+        return {tuple(sorted(r.asDict().items())) for r in spark.read.parquet(out).drop("year", "month").collect()}
+
+    late = (F.col("year") == 1995) & (F.col("month") == 3) & (F.col("zone") == "R")
+    rows.where(~late & (F.col("year") == 1995)).coalesce(1).write.mode("append").parquet(src)
+    run()
+    first = _files(out)
+    assert result() == batch(rows.where(~late & (F.col("year") == 1995)))
+    rows.where(late).coalesce(1).write.mode("append").parquet(src)  # late rows of one month
+    run()
+    assert result() == batch(rows.where("year = 1995"))
+    now = _files(out)
+    changed = {p for p in set(first) | set(now) if first.get(p) != now.get(p)}
+    assert changed and all("year=1995/month=3/" in p for p in changed)
+    rows.where("year = 1996").coalesce(2).write.mode("append").parquet(src)
+    run()
+    assert result() == batch(rows)
+    before = result()
+    sinks.replace_partitions(spark.createDataFrame(spark.read.parquet(out).where("year = 1996").collect(), spark.read.parquet(out).schema), out, ["year", "month"])
+    assert result() == before  # a repeated write changes nothing

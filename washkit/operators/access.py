@@ -282,7 +282,7 @@ def box_statistics(access: DataFrame, measures: Sequence[str] = BOX_MEASURES, *,
     whiskers. All types present take part, or the listed ``types``: that bounds the quartiles at
     ``len(types) * len(measures)`` rows, which are then sent to the points; without it the planner
     chooses by measured size. NaN counts as missing. ``distributed=True`` computes the exact
-    quartiles with :func:`washkit.operators.quantiles.exact_percentiles` instead of ``percentile``
+    quartiles with :func:`washkit.operators.quantiles.bracketed_percentiles` instead of ``percentile``
     (same values; no group's distinct values are merged in one task).
     """
     d = access if types is None else access.where(F.col("type").isin(list(types)))
@@ -290,9 +290,9 @@ def box_statistics(access: DataFrame, measures: Sequence[str] = BOX_MEASURES, *,
         F.col("type").isNotNull() & F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))
     )
     if distributed:
-        from washkit.operators.quantiles import exact_percentiles
-        stats = exact_percentiles(long, ["type", "measure"], "value", [0.25, 0.5, 0.75],
-                                  groups=None if types is None else len(types) * len(measures)).select(
+        from washkit.operators.quantiles import bracketed_percentiles
+        stats = bracketed_percentiles(long, ["type", "measure"], "value", [0.25, 0.5, 0.75],
+                                      groups=None if types is None else len(types) * len(measures)).select(
             "type", "measure", F.col("p0").alias("q1"), F.col("p1").alias("median"), F.col("p2").alias("q3"))
     else:
         q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact else \

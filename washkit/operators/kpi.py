@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from washkit.functions import columns as C
+from washkit.sources.files import document_leaves
 
 
 @dataclass(frozen=True)
@@ -113,7 +114,7 @@ REGISTRY: list[Kpi] = [
     Kpi("G3", "WTPs inspected", "national_accounts", "inspected_wtps", None, scale=1.0, section="spec"),
     Kpi("G5", "Staff trained", "national_accounts", "trained_staff", None, scale=1.0, section="spec"),
     Kpi("G6", "Staff", "city_year", "total_staff", None, scale=1.0, higher_is_better=None, section="spec"),
-    Kpi("AH", "Asset health", "national_accounts", "asset_health", "1", scale=1.0, target=80.0, section="spec"),
+    Kpi("AH", "Asset health", "city_year", "assets_good", "assets_total", target=80.0, section="spec"),
     Kpi("WD", "Women in decision-making", "service_ext", "f_workforce", "workforce", section="spec"),
 ]
 BY_ID = {k.id: k for k in REGISTRY}
@@ -232,9 +233,9 @@ def sanitation_chain(svc: DataFrame, by: Sequence[str] = ("country",), *, digits
 # --------------------------------------------------------------------------- A32 / A33
 def governance_kpis(city_year: DataFrame, *, guarded: bool = False, digits: int | None = 6) -> DataFrame:
     """Per (city, year) active-provider %, active-licensed %, human-capital investment %,
-    budget to water % and the staff headcount (G6), long form. Compliance flags (licence,
+    budget to water %, the staff headcount (G6) and asset health (good / total), long form. Compliance flags (licence,
     tariff, levy, reporting) are document booleans, read with ``files.read_json_document``."""
-    kp = [BY_ID[i] for i in ("G1", "G2", "G4", "N1", "G6")]
+    kp = [BY_ID[i] for i in ("G1", "G2", "G4", "N1", "G6", "AH")]
     return ratio_kpis(city_year, ["city", "year"], kp, digits=digits, guarded=guarded)
 
 
@@ -249,6 +250,33 @@ def sector_budget_shares(city_year: DataFrame, *, digits: int | None = 6) -> Dat
     return city_year.select("city", "year", F.inline(F.array(*items)))
 
 
+def sector_document_kpis(df: DataFrame, document: str, by: Sequence[str], *, digits: int | None = 6) -> DataFrame:
+    """A33, environment half, from a JSON document column: (by..., kpi, sector, value) with water stress
+    (withdrawals / renewable * 100), use efficiency of each sector (output / used) and disaster loss.
+
+    The document is parsed once, to leaves with their paths (:func:`washkit.sources.files.document_leaves`), so
+    its nesting need not be declared: sectors are a list of any length, a loss one number or several. A
+    document that lacks a part, or is no JSON, gives that KPI as NULL or not at all.
+    """
+    leaves = document_leaves(df, document, by)
+    number = F.col("value").try_cast("double")
+
+    def part(path: str) -> Column:
+        return F.sum(F.when(F.col("path") == path, number))
+
+    sector = F.regexp_extract("path", r"^use\[(\d+)\]\.", 1)
+    whole = leaves.groupBy(*by).agg(part("resources.withdrawals").alias("w"), part("resources.renewable").alias("r"),
+                                    F.sum(F.when(F.col("path").rlike(r"^disaster\.loss(\[\d+\])?$"), number)).alias("loss"))
+    none = F.lit(None).cast("string")
+    totals = whole.select(*by, F.inline(F.array(F.struct(F.lit("stress").alias("kpi"), none.alias("sector"), C.safe_ratio(F.col("w"), F.col("r"), 100.0).alias("value")),
+                                                F.struct(F.lit("loss").alias("kpi"), none.alias("sector"), F.col("loss").alias("value")))))
+    used = leaves.where(sector != "").groupBy(*by, sector.alias("__i")).agg(
+        F.max(F.when(F.col("path").endswith("].sector"), F.col("value"))).alias("sector"),
+        F.sum(F.when(F.col("path").endswith("].output"), number)).alias("o"), F.sum(F.when(F.col("path").endswith("].used"), number)).alias("u"))
+    sectors = used.select(*by, F.lit("use_efficiency").alias("kpi"), "sector", C.safe_ratio(F.col("o"), F.col("u")).alias("value"))
+    return totals.unionByName(sectors).withColumn("value", _r(F.col("value"), digits))
+
+
 # --------------------------------------------------------------------------- A34
 def latest_period_kpis(df: DataFrame, period_col: str, kpis: Sequence[Kpi], *, digits: int | None = 6) -> DataFrame:
     """KPIs of the latest period, ``(period, kpi_id, value)``.

@@ -95,3 +95,51 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
             (higher - at) * F.col(f"__{i}False") + (at - lower) * F.col(f"__{i}True"))
 
     return wide.select(*keys, "n", *[interpolated(i, p).alias(f"p{i}") for i, p in enumerate(probs)])
+
+
+#: Size of the sketches that bracket a percentile, and how far from it the bracket's ends are, in
+#: shares of a group. A sketch's ranks are off by more than 0.13 % once in a hundred times; the
+#: bracket is five times as wide to each side, so a rank outside of it is not to be expected.
+SKETCH, SLACK = 4096, 0.0065
+
+
+def bracketed_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *, groups: int | None = None) -> DataFrame:
+    """The result of :func:`exact_percentiles` from two reads of ``df`` and no running sum over a whole group.
+
+    The first read merges a sketch a group (bounded, reduced map-side), which gives each
+    percentile's bracket: all values of a group of up to ``SKETCH``, else those up to ``SLACK`` of the
+    group's ranks to both sides. The second counts what lies below each bracket and each value inside
+    it; a running sum over a bracket's values (about a hundredth of a group at most, repeated values
+    being one) finds the two ranks. Should a rank lie outside its bracket after all, the percentile is
+    NULL, never a wrong number.
+    """
+    keys = list(keys)
+    v = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
+    at = [(max(p - SLACK, 0.0), min(p + SLACK, 1.0)) for p in probs]
+    sketch = F.kll_sketch_agg_double("__v", F.lit(SKETCH))
+    ends = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), sketch.alias("__s"))
+    small = F.col("__n") <= SKETCH
+    brackets = F.array(*[F.struct(F.lit(i).alias("q"), F.when(small, F.col("__min")).otherwise(F.kll_sketch_get_quantile_double("__s", F.lit(lo))).alias("lo"),
+                                  F.when(small, F.col("__max")).otherwise(F.kll_sketch_get_quantile_double("__s", F.lit(hi))).alias("hi")) for i, (lo, hi) in enumerate(at)])
+    ends = ends.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n", brackets.alias("__b"))
+    ends = F.broadcast(ends) if groups is not None and groups < 10_000 else ends
+    j = v.join(ends, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    met = F.transform(F.filter("__b", lambda b: F.col("__v") <= b["hi"]), lambda b: F.struct(b["q"].alias("q"), F.when(F.col("__v") >= b["lo"], F.col("__v")).alias("x")))
+    counts = j.select(*keys, "__n", F.inline(met)).groupBy(*keys, "__n", "q", "x").agg(F.count(F.lit(1)).alias("__c"))
+    cum = F.sum("__c").over(Window.partitionBy(*keys, "q").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("__cum", cum)
+
+    def place(p: float) -> Column:
+        return F.lit(float(p)) * (F.col("__n") - 1).cast("double")
+
+    def found(i: int, rank: Column) -> Column:
+        rank = rank.cast("long")
+        return F.max(F.when((F.col("q") == i) & (rank >= F.col("__cum") - F.col("__c")) & (rank < F.col("__cum")), F.col("x")))
+
+    wide = ranked.groupBy(*keys, "__n").agg(*[found(i, F.floor(place(p))).alias(f"__l{i}") for i, p in enumerate(probs)], *[found(i, F.ceil(place(p))).alias(f"__h{i}") for i, p in enumerate(probs)])
+
+    def interpolated(i: int, p: float) -> Column:
+        lower, higher = F.floor(place(p)), F.ceil(place(p))
+        return F.when(lower == higher, F.col(f"__l{i}")).otherwise((higher - place(p)) * F.col(f"__l{i}") + (place(p) - lower) * F.col(f"__h{i}"))
+
+    return wide.select(*keys, F.col("__n").alias("n"), *[interpolated(i, p).alias(f"p{i}") for i, p in enumerate(probs)])

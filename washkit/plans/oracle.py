@@ -311,7 +311,7 @@ _ACCESS_KPIS = [
 _GOVERNANCE_KPIS = [
     ("G1", "active_providers", "total_providers", 100), ("G2", "active_licensed", "total_licensed", 100),
     ("G4", "training_budget", "wash_budget", 100), ("N1", "water_budget", "wash_budget", 100),
-    ("G6", "total_staff", None, 1),
+    ("G6", "total_staff", None, 1), ("AH", "assets_good", "assets_total", 100),
 ]
 
 
@@ -516,12 +516,13 @@ ps AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year,
               sum(CAST(floor((CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0e0 END) * 1e4 + 5e-1) AS BIGINT)) AS water_budget,
               sum(CAST(floor((l_extendedprice * (1e0 - l_discount)) * 1e4 + 5e-1) AS BIGINT)) AS actual_expenditure,
               sum(CAST(floor((l_extendedprice * (1e0 + l_tax)) * 1e4 + 5e-1) AS BIGINT)) AS output_value,
-              count(*) AS lines
+              count(*) AS lines, count(*) FILTER (WHERE l_returnflag <> 'R') AS good
        FROM lineitem GROUP BY 1, 2),
 a AS (SELECT n_name AS city, year, count(*) AS active_providers, count(*) FILTER (WHERE s_acctbal > 0) AS active_licensed,
              CAST(sum(wash_budget) AS DOUBLE) / 1e4 AS wash_budget, CAST(sum(training_budget) AS DOUBLE) / 1e4 AS training_budget,
              CAST(sum(water_budget) AS DOUBLE) / 1e4 AS water_budget,
-             CAST(sum(actual_expenditure) AS DOUBLE) / 1e4 AS actual_expenditure, CAST(sum(output_value) AS DOUBLE) / 1e4 AS output_value, sum(lines) AS total_staff
+             CAST(sum(actual_expenditure) AS DOUBLE) / 1e4 AS actual_expenditure, CAST(sum(output_value) AS DOUBLE) / 1e4 AS output_value, sum(lines) AS total_staff,
+             CAST(sum(good) AS BIGINT) AS assets_good, CAST(sum(lines) AS BIGINT) AS assets_total
       FROM ps JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
 b AS (SELECT n_name AS city, count(*) AS total_providers, count(*) FILTER (WHERE s_acctbal > 0) AS total_licensed
       FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
@@ -550,7 +551,7 @@ def _score_row(kid: str, name: str, target: str, up: bool, src: str, num: str, d
 FROM (SELECT max(year) AS year, {val} AS v FROM {src} WHERE year = (SELECT max(year) FROM {src}))"""
 
 
-SQL["executive_scorecard"] = _with(ACCESS_CTE, BILLING_CTE, LEDGER_CTE, SERVICE_CTE, PRODUCTION_CTE) + """
+SQL["executive_scorecard"] = _with(ACCESS_CTE, BILLING_CTE, LEDGER_CTE, SERVICE_CTE, PRODUCTION_CTE, CITY_YEAR_CTE) + """
 , b2 AS (SELECT *, CAST(year(date) AS INTEGER) AS year FROM bills),
 p2 AS (SELECT *, CAST(year(date) AS INTEGER) AS year FROM prod)
 """ + "\nUNION ALL\n".join([
@@ -563,6 +564,7 @@ p2 AS (SELECT *, CAST(year(date) AS INTEGER) AS year FROM prod)
     _score_row("F3", "Non-revenue water", "25e0", False, "sp", "w_supplied - total_consumption", "w_supplied", 100.0),
     _score_row("C1", "Water quality compliance", "95e0", True, "sp", "test_passed_chlorine + tests_passed_ecoli", "tests_conducted_chlorine + test_conducted_ecoli", 100.0),
     _score_row("C2", "Continuity (hours/day)", "22e0", True, "p2", "service_hours", "1", 1.0),
+    _score_row("AH", "Asset health", "80e0", True, "cy", "assets_good", "assets_total", 100.0),
 ])
 
 
@@ -771,3 +773,10 @@ d AS (SELECT l.country, name, match, levenshtein(name, match) AS distance FROM l
 b AS (SELECT *, row_number() OVER (PARTITION BY country, name ORDER BY distance, match) AS rn FROM d)
 SELECT l.country, l.name, b.match, CAST(b.distance AS INTEGER) AS distance FROM l LEFT JOIN b ON b.country = l.country AND b.name = l.name AND rn = 1
 """
+
+SQL["sector_documents"] = _with(CITY_YEAR_CTE) + """
+SELECT city, year, 'stress' AS kpi, CAST(NULL AS VARCHAR) AS sector, round((actual_expenditure - training_budget) / nullif(wash_budget, 0) * 1e2, 6) AS value FROM cy
+UNION ALL SELECT city, year, 'loss', NULL, round(training_budget + actual_expenditure, 6) FROM cy
+UNION ALL SELECT city, year, 'use_efficiency', 'water', round(output_value / nullif(water_budget, 0), 6) FROM cy
+UNION ALL SELECT city, year, 'use_efficiency', 'training', round(output_value / nullif(training_budget, 0), 6) FROM cy WHERE year % 2 = 0
+"""

@@ -203,6 +203,28 @@ def struct_to_long(df: DataFrame, struct_col: str, keep: Sequence[str] = (), *,
     return flat.unpivot(list(keep), fields, name, value)
 
 
+def document_leaves(df: DataFrame, column: str, keep: Sequence[str] = (), *, depth: int = 6) -> DataFrame:
+    """(keep..., path, value): one row for each leaf of a JSON text column whose nesting is unknown.
+
+    The text is parsed once as VARIANT (no schema is declared or inferred) and opened level by level
+    with ``variant_explode_outer``, which leaves a leaf as it is: members give ``name``, elements
+    ``name[i]``. Values are text; empty objects and lists, JSON nulls and text that is no JSON give no
+    row. What is nested more than ``depth`` levels is given as JSON text. One chain over one read:
+    rows are independent, nothing is shuffled.
+    """
+    tvf = df.sparkSession.tvf
+    rows = df.select(*keep, F.lit("").alias("__path"), F.try_parse_json(F.col(column)).alias("__v")).where("__v IS NOT NULL")
+    for _ in range(depth):
+        part = tvf.variant_explode_outer(F.col("__v").outer()).select(F.col("pos").alias("__pos"), F.col("key").alias("__key"), F.col("value").alias("__x"))
+        member = F.concat(F.col("__path"), F.when(F.col("__path") == "", "").otherwise("."), F.col("__key"))
+        element = F.concat(F.col("__path"), F.lit("["), F.col("__pos").cast("string"), F.lit("]"))
+        name = F.when(F.col("__pos").isNull(), F.col("__path")).when(F.col("__key").isNull(), element).otherwise(member)
+        rows = rows.lateralJoin(part).select(*keep, name.alias("__path"), F.coalesce("__x", "__v").alias("__v"))
+    value = F.coalesce(F.try_variant_get(F.col("__v"), "$", "string"), F.to_json(F.col("__v")))
+    empty = F.schema_of_variant(F.col("__v")).isin("OBJECT<>", "ARRAY<VOID>")
+    return rows.where(~F.is_variant_null(F.col("__v")) & ~empty).select(*keep, F.col("__path").alias("path"), value.alias("value"))
+
+
 def read_typed_csv(spark: SparkSession, path: str | Sequence[str], ddl: str, *, tolerant: bool = False) -> DataFrame:
     """Header CSV read as text, then each column coerced to its declared type (P4: bad text ->
     NULL, text keys trimmed). ``ddl`` is ``"name TYPE, ..."`` as in :mod:`washkit.sources.schemas`."""

@@ -28,3 +28,10 @@ def write_result(df: DataFrame, base_dir: str, name: str, *, mode: str = "overwr
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return path
+
+
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> str:
+    """S8 for some periods only: the partitions that ``df`` has rows of are replaced as a whole, all
+    others keep their files (dynamic partition overwrite). Writing the same rows again changes nothing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    return path

@@ -128,6 +128,21 @@ def access_sources(t: Tables) -> tuple[DataFrame, DataFrame]:
     return water_access(t, counts), sewer_access(t, counts)
 
 
+def tidy_access_rows(t: Tables) -> DataFrame:
+    """The rows of ``tidy_access(*access_sources(t))`` in one projection: both sides come from one read of the
+    orders and one aggregate, where the union of two filtered sources reads and aggregates them twice."""
+    water, sewer = "status = 'F'", "status = 'O'"
+    return _access_counts(t).selectExpr(
+        "country", "zone", "year",
+        "p1 AS safely_managed", "100D * p1 / n AS safely_managed_pct", "p2 AS basic", "100D * p2 / n AS basic_pct",
+        "p3 AS limited", "100D * p3 / n AS limited_pct", "p4 AS unimproved", "100D * p4 / n AS unimproved_pct",
+        f"CASE WHEN {water} THEN p5 END AS surface_water", f"CASE WHEN {water} THEN 100D * p5 / n END AS surface_water_pct",
+        "0D AS other_pct", "n AS popn_total", "hh AS households", f"CASE WHEN {water} THEN p1 + p2 END AS municipal_coverage",
+        f"CASE WHEN {water} THEN 'water' ELSE 'sewer' END AS type",
+        f"CASE WHEN {sewer} THEN p5 END AS open_def", f"CASE WHEN {sewer} THEN 100D * p5 / n END AS open_def_pct",
+    )
+
+
 # --------------------------------------------------------------------------- service
 _SERVICE_MONTH = """
 SELECT r_name AS country, n_name AS city, l_returnflag AS zone,
@@ -225,20 +240,21 @@ def production(t: Tables) -> DataFrame:
 
 _CITY_YEAR = """
 SELECT a.city, a.year, a.active_providers, b.total_providers, a.active_licensed, b.total_licensed,
-       a.wash_budget, a.training_budget, a.water_budget, a.actual_expenditure, a.output_value, a.total_staff
+       a.wash_budget, a.training_budget, a.water_budget, a.actual_expenditure, a.output_value, a.total_staff,
+       a.assets_good, a.total_staff AS assets_total
 FROM (
   SELECT n_name AS city, year, count(1) AS active_providers, count_if(s_acctbal > 0) AS active_licensed,
          CAST(sum(CAST(wash_budget AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS wash_budget, CAST(sum(CAST(training_budget AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS training_budget,
          CAST(sum(CAST(water_budget AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS water_budget,
          CAST(sum(CAST(actual_expenditure AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS actual_expenditure,
-         CAST(sum(CAST(output_value AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS output_value, sum(lines) AS total_staff
+         CAST(sum(CAST(output_value AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS output_value, sum(lines) AS total_staff, sum(good) AS assets_good
   FROM (SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS year,
                sum(floor(l_extendedprice * 10000D + 0.5D)) AS wash_budget,
                sum(floor(l_extendedprice * l_discount * 10000D + 0.5D)) AS training_budget,
                sum(floor(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0D END * 10000D + 0.5D)) AS water_budget,
                sum(floor(l_extendedprice * (1D - l_discount) * 10000D + 0.5D)) AS actual_expenditure,
                sum(floor(l_extendedprice * (1D + l_tax) * 10000D + 0.5D)) AS output_value,
-               count(1) AS lines
+               count(1) AS lines, count_if(l_returnflag <> 'R') AS good
         FROM {lineitem} GROUP BY l_suppkey, CAST(year(l_shipdate) AS INT)) per_supp
   JOIN {supplier} ON l_suppkey = s_suppkey
   JOIN {nation} ON s_nationkey = n_nationkey
@@ -303,3 +319,18 @@ def zone_outlines(t: Tables) -> DataFrame:
 def connection_points(t: Tables) -> DataFrame:
     """A point for each customer: longitude from the balance, latitude from the nation and the balance's cents."""
     return t.customer.selectExpr("c_custkey AS id", "c_acctbal / 1000D AS lon", "c_nationkey + (c_acctbal - floor(c_acctbal)) AS lat")
+
+
+_SECTOR_DOCUMENTS = """
+SELECT city, year, to_json(named_struct(
+         'resources', named_struct('renewable', wash_budget, 'withdrawals', actual_expenditure - training_budget),
+         'use', CASE WHEN year % 2 = 0 THEN array(named_struct('sector', 'water', 'output', output_value, 'used', water_budget), named_struct('sector', 'training', 'output', output_value, 'used', training_budget))
+                     ELSE array(named_struct('sector', 'water', 'output', output_value, 'used', water_budget)) END,
+         'disaster', named_struct('loss', array(training_budget, actual_expenditure)))) AS document
+FROM {city_year}
+"""
+
+
+def sector_documents(t: Tables) -> DataFrame:
+    """A nested JSON document for each city and year: resources, a list of sectors, losses."""
+    return t.spark.sql(_SECTOR_DOCUMENTS, city_year=city_year(t))

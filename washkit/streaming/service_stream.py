@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from washkit.operators import service as S
+from washkit.sources import sinks
 
 
 def monthly_series(stream: DataFrame, allowed_lateness: str = "62 days", *, digits: int | None = 6) -> DataFrame:
@@ -43,3 +44,23 @@ def start_monthly_series(spark: SparkSession, source_dir: str, schema: str, sink
          .option("path", sink_dir).option("checkpointLocation", ckpt))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def start_incremental_results(spark: SparkSession, source_dir: str, schema: str, result_dir: str, *, checkpoint_dir: str | None = None,
+                              available_now: bool = True) -> StreamingQuery:
+    """S8 kept up to date from arriving files: the monthly series as a table partitioned by year and month.
+
+    A batch says which months its rows touch; the series of exactly those months is computed anew
+    from all rows in ``source_dir`` (whose months are read by a pushed-down filter) and replaces their
+    partitions, so late rows correct a month, untouched months keep their files, and a batch that is
+    run again after a failure writes the same rows. Files are taken to stay in ``source_dir``.
+    """
+    def refresh(batch: DataFrame, _: int) -> None:
+        months = batch.select("year", "month").where("year IS NOT NULL AND month IS NOT NULL").distinct()
+        rows = spark.read.schema(schema).parquet(source_dir).join(months, ["year", "month"], "left_semi")
+        series = S.service_time_series(S.prepare_service(rows))
+        sinks.replace_partitions(series.withColumns({"year": F.year("date"), "month": F.month("date")}), result_dir, ["year", "month"])
+
+    ckpt = checkpoint_dir or result_dir.rstrip("/") + "_checkpoint"
+    w = spark.readStream.schema(schema).parquet(source_dir).writeStream.foreachBatch(refresh).option("checkpointLocation", ckpt)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")).start()

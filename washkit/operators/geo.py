@@ -109,8 +109,8 @@ def locate_points(points: DataFrame, shapes: DataFrame, columns: Sequence[str],
 
     A shape is indexed in the grid whose cells are as large as its bounding box, so it falls into at
     most four cells whatever its size; a point is looked up in its cell of every grid in use (at
-    most ``MAX_LEVEL - MIN_LEVEL + 1``, mostly a few). Cells meet in an equi-join, after which the exact
-    ray test decides, over all rings (a hole is outside; a point on an edge belongs to one side).
+    most ``MAX_LEVEL - MIN_LEVEL + 1``, mostly a few). Cells meet in an equi-join, after which the bounding box and then the exact ray
+    test decide, over all rings (a hole is outside; a point on an edge belongs to one side).
     ``keep`` names columns that identify a point (not NULL): points in no shape are then kept, with
     NULLs. Points without coordinates lie in none; shapes without rings hold none. A hot cell's
     points are split by AQE like any skewed join key.
@@ -124,11 +124,12 @@ def locate_points(points: DataFrame, shapes: DataFrame, columns: Sequence[str],
     size = F.pow(F.lit(2.0), F.col("__level"))
     for k in "xy":
         s = s.withColumn(f"__c{k}", F.explode(F.sequence(F.floor(F.col(f"__min{k}") / size), F.floor(F.col(f"__max{k}") / size))))
-    s = s.select(*columns, "__edges", "__level", "__cx", "__cy")
+    s = s.select(*columns, "__edges", "__level", "__cx", "__cy", *[f"__{f}{k}" for k in "xy" for f in ("min", "max")])
     levels = s.select(F.collect_set("__level")).scalar()
     here = F.col(lon).isNotNull() & F.col(lat).isNotNull() & ~F.isnan(F.col(lon).cast("double")) & ~F.isnan(F.col(lat).cast("double"))
     at = points.where(here).select("*", F.explode(levels).alias("__level"))
     at = at.withColumns({"__cx": F.floor(F.col(lon) / size), "__cy": F.floor(F.col(lat) / size)})
-    found = at.join(s, ["__level", "__cx", "__cy"]).where(_inside(F.col(lon), F.col(lat)))
+    boxed = F.col(lon).between(F.col("__minx"), F.col("__maxx")) & F.col(lat).between(F.col("__miny"), F.col("__maxy"))
+    found = at.join(s, ["__level", "__cx", "__cy"]).where(boxed & _inside(F.col(lon), F.col(lat)))
     found = found.select(*points.columns, *columns)
     return found.unionByName(points.join(found.select(*keep).distinct(), list(keep), "left_anti"), allowMissingColumns=True) if keep else found

@@ -203,6 +203,18 @@ def test_urls(spark):
     assert {r.verdict for r in url_reputation.judge_urls(pages, bad.limit(0)).collect()} == {"allow"}
 
 
+def test_levels_of_hosts(spark):
+    hosts = {"a.b.shop.example.com:8080": ("example.com", "com"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "a.b.gov.br": ("b.gov.br", "gov.br"),
+             "me@x.co.uk.": ("x.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "": ("", ""), "[::1]:80": ("[::1]", "[::1]"), "x.y.z.blog.org": ("blog.org", "org"),
+             "a." * 3000 + "com": ("a.com", "com")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    domain, suffix = url_reputation.levels(df["host"])
+    assert {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
+    domain, suffix = url_reputation.levels(df["host"], suffixes=("blog.org", "z.blog.org", "shop.example.com"))
+    got = {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()}
+    assert got["x.y.z.blog.org"] == ("y.z.blog.org", "z.blog.org") and got["a.b.shop.example.com:8080"] == ("b.shop.example.com", "shop.example.com")
+
+
 @pytest.mark.parametrize("split", [64, 8 << 20])
 def test_warc(spark, split):
     html = [None, "", "<p>a</p>", "<p>a</p>", "\x1f\x8b\x08 WARC/1.1\r\n\r\n", "x" * 300_000, "<p>a</p>", "ü"]

@@ -13,14 +13,13 @@ WITH cut AS (
 ), hosts AS (
   SELECT host, CAST(count(bad) AS DOUBLE) AS n, coalesce(sum(bad), 0.0)::DOUBLE AS x FROM p LEFT JOIN known ON doc_id = page_id GROUP BY host
 ), leveled AS (
-  SELECT *, split(host, '.') AS l FROM hosts
+  SELECT host, n, x, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]$', '') AS name FROM hosts
 ), named AS (
-  SELECT host, n, x, array_to_string(l[-2:], '.') AS domain2, l[-1] AS last1, l FROM leveled
+  SELECT *, split(name, '.') AS l, regexp_matches(name, '^([0-9]{1,3}[.]){3}[0-9]{1,3}$') OR starts_with(name, '[') AS address FROM leveled
+), sized AS (
+  SELECT *, CASE WHEN regexp_matches(array_to_string(l[-2:], '.'), '^(ac|co|com|edu|gob|gov|go|mil|ne|net|nom|or|org|sch)[.][a-z]{2}$') THEN 2 ELSE 1 END AS k FROM named
 ), h AS (
-  SELECT host, n, x,
-    CASE WHEN domain2 IN ('ac.uk','co.jp','co.nz','co.uk','co.za','com.au','com.br','gov.uk','org.uk') THEN array_to_string(l[-3:], '.') ELSE domain2 END AS domain,
-    CASE WHEN domain2 IN ('ac.uk','co.jp','co.nz','co.uk','co.za','com.au','com.br','gov.uk','org.uk') THEN domain2 ELSE last1 END AS suffix
-  FROM named
+  SELECT host, n, x, CASE WHEN address THEN name ELSE array_to_string(l[-(k + 1):], '.') END AS domain, CASE WHEN address THEN name ELSE array_to_string(l[-k:], '.') END AS suffix FROM sized
 ), d AS (SELECT suffix, domain, sum(n) AS n, sum(x) AS x FROM h GROUP BY suffix, domain),
 s AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM d GROUP BY suffix),
 t AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(x) + 0.5) / (sum(n) + 1) ELSE 0.0 END AS top FROM s),

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Suffixes of two labels; all others have one.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "gov.uk", "org.uk")
+# Second labels under which countries register names for others.
+SHARED_LABELS = ("ac", "co", "com", "edu", "gob", "gov", "go", "mil", "ne", "net", "nom", "or", "org", "sch")
 #: Standard deviations of the posterior bound, and the bad rate that the bound must exceed.
 DEVIATIONS, LIMIT = 1.645, 0.25
 
@@ -40,12 +40,19 @@ def matched(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host."""
-    two = F.substring_index(host, ".", -2)
-    suffix = F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
-    labels = F.size(F.split(suffix, r"\."))
-    return F.when(labels == 2, F.substring_index(host, ".", -3)).otherwise(two), suffix
+def levels(host: Column, suffixes: Sequence[str] = ()) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host, without user part, port and closing dot. A suffix is the
+    last label, or the last two where they are a shared label and a country's two letters, or the
+    longest of ``suffixes`` (of up to three labels) that the host ends with. An address is its own
+    domain and suffix."""
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), "\\.$", "")
+    address = name.rlike("^([0-9]{1,3}\\.){3}[0-9]{1,3}$") | name.startswith("[")
+    two = F.substring_index(name, ".", -2)
+    shared = two.rlike("^(" + "|".join(SHARED_LABELS) + ")\\.[a-z]{2}$")
+    given = lambda n: F.substring_index(name, ".", -n).isin([x for x in suffixes if x.count(".") == n - 1])
+    n = F.when(given(3), 3).when(given(2) | shared, 2).otherwise(1)
+    last = lambda k: F.concat_ws(".", F.slice(F.split(name, "\\."), -F.least(k, F.size(F.split(name, "\\."))), k))
+    return F.when(address, name).otherwise(last(n + 1)), F.when(address, name).otherwise(last(n))
 
 
 def _strength(groups: DataFrame) -> DataFrame:
@@ -61,20 +68,20 @@ def _strength(groups: DataFrame) -> DataFrame:
     return sums.select((1 / rho - 1).alias("k"))
 
 
-def host_bounds(outcomes: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
+def host_bounds(outcomes: DataFrame, deviations: float = DEVIATIONS, suffixes: Sequence[str] = ()) -> DataFrame:
     """(host, rate, bound) from hosts' outcome counts (host, n, x): posterior mean of the bad rate and its lower bound."""
-    domain, suffix = levels(F.col("host"))
+    domain, suffix = levels(F.col("host"), suffixes)
     hosts = outcomes.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "x")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    overall = suffixes.agg(F.when(F.sum("n") > 0, (F.sum("x") + 0.5) / (F.sum("n") + 1)).otherwise(F.lit(0.0)).alias("top"))
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    overall = tops.agg(F.when(F.sum("n") > 0, (F.sum("x") + 0.5) / (F.sum("n") + 1)).otherwise(F.lit(0.0)).alias("top"))
 
     def shrunk(level: DataFrame, prior: str, rate: str) -> DataFrame:
         alpha = F.col("k") * F.col(prior) + F.col("x")
         size = F.col("k") + F.col("n")
         return level.withColumn("k", _strength(level.select("n", "x")).scalar()).withColumn(rate, alpha / size).withColumn("size", size)
 
-    s = shrunk(suffixes.withColumn("top", overall.scalar()), "top", "suffix_rate").select("suffix", "suffix_rate")
+    s = shrunk(tops.withColumn("top", overall.scalar()), "top", "suffix_rate").select("suffix", "suffix_rate")
     d = shrunk(domains.join(s, "suffix"), "suffix_rate", "domain_rate").select("suffix", "domain", "domain_rate")
     h = shrunk(hosts.join(d, ["suffix", "domain"]), "domain_rate", "rate")
     bound = F.col("rate") - deviations * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("size") + 1))
@@ -82,7 +89,7 @@ def host_bounds(outcomes: DataFrame, deviations: float = DEVIATIONS) -> DataFram
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), id_col: str = "page_id", url_col: str = "url",
-               limit: float = LIMIT, deviations: float = DEVIATIONS) -> DataFrame:
+               limit: float = LIMIT, deviations: float = DEVIATIONS, suffixes: Sequence[str] = ()) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages``.
 
     ``outcomes``: (page_id, bad), bad 1 or 0; outcomes that repeat a page are averaged into one
@@ -90,14 +97,15 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     URL's path starts with the rule's; the longest wins. Where none fits, the verdict is ``block``
     when the host's posterior bound exceeds ``limit``, else ``allow``. A null URL or one without
     ``://`` has an empty host and path, and counts with the other empty hosts. Rows with a null id
-    are judged and count no outcome; without outcomes every host is allowed. Other columns are
+    are judged and count no outcome; without outcomes every host is allowed. ``suffixes``: see
+    :func:`levels`. Other columns are
     not read.
     """
     host, path = host_and_path(F.col(url_col))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     known = outcomes.where("bad IS NOT NULL").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max("bad").cast("double").alias("bad"))
     counts = base.select("page_id", "host").join(known, "page_id", "left").groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("x"))
-    bounds = host_bounds(counts, deviations).select("host", (F.col("bound") > limit).alias("bad_host"))
+    bounds = host_bounds(counts, deviations, suffixes).select("host", (F.col("bound") > limit).alias("bad_host"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     other = F.when(F.col("bad_host"), F.lit("block")).otherwise(F.lit("allow"))
     return base.join(bounds, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, other).alias("verdict"))

@@ -8,6 +8,7 @@ oracle of every key lives in :mod:`washkit.plans.oracle`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -248,38 +249,32 @@ def q_production_summary(spark, sf_dir):
     return FN.production_summary(production_table(spark, sf_dir))
 
 
+#: Collection efficiency from the ledger, whose billing and collection are the orders' bills summed: one read serves F1, F2 and F4.
+_F1_LEDGER = replace(K.BY_ID["F1"], table="ledger", num="total_collection", den="total_billing")
+
+
 @register("kpi_finance")
 def q_kpi_finance(spark, sf_dir):
-    bills = billing_table(spark, sf_dir).withColumn("year", F.year("date"))
-    parts = [
-        K.ratio_kpis(bills, ["year"], [K.BY_ID["F1"]]),
-        K.ratio_kpis(ledger_table(spark, sf_dir), ["year"], [K.BY_ID[i] for i in ("F2", "F4")]),
-        K.ratio_kpis(city_year_table(spark, sf_dir), ["year"], [K.BY_ID[i] for i in ("F12", "F12_pct")]),
-        K.ratio_kpis(service_table(spark, sf_dir), ["year"], [K.BY_ID["F3"]]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ledger = K.ratio_kpis(ledger_table(spark, sf_dir), ["year"], [_F1_LEDGER, *(K.BY_ID[i] for i in ("F2", "F4"))])
+    register_ = K.ratio_kpis(city_year_table(spark, sf_dir), ["year"], [K.BY_ID[i] for i in ("F12", "F12_pct", "F3")])
+    return ledger.unionByName(register_)
 
 
 @register("executive_scorecard")
 def q_executive_scorecard(spark, sf_dir):
-    ids = {"access": ["A_safely_water", "A_safely_sanitation"], "billing": ["F1"], "ledger": ["F2"],
-           "service": ["F3", "C1"], "production": ["C2"], "city_year": ["AH"]}
+    kpis = {"access": ["A_safely_water", "A_safely_sanitation"], "ledger": ["F1", "F2"], "city_year": ["F3", "C1", "AH"], "production": ["C2"]}
     sources = {
         "access": access_table(spark, sf_dir),
-        "billing": billing_table(spark, sf_dir).withColumn("year", F.year("date")),
         "ledger": ledger_table(spark, sf_dir),
-        "service": service_table(spark, sf_dir),
-        "production": production_table(spark, sf_dir).withColumn("year", F.year("date")),
         "city_year": city_year_table(spark, sf_dir),
+        "production": production_table(spark, sf_dir).withColumn("year", F.year("date")),
     }
+    by_id = {**K.BY_ID, "F1": _F1_LEDGER}
     per = None
-    for src, kp in ids.items():
-        part = K.per_period_kpis(sources[src], "year", [K.BY_ID[i] for i in kp])
+    for src, ids in kpis.items():
+        part = K.per_period_kpis(sources[src], "year", [by_id[i] for i in ids])
         per = part if per is None else per.unionByName(part)
-    return K.scorecard(K.latest_by_kpi(per), [K.BY_ID[i] for kp in ids.values() for i in kp])
+    return K.scorecard(K.latest_by_kpi(per), [by_id[i] for ids in kpis.values() for i in ids])
 
 
 # --------------------------------------------------------------------------- catalogue / documents

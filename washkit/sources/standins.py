@@ -241,20 +241,27 @@ def production(t: Tables) -> DataFrame:
 _CITY_YEAR = """
 SELECT a.city, a.year, a.active_providers, b.total_providers, a.active_licensed, b.total_licensed,
        a.wash_budget, a.training_budget, a.water_budget, a.actual_expenditure, a.output_value, a.total_staff,
-       a.assets_good, a.total_staff AS assets_total
+       a.assets_good, a.total_staff AS assets_total, a.w_supplied, a.total_consumption,
+       a.tests_conducted_chlorine, a.test_passed_chlorine, a.test_conducted_ecoli, a.tests_passed_ecoli
 FROM (
   SELECT n_name AS city, year, count(1) AS active_providers, count_if(s_acctbal > 0) AS active_licensed,
          CAST(sum(CAST(wash_budget AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS wash_budget, CAST(sum(CAST(training_budget AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS training_budget,
          CAST(sum(CAST(water_budget AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS water_budget,
          CAST(sum(CAST(actual_expenditure AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS actual_expenditure,
-         CAST(sum(CAST(output_value AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS output_value, sum(lines) AS total_staff, sum(good) AS assets_good
+         CAST(sum(CAST(output_value AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS output_value, sum(lines) AS total_staff, sum(good) AS assets_good,
+         sum(supplied) AS w_supplied, CAST(sum(CAST(consumed AS DECIMAL(38,0))) AS DOUBLE) / 10000D AS total_consumption,
+         sum(chlorine) AS tests_conducted_chlorine, sum(chlorine_passed) AS test_passed_chlorine,
+         sum(ecoli) AS test_conducted_ecoli, sum(ecoli_passed) AS tests_passed_ecoli
   FROM (SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS year,
                sum(floor(l_extendedprice * 10000D + 0.5D)) AS wash_budget,
                sum(floor(l_extendedprice * l_discount * 10000D + 0.5D)) AS training_budget,
                sum(floor(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0D END * 10000D + 0.5D)) AS water_budget,
                sum(floor(l_extendedprice * (1D - l_discount) * 10000D + 0.5D)) AS actual_expenditure,
                sum(floor(l_extendedprice * (1D + l_tax) * 10000D + 0.5D)) AS output_value,
-               count(1) AS lines, count_if(l_returnflag <> 'R') AS good
+               count(1) AS lines, count_if(l_returnflag <> 'R') AS good,
+               sum(l_quantity) AS supplied, sum(floor(l_quantity * (1D - l_discount) * 10000D + 0.5D)) AS consumed,
+               count_if(l_linenumber <= 4) AS chlorine, count_if(l_linenumber <= 4 AND l_tax <= 0.06D) AS chlorine_passed,
+               count_if(l_linenumber >= 2) AS ecoli, count_if(l_linenumber >= 2 AND l_discount > 0.02D) AS ecoli_passed
         FROM {lineitem} GROUP BY l_suppkey, CAST(year(l_shipdate) AS INT)) per_supp
   JOIN {supplier} ON l_suppkey = s_suppkey
   JOIN {nation} ON s_nationkey = n_nationkey
@@ -269,7 +276,8 @@ ON a.city = b.city
 def city_year(t: Tables) -> DataFrame:
     """Provider register per (city, year): providers = suppliers, licensed = positive balance,
     active = shipped that year (lines reduced per (supplier, year) first, so "distinct active
-    suppliers" is a plain count). Outer sums are DECIMAL, so no city's total overflows."""
+    suppliers" is a plain count). Outer sums are DECIMAL, so no city's total overflows. The year's water volumes and
+    quality tests are those of :func:`service_month` summed, so yearly KPIs of both need one read of the lines."""
     return _sql(t, _CITY_YEAR, "lineitem", "supplier", "nation")
 
 

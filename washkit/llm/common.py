@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,14 +42,49 @@ def table_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_OPEN = threading.local()  # tables written inside each open scratch(), innermost last
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends
     there, and the loss of an executor costs no recomputation of what is stored."""
     spark, path = df.sparkSession, table_dir(df.sparkSession, name)
+    for paths in getattr(_OPEN, "scopes", [])[-1:]:
+        paths.append(path)  # before the write, so a failed one's files go too
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end the tables that :func:`stored` writes inside, by the calling thread.
+
+    For a result that is written inside: ``with scratch(spark): operator(docs).write.parquet(path)``.
+    A DataFrame made inside must not be used afterwards, as its operator's tables are gone; the files
+    of ``path`` and those written before or by other threads stay. Scopes may be nested.
+    """
+    scopes = _OPEN.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored_alone(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """:func:`stored` of what ``make`` returns, without the tables that it needed on the way."""
+    path = table_dir(spark, name)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+        schema = df.schema
+    for paths in getattr(_OPEN, "scopes", [])[-1:]:
+        paths.append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

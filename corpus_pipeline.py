@@ -7,11 +7,13 @@ return the columns of ``documents`` (doc_id, text, lang, source, n_chars).
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from washkit.llm import minhash, packing, pu_quality, suffix_dedup, winnow
-from washkit.llm.common import digest, stored, table
+from washkit.llm.common import digest, stored, stored_alone, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bytes of a repeated passage that the suffix-array stage removes: below the length of 50 short words.
@@ -96,8 +98,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``."""
+    """The stages in order over ``documents``. What a stage writes on its way goes as soon as its
+    result is written; the stages' results stay."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = stored_alone(partial(stage, spark, docs, sf_dir), spark, name.replace(" ", "-"))
     return docs

@@ -9,6 +9,9 @@ are not written. Lists are merged as pairs of bounded blocks of documents: equal
 counted there, pairs below the match threshold are skipped, and what is left is confirmed on the
 full shingle sets, where pairs that are already connected are skipped. Each block pair returns a
 spanning forest of its links, so the output stays linear in the documents of the block pair.
+Blocks meet in two rounds: first each with itself and with the first block of its home, then only
+those that hold documents of one list in different components of the first round's links. So a
+cluster of near copies that the first round connects costs work in proportion to its documents.
 """
 
 from __future__ import annotations
@@ -97,15 +100,15 @@ def _sets(batches):
 
 
 def _meet(share: float, least: int):
-    """Block pairs (task, side, doc_id, n_shingles, sig sorted by task) -> the pairs that agree
-    in at least ``least`` coordinates, as one row for each task."""
+    """Block pairs (task, side, doc_id, component, n_shingles, sig sorted by task) -> the pairs of
+    different components that agree in at least ``least`` coordinates, as one row for each task."""
 
     def run(batches):
         import pyarrow as pa
 
         for t in groups_of(batches, "task"):
             task, ids = t.column("task").to_numpy(), t.column("doc_id").to_numpy()
-            side, n = t.column("side").to_numpy(), t.column("n_shingles").to_numpy()
+            side, n, of = t.column("side").to_numpy(), t.column("n_shingles").to_numpy(), t.column("component").to_numpy()
             sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
             cut = np.flatnonzero(np.diff(task)) + 1
             tasks, left, right = [], [], []
@@ -116,7 +119,7 @@ def _meet(share: float, least: int):
                 x, y = [], []
                 for i in a:
                     j = b[b > i] if b is a else b
-                    near = (n[j] >= share * n[i]) & (share * n[j] <= n[i])
+                    near = (of[j] != of[i]) & (n[j] >= share * n[i]) & (share * n[j] <= n[i])
                     j = j[near]
                     j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
                     x.append(np.full(len(j), ids[i]))
@@ -175,9 +178,9 @@ def _confirm(percent: int):
     return run
 
 
-def block_pairs(reps: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(blocks, pairs) of representatives: (doc_id, blk) for all that are posted, and the distinct
-    (task, x, y) block pairs that meet in a posting list; pairs with ``least`` equal tokens do."""
+def lists_and_blocks(reps: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(listed, blocks) of representatives: the (token, doc_id) of all posting lists with two or more
+    documents, in one of which documents with ``least`` equal tokens meet, and the (doc_id, home, blk) of these."""
     tokens = reps.select("doc_id", F.posexplode(F.slice("sig", 1, TOKENS)).alias("c", "v")).select(
         "doc_id", (F.col("c").cast("long") * F.lit(1 << 32) + F.col("v").cast("long") + F.lit(1 << 31)).alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
@@ -199,27 +202,45 @@ def block_pairs(reps: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     best = listed.select("doc_id", "token").join(home.join(homes, "home"), "doc_id").groupBy("token").agg(F.max(F.struct("n", "home")).alias("h"))
     home = stored(listed.select("doc_id", "token").join(best, "token").groupBy("doc_id").agg(F.max("h").alias("h")).select("doc_id", F.col("h.home").alias("home")), "homes")
     homes = home.groupBy("home").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
-    blocks = stored(home.join(homes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("blk")), "blocks")
-    there = listed.select("doc_id", "token").join(blocks, "doc_id").select("token", "blk").distinct()
-    pairs = (
-        there.select("token", F.col("blk").alias("x"))
-        .join(there.select("token", F.col("blk").alias("y")), "token")
-        .where("x <= y")
-        .select("x", "y").distinct()
-        .select(F.xxhash64("x", "y").alias("task"), "x", "y")
+    blocks = stored(home.join(homes, "home").select("doc_id", "home", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("blk")), "blocks")
+    return listed.select("token", "doc_id"), blocks
+
+
+def first_pairs(blocks: DataFrame) -> DataFrame:
+    """(x, y), x <= y: every block with itself and with the first block of its home."""
+    own = blocks.select("home", "blk").distinct()
+    first = own.groupBy("home").agg(F.min("blk").alias("x"))
+    return own.join(first, "home").select(F.explode(F.array("x", "blk")).alias("x"), F.col("blk").alias("y")).distinct()
+
+
+def later_pairs(listed: DataFrame, blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """(x, y), x < y: the block pairs still to be met, that is those with documents of one list in
+    different components (``known``: node, component; other documents are their own).
+
+    A list's blocks go by groups: all that hold documents of one component only are one group, a block
+    with several is a group by itself. Only different groups are paired, never the blocks of a group."""
+    there = (
+        listed.join(blocks, "doc_id").join(known, F.col("doc_id") == F.col("node"), "left")
+        .groupBy("token", "blk").agg(F.min(F.coalesce("component", "doc_id")).alias("lo"), F.max(F.coalesce("component", "doc_id")).alias("hi"))
+        .select("token", "blk", F.struct((F.col("lo") < F.col("hi")).alias("mixed"), F.when(F.col("lo") < F.col("hi"), F.col("blk")).otherwise(F.col("lo")).alias("of")).alias("g"))
     )
-    return blocks, pairs
+    parted = there.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a < b").select("token")
+    there = stored(there.join(parted, "token"), "groups")
+    groups = there.select("token", "g").distinct()
+    pairs = groups.select("token", F.col("g").alias("gx")).join(groups.select("token", F.col("g").alias("gy")), "token").where("gx < gy")
+    met = (
+        pairs.join(there.select("token", F.col("g").alias("gx"), F.col("blk").alias("bx")), ["token", "gx"])
+        .join(there.select("token", F.col("g").alias("gy"), F.col("blk").alias("by")), ["token", "gy"])
+        .select(F.least("bx", "by").alias("x"), F.greatest("bx", "by").alias("y")).distinct()
+    )
+    return met.join(first_pairs(blocks), ["x", "y"], "left_anti")
 
 
-def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links between class representatives that connect all documents whose Jaccard
-    similarity is at least ``percent`` / 100. ``docs``: (doc_id, text bytes)."""
-    least, of_all = must_agree(percent)
-    blocks, pairs = block_pairs(reps, least)
-    sides = pairs.select("task", F.posexplode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("side", "blk"))
-    members = blocks.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
+def _links(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int, of_all: int) -> DataFrame:
+    """Links (u, v) between documents of different components in the block pairs (x, y)."""
+    sides = pairs.select(F.xxhash64("x", "y").alias("task"), F.posexplode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("side", "blk"))
     met = (
-        sides.join(members, "blk").select("task", "side", "doc_id", "n_shingles", "sig")
+        sides.join(members, "blk").select("task", "side", "doc_id", "component", "n_shingles", "sig")
         .repartition("task").sortWithinPartitions("task")
         .mapInArrow(_meet(percent / 100, of_all), "task long, a array<bigint>, b array<bigint>")
     )
@@ -235,6 +256,18 @@ def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return stored(found, "links")
 
 
+def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between class representatives that connect all documents whose Jaccard
+    similarity is at least ``percent`` / 100. ``docs``: (doc_id, text bytes)."""
+    least, of_all = must_agree(percent)
+    listed, blocks = lists_and_blocks(reps, least)
+    members = blocks.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
+    known = stored(components(_links(docs, members.withColumn("component", F.col("doc_id")), first_pairs(blocks), percent, of_all)), "known")
+    joined = members.join(known, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
+    later = _links(docs, joined, later_pairs(listed, blocks, known), percent, of_all)
+    return known.select(F.col("component").alias("u"), F.col("node").alias("v")).unionByName(later)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 

@@ -254,6 +254,26 @@ def test_csv_columns_are_taken_by_header_name(spark, tmp_path):
         files.read_csv(spark, str(a), "other STRING")
 
 
+def test_csv_files_with_equal_headers_are_one_scan(spark, tmp_path):
+    schema = "customer_id STRING, billed DOUBLE, year INT"
+    paths = []
+    for i in range(6):
+        at = tmp_path / f"f {i}.csv"
+        at.write_text(f"customer_id,billed\nc{i},{i}\n" if i % 2 else f"billed,customer_id\n{i},c{i}\nbad,\n")
+        paths.append(str(at))
+    got = files.read_csv(spark, paths, schema)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    rows = [(f"c{i}", float(i), None) for i in range(6)] + [(None, None, None)] * 3
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+    # folders keep their partition columns, a path given again counts again, empty files hold nothing
+    for base, year in (("d1", 2020), ("d2", 2021)):
+        (tmp_path / base / f"year={year}").mkdir(parents=True)
+        (tmp_path / base / f"year={year}" / "x.csv").write_text("customer_id,billed\nk,1\n")
+    (tmp_path / "empty.csv").write_text("")
+    more = files.read_csv(spark, [str(tmp_path / "d1"), paths[1], str(tmp_path / "d2"), paths[1], str(tmp_path / "empty.csv")], schema).collect()
+    assert sorted(map(tuple, more), key=str) == [("c1", 1.0, None), ("c1", 1.0, None), ("k", 1.0, 2020), ("k", 1.0, 2021)]
+
+
 def test_absent_json_document_gives_defaults(spark, tmp_path):
     schema = "nrw DOUBLE, budget STRUCT<water: DOUBLE, other: DOUBLE>"
     defaults = {"nrw": 45.0, "budget": {"water": 60.0}}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,24 +26,33 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str, *, to
     order does not matter, further columns are ignored, absent ones are NULL, text that does not
     parse is NULL. A path with none of the declared columns is an error. ``tolerant=True``
     skips missing or unreadable files (S2); a missing path then yields an empty, typed frame
-    instead of an error.
+    instead of an error. A header is read for each path, but paths of single files with equal headers
+    are one scan, so the plan grows with the number of different headers; a folder, a pattern and a
+    path given again are a scan of their own.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     fields = T.StructType.fromDDL(schema).fields
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if tolerant:
         reader = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-    out = None
-    for path in paths:
+    scans: dict[tuple, tuple[DataFrame, list[str]]] = {}
+    for i, path in enumerate(paths):
         try:
             raw = reader.csv(path)
         except AnalysisException:
             if not tolerant:
                 raise
             continue
+        listed = raw.inputFiles()
+        alone = raw.columns and len(listed) == 1 and unquote(listed[0]).rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1] and path not in paths[:i]
+        scans.setdefault(tuple(raw.columns) if alone else (i,), (raw, []))[1].append(path)
+    out = None
+    for raw, same in scans.values():
         names = {c.strip().lstrip("\ufeff"): c for c in raw.columns}
         if raw.columns and not any(f.name in names for f in fields):
-            raise ValueError(f"{path}: none of the columns {[f.name for f in fields]} in the header {raw.columns}")
+            raise ValueError(f"{', '.join(same)}: none of the columns {[f.name for f in fields]} in the header {raw.columns}")
+        if len(same) > 1:
+            raw = reader.schema(raw.schema).csv(same)
         part = raw.select([(F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in fields])
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out

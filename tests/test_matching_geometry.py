@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,32 @@ def test_points_in_polygons_against_all_pairs(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_a_hot_cell_is_tested_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(G, "POINTS", 150)
+    monkeypatch.setattr(G, "SHAPES", 10)
+    rnd = random.Random(9)
+    points = [(i % 900, 0.25 + rnd.random() / 2, 0.25 + rnd.random() / 2, None if i % 5 else "p") for i in range(1000)]
+    shapes = [(k % 35, None if k % 3 else k, [[[rnd.random(), rnd.random()] for _ in range(31)] + [[0.01, 0.01], [0.99, 0.99]]]) for k in range(40)]
+    shapes += [(99, 99, [[[0.1, 0.1], [0.9, 0.1], [None, 0.9], [0.1, 0.9]]])]
+    want = sorted(str((i, x, y, note, k, n)) for i, x, y, note in points for k, n, rings in shapes[:40] if inside(x, y, rings))
+    found = G.locate_points(spark.createDataFrame(points, "id int, lon double, lat double, note string").repartition(3),
+                            spark.createDataFrame(shapes, "shape int, n long, rings array<array<array<double>>>").repartition(2), ["shape", "n"])
+    assert found.columns == ["id", "lon", "lat", "note", "shape", "n"]
+    # candidate pairs are no rows: points and shapes meet inside the blocks
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(str(tuple(r)) for r in found.where("shape < 99").collect()) == want and len(want) > 10000
+
+
+def test_the_ray_test_by_edges_is_that_by_points():
+    rnd = np.random.default_rng(3)
+    for corners in (rnd.random((31, 2)), rnd.integers(0, 4, (12, 2)).astype(float)):
+        edges = np.concatenate([corners, np.roll(corners, -1, axis=0)], axis=1).T
+        lat, lon = np.sort(np.r_[rnd.random(2000) * 3, corners[:, 1]]), np.r_[rnd.random(2000) * 3, corners[:, 0]]
+        small = np.concatenate([G._odd(lon[i:i + 100], lat[i:i + 100], edges) for i in range(0, len(lat), 100)])
+        want = [inside(x, y, [corners.tolist()]) for x, y in zip(lon.tolist(), lat.tolist(), strict=True)]
+        assert len(lat) > G.TALL and (G._odd(lon, lat, edges) == small).all() and small.tolist() == want and 0 < sum(want) < len(want)
+
+
 def test_geojson_zones_hold_their_points(spark, tmp_path):
     from washkit.sources import files
     (tmp_path / "z.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"name":"Limbadzi","country":"Malawi"},"geometry":{"type":"Polygon","coordinates":[[[33.0,-14.0],[34.0,-14.0],[34.0,-13.0],[33.0,-13.0],[33.0,-14.0]]]}}]}')

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from washkit.functions.columns import band
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks carry the ray test with them
+
 
 def _ring_extent(ring: Column) -> list[Column]:
     """min/max lon and lat of one flat ring ``[lon0, lat0, lon1, lat1, ...]`` -- array
@@ -96,11 +102,94 @@ def ring_pairs(flat: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), (F.size(flat) / 2).cast("int") - 1), lambda i: F.array(flat[i * 2], flat[i * 2 + 1]))
 
 
-def _inside(lon: Column, lat: Column) -> Column:
-    """Ray test: an odd number of edges crosses the ray from the point to the east."""
-    def crosses(e: Column) -> Column:
-        return ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < (e["x2"] - e["x1"]) * (lat - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
-    return F.size(F.filter("__edges", crosses)) % 2 == 1
+#: Points and shapes of one cell that a task tests in one go; fuller cells are split into such blocks.
+POINTS, SHAPES = 32768, 2048
+#: Points from which the edges of a shape are tested one by one, each on the points at its height only.
+TALL = 256
+#: Hits written in one go, bar those of the last shape.
+HITS = 1 << 17
+
+
+def _odd(lon: np.ndarray, lat: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Ray test of points sorted by ``lat``: an odd number of edges (rows x1, y1, x2, y2) crosses the
+    ray from the point to the east. NaN counts as the largest number, as in Spark."""
+    x1, y1, x2, y2 = edges
+    with np.errstate(all="ignore"):
+        if len(lat) < TALL or not np.isfinite(edges).all():
+            x, y = lon[:, None], lat[:, None]
+            crosses = (~(y1 <= y) != ~(y2 <= y)) & ~(x >= (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+            return np.count_nonzero(crosses, axis=1) % 2 == 1
+        odd = np.zeros(len(lat), bool)
+        first, last = np.searchsorted(lat, np.minimum(y1, y2)), np.searchsorted(lat, np.maximum(y1, y2))
+        for k in np.flatnonzero(first < last).tolist():
+            at = slice(first[k], last[k])
+            odd[at] ^= lon[at] < (x2[k] - x1[k]) * (lat[at] - y1[k]) / (y2[k] - y1[k]) + x1[k]
+        return odd
+
+
+#: A cell, a block of its points and a block of its shapes: what a task tests in one go.
+UNIT = ("__level", "__cx", "__cy", "__np", "__ns")
+
+
+def _units(batches):
+    """Arrow tables of one unit each, from batches sorted by unit."""
+    import pyarrow as pa
+
+    held, last = [], None
+    for b in batches:
+        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in UNIT], axis=1)
+        cut = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)]
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if s < e:
+                if held and (keys[s] != last).any():
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(b.slice(s, e - s))
+                last = keys[s]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _located(names: list[str]):
+    """Rows of points and shapes, sorted by unit -> the points of each unit with its shapes that they lie in."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def joined(points, shapes, at: list, of: list, n: list):
+            rows = [(points, np.concatenate(at)), (shapes, np.repeat(of, n))]
+            cols = [c for t, i in rows for c in t.take(pa.array(i)).combine_chunks().flatten()]
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        for u in _units(batches):
+            own = pc.is_valid(u.column("x"))
+            points, shapes = u.filter(own).combine_chunks(), u.filter(pc.invert(own)).combine_chunks()
+            lat = points.column("y").to_numpy()
+            by_lat = np.argsort(lat, kind="stable")
+            lat, lon = lat[by_lat], points.column("x").to_numpy()[by_lat]
+            box = [shapes.column(c).to_numpy() for c in ("minx", "maxx", "miny", "maxy")]
+            low, high = np.searchsorted(lat, box[2], "left"), np.searchsorted(lat, box[3], "right")
+            edges = shapes.column("edges").combine_chunks()
+            ends, parts = edges.offsets.to_numpy(), np.stack([c.to_numpy() for c in edges.values.flatten()])
+            at, of, n, held = [], [], [], 0
+            for k in np.flatnonzero(low < high).tolist():
+                x = lon[low[k]:high[k]]
+                near = low[k] + np.flatnonzero((x >= box[0][k]) & ~(x > box[1][k]))
+                if not len(near):
+                    continue
+                hit = by_lat[near[_odd(lon[near], lat[near], parts[:, ends[k]:ends[k + 1]])]]
+                if len(hit):
+                    at.append(hit)
+                    of.append(k)
+                    n.append(len(hit))
+                    held += len(hit)
+                if held >= HITS:
+                    yield joined(points.column("point"), shapes.column("shape"), at, of, n)
+                    at, of, n, held = [], [], [], 0
+            if held:
+                yield joined(points.column("point"), shapes.column("shape"), at, of, n)
+
+    return run
 
 
 def locate_points(points: DataFrame, shapes: DataFrame, columns: Sequence[str], *, lon: str = "lon", lat: str = "lat", rings: str = "rings",
@@ -109,27 +198,40 @@ def locate_points(points: DataFrame, shapes: DataFrame, columns: Sequence[str],
 
     A shape is indexed in the grid whose cells are as large as its bounding box, so it falls into at
     most four cells whatever its size; a point is looked up in its cell of every grid in use (at
-    most ``MAX_LEVEL - MIN_LEVEL + 1``, mostly a few). Cells meet in an equi-join, after which the bounding box and then the exact ray
-    test decide, over all rings (a hole is outside; a point on an edge belongs to one side).
-    ``keep`` names columns that identify a point (not NULL): points in no shape are then kept, with
-    NULLs. Points without coordinates lie in none; shapes without rings hold none. A hot cell's
-    points are split by AQE like any skewed join key.
+    most ``MAX_LEVEL - MIN_LEVEL + 1``, mostly a few). Cells are counted: those with points and shapes
+    are split into units of about ``POINTS`` points and ``SHAPES`` shapes, so a hot cell is many
+    units and every block of its points meets every block of its shapes once. In a unit the bounding
+    box and then the exact ray test decide, over all rings (a hole is outside; a point on an edge
+    belongs to one side). ``keep`` names columns that identify a point (not NULL): points in no shape are then kept, with
+    NULLs. Points without coordinates lie in none; shapes without rings hold none.
     """
     s = shapes.select(*columns, _edges(F.col(rings)).alias("__edges")).where(F.size("__edges") > 0)
     ends = {"x": F.transform("__edges", lambda e: e["x1"]), "y": F.transform("__edges", lambda e: e["y1"])}  # rings are closed: each corner starts an edge
     s = s.withColumns({f"__{f}{k}": getattr(F, f"array_{f}")(ends[k]) for k in "xy" for f in ("min", "max")})
     width = F.greatest(F.col("__maxx") - F.col("__minx"), F.col("__maxy") - F.col("__miny"))
     level = F.when(width > 0, F.greatest(F.least(F.ceil(F.log2(width)).cast("int"), F.lit(MAX_LEVEL)), F.lit(MIN_LEVEL))).otherwise(F.lit(MIN_LEVEL))
-    s = s.withColumn("__level", level)
+    s = s.withColumns({"__level": level, "__r": F.rand(1)})
     size = F.pow(F.lit(2.0), F.col("__level"))
     for k in "xy":
         s = s.withColumn(f"__c{k}", F.explode(F.sequence(F.floor(F.col(f"__min{k}") / size), F.floor(F.col(f"__max{k}") / size))))
-    s = s.select(*columns, "__edges", "__level", "__cx", "__cy", *[f"__{f}{k}" for k in "xy" for f in ("min", "max")])
     levels = s.select(F.collect_set("__level")).scalar()
     here = F.col(lon).isNotNull() & F.col(lat).isNotNull() & ~F.isnan(F.col(lon).cast("double")) & ~F.isnan(F.col(lat).cast("double"))
-    at = points.where(here).select("*", F.explode(levels).alias("__level"))
+    at = points.where(here).withColumn("__r", F.rand(2)).select("*", F.explode(levels).alias("__level"))
     at = at.withColumns({"__cx": F.floor(F.col(lon) / size), "__cy": F.floor(F.col(lat) / size)})
-    boxed = F.col(lon).between(F.col("__minx"), F.col("__maxx")) & F.col(lat).between(F.col("__miny"), F.col("__maxy"))
-    found = at.join(s, ["__level", "__cx", "__cy"]).where(boxed & _inside(F.col(lon), F.col(lat)))
-    found = found.select(*points.columns, *columns)
+    cell = ["__level", "__cx", "__cy"]
+    cells = s.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(SHAPES)).alias("__ns")).join(at.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(POINTS)).alias("__np")), cell)
+
+    def units(rows: DataFrame, own: str, others: str, *cols: Column) -> DataFrame:
+        """The rows once in each unit of their block: (cell, block of points, block of shapes)."""
+        block = {own: F.floor(F.col("__r") * F.col(own)), others: F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1))}
+        rows = rows.join(cells, cell).withColumn(own, block[own]).withColumn(others, block[others])
+        return rows.select(*UNIT, *cols)
+
+    whole = F.filter("__edges", lambda e: e["x1"].isNotNull() & e["y1"].isNotNull() & e["x2"].isNotNull() & e["y2"].isNotNull())
+    edges = F.transform(whole, lambda e: F.struct(*(e[c].cast("double").alias(c) for c in ("x1", "y1", "x2", "y2"))))
+    point, shape = F.struct(*(F.col(c) for c in points.columns)), F.struct(*columns)
+    rows = units(at, "__np", "__ns", F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"), point.alias("point")).unionByName(
+        units(s, "__ns", "__np", edges.alias("edges"), shape.alias("shape"), *[F.col(f"__{f}{k}").cast("double").alias(f"{f}{k}") for k in "xy" for f in ("min", "max")]), allowMissingColumns=True)
+    schema = StructType([*points.schema.fields, *shapes.select(*columns).schema.fields])
+    found = rows.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(_located(schema.names), schema)
     return found.unionByName(points.join(found.select(*keep).distinct(), list(keep), "left_anti"), allowMissingColumns=True) if keep else found

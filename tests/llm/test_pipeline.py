@@ -80,6 +80,16 @@ def test_rows_with_a_null_or_repeated_id_go_by_their_own_text(spark, tmp_path):
     assert got == {prose(85, 30), prose(88, 30)}
 
 
+def test_the_fit_brings_no_row_objects_of_the_sample_to_the_driver(spark, tmp_path, monkeypatch):
+    docs = written(spark, tmp_path, [(i, prose(3000 + i, 20)) for i in range(400)], [(i, 1) for i in range(1, 300)])
+    kind, rows = type(docs), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: (got := collect(self), rows.append(len(got)))[0])
+    scores = cp.pu_quality.quality_scores(docs, cp.table(spark, str(tmp_path), "labels"))
+    assert max(rows) == cp.pu_quality.WIDTH
+    assert scores.count() == 400
+
+
 def test_near_copies_from_a_similarity_of_four_fifths(spark, tmp_path):
     rows = []
     for i in range(40):  # 182 shingles each, 165 of them shared: J = 0.83

@@ -189,8 +189,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         rows = df.count()
         part = min(1.0, sample / max(rows, 1))
         draw = F.xxhash64("draw", F.lit(salt))
-        got = df.where(F.pmod(draw, F.lit(1 << 30)) < int(part * (1 << 30))).orderBy(draw).limit(2 * sample).select("x").collect()
-        x = np.array([r[0] for r in got], np.float64).reshape(-1, WIDTH)
+        got = df.where(F.pmod(draw, F.lit(1 << 30)) < int(part * (1 << 30))).orderBy(draw).limit(2 * sample).select("x").toArrow()
+        x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, WIDTH)  # no object a number in the driver
         return np.clip((x - mean) / dev, -6, 6)
 
     good = labels.where((F.col(label_col) == 1) & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
